@@ -2,22 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from daytrace.llm import bpe, langid
 from daytrace.llm.common import documents, new_folder
 from daytrace.llm.line_dedup import dedup_lines
+from daytrace.llm.mixing import mix_sources
 from daytrace.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-STAGES = []
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score: float = 0.5) -> DataFrame:
+    """Keep documents whose language is known with a posterior probability of ``min_score`` or more."""
+    guess = langid.predictor(spark, langid.train(langid.training_rows(docs)))
+    kept = docs.withColumn("guess", guess("text")).filter((F.col("guess.lang_pred") != langid.UNKNOWN) & (F.col("guess.score") >= min_score))
+    return kept.select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove later occurrences of repeated runs of three lines; every document stays."""
+    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest identifier of each group; of wholly repeated rows, one."""
+    stays = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    copy = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang"))
+    return kept.withColumn("copy", copy).filter("copy = 1").select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, in the order of the schedule: files and rows are sorted by it."""
+    mixed = mix_sources(docs.select(*COLUMNS))
+    return mixed.repartitionByRange("mix_order").sortWithinPartitions("mix_order").select("row.*")
+
+
+def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, and the digest of the text decoded from them."""
+    decoded = bpe.decode(bpe.encode(docs))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("simhash_near_dedup", simhash_near_dedup), ("mix_sources", mix), ("bpe_tokens", bpe_tokens)]
+
+#: Hashed features, fingerprints and schedules have no SQL form; the tests compare the rows with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        out = new_folder(spark, name)
+    for name, stage in STAGES[:-1]:
+        out = new_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

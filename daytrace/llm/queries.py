@@ -4,26 +4,63 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from . import bpe, langid, mpeg, token_shards
 from .common import LOWER, UPPER, documents
 from .exact_dedup import exact_duplicates
+from .licenses import license_matches
 from .line_dedup import dedup_lines
+from .mixing import mix_sources
+from .pii import pseudonyms
 from .simhash import near_duplicates
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pseudonyms(documents(spark, sf_dir))
+    return out.select("doc_id", "n_found", F.to_json("kinds").alias("kinds"), F.to_json("spans").alias("spans"), "text")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir), keep="max")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir))
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(documents(spark, sf_dir).select("doc_id", "source"))
+    return out.select("row.doc_id", F.col("mix_source").alias("source"), "mix_block", "mix_slot", "mix_order")
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mpeg.describe(mpeg.to_media(documents(spark, sf_dir)))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_num", "duration_den", "bad_crc", "skipped_bytes")
+
+
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.stored_digests(documents(spark, sf_dir))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(documents(spark, sf_dir))
     return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_exact_dedup, op9_line_dedup)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash_near_dedup, op3_license_scan, op4_exact_dedup, op5_bpe, op6_mix_sources, op7_media_columns, op8_token_shards, op9_line_dedup, op10_language_id)}
 
 SQL = {
     "op4_exact_dedup": f"""
