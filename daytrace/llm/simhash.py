@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import LOWER, UPPER, cut_lineage, rows_of
-from .components import connected_components
 
 BITS = 64
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
