@@ -1,6 +1,6 @@
 """All registered queries: importing a module of queries registers them."""
 
-from . import productivity, sequences  # noqa: F401
+from . import graphs, productivity, records, sequences, texts  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
