@@ -158,7 +158,7 @@ def comparative(daily: DataFrame) -> DataFrame:
     pct = F.when(F.col("baseline") != 0, (F.col("value") - F.col("baseline")) / F.abs("baseline") * 100).otherwise(0.0)
     sign = F.when(F.col("metric").isin("context_switches", "meeting_load_pct", "distraction_index"), -1).otherwise(1)
     good = F.col("pct") * sign
-    return long.withColumn("pct", pct).select("user_id", "week_start", "metric", F.round("value", 6).alias("value"), F.round("baseline", 6).alias("baseline"), F.round("pct", 6).alias("change_pct"), F.when(good > 3, "improving").when(good < -3, "declining").otherwise("stable").alias("direction"))
+    return long.withColumn("pct", pct).select("user_id", "week_start", "metric", F.round("value", 6).alias("value"), F.round("baseline", 6).alias("baseline"), (F.round("pct", 6) + 0.0).alias("change_pct"), F.when(good > 3, "improving").when(good < -3, "declining").otherwise("stable").alias("direction"))
 
 
 def meeting_summary(acts: DataFrame, working_hours: float = 8.0) -> DataFrame:

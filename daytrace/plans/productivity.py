@@ -204,7 +204,7 @@ add(
 )
 add(
     "d24_comparative", lambda s, d: P.comparative(daily_metrics(activities(s, d))),
-    """SELECT user_id, week_start, metric, round(value, 6) AS value, round(baseline, 6) AS baseline, round(pct, 6) AS change_pct,
+    """SELECT user_id, week_start, metric, round(value, 6) AS value, round(baseline, 6) AS baseline, round(pct, 6) + 0.0 AS change_pct,
               CASE WHEN pct * sign > 3 THEN 'improving' WHEN pct * sign < -3 THEN 'declining' ELSE 'stable' END AS direction
        FROM (SELECT *, CASE WHEN baseline <> 0 THEN (value - baseline) / abs(baseline) * 100 ELSE 0 END AS pct,
                     CASE WHEN metric IN ('context_switches', 'meeting_load_pct', 'distraction_index') THEN -1 ELSE 1 END AS sign
