@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 
 import pyarrow as pa
 import regex
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 
 from .common import rows_of
 
-#: Distinct words whose tokens a worker keeps; when full, it starts anew. Only speed depends on it.
-CACHE_WORDS = 1_000_000
+#: Entries that a worker keeps in each of two generations: words, and pieces between white space. Only speed depends on them.
+CACHE_WORDS, CACHE_PIECES = 250_000, 120_000
 _CODECS: dict[str, Codec] = {}
+MARKS = ".,;:!?%&$*#|()"
 
 
 def default_tokenizer() -> str:
@@ -32,18 +34,37 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+class Cache:
+    """A bounded cache in two generations: when the younger is full it becomes the older, whose entries come back as
+    they are used, so frequent words stay."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is None:
+                found = self.make(key)
+            if len(self.young) >= self.most:
+                self.young, self.old = {}, self.young
+            self.young[key] = found
+        return found
+
+
 class Codec:
     """Encoder and decoder for a byte-level BPE file with word ends, lower case and white space dropped."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, merges: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, alphabet = spec["model"], byte_alphabet()
         vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
-        self.merges = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        self.code = "H" if max(vocab.values()) < 1 << 16 else "I"
+        self.merges = self.merge_table(model) if merges else {}
         self.inner = [vocab[c] for c in alphabet]
         self.final = [vocab[c + end] for c in alphabet]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -52,8 +73,17 @@ class Codec:
         self.word = regex.compile(split["pattern"]["Regex"])
         self.mark = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.space = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-        self.words: dict[str, list[int]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.words = Cache(lambda word: array(self.code, self.merge(word)).tobytes(), CACHE_WORDS)
+        self.chunks = Cache(self.chunk, CACHE_PIECES)
+
+    @staticmethod
+    def merge_table(model: dict) -> dict[tuple[int, int], tuple[int, int]]:
+        """Pairs of ids to the rank of their merge and the id that it makes."""
+        vocab, out = model["vocab"], {}
+        for rank, pair in enumerate(model["merges"]):
+            a, b = pair if isinstance(pair, list) else pair.split(" ")
+            out[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        return out
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word. Merge candidates wait in a heap by rank; symbols form a doubly linked list; an entry whose
@@ -85,34 +115,41 @@ class Codec:
                 heapq.heappush(heap, (hit[0], h, sym[h], joined, hit[1]))
         return [s for s in sym if s >= 0]
 
-    def chunk(self, text: str) -> tuple[int, ...]:
-        """Ids of a piece of text without white space."""
-        out: list[int] = []
-        for piece in self.mark.split(text) if "<|" in text else [text]:
-            if piece in self.special:
-                out.append(self.special[piece])
+    def chunk(self, piece: str) -> bytes:
+        """Ids of a piece of text without white space, as little-endian bytes.
+
+        Letters with marks after them, as most pieces are, are a word and a run of marks; other pieces take the file's own
+        pattern, after its special tokens.
+        """
+        core, word = piece.rstrip(MARKS), self.words.get
+        if core.isalpha() and (core.isascii() or (unicodedata.is_normalized("NFC", core) and "Σ" not in core)):
+            low = core.lower()
+            if low.isalpha():
+                return word(low) + word(piece[len(core) :]) if len(core) < len(piece) else word(low)
+        out: list[bytes] = []
+        for part in self.mark.split(piece) if "<|" in piece else [piece]:
+            if part in self.special:
+                out.append(array(self.code, [self.special[part]]).tobytes())
                 continue
-            plain = "".join(c.lower() for c in unicodedata.normalize("NFC", piece)) if not piece.isascii() else piece.lower()
-            for word in self.word.findall(plain):
-                ids = self.words.get(word)
-                if ids is None:
-                    if len(self.words) >= CACHE_WORDS:
-                        self.words.clear()
-                    ids = self.words[word] = self.merge(word)
-                out += ids
-        return tuple(out)
+            plain = "".join(c.lower() for c in unicodedata.normalize("NFC", part)) if not part.isascii() else part.lower()
+            out += map(word, self.word.findall(plain))
+        return b"".join(out)
+
+    def encode_bytes(self, text: str) -> bytes:
+        pieces = self.pieces(text)
+        found = list(map(self.chunks.young.get, pieces))
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            found[at] = self.chunks.get(pieces[at])
+        return b"".join(found)
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        cached = self.chunks
-        for piece in self.space.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split():
-            ids = cached.get(piece)
-            if ids is None:
-                if len(cached) >= CACHE_WORDS:
-                    cached.clear()
-                ids = cached[piece] = self.chunk(piece)
-            out += ids
-        return out
+        return memoryview(self.encode_bytes(text)).cast(self.code).tolist()
+
+    def pieces(self, text: str) -> list[str]:
+        """A text between white space; Python's own split takes four more characters for white space."""
+        return self.space.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary strings of the ids with a space between them, as a file without a decoder asks for."""
@@ -157,23 +194,28 @@ def decode(tokens: DataFrame, ids_col: str = "ids", tokenizer: str | None = None
     return tokens.withColumn("decoded", text(F.col(ids_col)))
 
 
-def digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Per document the number of ids and the SHA-256 of the ids, joined by a space, and of the decoded text.
+def digests(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Per document the number of ids and the SHA-256 of the ids, joined by a space, and of the decoded text; and, if
+    wanted, the ids.
 
-    Encoding and decoding run in one pass over the texts, so that ids don't cross to the JVM and back.
+    Encoding and decoding run in one pass over the texts, so that ids don't cross to the JVM and back, and an executor
+    holds one tokenizer for each core.
     """
     path = tokenizer or default_tokenizer()
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def task(batches):
         c = codec(path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            for ids, texts in rows_of(batch, ["id", "text"]):
+            for keys, texts in rows_of(batch, ["id", "text"]):
                 rows = []
                 for t in texts:
                     got = c.encode(t or "")
-                    rows.append((len(got), sha(" ".join(map(str, got))), sha(c.decode(got))))
-                n, a, b = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    rows.append((len(got), sha(" ".join(map(str, got))), sha(c.decode(got)), got if with_ids else None))
+                n, a, b, ids = zip(*rows)
+                cols = [pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(b)]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(task, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(task, schema)

@@ -11,7 +11,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Each text is split at line feeds, and each run of ``window`` consecutive lines is hashed to 128 bits. Of the
     occurrences of a run, the one with the smallest (identifier, line number) stays; the lines of the others are
-    covered, covered lines are merged into intervals, and the text is put together from the lines between them. Runs of
+    covered, covered lines are merged into intervals, and the text is put together from the lines between them. An
+    occurrence that overlaps the first one is a later one too, so of lines that repeat in turn one period stays. Runs of
     blank lines alone don't count. Texts with fewer lines than ``window`` have no run and stay as they are.
 
     Returns the rows and columns of ``docs`` with the new text and, after them, a struct ``line_dedup`` of ``n_lines``

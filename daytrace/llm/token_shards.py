@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_WORDS, Codec, byte_alphabet, default_tokenizer
+from .bpe import Codec, byte_alphabet, default_tokenizer
 from .common import new_folder, rows_of
 
 MAGIC = b"DTIX0001"
@@ -21,31 +21,18 @@ _ENCODERS: dict[str, LibraryEncoder] = {}
 
 
 class LibraryEncoder(Codec):
-    """Ids as little-endian bytes; new words are merged by the tokenizers library and then looked up."""
+    """A codec that lets the tokenizers library merge each new word."""
 
     def __init__(self, path: str):
-        super().__init__(path)
+        super().__init__(path, merges=False)
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path).model
         self.alphabet = dict(enumerate(byte_alphabet()))
-        self.code = "H" if max(self.strings) < 1 << 16 else "I"
-        self.pieces: dict[str, bytes] = {}
 
     def merge(self, word: str) -> list[int]:
         return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
 
-    def encode_bytes(self, text: str) -> bytes:
-        out, cached = [], self.pieces
-        for piece in self.space.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split():
-            got = cached.get(piece)
-            if got is None:
-                if len(cached) >= CACHE_WORDS:
-                    cached.clear()
-                got = cached[piece] = array(self.code, self.chunk(piece)).tobytes()
-            out.append(got)
-        return b"".join(out)
-
 
 def encoder(path: str) -> LibraryEncoder:
     if path not in _ENCODERS:
