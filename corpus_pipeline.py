@@ -17,19 +17,19 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score: float = 0.5) -> DataFrame:
     """Keep documents whose language is known with a posterior probability of ``min_score`` or more."""
     guess = langid.predictor(spark, langid.train(langid.training_rows(docs)))
-    kept = docs.withColumn("guess", guess("text")).filter((F.col("guess.lang_pred") != langid.UNKNOWN) & (F.col("guess.score") >= min_score))
+    kept = docs.select(*COLUMNS).withColumn("guess", guess("text")).filter((F.col("guess.lang_pred") != langid.UNKNOWN) & (F.col("guess.score") >= min_score))
     return kept.select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove later occurrences of repeated runs of three lines; every document stays."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest identifier of each group; of wholly repeated rows, one."""
     stays = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    kept = docs.select(*COLUMNS).join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
     copy = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang"))
     return kept.withColumn("copy", copy).filter("copy = 1").select(*COLUMNS)
 
@@ -41,9 +41,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and the digest of the text decoded from them."""
-    decoded = bpe.decode(bpe.encode(docs))
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Token ids of each text, and the digests of the ids and of the text decoded from them."""
+    return bpe.digests(docs, with_ids=True)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("simhash_near_dedup", simhash_near_dedup), ("mix_sources", mix), ("bpe_tokens", bpe_tokens)]
