@@ -73,6 +73,19 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut_ever
     return rank.crossJoin(F.broadcast(total)).select("id", (F.col("score") / F.col("total")).alias("score"))  # one row
 
 
+def pagerank_engine(edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
+    """K6: PageRank as graph engines give it: directed, weighted, from 1 - damping on, not divided by a sum."""
+    shares = cut_lineage(edges.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).select("src", "dst", "share"))
+    ids = cut_lineage(shares.select(F.col("src").alias("id")).union(shares.select("dst")).distinct())
+    rank = ids.withColumn("score", F.lit(1 - damping))
+    for k in range(rounds):
+        sums = shares.join(rank, shares.src == rank.id).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+        rank = ids.join(sums, ids.id == sums.dst, "left").select("id", (1 - damping + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
+        if (k + 1) % cut_every == 0:
+            rank = cut_lineage(rank)
+    return rank
+
+
 def eigenvector(edges: DataFrame, rounds: int = 20, cut_every: int = 5) -> DataFrame:
     """K5: power iteration with the norm taken in each round, in a fixed number of rounds."""
     shared = cut_lineage(edges.select("src", "dst", "weight"))
