@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import capped
-from ..session import cut_lineage
+from ..session import bounded, cut_lineage
 
 # Extensions of content that isn't ingested, corrections of names, relationship by entity type of an activity.
 BINARY = ["png", "jpg", "jpeg", "gif", "webp", "svg", "ico", "mp4", "mp3", "wav", "avi", "mov", "zip", "tar", "gz", "rar", "exe", "dmg", "iso", "woff", "woff2", "ttf", "bin"]
@@ -37,7 +37,7 @@ def role_readiness(skills: DataFrame, roles: DataFrame) -> DataFrame:
     """For each user and role (``role, required array``): share of the required skills that the user has, which are
     missing, and the best role."""
     own = skills.groupBy("user_id").agg(F.collect_set("skill").alias("own"))
-    x = own.crossJoin(F.broadcast(roles))  # a handful of roles
+    x = own.crossJoin(bounded(roles))
     have = F.size(F.array_intersect("own", "required"))
     y = x.withColumn("readiness", have / F.size("required")).withColumn("missing", F.array_sort(F.array_except("required", "own")))
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("readiness"), "role"))
@@ -58,7 +58,7 @@ def recommend_tools(used: DataFrame, k: int = 3) -> DataFrame:
     """For each user, the ``k`` tools (``user_id, app``) that users with most tools in common have and the user hasn't."""
     u = used.select("user_id", "app").distinct()
     n = u.groupBy("app").agg(F.count(F.lit(1)).alias("users"))
-    missing = u.select("user_id").distinct().crossJoin(F.broadcast(n)).join(u, ["user_id", "app"], "left_anti")  # applications of a fixed catalogue
+    missing = u.select("user_id").distinct().crossJoin(bounded(n)).join(u, ["user_id", "app"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("users"), "app"))
     return missing.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 

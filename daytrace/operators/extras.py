@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import bounded
 from .search import top_k
 
 
@@ -58,6 +59,6 @@ def learning_gaps(acts: DataFrame, skills: DataFrame, weak_hours: float = 1.0) -
     from .people import skill_hours
 
     have = skill_hours(acts, skills).select("user_id", "skill", "hours")
-    grid = acts.select("user_id").distinct().crossJoin(F.broadcast(skills.select("skill").distinct()))  # the dimension is a fixed list
+    grid = acts.select("user_id").distinct().crossJoin(bounded(skills.select("skill").distinct()))
     x = grid.join(have, ["user_id", "skill"], "left").filter(F.col("hours").isNull() | (F.col("hours") < weak_hours))
     return x.select("user_id", "skill", F.when(F.col("hours").isNull(), "missing").otherwise("weak").alias("gap"), F.when(F.col("hours").isNull(), 1).otherwise(2).cast("long").alias("priority"))

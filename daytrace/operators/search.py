@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
+from ..session import bounded
 from .components import connected_components
 
 
@@ -17,11 +18,10 @@ def tokens(text: Column) -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """L2: the ``k`` best documents of each query (``query_id, query``) with their score.
 
-    Only tokens of some query are exploded: the queries' distinct tokens, a list of bounded size that the caller gives, are
-    broadcast. Document lengths and the mean length are over all documents, the idf over those with the token.
+    Only tokens of some query go on: the queries' distinct tokens are broadcast up to 10,000, and joined beyond that. Document lengths and the mean length are over all documents, the idf over those with the token.
     """
     q = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term"))
-    vocabulary = F.broadcast(q.select("term").distinct())  # tokens of the caller's queries
+    vocabulary = bounded(q.select("term").distinct())
     d = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("ts")).withColumn("dl", F.size("ts"))
     totals = d.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     tf = d.select("id", "dl", F.explode("ts").alias("term")).join(vocabulary, "term").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -29,7 +29,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: f
     scored = tf.join(df, "term").crossJoin(F.broadcast(totals))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0))))
-    hits = scored.select("id", "term", part.alias("part")).join(F.broadcast(q), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    hits = scored.select("id", "term", part.alias("part")).join(bounded(q), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
     return top_k(hits, k)
 
 
@@ -42,9 +42,10 @@ def top_k(hits: DataFrame, k: int) -> DataFrame:
 def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.0) -> DataFrame:
     """L1: the ``k`` vectors (``id, vector``) nearest to each query (``query_id, query_vector``) by cosine.
 
-    A stated query set against all vectors, in one pass over them: the queries, which the caller bounds, are broadcast.
+    A stated query set against all vectors: up to 10,000 queries are broadcast and the vectors are read once; more are paired
+    with them partition by partition.
     """
-    pairs = vectors.select("id", "vector").crossJoin(F.broadcast(queries)).withColumn("score", cosine(F.col("vector"), F.col("query_vector")))
+    pairs = vectors.select("id", "vector").crossJoin(bounded(queries)).withColumn("score", cosine(F.col("vector"), F.col("query_vector")))
     return top_k(pairs.filter((F.col("score") >= threshold) & (F.col("id") != F.col("query_id"))).select("query_id", "id", "score"), k)
 
 

@@ -11,6 +11,7 @@ from ..operators import graph as G
 
 from ..operators import productivity as P
 from ..operators import sessions as S
+from ..session import bounded
 from ..sources.tables import ACTIVITIES, ENTITIES, LINKS, activities, entities, links, table
 from .graphs import BOTH, PAIRS, REC, RV, STRONG, strong
 from .productivity import ALL, KEY, TYPES, daily_metrics
@@ -161,13 +162,13 @@ def _k20(s, d):
 
 
 add("k20_validate_edges", _k20, "SELECT src, dst, CASE WHEN x.entity_type = y.entity_type THEN 'RELATED_TO' ELSE 'USES' END AS rel_type, (x.entity_type, y.entity_type) IN (('SMALL', 'LARGE'), ('LARGE', 'SMALL'), ('SMALL', 'SMALL')) AS valid FROM strong JOIN entities x ON src = x.id JOIN entities y ON dst = y.id", LINKS, ENTITIES, PAIRS, BOTH, STRONG)
-add("k29_similar_nodes", lambda s, d: _similar(s, d), "SELECT query_id, id, round(c, 6) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS c FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id) WHERE c >= 0.5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, id) <= 5")
+add("k29_similar_nodes", lambda s, d: _similar(s, d), "SELECT query_id, id, round(c, 6) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS c FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id) WHERE c >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, id) <= 5")
 
 
 def _similar(s, d):
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     q = v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
-    hits = v.crossJoin(F.broadcast(q)).filter("id <> query_id").withColumn("c", cosine(F.col("vector"), F.col("query_vector"))).filter("c >= 0.5")  # a stated query set against all vectors
+    hits = v.crossJoin(bounded(q)).filter("id <> query_id").withColumn("c", cosine(F.col("vector"), F.col("query_vector"))).filter("c >= 0.2")  # a stated query set against all vectors
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("c", 9)), "id"))
     return hits.withColumn("r", rank).filter("r <= 5").select("query_id", "id", F.round("c", 6).alias("score"))
 

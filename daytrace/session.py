@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(name: str = "daytrace", **conf: str) -> SparkSession:
@@ -34,3 +35,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bounded(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, else as it is, so that the join deals out both sides.
+
+    The count stops at the bound.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
