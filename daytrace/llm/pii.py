@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import rows_of
 
 ROUNDS = 8
-KINDS = ["email", "secret", "iban", "card", "phone", "ssn", "ipv4", "date"]
+KINDS = ["email", "secret", "credential", "iban", "card", "phone", "ssn", "ipv4", "date"]
 
 
 def permute(value: int, size: int, key: bytes, tweak: str) -> int:
@@ -146,9 +146,17 @@ def _secret(text: str, key: bytes) -> str:
     return fixed + _by_class(body, classes, key, "secret:" + fixed)
 
 
+def _credential(text: str, key: bytes) -> str:
+    start = re.match(r"[A-Za-z_-]+[\"']?\s*[=:]\s*[\"']?", text).end()
+    body = text[start:]
+    classes = [DIGITS + "abcdef"] if re.fullmatch(r"[0-9a-f]+", body) else [DIGITS, SMALL, LARGE]
+    return text[:start] + _by_class(body, classes, key, "credential")
+
+
 FORMATS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
     "email": (r"(?<![\w.+%-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])", _email),
     "secret": (r"(?<!\w)(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|xox[a-z]-[A-Za-z0-9-]{10,}|(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,})(?!\w)", _secret),
+    "credential": (r"(?<!\w)(?i:password|passwd|pwd|passphrase|secret|api[_-]?key|access[_-]?key|auth[_-]?token|token)[\"']?\s*[=:]\s*[\"']?[^\s\"',;<>]{8,}(?<=[A-Za-z0-9])", _credential),
     "iban": (r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", _iban),
     "card": (r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])", _card),
     "phone": (r"(?<![\w.])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\w-])", _phone),
@@ -158,7 +166,7 @@ FORMATS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
 }
 _ONE = {k: re.compile(FORMATS[k][0]) for k in KINDS}
 _ANY = re.compile("|".join(f"(?P<{k}>{FORMATS[k][0]})" for k in KINDS))
-_HINT = re.compile(r"[0-9@]|sk-|gh[pousr]_")
+_HINT = re.compile(r"[0-9@=]|sk-|gh[pousr]_|(?i:pass|pwd|secret|token|key)")
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int], list[tuple[int, int, str]]]:
@@ -191,8 +199,8 @@ def pseudonyms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Replace personal data in each whole text: ``doc_id, text, n_found, kinds`` (map of counts) and ``spans``.
 
     Card numbers (Luhn), IBANs (modulo 97), phone numbers, social security numbers, IPv4 addresses and calendar dates
-    count only if they are valid, and so are their pseudonyms; of addresses the name, and of keys and hexadecimal tokens
-    the random part, is permuted within its classes of characters. A value has the same pseudonym in every document
+    count only if they are valid, and so are their pseudonyms; of addresses the name, of keys and hexadecimal tokens
+    the random part, and of ``password=...`` and the like the value, is permuted within its classes of characters. A value has the same pseudonym in every document
     under the same ``key``, and different values of a format have different ones. Spans are positions in the old text.
 
     One row per input row, without a shuffle. A null text stays null, with no finds; other columns are not looked at.
