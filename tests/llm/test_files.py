@@ -127,6 +127,51 @@ def test_mix_of_odd_rows(odd, none):
         mixing.mix_sources(odd, max_sources=2)
 
 
+def prefixes_stay_close(weights, blocks):
+    """Every prefix, until a source is used up, against the true weights; all blocks once, in order."""
+    plan = mixing.phases(blocks, weights)
+    rows = [r for p in plan for start in range(0, p["last"] + 1, p["chunk"]) for r in mixing.chunk_rows(p, start)]
+    exact = mixing.whole(weights)
+    total, seen, whole = sum(exact.values()), Counter(), True
+    assert [r[2] for r in rows] == list(range(sum(blocks.values())))
+    for s, j, slot in rows:
+        assert j == seen[s]
+        seen[s] += 1
+        assert not whole or all(abs(seen[x] * total - (slot + 1) * w) < total for x, w in exact.items())
+        whole = whole and seen[s] < blocks[s]
+    assert seen == blocks
+
+
+@pytest.mark.parametrize("chunk", [1, 64, 8192])
+def test_prefixes_against_exact_weights(monkeypatch, chunk):
+    monkeypatch.setattr(mixing, "CHUNK", chunk)
+    prefixes_stay_close({"a": 0.9, "b": 0.099, "c": 0.001}, {"a": 2800, "b": 310, "c": 4})
+    prefixes_stay_close({"big": 100, **{f"s{i}": 1 for i in range(99)}}, {"big": 300, **{f"s{i}": 5 for i in range(99)}})
+    prefixes_stay_close({f"s{i}": 1 + i**0.5 for i in range(300)}, {f"s{i}": 2 + int(i**0.5) for i in range(300)})
+    rng = random.Random(chunk)
+    for _ in range(20):
+        weights = {f"s{i}": rng.random() ** 4 + 1e-4 for i in range(rng.randint(1, 20))}
+        prefixes_stay_close(weights, {s: 1 + int(rng.uniform(20, 60) * w) for s, w in weights.items()})
+
+
+def test_mix_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    docs = spark.range(9000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'big' ELSE 's' || id % 300 END AS source")
+    n = {r.source: r.n for r in docs.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    weights = {s: 150 if s == "big" else 1 for s in n}
+    rows = sorted((r.mix_order, r.mix_source, r.mix_block, r.mix_slot) for r in mixing.mix_sources(docs, weights, block_docs=2).drop("row").select("mix_order", "mix_source", "mix_block", "mix_slot").collect())
+    assert len(rows) == 9000 and len({r[0] for r in rows}) == 9000 and len({(r[1], r[2]) for r in rows}) == sum(-(-k // 2) for k in n.values())
+    first = {r[3]: r[1] for r in rows}
+    assert sorted(first) == list(range(len(first)))
+    assert abs(sum(first[i] == "big" for i in range(700)) - 700 * 150 / sum(weights.values())) < 1
+
+
+def test_weight_of_zero_comes_last(spark):
+    docs = spark.range(40).selectExpr("id AS doc_id", "IF(id < 20, 'a', 'b') AS source")
+    rows = mixing.mix_sources(docs, {"a": 0, "b": 1}, block_docs=2).collect()
+    assert max(r.mix_slot for r in rows if r.mix_source == "b") < min(r.mix_slot for r in rows if r.mix_source == "a") and len(rows) == 40
+
+
 def test_pipeline_against_brute_force(spark, sf, docs, library):
     stages = dict(corpus_pipeline.STAGES)
     rows = {r.doc_id: r for r in docs.collect()}
