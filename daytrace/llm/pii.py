@@ -81,15 +81,30 @@ def _iban(text: str, key: bytes) -> str | None:
     return "".join(c if c == " " else next(new) for c in text)
 
 
+#: ITU country codes of one and two digits; the others have three.
+SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def _phone(text: str, key: bytes) -> str | None:
+    """North American numbers are permuted among the valid ones, among those whose area starts with 0 or 1, or among those
+    whose exchange does; of others the digits after the country code. Without a sign of a telephone (+, parentheses, or a
+    1 that stands apart), an area that starts with 0 or 1 is refused."""
     digits = re.sub(r"\D", "", text)
     lead, d = digits[:-10], digits[-10:]
-    if len(d) != 10 or d[0] in "01" or d[3] in "01" or lead not in ("", "1"):
-        return None
-    value = ((int(d[:3]) - 200) * 800 + int(d[3:6]) - 200) * 10000 + int(d[6:])
-    value = permute(value, 800 * 800 * 10000, key, "phone")
-    area, rest = divmod(value, 800 * 10000)
-    return _refill(text, f"{lead}{area + 200}{rest // 10000 + 200}{rest % 10000:04d}")
+    if text[0] == "+" and not (lead == "1" and len(d) == 10):
+        if not 8 <= len(digits) <= 15:
+            return None
+        code = next((digits[:n] for n in (1, 2) if digits[:n] in SHORT_CODES), digits[:3])
+        return _refill(text, code + _by_class(digits[len(code) :], [DIGITS], key, f"phone:+{code}"))
+    if d[0] in "01":
+        if re.match(r"\d{2}", text):
+            return None
+        return _refill(text, f"{lead}{permute(int(d), 2 * 10**9, key, 'phone:area'):010d}")
+    least, size, tweak = (0, 200, "phone:exchange") if d[3] in "01" else (200, 800, "phone")
+    value = ((int(d[:3]) - 200) * size + int(d[3:6]) - least) * 10000 + int(d[6:])
+    value = permute(value, 800 * size * 10000, key, tweak)
+    area, rest = divmod(value, size * 10000)
+    return _refill(text, f"{lead}{area + 200}{rest // 10000 + least:03d}{rest % 10000:04d}")
 
 
 def _ssn(text: str, key: bytes) -> str | None:
@@ -158,21 +173,36 @@ FORMATS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
     "secret": (r"(?<!\w)(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|xox[a-z]-[A-Za-z0-9-]{10,}|(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,})(?!\w)", _secret),
     "credential": (r"(?<!\w)(?i:password|passwd|pwd|passphrase|secret|api[_-]?key|access[_-]?key|auth[_-]?token|token)[\"']?\s*[=:]\s*[\"']?[^\s\"',;<>]{8,}(?<=[A-Za-z0-9])", _credential),
     "iban": (r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", _iban),
-    "card": (r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])", _card),
-    "phone": (r"(?<![\w.])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\w-])", _phone),
+    "card": (r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w|-[A-Za-z_])", _card),
+    "phone": (r"(?<![\w.])(?:(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+[1-9]\d{0,2}(?:[ .-]?\(\d{1,4}\))?(?:[ ./-]?\d){4,14})(?![\w-])", _phone),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
     "ipv4": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", _ipv4),
-    "date": (r"(?<![\w./-])(?:\d{4}(?P<ymd>[-/.])\d{2}(?P=ymd)\d{2}|\d{2}(?P<dmy>[-/.])\d{2}(?P=dmy)\d{4})(?![\w/-]|\.\d)", _date),
+    "date": (r"(?<![\w./-])(?:\d{4}(?P<ymd>[-/.])\d{2}(?P=ymd)\d{2}|\d{2}(?P<dmy>[-/.])\d{2}(?P=dmy)\d{4})(?:(?=[Tt]\d\d)|(?![\w/-]|\.\d))", _date),
 }
 _ONE = {k: re.compile(FORMATS[k][0]) for k in KINDS}
 _ANY = re.compile("|".join(f"(?P<{k}>{FORMATS[k][0]})" for k in KINDS))
+#: Kinds whose match may reach into words or numbers that follow, with the marks at which it is cut.
+_CUTS = {"card": re.compile("[ -]"), "iban": re.compile(" "), "phone": re.compile(r"[ ./-]")}
 _HINT = re.compile(r"[0-9@=]|sk-|gh[pousr]_|(?i:pass|pwd|secret|token|key)")
 
 
+def _checked(kind: str, text: str, key: bytes) -> tuple[str, str] | None:
+    """The longest valid value at the start of a match, and its pseudonym; ends are tried where a group of characters ends."""
+    new = FORMATS[kind][1](text, key)
+    if new is not None:
+        return text, new
+    for cut in reversed(list(_CUTS[kind].finditer(text)) if kind in _CUTS else []):
+        part = text[: cut.start()]
+        if _ONE[kind].fullmatch(part) and (new := FORMATS[kind][1](part, key)) is not None:
+            return part, new
+    return None
+
+
 def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int], list[tuple[int, int, str]]]:
     """The new text, how many values of each kind it had, and (start, end, kind) of each in the old text.
 
-    A match that its kind's check refuses is tried again from its second character, so that it hides no other value.
+    A match that its kind's check refuses is tried with the shorter ends at its groups of characters, then again from its
+    second character, so that it hides no other value.
     """
     counts: dict[str, int] = {}
     spans: list[tuple[int, int, str]] = []
@@ -180,25 +210,25 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int], list[tuple
         return text, counts, spans
     out, at, copied = [], 0, 0
     while m := _ANY.search(text, at):
-        new = None
+        found = None
         for kind in KINDS[KINDS.index(m.lastgroup) :]:
             one = m if m[kind] is not None else _ONE[kind].match(text, m.start())
-            if one and (new := FORMATS[kind][1](one[0], key)) is not None:
+            if one and (found := _checked(kind, one[0], key)):
                 break
-        if new is None:
+        if not found:
             at = m.start() + 1
             continue
-        out += [text[copied : m.start()], new]
-        copied = at = one.end()
+        out += [text[copied : m.start()], found[1]]
+        copied = at = m.start() + len(found[0])
         counts[kind] = counts.get(kind, 0) + 1
-        spans.append((one.start(), one.end(), kind))
+        spans.append((m.start(), at, kind))
     return ("".join([*out, text[copied:]]) if out else text), counts, spans
 
 
 def pseudonyms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = b"daytrace") -> DataFrame:
     """Replace personal data in each whole text: ``doc_id, text, n_found, kinds`` (map of counts) and ``spans``.
 
-    Card numbers (Luhn), IBANs (modulo 97), phone numbers, social security numbers, IPv4 addresses and calendar dates
+    Card numbers (Luhn), IBANs (modulo 97), phone numbers (North American ones, and any with + and a country code), social security numbers, IPv4 addresses and calendar dates
     count only if they are valid, and so are their pseudonyms; of addresses the name, of keys and hexadecimal tokens
     the random part, and of ``password=...`` and the like the value, is permuted within its classes of characters. A value has the same pseudonym in every document
     under the same ``key``, and different values of a format have different ones. Spans are positions in the old text.

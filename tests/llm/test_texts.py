@@ -41,6 +41,26 @@ def test_invalid_values_stay(text):
     assert pii.pseudonymise(f"x {text} y", KEY) == (f"x {text} y", {}, [])
 
 
+@pytest.mark.parametrize("value,rest,kind", [
+    ("4111 1111 1111 1111", " 12/26", "card"), ("4111 1111 1111 1111", " 123", "card"), ("4111-1111-1111-1111", "-12345", "card"), ("BE68 5390 0754 7034", " BIC", "iban"), ("BE68539007547034", " EUR", "iban"),
+    ("BE68 5390 0754 7034", " PAID TODAY", "iban"), ("+1 (017) 555-7713", ", ext", "phone"), ("(112) 555-1234", "", "phone"), ("1-017-555-7713", ".", "phone"), ("212-155-1234", "", "phone"), ("+1 2125551234", "", "phone"),
+    ("+44 20 7946 0958", " or", "phone"), ("+49 (30) 901820", "", "phone"), ("+33 1 23 45 67 89", "", "phone"), ("+380441234567", "", "phone"), ("2024-01-02", "T10:00", "date"), ("2024-01-02", "T10:00:00Z", "date"),
+])
+def test_values_before_other_text(value, rest, kind):
+    new, counts, spans = pii.pseudonymise(f"x {value}{rest}", KEY)
+    assert counts == {kind: 1} and spans == [(2, 2 + len(value), kind)] and new.endswith(rest)
+    short = new[2 : len(new) - len(rest)]
+    assert short != value and [c if not c.isalnum() else "" for c in short] == [c if not c.isalnum() else "" for c in value]
+    assert pii.pseudonymise(f"x {short}{rest}", KEY)[1] == {kind: 1} and pii.pseudonymise(value, KEY)[0] == short
+    if value[0] == "+":
+        assert short.split()[0][:3] == value.split()[0][:3]
+
+
+def test_pseudonyms_are_one_to_one_on_phones():
+    values = [f"+1 ({a}) {b}-{c}" for a in ("012", "199", "212", "999") for b in ("000", "155", "555") for c in range(1000, 1100)]
+    assert len({pii.pseudonymise(x, KEY)[0] for x in values}) == len(values)
+
+
 def test_pseudonyms_are_one_to_one_on_dates():
     days = [f"20{y:02d}-{m:02d}-{d:02d}" for y in range(20) for m in range(1, 13) for d in range(1, 29)]
     assert len({pii.pseudonymise(x, KEY)[0] for x in days}) == len(days)
