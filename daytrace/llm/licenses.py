@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
+from itertools import groupby
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +23,13 @@ TEMPLATES = {
     "GPL-2.0:notice": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0:notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0:header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "GPL-2.0:header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-2.1:header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "LGPL-3.0:header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-3.0:header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "MPL-2.0:header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "CC-BY-4.0:notice": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0:notice": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0:notice": "Licensed under CC BY-NC 4.0.",
@@ -30,69 +37,79 @@ TEMPLATES = {
 }
 
 _WORDS = bytes((b + 32 if chr(b) in UPPER else b) if chr(b).isalnum() and b < 128 else 32 for b in range(256))
-_BLANK = re.compile(rb"\n[ \t\r]*\n")
 
 
-def bigrams(text: bytes) -> frozenset[tuple[bytes, bytes]]:
+def pairs(text: bytes) -> list[tuple[bytes, bytes]]:
     """Pairs of neighbouring words; words are runs of ASCII letters and digits, in lower case."""
     words = text.translate(_WORDS).split()
-    return frozenset(zip(words, words[1:]))
+    return list(zip(words, words[1:]))
 
 
 class Matcher:
     def __init__(self, templates: Mapping[str, str], threshold: float):
         self.threshold = threshold
-        self.templates = {k: g for k, v in templates.items() if (g := bigrams(v.encode()))}
+        texts = {k: p for k, v in templates.items() if (p := pairs(v.encode()))}
+        self.templates = {k: frozenset(p) for k, p in texts.items()}
         self.known = frozenset().union(*self.templates.values()) if self.templates else frozenset()
-        # Dice is at least t only if the sizes are within a factor of (2 - t) / t
+        # Dice is at least t only if a part has t / (2 - t) of the template's bigrams, and the sizes are within that factor
         r = (2 - threshold) / threshold
-        self.bounds = {k: (len(g) / r, len(g) * r) for k, g in self.templates.items()}
-        self.most = max((b for _, b in self.bounds.values()), default=0)
-
-    def unit(self, text: bytes) -> dict[str, float]:
-        """Dice coefficient of a unit of text with the template that is nearest to it, if it reaches the threshold; with
-        each of several equally near ones."""
-        own = bigrams(text)
-        out = {}
-        if own and len(own) <= self.most and not own.isdisjoint(self.known):
-            for k, (low, high) in self.bounds.items():
-                if low <= len(own) <= high:
-                    score = 2 * len(own & self.templates[k]) / (len(own) + len(self.templates[k]))
-                    if score >= self.threshold:
-                        out[k] = score
-        nearest = max(out.values(), default=0.0)
-        return {k: v for k, v in out.items() if v == nearest}
+        self.need = {k: max(1, ceil(len(g) / r - 1e-9)) for k, g in self.templates.items()}
+        self.most = {k: int(len(p) * r + 1e-9) for k, p in texts.items()}
+        self.least = min(self.need.values(), default=1)
+
+    def windows(self, own: list[tuple[bytes, bytes]], k: str) -> list[tuple[int, float, int, int, str]]:
+        """(common bigrams, Dice, first, last, template) of the best windows that don't overlap. A window starts and ends
+        at a bigram of the template, as it's nearer to it without other ends."""
+        g, need, most = self.templates[k], self.need[k], self.most[k]
+        at = [i for i, p in enumerate(own) if p in g]
+        found = []
+        for first, later in zip(at, at[need - 1 :]):
+            if later - first >= most:
+                continue
+            seen, common, best = set(), 0, (0.0, 0, 0)
+            for last in range(first, min(first + most, len(own))):
+                p = own[last]
+                if p not in seen:
+                    seen.add(p)
+                    if p in g:
+                        common += 1
+                        best = max(best, (2 * common / (len(seen) + len(g)), common, last))
+            if best[0] >= self.threshold:
+                found.append((best[0], best[1], -first, best[2]))
+        out, taken = [], bytearray(len(own))
+        for score, common, first, last in sorted(found, reverse=True):
+            if taken.find(1, -first, last + 1) < 0:
+                taken[-first : last + 1] = b"\1" * (last + 1 + first)
+                out.append((common, score, -first, last, k))
+        return out
 
     def document(self, text: bytes) -> dict[str, float]:
-        """Best score of each template over the lines, the paragraphs, runs of paragraphs and the whole of a text."""
-        words = text.translate(_WORDS).split()
-        if not any(b in self.known for b in zip(words, words[1:])):
+        """Best score of each template over the windows of a text. Of windows that overlap, the one with the most bigrams
+        in common with its template stays, then the nearest; equal ones all stay."""
+        own = pairs(text)
+        common = self.known.intersection(own)
+        if len(common) < self.least:
             return {}
+        found = [w for k, g in self.templates.items() if len(common & g) >= self.need[k] for w in self.windows(own, k)]
         best: dict[str, float] = {}
-        paragraphs = [p for p in _BLANK.split(text) if p.strip()]
-        sizes = [len(bigrams(p)) for p in paragraphs]
-        units = {text, *text.split(b"\n"), *paragraphs}
-        for i in range(len(paragraphs)):
-            total = sizes[i]
-            for j in range(i + 1, len(paragraphs)):
-                total = max(total, sizes[j])
-                if total > self.most or j - i > 64:
-                    break
-                units.add(b"\n".join(paragraphs[i : j + 1]))
-        for u in units:
-            for k, score in self.unit(u).items():
-                best[k] = max(score, best.get(k, 0.0))
+        taken = bytearray(len(own))
+        for (_, score, first, last), equal in groupby(sorted(found, reverse=True), key=lambda w: w[:4]):
+            if taken.find(1, first, last + 1) < 0:
+                taken[first : last + 1] = b"\1" * (last + 1 - first)
+                for *_, k in equal:
+                    best[k] = max(score, best.get(k, 0.0))
         return best
 
 
 def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """``doc_id, template, license, dice``: one row for each document and template that a part of its text matches.
 
-    Text is normalised to lower-case ASCII words. Its lines, paragraphs and the whole text are compared with the
-    templates by the Dice coefficient over sets of word bigrams. A part's number of bigrams bounds its coefficient, so
-    only templates of like size are compared. A part counts for its nearest template, so a notice of one version isn't one
-    of another. The score is the best over the parts. ``license`` is the template's name
-    up to a colon.
+    Text is normalised to lower-case ASCII words, whatever lines, paragraphs and comment marks it has. Windows of it are
+    compared with the templates by the Dice coefficient over sets of word bigrams: every window whose length is at most
+    (2 - t) / t of the template's. A text is only looked through for templates of which it has t / (2 - t) of the bigrams,
+    as no part of another reaches the threshold t. Where windows overlap, the text counts for the template with which it
+    has the most in common, so a notice of one version isn't one of another, nor a part of a licence another licence. The
+    score is the best over the windows. ``license`` is the template's name up to a colon.
 
     Null and empty texts, and parts of one word, match nothing. Repeated rows give repeated results. No shuffle; other
     columns are not looked at. Memory is bounded by the longest text.

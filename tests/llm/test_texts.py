@@ -102,6 +102,20 @@ def test_license_text_across_paragraphs():
     assert m.document(b"nothing to see") == {} and Matcher({}, 0.8).document(b"a b c") == {}
 
 
+def test_license_within_other_text():
+    m = Matcher(TEMPLATES, 0.8)
+    assert m.document(b"Foo. Licensed under CC BY 4.0. More words come after it, and more of them until the line ends.") == {"CC-BY-4.0:notice": 1.0}
+    for name, text in TEMPLATES.items():
+        words = text.split()
+        wrapped = "\n".join(f" * {' '.join(words[i : i + 9])}" for i in range(0, len(words), 9))
+        code = f"/* file.c, some words about this file\n{wrapped}\n */\nint main(void) {{ return some_function(1, 2, 3); }}\n"
+        assert m.document((code + "x = y + z;\n" * 40).encode()) == {name: 1.0}, name
+    many = "\n\n".join(["One more paragraph."] * 100 + TEMPLATES["MIT"].split(" ") + ["The end."] * 100)
+    assert m.document(many.encode()) == {"MIT": 1.0}
+    both = f"{TEMPLATES['BSD-3-Clause']} And then some other words. {TEMPLATES['BSD-2-Clause']}"
+    assert m.document(both.encode()) == {"BSD-3-Clause": 1.0, "BSD-2-Clause": 1.0}
+
+
 def test_licenses_of_odd_rows(odd, none):
     assert license_matches(odd).count() == 0 and license_matches(none).count() == 0
 
