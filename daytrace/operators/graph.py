@@ -6,6 +6,7 @@ Edges are ``src, dst, weight``. Undirected graphs have each edge in both directi
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -197,20 +198,31 @@ def closeness(edges: DataFrame, sources: DataFrame, depth: int = 10) -> DataFram
     return d.groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("reached"), (F.count(F.lit(1)) / F.sum("depth")).alias("closeness"))
 
 
-def betweenness(edges: DataFrame, pivots: DataFrame, depth: int = 10) -> DataFrame:
+def betweenness(edges: DataFrame, pivots: DataFrame, depth: int | None = None, block: int = 4096) -> DataFrame:
     """K3: shortest-path betweenness, summed over the given pivots as sources (all vertices: exact).
 
-    Level by level for all pivots at once: path counts on the way out, dependencies on the way back.
+    Level by level for all pivots of a block at once, until none is left or to ``depth``: path counts on the way out,
+    dependencies on the way back. The sums of each block, of about ``block`` pivots, are written before the next one.
     """
     e = cut_lineage(edges.select("src", "dst").distinct())
+    starts = cut_lineage(pivots.select("id").distinct())
+    blocks = max(1, -(-starts.count() // block))
+    sums = [cut_lineage(_dependencies(e, starts.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n), depth)) for n in range(blocks)]
+    return reduce(DataFrame.union, sums).groupBy("id").agg(F.sum("dep").alias("betweenness"))
+
+
+def _dependencies(e: DataFrame, pivots: DataFrame, depth: int | None) -> DataFrame:
+    """``id, dep``: the part of the pivots' shortest paths that runs through each vertex."""
     level = cut_lineage(pivots.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths"), F.lit(0).alias("d")))
-    seen, levels = level, [level]
-    for k in range(1, depth + 1):
+    levels = [level]
+    while depth is None or len(levels) <= depth:
         step = level.join(e, level.v == e.src).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
-        level = cut_lineage(step.join(seen.select("s", "v"), ["s", "v"], "left_anti").withColumn("d", F.lit(k)))
+        # edges may go one way only, so all levels before count, not just the last two
+        seen = reduce(DataFrame.union, [x.select("s", "v") for x in levels])
+        level = cut_lineage(step.join(seen, ["s", "v"], "left_anti").withColumn("d", F.lit(len(levels))))
         if level.isEmpty():
             break
-        seen, levels = seen.union(level), [*levels, level]
+        levels.append(level)
     below = levels[-1].withColumn("dep", F.lit(0.0))
     out = below
     for level in reversed(levels[:-1]):
@@ -218,7 +230,7 @@ def betweenness(edges: DataFrame, pivots: DataFrame, depth: int = 10) -> DataFra
         dep = part.groupBy("s", "v").agg(F.sum(F.col("paths") / F.col("p2") * (1 + F.col("dep"))).alias("dep"))
         below = cut_lineage(level.join(dep, ["s", "v"], "left").fillna(0.0, ["dep"]))
         out = out.union(below.select(out.columns))
-    return out.filter("s <> v").groupBy(F.col("v").alias("id")).agg(F.sum("dep").alias("betweenness"))
+    return out.filter("s <> v").groupBy(F.col("v").alias("id")).agg(F.sum("dep").alias("dep"))
 
 
 def link_prediction(edges: DataFrame, least: float = 0.0, k: int = 5) -> DataFrame:

@@ -1,5 +1,6 @@
 """Cases with known results: sessions, switches, meetings, breaks, scores."""
 
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,6 +10,8 @@ from daytrace.operators import graph as G
 from daytrace.operators import productivity as P
 from daytrace.operators import search as S
 from daytrace.operators import sessions as E
+from daytrace.plans import catalog, graphs
+from daytrace.sources.tables import entities
 
 T0 = datetime(2026, 2, 9, 9)
 SCHEMA = "id long, user_id long, occurred_at timestamp, type string, app string, domain string, title string, duration_seconds int, data string"
@@ -96,6 +99,45 @@ def test_graph_shapes(spark):
     assert [r.path for r in got] == [[1, 2, 3], [1, 5, 4, 3]]
 
 
+def test_betweenness_of_long_paths(spark):
+    path = G.both_ways(edges(spark, [(i, i + 1) for i in range(1, 7)]))
+    want = {i: 2.0 * (i - 1) * (7 - i) for i in range(1, 8)}
+    assert {r.id: r.betweenness for r in G.betweenness(path, path.select(F.col("src").alias("id")), block=5).collect()} == want
+
+
+def slow_betweenness(near):
+    """Brandes, one source at a time."""
+    out = dict.fromkeys(near, 0.0)
+    for s in near:
+        dist, paths, order = {s: 0}, Counter({s: 1}), [s]
+        for v in order:
+            for w in near[v]:
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    paths[w] += paths[v]
+        dep = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            dep[v] = sum(paths[v] / paths[w] * (1 + dep[w]) for w in near[v] if dist[w] == dist[v] + 1)
+            out[v] += dep[v] if v != s else 0
+    return out
+
+
+def test_betweenness_query_covers_all_vertices(spark, sf):
+    near = {}
+    for r in graphs.strong(spark, sf).collect():
+        near.setdefault(r.src, set()).add(r.dst)
+    got = {r.id: r.betweenness for r in catalog.QUERIES["k3_betweenness"](spark, sf).collect()}
+    assert got == pytest.approx(slow_betweenness(near), abs=1e-5)
+
+
+def test_merge_candidates_cover_all_users(spark, sf):
+    users = {r.id: r.user_id for r in entities(spark, sf).select("id", "user_id").collect()}
+    pairs = catalog.QUERIES["m3_candidates_for_entity"](spark, sf).collect()
+    assert {users[r.a] for r in pairs} - set(range(10)) and all(users[r.a] == users[r.b] for r in pairs)
+
+
 def test_two_cliques(spark):
     cliques = [(a, b) for base in (0, 10) for a in range(base, base + 4) for b in range(a + 1, base + 4)]
     labels = {r.id: r.label for r in G.label_propagation(edges(spark, [*cliques, (3, 10)])).collect()}
