@@ -18,9 +18,12 @@ def session(name: str = "daytrace", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``, or a new local one where it is unset (tests)."""
+    """The folder that every executor sees: ``spark.checkpoint.dir``. Only a local master may leave it unset (tests); then
+    it's a new folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="daytrace-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
