@@ -160,6 +160,65 @@ def test_language_held_out_accuracy(spark):
     assert len(x) > 200 and (x.lang_pred == x.lang).mean() > 0.97 and x.score.between(0, 1).all()
 
 
+def slow_grams(text):
+    """The 1- to 3-grams of a text, counted one at a time."""
+    out, letters = [], " "
+    for c in text.lower():
+        if c.isalpha():
+            letters += c
+        elif letters[-1] != " ":
+            letters += " "
+    letters = letters if letters[-1] == " " else letters + " "
+    for i in range(len(letters) - 2):
+        for n in (1, 2, 3):
+            code = sum(ord(c) << 21 * j for j, c in enumerate(letters[i : i + n])) + n
+            out.append((code & (1 << 64) - 1) * 0x9E3779B97F4A7C15 % 2**64 >> 49)
+    return out
+
+
+def test_language_against_slow_naive_bayes(spark):
+    import zlib
+    from collections import Counter
+    from math import exp, log
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    grams, seen = {}, Counter()
+    for r in rows:
+        if r.lang and r.text and zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and any(c.isalpha() for c in r.text):
+            grams.setdefault(r.lang, Counter()).update(slow_grams(r.text))
+            seen[r.lang] += 1
+    weight = {k: (log(n / seen.total()), sum(grams[k].values()) + 0.1 * 2**15) for k, n in seen.items()}
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    assert len(got) == len(rows) and len(seen) > 2
+    for r in rows:
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+            continue
+        own = Counter(slow_grams(r.text))
+        total = {k: p + sum(c * log((grams[k][g] + 0.1) / n) for g, c in own.items()) for k, (p, n) in weight.items()}
+        best = max(total.values())
+        assert total[got[r.doc_id].lang_pred] > best - 1e-6
+        assert got[r.doc_id].score == pytest.approx(1 / sum(exp(v - best) for v in total.values()), abs=1e-6)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_prior_decides_between_equal_texts(spark):
+    rows = [(i, "same words", "aa" if i % 4 else "bb") for i in range(400)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).select("lang_pred").distinct().collect()
+    assert [r.lang_pred for r in got] == ["aa"]
+
+
+def test_training_share_at_any_size(spark):
+    assert langid.share_bound(30_000, 30_000) is None
+    for n in (40_000, 10**9, 10**11, 10**13):
+        assert langid.share_bound(n, 30_000) / 2**63 == pytest.approx(30_000 / n, rel=1e-9)
+    rows = spark.range(5000).selectExpr("id AS doc_id", "'text ' || id AS text", "'en' AS lang")
+    assert 350 < langid.training_rows(rows, 500).count() < 650
+    many = spark.range(2000).selectExpr("id AS doc_id", "'text' AS text", "'l' || id % 700 AS lang")
+    assert len(langid.train(many, max_labels=20)[0]) == 20
+
+
 def test_language_of_odd_rows(odd, none):
     got = {r.doc_id: r for r in langid.identify(odd).collect()}
     assert all(got[k].lang_pred == "und" and got[k].score == 0 for k in (2, 3, 7, 8, 9))
