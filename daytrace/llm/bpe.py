@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import unicodedata
 from array import array
 
 import pyarrow as pa
@@ -56,23 +55,31 @@ class Cache:
 
 
 class Codec:
-    """Encoder and decoder for a byte-level BPE file with word ends, lower case and white space dropped."""
+    """Encoder and decoder for a byte-level BPE file with word ends, lower case and white space dropped.
+
+    How text is normalised and split into words is the file's own: the library reads that part of it.
+    """
 
     def __init__(self, path: str, merges: bool = True):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, alphabet = spec["model"], byte_alphabet()
         vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
+        self.library = Tokenizer.from_file(path)
+        self.normalise, self.split = self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str
         self.code = "H" if max(vocab.values()) < 1 << 16 else "I"
         self.merges = self.merge_table(model) if merges else {}
-        self.inner = [vocab[c] for c in alphabet]
-        self.final = [vocab[c + end] for c in alphabet]
+        self.inner = {c: vocab[c] for c in alphabet}
+        self.final = {c: vocab[c + end] for c in alphabet}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
-        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.word = regex.compile(split["pattern"]["Regex"])
         self.mark = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.space = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+        # of what Python's split takes for white space, what the file drops between two words too
+        blank = [c for c in map(chr, range(0x3001)) if c.isspace()]
+        self.other = [c for c in blank if [w for w, _ in self.split(self.normalise(f"a{c}a"))] != ["a", "a"]]
+        self.space = regex.compile("[" + "".join(map(regex.escape, sorted({*blank} - {*self.other}))) + "]+")
         self.words = Cache(lambda word: array(self.code, self.merge(word)).tobytes(), CACHE_WORDS)
         self.chunks = Cache(self.chunk, CACHE_PIECES)
 
@@ -86,12 +93,11 @@ class Codec:
         return out
 
     def merge(self, word: str) -> list[int]:
-        """Ids of one word. Merge candidates wait in a heap by rank; symbols form a doubly linked list; an entry whose
-        symbols have changed since it was pushed is stale and skipped."""
-        data = word.encode()
-        n = len(data)
-        sym = [self.inner[b] for b in data]
-        sym[-1] = self.final[data[-1]]
+        """Ids of one word in the byte alphabet. Merge candidates wait in a heap by rank; symbols form a doubly linked
+        list; an entry whose symbols have changed since it was pushed is stale and skipped."""
+        n = len(word)
+        sym = [self.inner[c] for c in word]
+        sym[-1] = self.final[word[-1]]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         find = self.merges.get
         heap = []
@@ -118,21 +124,18 @@ class Codec:
     def chunk(self, piece: str) -> bytes:
         """Ids of a piece of text without white space, as little-endian bytes.
 
-        Letters with marks after them, as most pieces are, are a word and a run of marks; other pieces take the file's own
-        pattern, after its special tokens.
+        ASCII letters with marks after them, as most pieces are, are a word and a run of marks; other pieces are normalised
+        and split as the file asks, between its special tokens.
         """
         core, word = piece.rstrip(MARKS), self.words.get
-        if core.isalpha() and (core.isascii() or (unicodedata.is_normalized("NFC", core) and "Σ" not in core)):
-            low = core.lower()
-            if low.isalpha():
-                return word(low) + word(piece[len(core) :]) if len(core) < len(piece) else word(low)
+        if core.isascii() and core.isalpha():
+            return word(core.lower()) + word(piece[len(core) :]) if len(core) < len(piece) else word(core.lower())
         out: list[bytes] = []
         for part in self.mark.split(piece) if "<|" in piece else [piece]:
             if part in self.special:
                 out.append(array(self.code, [self.special[part]]).tobytes())
-                continue
-            plain = "".join(c.lower() for c in unicodedata.normalize("NFC", part)) if not part.isascii() else part.lower()
-            out += map(word, self.word.findall(plain))
+            elif part:
+                out += [word(w) for w, _ in self.split(self.normalise(part))]
         return b"".join(out)
 
     def encode_bytes(self, text: str) -> bytes:
@@ -148,8 +151,8 @@ class Codec:
         return memoryview(self.encode_bytes(text)).cast(self.code).tolist()
 
     def pieces(self, text: str) -> list[str]:
-        """A text between white space; Python's own split takes four more characters for white space."""
-        return self.space.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        """A text between white space; Python's own split takes some more characters for white space."""
+        return list(filter(None, self.space.split(text))) if any(c in text for c in self.other) else text.split()
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary strings of the ids with a space between them, as a file without a decoder asks for."""
@@ -199,7 +202,10 @@ def digests(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = Fals
     wanted, the ids.
 
     Encoding and decoding run in one pass over the texts, so that ids don't cross to the JVM and back, and an executor
-    holds one tokenizer for each core.
+    holds one tokenizer for each core. One row per input row; repeated rows give repeated results. A null or empty text
+    has no ids and an empty decoded text. A null identifier stays null. Very long texts are encoded whole; memory is
+    bounded by the caches and the longest text. An empty table gives no rows. Columns of ``docs`` other than ``doc_id``
+    and ``text`` are not looked at, whatever their names.
     """
     path = tokenizer or default_tokenizer()
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Codec, byte_alphabet, default_tokenizer
+from .bpe import Codec, default_tokenizer
 from .common import new_folder, rows_of
 
 MAGIC = b"DTIX0001"
@@ -21,17 +21,20 @@ _ENCODERS: dict[str, LibraryEncoder] = {}
 
 
 class LibraryEncoder(Codec):
-    """A codec that lets the tokenizers library merge each new word."""
+    """A codec that lets the tokenizers library do all the work on what it hasn't met: it normalises and splits pieces,
+    merges words and finds special tokens. White space never joins two pieces, so the ids are those of the whole text."""
 
     def __init__(self, path: str):
         super().__init__(path, merges=False)
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path).model
-        self.alphabet = dict(enumerate(byte_alphabet()))
+        self.model = self.library.model
 
     def merge(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
+        return [t.id for t in self.model.tokenize(word)]
+
+    def chunk(self, piece: str) -> bytes:
+        if "<|" in piece:
+            return array(self.code, self.library.encode(piece, add_special_tokens=False).ids).tobytes()
+        return super().chunk(piece)
 
 
 def encoder(path: str) -> LibraryEncoder:
@@ -146,10 +149,19 @@ class Shard:
                     out[i] = (row, n)
         return out
 
-    def read(self, row: int) -> np.ndarray:
-        """Ids of a row."""
-        a, b = int(self.offsets[row]), int(self.offsets[row + 1])
-        return np.frombuffer(self.ids.read_at((b - a) * self.kind.itemsize, a * self.kind.itemsize), self.kind)
+    def read(self, rows: list[int], most: int = 1 << 22) -> list[np.ndarray]:
+        """Ids of each row. Rows that follow one another in the file are read at once, up to ``most`` ids or one row."""
+        out: list[np.ndarray] = []
+        k, size = 0, self.kind.itemsize
+        while k < len(rows):
+            stop = k + 1
+            while stop < len(rows) and rows[stop] == rows[stop - 1] + 1 and self.offsets[rows[stop] + 1] - self.offsets[rows[k]] <= most:
+                stop += 1
+            at = self.offsets[rows[k] : rows[stop - 1] + 2] - self.offsets[rows[k]]
+            ids = np.frombuffer(self.ids.read_at(int(at[-1]) * size, int(self.offsets[rows[k]]) * size), self.kind)
+            out += [ids[a:b] for a, b in zip(at, at[1:])]
+            k = stop
+        return out
 
     def close(self) -> None:
         self.ids.close()
@@ -203,9 +215,11 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 def read_keys(keys: DataFrame, folder: str, id_col: str = "doc_id", summary=None, fields: str = "ids array<int>") -> DataFrame:
     """Look up each row's key in the shards: ``doc_id, start`` (ids of all documents before it), ``n_tokens`` and ids.
 
-    Keys are dealt to their shards, whose ranges (at most ``max_shards`` rows) are broadcast; a task opens one shard at a
-    time. The n-th of several rows with an equal key gets the n-th stored document with it. Keys that aren't stored give
-    no row. ``summary(ids)`` may give other columns, named in ``fields``, in the ids' place.
+    Keys are dealt to their shards, whose ranges (at most ``max_shards`` rows) are broadcast, in as many partitions as
+    there are shards; a task opens one shard at a time. A key that isn't stored but falls in a shard's range is taken for
+    another one with a probability of 2**-32, as the index has 32 bits of its fingerprint. The n-th of several rows with an equal key gets the n-th stored document with it. Keys that aren't stored give
+    no row. ``summary(ids)`` may give other columns, named in ``fields``, in the ids' place. Null keys find the documents
+    with a null identifier. Other columns of ``keys`` are not looked at.
     """
     spark = keys.sparkSession
     shards = sorted((r.shard, r.path, r.min_id, r.max_id, r.n_tokens) for r in spark.read.parquet(f"{folder}/manifest").collect())
@@ -241,12 +255,14 @@ def read_keys(keys: DataFrame, folder: str, id_col: str = "doc_id", summary=None
                             shard.close()
                         shard, open_at = Shard(files, shards[k][1]), k
                     mine = [i for i, s in zip(ids, at) if s == k]
+                    wanted = []
                     for key, found in zip(mine, shard.rows(mine)):
                         seen = seen + 1 if key == last else 0
                         last = key
                         if found and seen < found[1]:
-                            got = shard.read(found[0] + seen)
-                            out.append((key, int(starts[k] + shard.offsets[found[0] + seen]), len(got), *summary(got)))
+                            wanted.append((key, found[0] + seen))
+                    for (key, row), got in zip(wanted, shard.read([row for _, row in wanted])):
+                        out.append((key, int(starts[k] + shard.offsets[row]), len(got), *summary(got)))
                 cols = list(zip(*out)) if out else [[]] * len(arrow)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow)], schema=arrow)
         if shard:
@@ -256,7 +272,7 @@ def read_keys(keys: DataFrame, folder: str, id_col: str = "doc_id", summary=None
 
     keys_schema = StructType.fromDDL(schema)
     dealt = keys.select(F.col(id_col).cast("long").alias("id")).mapInArrow(deal, "doc_id long, shard int")
-    return dealt.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInArrow(task, schema)
+    return dealt.repartition(max(1, len(shards)), "shard").sortWithinPartitions("shard", "doc_id").mapInArrow(task, schema)
 
 
 def checksum(ids: np.ndarray) -> tuple[int]:
@@ -265,7 +281,13 @@ def checksum(ids: np.ndarray) -> tuple[int]:
 
 
 def stored_digests(docs: DataFrame) -> DataFrame:
-    """Write all documents to shards in the shared folder and read each back by its key."""
+    """Write all documents to shards in the shared folder and read each back by its key: ``doc_id, start, n_tokens,
+    ids_crc32``, one row per document.
+
+    A null or empty text is the end id alone; very long texts are whole. Null identifiers come first; documents with an
+    equal identifier are told apart by their place, in order of their texts. An empty table gives no rows. Columns other
+    than ``doc_id`` and ``text`` are not looked at, whatever their names. The shards stay in the folder.
+    """
     folder = new_folder(docs.sparkSession, "token-shards")
     write_shards(docs, folder)
     return read_keys(docs, folder, summary=checksum, fields="ids_crc32 long")

@@ -67,10 +67,13 @@ def test_shards_read_back(spark, docs, texts, library):
     manifest = token_shards.write_shards(docs, folder, docs_per_shard=64)
     assert manifest.count() > 1
     got = {r.doc_id: r for r in token_shards.read_keys(docs.repartition(3), folder).collect()}
+    sums = {r.doc_id: r for r in token_shards.stored_digests(docs).collect()}
+    assert len(sums) == len(texts)
     start = 0
     for k in sorted(texts):
         ids = [*library.encode(texts[k], add_special_tokens=False).ids, 1]
         assert (got[k].start, got[k].n_tokens, got[k].ids) == (start, len(ids), ids)
+        assert (sums[k].start, sums[k].n_tokens, sums[k].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     missing = spark.createDataFrame([(10**9 + i,) for i in range(50)] + [(-5,)], "doc_id long")
     assert token_shards.read_keys(missing, folder).count() == 0

@@ -1,14 +1,15 @@
 """Personal data, licences, language, encoding."""
 
+import hashlib
 import os
-import random
 import re
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from daytrace.llm import bpe, langid, pii
+from daytrace.llm import bpe, langid, pii, token_shards
 from daytrace.llm.licenses import TEMPLATES, Matcher, license_matches
 
 KEY = b"test"
@@ -128,24 +129,45 @@ def library():
     return Tokenizer.from_file(bpe.default_tokenizer())
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(list("ab Z'sdtΣσİé́\x1c\x1f\x85\xa0²Ⅷ日1_<|>\n")))))
-def test_encoder_equals_library(library, text):
-    if re.search(r"[^\u0000-ɏͰ-Ͽ　-ヿ一-鿿]", text):
-        text = re.sub(r"[^\u0000-ɏͰ-Ͽ　-ヿ一-鿿]", "", text)  # letters whose class differs between Unicode versions
+def same_as_library(library, text):
+    c, other = bpe.codec(bpe.default_tokenizer()), token_shards.encoder(bpe.default_tokenizer())
     want = library.encode(text, add_special_tokens=False).ids
-    c = bpe.codec(bpe.default_tokenizer())
-    assert c.encode(text) == want
+    assert c.encode(text) == want and other.encode(text) == want
     assert c.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(list("ab Z'sdtΣσİé́\x1c\x1f\x85\xa0²Ⅷ日1_<|>\n")), st.sampled_from(list("ЖжЙ\u0306ᄀ가ㅏ\u0915\u093c\u094dعשּׁ🙂\u200d\ufe0f\U00010400\u1e9e\u0130"))), max_size=60))
+def test_encoders_equal_library(library, text):
+    same_as_library(library, text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "|>", "don't", "WE'LL", " ", "\u2003", "x", "É", "'s", "\n\n", "12", "?!"]), max_size=14))
+def test_encoders_equal_library_on_special_tokens(library, parts):
+    same_as_library(library, "".join(parts))
+
+
+def test_encoders_equal_library_on_all_code_points(library):
+    points = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cn", "Cs", "Co")]
+    assert len(points) > 140_000
+    for k in range(0, len(points), 40):
+        same_as_library(library, "".join(f"a{c}b {c}{c}\u0301 " for c in points[k : k + 40]))
+
+
 def test_encode_and_decode_tables(library, docs, texts, odd, none):
-    rows = bpe.decode(bpe.encode(docs)).collect()
-    for r in random.Random(1).sample(rows, 50):
-        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
-        assert r.ids == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
+    rows = {r.doc_id: r for r in bpe.decode(bpe.encode(docs)).collect()}
+    sums = {r.doc_id: r for r in bpe.digests(docs).collect()}
+    assert set(rows) == set(sums) == set(texts)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for k, r in rows.items():
+        ids = library.encode(texts[k] or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert r.ids == ids and r.decoded == decoded
+        assert (sums[k].n_tokens, sums[k].ids_sha256, sums[k].decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(decoded))
     got = {r.doc_id: r for r in bpe.decode(bpe.encode(odd)).collect()}
     assert got[2].ids == [] and got[2].decoded == "" and bpe.encode(none).count() == 0 and bpe.digests(odd).count() == 10
+    assert {r.doc_id: r.ids_sha256 for r in bpe.digests(odd).collect()}[2] == sha("") and bpe.digests(none).count() == 0
 
 
 def test_cache_keeps_answers_when_full():
