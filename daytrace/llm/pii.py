@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import secrets
 from collections.abc import Callable
 from datetime import date, timedelta
 
@@ -14,12 +16,16 @@ from pyspark.sql import functions as F
 from .common import rows_of
 
 ROUNDS = 8
-KINDS = ["email", "secret", "credential", "iban", "card", "phone", "ssn", "ipv4", "date"]
+KINDS = ["email", "secret", "credential", "iban", "card", "phone", "ssn", "ipv4", "ipv6", "date"]
 
+#: Setting that has the key, as text; without it, and without a parameter, each run makes its own.
+KEY_SETTING = "spark.daytrace.pii.key"
 
-def permute(value: int, size: int, key: bytes, tweak: str) -> int:
+
+def permute(value: int, size: int, key: bytes, tweak: str, within: Callable[[int], bool] | None = None) -> int:
     """A keyed permutation of range(size): a Feistel network on the next even number of bits, walked until it is in
-    range again. Equal values and tweaks always give equal results."""
+    range again, and, if ``value`` is one of those that ``within`` accepts, among those. Equal values and tweaks always
+    give equal results."""
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask, width = (1 << half) - 1, (half + 7) // 8
     while True:
@@ -29,23 +35,27 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
             out = hashlib.blake2b(data, key=key, digest_size=min(64, width + 8)).digest()
             left, right = right, left ^ (int.from_bytes(out, "big") & mask)
         value = left << half | right
-        if value < size:
+        if value < size and (within is None or within(value)):
             return value
 
 
-def _by_class(text: str, classes: list[str], key: bytes, tweak: str) -> str:
-    """Permute the characters that are in a class, each within its own; the others stay where they are."""
+def _by_class(text: str, classes: list[str], key: bytes, tweak: str, within: Callable[[str], bool] | None = None) -> str:
+    """Permute the characters that are in a class, each within its own; the others stay where they are. With ``within``,
+    texts that it accepts, as it does ``text``, are permuted among themselves."""
     at = [(i, next(c for c in classes if x in c)) for i, x in enumerate(text) if any(x in c for c in classes)]
     size, value = 1, 0
     for i, c in at:
         value, size = value * len(c) + c.index(text[i]), size * len(c)
     shape = "".join(str(classes.index(c)) for _, c in at)
-    value = permute(value, size, key, f"{tweak}:{shape}")
-    out = list(text)
-    for i, c in reversed(at):
-        value, k = divmod(value, len(c))
-        out[i] = c[k]
-    return "".join(out)
+
+    def filled(value: int) -> str:
+        out = list(text)
+        for i, c in reversed(at):
+            value, k = divmod(value, len(c))
+            out[i] = c[k]
+        return "".join(out)
+
+    return filled(permute(value, size, key, f"{tweak}:{shape}", within and (lambda v: within(filled(v)))))
 
 
 DIGITS, SMALL, LARGE = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -125,28 +135,86 @@ def _ipv4(text: str, key: bytes) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
-FIRST, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
+def _ipv6(text: str, key: bytes) -> str | None:
+    """All ways to write an address have the same pseudonym, in the shortest way."""
+    if sum(map(bool, text.split(":"))) < 3:
+        return None
+    try:
+        value = int(ipaddress.IPv6Address(text))
+    except ValueError:
+        return None
+    return str(ipaddress.IPv6Address(permute(value, 1 << 128, key, "ipv6")))
+
+
+FIRST, LAST = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal()
 
 
-def _date(text: str, key: bytes) -> str | None:
-    a, mark, b, _, c = re.split(r"([-/.])", text)
-    order = (a, b, c) if len(a) == 4 else (c, a, b) if mark == "/" else (c, b, a)
+def _moved(day: date, key: bytes, tweak: str, within: Callable[[date], bool] | None = None) -> date:
+    """A day of 1900 to 2099 is permuted among those, another among the other years of four digits; and, where ``within``
+    accepts it, among the days that it accepts."""
+    n = day.toordinal()
+    near = FIRST <= n < LAST
+    same = lambda v: (FIRST <= v + 1 < LAST) == near and (within is None or within(date.fromordinal(v + 1)))
+    return date.fromordinal(permute(n - 1, date.max.toordinal(), key, tweak, same) + 1) if not near else date.fromordinal(permute(n - FIRST, LAST - FIRST, key, tweak, within and (lambda v: within(date.fromordinal(v + FIRST)))) + FIRST)
+
+
+def _real(year: str, month: str | int, day: str) -> date | None:
     try:
-        n = (date(*map(int, order)) - FIRST).days
+        return date(int(year), int(month), int(day))
     except ValueError:
-        if len(a) == 4 or mark != "/":
-            return None
-        try:
-            order, mark = (c, b, a), "/d"
-            n = (date(*map(int, order)) - FIRST).days
-        except ValueError:
-            return None
-    if not 0 <= n < DAYS:
         return None
-    d = FIRST + timedelta(permute(n, DAYS, key, "date"))
+
+
+#: Names of the months.
+MONTHS = {
+    "en": ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"),
+    "de": ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"),
+    "fr": ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"),
+    "es": ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"),
+}
+_NAMED = {k: "|".join(v) for k, v in MONTHS.items()}
+#: A style of written dates: language, and the pattern whose groups are what stands before, between and after.
+_WRITTEN = {
+    "day month": ("en", rf"(?P<d>\d{{1,2}}) (?P<m>{_NAMED['en']}) (?P<y>\d{{4}})"),
+    "month day": ("en", rf"(?P<m>{_NAMED['en']}) (?P<d>\d{{1,2}}), (?P<y>\d{{4}})"),
+    "de": ("de", rf"(?P<d>\d{{1,2}})\. (?P<m>{_NAMED['de']}) (?P<y>\d{{4}})"),
+    "fr": ("fr", rf"(?P<d>\d{{1,2}}) (?P<m>{_NAMED['fr']}) (?P<y>\d{{4}})"),
+    "es": ("es", rf"(?P<d>\d{{1,2}}) de (?P<m>{_NAMED['es']}) de (?P<y>\d{{4}})"),
+}
+_WRITTEN_RE = {k: (lang, re.compile(p)) for k, (lang, p) in _WRITTEN.items()}
+
+
+def _written_date(text: str, key: bytes) -> str | None:
+    """Days with a leading zero are permuted among themselves, so that those without have other pseudonyms."""
+    for style, (lang, pattern) in _WRITTEN_RE.items():
+        if m := pattern.fullmatch(text):
+            day = _real(m["y"], MONTHS[lang].index(m["m"]) + 1, m["d"])
+            if day is None:
+                return None
+            zero = m["d"][0] == "0"
+            new = _moved(day, key, f"date:{style}:{zero}", (lambda d: d.day < 10) if zero else None)
+            out = {"d": f"{new.day:02d}" if zero else str(new.day), "m": MONTHS[lang][new.month - 1], "y": f"{new.year:04d}"}
+            spans = sorted((m.span(k), k) for k in "dmy")
+            return "".join(text[b[0][1] : c[0][0]] + out[c[1]] for b, c in zip([((0, 0), ""), *spans], spans))
+    return None
+
+
+def _date(text: str, key: bytes) -> str | None:
+    """Of dates with slashes, those that can be read month first are; the others, whose day is above 12, are permuted among
+    themselves, so that no two dates meet in one pseudonym."""
+    if not text.isascii() or any(c.isalpha() for c in text):
+        return _written_date(text, key)
+    a, mark, b, _, c = re.split(r"([-/.])", text)
     if len(a) == 4:
-        return f"{d.year}{mark}{d.month:02d}{mark}{d.day:02d}"
-    return f"{d.month:02d}/{d.day:02d}/{d.year}" if mark == "/" else f"{d.day:02d}{mark[0]}{d.month:02d}{mark[0]}{d.year}"
+        day = _real(a, b, c)
+        return day and (lambda d: f"{d.year:04d}{mark}{d.month:02d}{mark}{d.day:02d}")(_moved(day, key, "date"))
+    if mark == "/" and (day := _real(c, a, b)):
+        d = _moved(day, key, "date")
+        return f"{d.month:02d}/{d.day:02d}/{d.year:04d}"
+    if not (day := _real(c, b, a)):
+        return None
+    d = _moved(day, key, "date:/d", lambda d: d.day > 12) if mark == "/" else _moved(day, key, "date")
+    return f"{d.day:02d}{mark}{d.month:02d}{mark}{d.year:04d}"
 
 
 def _email(text: str, key: bytes) -> str:
@@ -154,18 +222,22 @@ def _email(text: str, key: bytes) -> str:
     return _by_class(name, [DIGITS, SMALL, LARGE], key, "email:" + host.lower()) + "@" + host
 
 
+def _token(body: str, key: bytes, tweak: str) -> str:
+    """Hexadecimal bodies with digits and letters are permuted among themselves, and so are all others."""
+    hexadecimal = lambda x: re.fullmatch(r"(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]+", x) is not None
+    if hexadecimal(body):
+        return _by_class(body, [DIGITS + "abcdef"], key, tweak, hexadecimal)
+    return _by_class(body, [DIGITS, SMALL, LARGE], key, tweak, lambda x: not hexadecimal(x))
+
+
 def _secret(text: str, key: bytes) -> str:
     fixed = re.match(r"AKIA|ASIA|gh[pousr]_|sk-|xox[a-z]-|", text)[0]
-    body = text[len(fixed) :]
-    classes = [DIGITS + "abcdef"] if re.fullmatch(r"[0-9a-f]+", body) else [DIGITS, SMALL, LARGE]
-    return fixed + _by_class(body, classes, key, "secret:" + fixed)
+    return fixed + _token(text[len(fixed) :], key, "secret:" + fixed)
 
 
 def _credential(text: str, key: bytes) -> str:
     start = re.match(r"[A-Za-z_-]+[\"']?\s*[=:]\s*[\"']?", text).end()
-    body = text[start:]
-    classes = [DIGITS + "abcdef"] if re.fullmatch(r"[0-9a-f]+", body) else [DIGITS, SMALL, LARGE]
-    return text[:start] + _by_class(body, classes, key, "credential")
+    return text[:start] + _token(text[start:], key, "credential")
 
 
 FORMATS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
@@ -177,7 +249,8 @@ FORMATS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
     "phone": (r"(?<![\w.])(?:(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+[1-9]\d{0,2}(?:[ .-]?\(\d{1,4}\))?(?:[ ./-]?\d){4,14})(?![\w-])", _phone),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
     "ipv4": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", _ipv4),
-    "date": (r"(?<![\w./-])(?:\d{4}(?P<ymd>[-/.])\d{2}(?P=ymd)\d{2}|\d{2}(?P<dmy>[-/.])\d{2}(?P=dmy)\d{4})(?:(?=[Tt]\d\d)|(?![\w/-]|\.\d))", _date),
+    "ipv6": (r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:]|\.\d)", _ipv6),
+    "date": (r"(?<![\w./-])(?:(?:\d{4}(?P<ymd>[-/.])\d{2}(?P=ymd)\d{2}|\d{2}(?P<dmy>[-/.])\d{2}(?P=dmy)\d{4})(?:(?=[Tt]\d\d)|(?![\w/-]|\.\d))|(?:" + "|".join(re.sub(r"\?P<.>", "?:", p) for _, p in _WRITTEN.values()) + r")(?!\w))", _date),
 }
 _ONE = {k: re.compile(FORMATS[k][0]) for k in KINDS}
 _ANY = re.compile("|".join(f"(?P<{k}>{FORMATS[k][0]})" for k in KINDS))
@@ -225,17 +298,26 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int], list[tuple
     return ("".join([*out, text[copied:]]) if out else text), counts, spans
 
 
-def pseudonyms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = b"daytrace") -> DataFrame:
+def pseudonyms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes | None = None) -> DataFrame:
     """Replace personal data in each whole text: ``doc_id, text, n_found, kinds`` (map of counts) and ``spans``.
 
-    Card numbers (Luhn), IBANs (modulo 97), phone numbers (North American ones, and any with + and a country code), social security numbers, IPv4 addresses and calendar dates
-    count only if they are valid, and so are their pseudonyms; of addresses the name, of keys and hexadecimal tokens
-    the random part, and of ``password=...`` and the like the value, is permuted within its classes of characters. A value has the same pseudonym in every document
-    under the same ``key``, and different values of a format have different ones. Spans are positions in the old text.
+    Card numbers (Luhn), IBANs (modulo 97), telephones (North American ones, and any with + and a country code), social
+    security numbers, IPv4 and IPv6 addresses and calendar dates (in digits, or written in English, German, French or
+    Spanish) count only if they are valid, and so are their pseudonyms; of mail addresses the name, of keys and
+    hexadecimal tokens the random part, and of ``password=...`` and the like the value, is permuted within its classes of
+    characters. A value has the same pseudonym in every document under the same ``key``, and different values of a format
+    have different ones. Spans are positions in the old text.
+
+    Whoever has the key can undo the pseudonyms, so there is no default: without the parameter it is the setting
+    ``spark.daytrace.pii.key``, and without that a random key of this call, whose pseudonyms are linked within its result
+    and with no other.
 
-    One row per input row, without a shuffle. A null text stays null, with no finds; other columns are not looked at.
-    Memory is bounded by the longest text.
+    One row per input row, without a shuffle; repeated rows give repeated results. A null text stays null, with no finds,
+    as do empty ones. A null identifier stays null. Of formats that fit at the same place the first in ``KINDS`` counts. An
+    empty table gives no rows. Other columns are not looked at, whatever their names. Memory is bounded by the longest text.
     """
+    setting = docs.sparkSession.conf.get(KEY_SETTING, None)
+    key = key or (hashlib.blake2b(setting.encode()).digest() if setting else secrets.token_bytes(32))
 
     def task(batches):
         for batch in batches:

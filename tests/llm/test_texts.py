@@ -1,7 +1,9 @@
 """Personal data, licences, language, encoding."""
 
 import hashlib
+import itertools
 import os
+import random
 import re
 import unicodedata
 
@@ -67,6 +69,88 @@ def test_pseudonyms_are_one_to_one_on_dates():
     assert len({pii.pseudonymise(x, KEY)[0] for x in days}) == len(days)
 
 
+def test_dates_with_slashes_are_one_to_one():
+    days = [f"{a:02d}/{b:02d}/{y}" for y in (1950, 2024, 1850) for a in range(1, 32) for b in range(1, 32)]
+    valid = [x for x in days if pii.pseudonymise(x, KEY)[1]]
+    new = [pii.pseudonymise(x, KEY)[0] for x in valid]
+    assert len(valid) > 1000 and len(set(new)) == len(valid)
+    assert all((int(x[:2]) > 12) == (int(y[:2]) > 12) and pii.pseudonymise(y, KEY)[1] == {"date": 1} for x, y in zip(valid, new))
+
+
+@pytest.mark.parametrize("value", ["5 March 2024", "05 March 2024", "March 5, 2024", "12. März 2024", "3 août 1999", "21 de mayo de 2010", "0988-02-03", "2001:db8::ff00:42:8329", "fe80:0:0:0:1:2:3:4"])
+def test_written_dates_and_long_addresses(value):
+    new, counts, spans = pii.pseudonymise(f"On {value}.", KEY)
+    kind = "ipv6" if ":" in value else "date"
+    assert counts == {kind: 1} and spans == [(3, 3 + len(value), kind)] and value not in new
+    assert pii.pseudonymise(new, KEY)[1] == {kind: 1} and ("05" in value) == (new[3] == "0" and kind == "date" and " " in value)
+
+
+def test_written_dates_are_one_to_one():
+    days = [f"{d} {m} {y}" for y in (1999, 2024) for m in pii.MONTHS["en"] for n in range(1, 29) for d in ({str(n), f"{n:02d}"})]
+    assert len({pii.pseudonymise(x, KEY)[0] for x in days}) == len(days) > 800
+    assert pii.pseudonymise("30 February 2024 and 12:30:45 and Foo::bar", KEY)[1] == {}
+
+
+def test_tokens_of_all_kinds_are_one_to_one():
+    short = ["".join(x) for x in itertools.product("0af9z", repeat=4)]
+    assert len({pii._token(x, KEY, "t") for x in short}) == len(short)
+
+
+def slow_luhn(digits):
+    return sum(int(c) if k % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for k, c in enumerate(digits[::-1])) % 10 == 0
+
+
+def test_planted_values_against_brute_force(spark):
+    """Values planted in text by a maker that shares no code with the operator: all are found, nothing else is touched,
+    and equal values, and only those, have equal pseudonyms in all documents."""
+    rng = random.Random(4)
+
+    def card():
+        body = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        return next(body + c for c in "0123456789" if slow_luhn(body + c))
+
+    def number(lo, hi):
+        return rng.randint(lo, hi)
+
+    makers = {
+        "card": card, "ssn": lambda: f"{number(1, 665):03d}-{number(1, 99):02d}-{number(1, 9999):04d}", "ipv4": lambda: ".".join(str(number(0, 255)) for _ in range(4)),
+        "phone": lambda: f"({number(200, 999)}) {number(200, 999)}-{number(0, 9999):04d}", "date": lambda: f"{number(1900, 2099)}-{number(1, 12):02d}-{number(1, 28):02d}",
+        "email": lambda: f"{rng.choice(['ann', 'bob', 'eve'])}.{number(0, 99)}@mail.example.org", "secret": lambda: "".join(rng.choice("0123456789abcdef") for _ in range(38)) + "a1",
+    }
+    pool = [(k, f()) for k, f in makers.items() for _ in range(25)]
+    words = ["plain", "words,", "12", "1,234.50", "3.14", "no-1", "v2.0", "[x]", "999-99", "ab12cd"]
+    rows, planted = [], {}
+    for i in range(150):
+        parts, own = [], []
+        for _ in range(rng.randint(1, 12)):
+            if rng.random() < 0.4:
+                parts.append(rng.choice(pool))
+                own.append(parts[-1])
+            parts.append((None, rng.choice(words)))
+        rows.append((i, " ".join(v for _, v in parts)))
+        planted[i] = parts, own
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found: dict = {}
+    for r in pii.pseudonyms(table, key=KEY).collect():
+        old = rows[r.doc_id][1]
+        parts, own = planted[r.doc_id]
+        assert [(old[s.start : s.end], s.kind) for s in r.spans] == [(v, k) for k, v in own] and r.n_found == len(own)
+        new = r.text.replace(") ", ")").split(" ")
+        want = [(k, v) for k, v in parts]
+        assert len(new) == len(want)
+        for (k, v), w in zip(want, new):
+            if k is None:
+                assert w == v
+            else:
+                assert found.setdefault((k, v), w) == w
+    assert len({(k, w) for (k, _), w in found.items()}) == len(found) > 100
+    again = {r.doc_id: r.text for r in pii.pseudonyms(table).collect()}
+    assert any(again[r.doc_id] != r.text for r in pii.pseudonyms(table, key=KEY).collect())
+    spark.conf.set(pii.KEY_SETTING, "k1")
+    assert pii.pseudonyms(table).collect() == pii.pseudonyms(table).collect()
+    spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_pii_of_odd_rows(odd, none, docs, texts):
     got = {r.doc_id: r for r in pii.pseudonyms(odd).collect()}
     assert pii.pseudonyms(none).count() == 0 and pii.pseudonyms(odd).count() == 10
