@@ -72,13 +72,19 @@ def luhn(digits: str) -> int:
     return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10
 
 
+#: Lengths of the numbers of the issuers that have one, by the first digits.
+CARD_LENGTHS = {"4": (13, 16, 19), "51": (16,), "52": (16,), "53": (16,), "54": (16,), "55": (16,), "34": (15,), "37": (15,)}
+
+
 def _card(text: str, key: bytes) -> str | None:
+    """The first two digits, which tell the issuer, stay."""
     digits = re.sub(r"\D", "", text)
-    if not 13 <= len(digits) <= 19 or luhn(digits) or len(set(digits)) == 1:
+    lengths = CARD_LENGTHS.get(digits[:1]) or CARD_LENGTHS.get(digits[:2]) or range(13, 20)
+    if len(digits) not in lengths or luhn(digits) or len(set(digits)) == 1:
         return None
-    body = _by_class(digits[1:-1], [DIGITS], key, f"card:{digits[0]}")
-    check = next(c for c in DIGITS if luhn(digits[0] + body + c) == 0)
-    return _refill(text, digits[0] + body + check)
+    body = _by_class(digits[2:-1], [DIGITS], key, f"card:{digits[:2]}")
+    check = next(c for c in DIGITS if luhn(digits[:2] + body + c) == 0)
+    return _refill(text, digits[:2] + body + check)
 
 
 def _iban(text: str, key: bytes) -> str | None:
