@@ -251,7 +251,7 @@ FORMATS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
     "secret": (r"(?<!\w)(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|xox[a-z]-[A-Za-z0-9-]{10,}|(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,})(?!\w)", _secret),
     "credential": (r"(?<!\w)(?i:password|passwd|pwd|passphrase|secret|api[_-]?key|access[_-]?key|auth[_-]?token|token)[\"']?\s*[=:]\s*[\"']?[^\s\"',;<>]{8,}(?<=[A-Za-z0-9])", _credential),
     "iban": (r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", _iban),
-    "card": (r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w|-[A-Za-z_])", _card),
+    "card": (r"(?<![\w.-])(?:\d{13,19}|\d{3,7}(?P<gap>[ -])\d{3,7}(?:(?P=gap)\d{3,7}){1,4}(?:(?P=gap)\d{1,3})?)(?!\w|-[A-Za-z_])", _card),
     "phone": (r"(?<![\w.])(?:(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+[1-9]\d{0,2}(?:[ .-]?\(\d{1,4}\))?(?:[ ./-]?\d){4,14})(?![\w-])", _phone),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
     "ipv4": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", _ipv4),
