@@ -5,23 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, join_groups
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` of longs to ``(v, root)``: the smallest vertex that each vertex can reach.
 
     Each round takes the smallest label among a vertex's neighbours, then the label's own label, so that long chains
-    close in a logarithmic number of rounds. Labels and edges stay in tables; each round is cut by a checkpoint.
+    close in a logarithmic number of rounds. Labels and edges stay in tables; each round is cut by a checkpoint. A vertex
+    with a third of all edges, or a label that a third of all vertices share, is met by a broadcast of the few such.
     Vertices that are in no edge have no row. Loops and repeated edges do no harm.
     """
     both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
-    labels = cut_lineage(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("root")).withColumnRenamed("a", "v"))
-    while True:
-        seen = both.join(labels.select(F.col("v").alias("b"), "root"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
-        hooked = labels.join(seen, "v").select("v", F.col("root").alias("old"), F.least("root", "near").alias("hook"))
-        jump = hooked.select(F.col("v").alias("hook"), F.col("hook").alias("root"))
-        new = cut_lineage(hooked.join(jump, "hook").select("v", "root", (F.col("root") != F.col("old")).alias("moved")))
-        labels = new.select("v", "root")
+    labels = cut_lineage(both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("root"), F.count(F.lit(1)).alias("n")))
+    n_edges, n_vertices = both.count(), labels.count()
+    while n_edges:
+        near = join_groups(both, labels.withColumnRenamed("v", "b"), ["b"], "n", n_edges).groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
+        hooked = cut_lineage(labels.join(near, "v").select("v", "n", F.col("root").alias("old"), F.least("root", "near").alias("hook")))
+        sizes = hooked.groupBy("hook").agg(F.count(F.lit(1)).alias("k"))
+        jump = cut_lineage(hooked.select(F.col("v").alias("hook"), F.col("hook").alias("root")).join(sizes, "hook"))
+        new = cut_lineage(join_groups(hooked, jump, ["hook"], "k", n_vertices).select("v", "n", "root", (F.col("root") != F.col("old")).alias("moved")))
+        labels = new.select("v", "root", "n")
         if new.filter("moved").isEmpty():
-            return labels
+            break
+    return labels.select("v", "root")

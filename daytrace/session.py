@@ -46,3 +46,15 @@ def bounded(df: DataFrame, most: int = 10_000) -> DataFrame:
     The count stops at the bound.
     """
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """Join ``rows`` to ``groups``, where one key may have a third of all rows.
+
+    ``groups`` has each key once, and in ``size`` how many of the ``total`` rows have it. Groups above a thousandth of all
+    rows are fewer than 1,000 by that, and are broadcast; no key of the join that deals out the rest has more than a
+    thousandth. ``how`` is inner or left. Both tables are read twice, so cut their lineage first.
+    """
+    large = F.broadcast(groups.filter(F.col(size) * 1000 > total))
+    small = groups.filter(F.col(size) * 1000 <= total)
+    return rows.join(large, keys).unionByName(rows.join(large.select(*keys), keys, "left_anti").join(small, keys, how))
