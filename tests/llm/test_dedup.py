@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from daytrace.llm import queries
-from daytrace.llm.exact_dedup import exact_duplicates
+from daytrace.llm.exact_dedup import combined, exact_duplicates, merged
 from daytrace.llm.line_dedup import dedup_lines
 from daytrace.llm.simhash import _links_of, fingerprint, near_duplicates, near_links, plan_partitions
 from daytrace.operators.components import connected_components
@@ -114,7 +114,7 @@ def test_near_duplicates_of_odd_rows(odd, none):
 
 @pytest.mark.parametrize("keep", ["min", "max"])
 def test_exact_duplicates_of_odd_rows(odd, none, keep):
-    got = exact_duplicates(odd, keep=keep, fan_in=2).collect()
+    got = exact_duplicates(odd, keep=keep, fan_in=2, run_rows=2).collect()
     assert len(got) == 10 and exact_duplicates(none).count() == 0
     by = {r.doc_id: r for r in got}
     assert (by[1].keep_id, by[6].keep_id, by[1].group_size) == ((1, 1, 3) if keep == "min" else (6, 6, 3))
@@ -122,9 +122,24 @@ def test_exact_duplicates_of_odd_rows(odd, none, keep):
     assert by[None].keep_id is None and by[None].kept and by[2].text_sha256 == hashlib.sha256(b"").hexdigest()
 
 
-def test_exact_duplicates_over_many_runs(spark):
+def test_multiway_merge_of_runs():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 8, 9):
+        runs, want = [], {}
+        for r in range(n):
+            keys = np.sort(rng.integers(0, 40, rng.integers(1, 60)))
+            for i, k in enumerate(keys):
+                want.setdefault(int(k), []).append(r * 100 + i)
+            raw = np.array([bytes([k]) * 40 + bytes(8) for k in keys.tolist()], "S48")
+            runs.append(combined((raw, np.arange(len(keys)) + r * 100, np.ones(len(keys), bool), np.ones(len(keys), np.int64)), "min"))
+        keys, ids, known, counts = merged(runs, "min")
+        assert [(k[0] if k else 0, i, c) for k, i, c in zip(keys.tolist(), ids.tolist(), counts.tolist())] == [(k, min(v), len(v)) for k, v in sorted(want.items())]
+
+
+@pytest.mark.parametrize("fan_in,run_rows", [(2, 1 << 18), (4, 10), (8, 1 << 18)])
+def test_exact_duplicates_over_many_runs(spark, fan_in, run_rows):
     rows = spark.range(0, 3000, 1, 40).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "HOT").otherwise((F.col("id") % 500).cast("string")).alias("text"))
-    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_duplicates(rows, fan_in=3).collect()}
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_duplicates(rows, fan_in=fan_in, run_rows=run_rows).collect()}
     groups = defaultdict(list)
     for i in range(3000):
         groups["hot" if i % 3 == 0 else str(i % 500)].append(i)
