@@ -8,10 +8,11 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..session import join_groups
 from .common import LOWER, UPPER, cut_lineage, rows_of
 
 BITS = 64
@@ -37,16 +38,18 @@ def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """``(doc_id, fp)`` for each row; fp is the fingerprint as a signed long. A null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fp)`` for each row, and the columns of longs in ``carry``; fp is the fingerprint as a signed long. A null
+    text counts as empty."""
 
     def task(batches):
         for batch in batches:
-            for ids, texts in rows_of(batch, ["id", "text"], 512):
+            for ids, texts, *more in rows_of(batch, ["id", "text", *carry], 512):
                 fps = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps), *(pa.array(x, pa.int64()) for x in more)], ["doc_id", "fp", *carry])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(task, "doc_id long, fp long")
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *carry)
+    return chosen.mapInArrow(task, "doc_id long, fp long" + "".join(f", {c} long" for c in carry))
 
 
 def _bit_matrix(fps: np.ndarray) -> np.ndarray:
@@ -213,6 +216,12 @@ def near_links(classes: DataFrame, distance: int = 4, block: int = 1024) -> Data
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verify(distance), "a long, b long").distinct()
 
 
+def rooted(classes: DataFrame, distance: int, block: int) -> DataFrame:
+    """``classes``, one row per fingerprint, with the ``root`` of its component."""
+    roots = connected_components(near_links(classes, distance, block)).withColumnRenamed("v", "fp")
+    return cut_lineage(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, block: int = 1024) -> DataFrame:
     """Components of documents whose fingerprints are chained by at most ``distance`` differing bits.
 
@@ -221,14 +230,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     threshold, signatures within it are probed and every candidate is verified on all 64 bits.
 
     Returns ``doc_id, fingerprint`` (16 lowercase hex digits) and ``component_id``, the smallest identifier that is
-    reachable, itself included; one row per input row. A null or empty text has fingerprint zero, linked like any other. A
-    null identifier is never a component's smallest unless it is alone, and then the component is null. Repeated rows
-    are in one component. An empty table gives no rows. Other columns of ``docs`` are not looked at.
+    reachable, itself included; one row per input row. A null or empty text has fingerprint zero, linked like any other;
+    very long texts count whole. A null identifier is never a component's smallest unless it is alone, and then the
+    component is null. Repeated rows are in one component. An empty table gives no rows. Other columns of ``docs`` are not
+    looked at, whatever their names.
+
+    A fingerprint or a component with a third of all rows is met by a broadcast of the few such.
     """
     marked = cut_lineage(fingerprints(docs, id_col, text_col, words))
-    classes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = connected_components(near_links(classes, distance, block)).withColumnRenamed("v", "fp")
-    rooted = classes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = rooted(cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs"))), distance, block)
+    smallest = cut_lineage(classes.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n_classes")))
+    named = cut_lineage(join_groups(classes, smallest, ["root"], "n_classes", classes.count()).select("fp", "component_id", "n_docs"))
+    found = join_groups(marked, named, ["fp"], "n_docs", marked.count())
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, block: int = 1024) -> DataFrame:
+    """The rows of ``docs``, with its columns, of which one stays for each component of near-duplicates.
+
+    It is the one with the smallest identifier; nulls come last, and of equal identifiers a hash of the whole row decides,
+    so that repeated or null identifiers let no second row of a component through. Null and empty texts are one component.
+    An empty table gives no rows.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = whole.select("row", F.xxhash64("row").alias("h"), F.xxhash64(F.lit(1), "row").alias("g"))
+    narrow = keyed.select(F.col("row")[id_col].alias("id"), F.col("row")[text_col].alias("text"), "h", "g")
+    marked = cut_lineage(fingerprints(narrow, "id", "text", words, ("h", "g")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "g")).alias("first")
+    classes = rooted(cut_lineage(marked.groupBy("fp").agg(first)), distance, block)
+    stays = classes.groupBy("root").agg(F.min("first").alias("first")).select("first.h", "first.g")
+    copy = F.row_number().over(Window.partitionBy("h", "g").orderBy("h"))
+    return keyed.join(stays, ["h", "g"], "left_semi").withColumn("copy", copy).filter("copy = 1").select("row.*")

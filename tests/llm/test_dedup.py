@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from daytrace.llm import queries
 from daytrace.llm.exact_dedup import combined, exact_duplicates, merged
 from daytrace.llm.line_dedup import dedup_lines
-from daytrace.llm.simhash import _links_of, fingerprint, near_duplicates, near_links, plan_partitions
+from daytrace.llm.simhash import _links_of, fingerprint, near_duplicates, near_links, plan_partitions, representatives
 from daytrace.operators.components import connected_components
 from helpers import same
 
@@ -112,6 +112,17 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert by[1].component_id == by[6].component_id == 1 and by[2].component_id == 2
 
 
+def test_one_row_stays_of_each_component(spark, odd, none):
+    base = "some words that are the same in all of the texts here " * 12
+    rows = [(5, base, "x"), (5, base + "more", "y"), (3, base + "other", "z"), (None, base, "n"), (None, "nothing alike in this other text at all", "m"), (9, "nothing alike in this other text at all", "m"), (7, "", "a"), (7, "", "a"), (8, None, "a")]
+    fps = {i: slow_fingerprint(t) for i, (_, t, _) in enumerate(rows)}
+    comps = slow_components(fps)
+    got = representatives(spark.createDataFrame(rows, "doc_id long, text string, h string").repartition(3)).collect()
+    assert len(got) == len(set(comps.values())) == 3 and sorted(r.doc_id for r in got) == [3, 7, 9]
+    assert representatives(odd).columns == odd.columns and representatives(none).count() == 0
+    assert representatives(odd).count() == len({r.component_id for r in near_duplicates(odd).collect()})
+
+
 @pytest.mark.parametrize("keep", ["min", "max"])
 def test_exact_duplicates_of_odd_rows(odd, none, keep):
     got = exact_duplicates(odd, keep=keep, fan_in=2, run_rows=2).collect()
