@@ -45,21 +45,73 @@ def crc16(data: bytes) -> int:
 
 @lru_cache(1 << 12)
 def header(four: bytes) -> dict | None:
-    """Fields of a frame header, or None if it isn't one. Free-format frames aren't taken."""
+    """Fields of a frame header, or None if it isn't one. A free-format frame has length 0: its header doesn't tell."""
     if len(four) < 4 or four[0] != 0xFF or four[1] & 0xE0 != 0xE0:
         return None
     version, layer = {0: 25, 2: 2, 3: 1}.get(four[1] >> 3 & 3), 4 - (four[1] >> 1 & 3)
     bitrate, rate = four[2] >> 4, four[2] >> 2 & 3
-    if version is None or layer == 4 or bitrate in (0, 15) or rate == 3:
+    if version is None or layer == 4 or bitrate == 15 or rate == 3:
         return None
     kbits = KBITS[1 if version == 1 else 2, layer][bitrate]
     hertz = RATES[rate] // {1: 1, 2: 2, 25: 4}[version]
     samples = 384 if layer == 1 else 1152 if layer == 2 or version == 1 else 576
     pad = four[2] >> 1 & 1
     length = (12000 * kbits // hertz + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbits // hertz + pad
-    mono = four[3] >> 6 == 3
+    length = length if kbits else 0
+    mode, extension = four[3] >> 6, four[3] >> 4 & 3
+    mono = mode == 3
     side = 0 if layer != 3 else (17 if mono else 32) if version == 1 else (9 if mono else 17)
-    return {"version": version, "layer": layer, "kbits": kbits, "hertz": hertz, "samples": samples, "length": length, "mono": mono, "crc": not four[1] & 1, "side": side}
+    return {"version": version, "layer": layer, "kbits": kbits, "hertz": hertz, "samples": samples, "length": length, "mono": mono, "crc": not four[1] & 1, "side": side, "pad": pad * (4 if layer == 1 else 1), "joint": 4 * extension + 4 if mode == 1 else 32}
+
+
+def crc_bits(data: bytes, bits: int) -> int:
+    """CRC-16 as ``crc16``, over the first ``bits`` bits."""
+    crc = crc16(data[: bits // 8])
+    for k in range(bits // 8 * 8, bits):
+        top = crc >> 15 ^ (data[k // 8] >> 7 - k % 8 & 1)
+        crc = crc << 1 & 0xFFFF ^ (0x8005 if top else 0)
+    return crc
+
+
+def allocation_widths(h: dict) -> list[int]:
+    """Bits of the allocation of each subband in layer II: fixed values of the standard, by rate and bitrate a channel."""
+    if h["version"] != 1:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    each = h["kbits"] // (1 if h["mono"] else 2)
+    if 0 < each < 56:
+        return [4] * 2 + [3] * (10 if h["hertz"] == 32000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (7 if h["hertz"] != 48000 and (each == 0 or each >= 96) else 4)
+
+
+def protected_bits(body: bytes, h: dict) -> int | None:
+    """Bits after the checksum that it covers: the side information of layer III, the allocation of layers I and II, and in
+    layer II the choice of scale factors. None if the frame is too short for them."""
+    if h["layer"] == 3:
+        return 8 * h["side"]
+    channels = 1 if h["mono"] else 2
+    widths = [4] * 32 if h["layer"] == 1 else allocation_widths(h)
+    own = [channels if k < h["joint"] else 1 for k in range(len(widths))]
+    if h["layer"] == 1:
+        return 4 * sum(own)
+    if sum(w * c for w, c in zip(widths, own)) > 8 * len(body):
+        return None
+    value, size, at, scale = int.from_bytes(body, "big"), 8 * len(body), 0, 0
+    for w, c in zip(widths, own):
+        for _ in range(c):
+            used = value >> size - at - w & (1 << w) - 1
+            at, scale = at + w, scale + (2 * channels // c if used else 0)
+    return at + scale
+
+
+def sound(frame: bytes, h: dict) -> bool:
+    """Whether a frame's checksum, if it has one, is right."""
+    if not h["crc"]:
+        return True
+    bits = protected_bits(frame[6:], h)
+    if bits is None or 6 + (bits + 7) // 8 > len(frame):
+        return False
+    data = frame[2:4] + frame[6 : 6 + (bits + 7) // 8]
+    return (crc16(data) if bits % 8 == 0 else crc_bits(data, 16 + bits)) == frame[4] << 8 | frame[5]
 
 
 def _syncsafe(four: bytes) -> int:
@@ -107,27 +159,46 @@ def vbr_of(frame: bytes, h: dict) -> dict | None:
     return None
 
 
+def free_length(data: bytes, at: int, stop: int) -> int:
+    """Length without padding of a free-format frame: up to the next header of the same stream that another one, or the
+    audio's end, follows. 0 if there is none."""
+    pad, nxt = header(data[at : at + 4])["pad"], at + 4
+    while (nxt := data.find(data[at : at + 2], nxt + 1, stop)) >= 0:
+        h = header(data[nxt : nxt + 4])
+        if h and not h["length"] and data[nxt + 2] & 0xFC == data[at + 2] & 0xFC:
+            after = nxt + nxt - at - pad + h["pad"]
+            if after == stop or (after < stop and header(data[after : after + 4])):
+                return nxt - at - pad
+    return 0
+
+
 def parse(data: bytes) -> dict:
     """Frames of an MPEG audio stream: offsets, exact duration, checksum errors, bytes skipped, tags and the VBR table.
 
     A header counts where the next frame's header follows its frame, or the audio ends there; bytes between are skipped.
-    A VBR table's frame isn't audio. Data without frames has none, and duration 0.
+    Free-format frames are as long as the way to the next one. A VBR table's frame isn't audio; ``vbr_right`` tells whether
+    its numbers of frames and bytes are those found (None without a table or numbers). Data without frames has none, and
+    duration 0.
     """
     tags, at, stop = tags_of(data)
     offsets: list[int] = []
     kinds: set[bytes] = set()
     skipped = bad = 0
     samples: dict[int, int] = {}
-    vbr, first = None, True
+    vbr, first, free, began = None, True, 0, 0
     while at + 4 <= stop:
         four = data[at : at + 4]
         h = header(four)
-        end = at + h["length"] if h else 0
-        if not h or end > stop or (four not in kinds and end + 4 <= stop and not header(data[end : end + 4])):
+        length = h["length"] if h else 0
+        if h and not length:
+            free = free or free_length(data, at, stop)
+            length = free and free + h["pad"]
+        end = at + length
+        if not length or end > stop or (four not in kinds and end + 4 <= stop and not header(data[end : end + 4])):
             nxt = data.find(b"\xff", at + 1, stop)
             skipped, at = skipped + ((nxt if nxt >= 0 else stop) - at), nxt if nxt >= 0 else stop
             continue
-        if h["crc"] and h["layer"] == 3 and crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h["side"]]) != data[at + 4] << 8 | data[at + 5]:
+        if not sound(data[at:end], h):
             bad += 1
         found = vbr_of(data[at:end], h) if first else None
         if found:
@@ -136,10 +207,13 @@ def parse(data: bytes) -> dict:
             offsets.append(at)
             samples[h["hertz"]] = samples.get(h["hertz"], 0) + h["samples"]
         kinds.add(four)
+        began = at if first else began
         first, at = False, end
     skipped += max(0, stop - at)
     duration = sum((Fraction(n, hz) for hz, n in samples.items()), Fraction(0))
-    return {"tags": tags, "offsets": offsets, "duration": duration, "bad_crc": bad, "skipped": skipped, "vbr": vbr, "first": header(data[offsets[0] : offsets[0] + 4]) if offsets else None}
+    told = [] if not vbr else [(vbr["frames"], (len(offsets), len(offsets) + 1)), (vbr["bytes"], (at - began,))]
+    right = all(x in y for x, y in told if x is not None) if any(x is not None for x, _ in told) else None
+    return {"tags": tags, "offsets": offsets, "duration": duration, "bad_crc": bad, "skipped": skipped, "vbr": vbr, "vbr_right": right, "first": header(data[offsets[0] : offsets[0] + 4]) if offsets else None}
 
 
 def store(payload: bytes, n_bytes: int) -> bytes:
@@ -174,7 +248,8 @@ def padded(text: str | None) -> tuple[bytes, int]:
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, media``: each text stored as MPEG audio, one row per input row; null counts as empty."""
+    """``doc_id, media``: each text stored as MPEG audio, one row per input row; null counts as empty, very long texts are
+    stored whole, equal texts are equal audio. An empty table gives no rows; other columns are not looked at."""
 
     def task(batches):
         for batch in batches:
@@ -184,17 +259,18 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(task, "doc_id long, media binary")
 
 
-def describe(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", seek_every: int = 64) -> DataFrame:
+def describe(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", seek_every: int = 1) -> DataFrame:
     """Features of each row's MPEG audio, read from its bytes.
 
     ``doc_id, n_frames, duration_num, duration_den`` (seconds as an exact fraction), ``bad_crc, skipped_bytes, vbr``
-    (kind of table or null), ``tags`` (map), ``seek_offsets`` (every ``seek_every``-th frame's), ``media_bytes,
-    media_sha256, feature``, and of a stored payload ``payload_bytes, payload_sha256, tail_crc32`` and ``n_bytes``.
-    Null, empty or foreign bytes have no frames, duration 0/1 and nulls where there is nothing to tell; other columns are
-    not looked at.
+    (kind of table or null) and ``vbr_right`` (whether its numbers agree with the frames), ``tags`` (map), ``seek_offsets``
+    (of every ``seek_every``-th frame), ``media_bytes, media_sha256, feature``, and of a stored payload ``payload_bytes,
+    payload_sha256, tail_crc32`` and ``n_bytes``. Null, empty or foreign bytes have no frames, duration 0/1 and nulls where
+    there is nothing to tell. Repeated rows give repeated results, an empty table none. Memory is bounded by the longest
+    media; other columns are not looked at, whatever their names.
     """
-    fields = "doc_id long, n_frames long, duration_num long, duration_den long, bad_crc long, skipped_bytes long, vbr string, tags map<string,string>, seek_offsets array<long>, media_bytes long, media_sha256 string, feature string, payload_bytes long, payload_sha256 string, tail_crc32 long, n_bytes long"
-    kinds = [pa.int64()] * 6 + [pa.string(), pa.map_(pa.string(), pa.string()), pa.list_(pa.int64()), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    fields = "doc_id long, n_frames long, duration_num long, duration_den long, bad_crc long, skipped_bytes long, vbr string, vbr_right boolean, tags map<string,string>, seek_offsets array<long>, media_bytes long, media_sha256 string, feature string, payload_bytes long, payload_sha256 string, tail_crc32 long, n_bytes long"
+    kinds = [pa.int64()] * 6 + [pa.string(), pa.bool_(), pa.map_(pa.string(), pa.string()), pa.list_(pa.int64()), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
     names = [x.split(" ")[0] for x in fields.split(", ")]
 
     def one(key, data: bytes | None) -> tuple:
@@ -205,7 +281,7 @@ def describe(media: DataFrame, id_col: str = "doc_id", media_col: str = "media",
         n = x["tags"].get("payload-bytes")
         got = payload_of(data, x) if n is not None else None
         stored = (len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-16:]), int(n)) if got is not None else (None,) * 4
-        return (key, len(x["offsets"]), d.numerator, d.denominator, x["bad_crc"], x["skipped"], x["vbr"] and x["vbr"]["kind"], list(x["tags"].items()), x["offsets"][::seek_every], len(data), hashlib.sha256(data).hexdigest(), text, *stored)
+        return (key, len(x["offsets"]), d.numerator, d.denominator, x["bad_crc"], x["skipped"], x["vbr"] and x["vbr"]["kind"], x["vbr_right"], list(x["tags"].items()), x["offsets"][::seek_every], len(data), hashlib.sha256(data).hexdigest(), text, *stored)
 
     def task(batches):
         for batch in batches:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from . import bpe, langid, mpeg, token_shards
@@ -17,46 +16,66 @@ from .simhash import near_duplicates
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: how many values were found, of which kinds and where, and the text with their pseudonyms.
+
+    A null text stays null and an empty one empty, without finds; long texts are whole; repeated rows repeat; an empty table
+    gives no rows. Without ``spark.daytrace.pii.key`` each run has a key of its own, so pseudonyms differ between runs.
+    """
     out = pseudonyms(documents(spark, sf_dir))
     return out.select("doc_id", "n_found", F.to_json("kinds").alias("kinds"), F.to_json("spans").alias("spans"), "text")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: fingerprint and component, as ``near_duplicates`` states it for nulls, ties, repeated
+    rows, long texts and an empty table."""
     return near_duplicates(documents(spark, sf_dir))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and template that a part of its text matches; null and empty texts have none, repeated
+    rows repeat, long texts are whole, templates with equal scores all stay, an empty table gives no rows."""
     return license_matches(documents(spark, sf_dir))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document, dropped ones too; of equal texts the largest identifier stays. Null texts are empty ones;
+    a null identifier stays only where all of the group are null; repeated rows are all kept; an empty table gives no rows."""
     return exact_duplicates(documents(spark, sf_dir), keep="max")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document, as ``bpe.digests`` states it for nulls, empty and long texts, repeated rows and an empty table."""
     return bpe.digests(documents(spark, sf_dir))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix_sources(documents(spark, sf_dir).select("doc_id", "source"))
-    return out.select("row.doc_id", F.col("mix_source").alias("source"), "mix_block", "mix_slot", "mix_order")
+    """The whole rows of all documents with their source, block, slot and place in the mix, as ``mix_sources`` states it
+    for nulls, ties, repeated rows and an empty table; long texts are carried whole."""
+    out = mix_sources(documents(spark, sf_dir))
+    return out.select("row.*", "mix_source", "mix_block", "mix_slot", "mix_order")
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: the payload as read back from the stored audio, its media, durations, checksums and the
+    offset of every frame. A null text is an empty one, which is stored as 192 spaces; repeated rows repeat; long texts
+    are whole; an empty table gives no rows."""
     out = mpeg.describe(mpeg.to_media(documents(spark, sf_dir)))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_num", "duration_den", "bad_crc", "skipped_bytes")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_num", "duration_den", "bad_crc", "skipped_bytes", "vbr", "vbr_right", F.to_json("tags").alias("tags"), "seek_offsets")
 
 
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document, read back from the files, as ``stored_digests`` states it for nulls, ties and repeats."""
     return token_shards.stored_digests(documents(spark, sf_dir))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with the text that is left, as ``dedup_lines`` states it for nulls, ties and repeated rows."""
     out = dedup_lines(documents(spark, sf_dir))
     return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", "text")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document, as ``langid.identify`` states it for nulls, ties, repeated rows and an empty table."""
     return langid.identify(documents(spark, sf_dir))
 
 

@@ -1,5 +1,6 @@
 """Media columns, token shards, mixing and the pipeline."""
 
+import hashlib
 import os
 import random
 import zlib
@@ -22,6 +23,10 @@ def test_media_round_trip(odd, none, docs, texts):
     for r in rows:
         payload, n = mpeg.padded(texts[r.doc_id])
         assert (r.n_bytes, r.payload_bytes, r.bad_crc, r.skipped_bytes) == (n, len(payload), 0, 0)
+        media = mpeg.store(payload, n)
+        assert (r.payload_sha256, r.media_sha256, r.media_bytes) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(media).hexdigest(), len(media))
+        assert r.vbr == "Info" and r.vbr_right and r.tags == {"payload-bytes": str(n)} and r.n_frames == len(r.seek_offsets) == len(payload) // 192
+        assert b"".join(media[o + 23 : o + 215] for o in r.seek_offsets) == payload
         assert r.tail_crc32 == zlib.crc32(payload[-16:]) and Fraction(r.duration_num, r.duration_den) == Fraction(1152 * len(payload) // 192, 48000)
     got = {r.doc_id: r for r in mpeg.describe(mpeg.to_media(odd)).collect()}
     assert got[2].media_sha256 == got[3].media_sha256 and got[2].payload_bytes == 192 and mpeg.to_media(none).count() == 0
@@ -44,6 +49,56 @@ def test_media_resynchronises_and_checks():
         assert mpeg.parse(foreign)["offsets"] == [] and mpeg.parse(foreign)["duration"] == 0
 
 
+def slow_crc(bits):
+    crc = 0xFFFF
+    for b in bits:
+        crc, top = crc << 1 & 0xFFFF, crc >> 15 ^ b
+        crc ^= 0x8005 if top else 0
+    return crc
+
+
+def bits_of(data):
+    return [x >> k & 1 for x in data for k in range(7, -1, -1)]
+
+
+@pytest.mark.parametrize("second,third,fourth,n_bits", [
+    (0xFE, 0x54, 0xC0, 128), (0xFE, 0x54, 0x00, 256), (0xFE, 0x54, 0x50, 160), (0xFC, 0x84, 0xC0, None), (0xFC, 0x80, 0x00, None), (0xFC, 0x84, 0x60, None), (0xF4, 0x84, 0x00, None),
+])
+def test_checksums_of_layers_one_and_two(second, third, fourth, n_bits):
+    head = bytes([0xFF, second, third, fourth])
+    h = mpeg.header(head)
+    rng = random.Random(second * fourth)
+    frames = b""
+    for _ in range(3):
+        body = bytes(rng.randrange(255) for _ in range(h["length"] - 6))
+        bits = mpeg.protected_bits(body, h)
+        assert n_bits in (None, bits) and 0 < bits < 8 * len(body)
+        crc = slow_crc(bits_of(head[2:]) + bits_of(body)[:bits])
+        frames += head + crc.to_bytes(2, "big") + body
+    assert (len(mpeg.parse(frames)["offsets"]), mpeg.parse(frames)["bad_crc"]) == (3, 0)
+    broken = bytearray(frames)
+    broken[h["length"] + 8] ^= 0x10
+    assert mpeg.parse(bytes(broken))["bad_crc"] == 1
+
+
+def test_layer_two_bits_by_hand():
+    h = mpeg.header(bytes([0xFF, 0xFC, 0x84, 0xC0]))  # 48 kHz, 128 kbit/s, mono: 27 subbands
+    widths = mpeg.allocation_widths(h)
+    assert (len(widths), sum(widths)) == (27, 88)
+    assert mpeg.protected_bits(bytes(100), h) == 88 and mpeg.protected_bits(b"\x10" + bytes(99), h) == 90 and mpeg.protected_bits(b"\xff" * 100, h) == 88 + 54
+    assert len(mpeg.allocation_widths(mpeg.header(bytes([0xFF, 0xFC, 0x14, 0xC0])))) == 8
+
+
+def test_free_format_and_wrong_tables():
+    head = bytes([0xFF, 0xFB, 0x04, 0xC0])  # no bitrate
+    frame = head + bytes(300)
+    got = mpeg.parse(frame * 4)
+    assert got["offsets"] == [0, 304, 608, 912] and got["skipped"] == 0 and got["duration"] == Fraction(4 * 1152, 48000)
+    assert mpeg.parse(head + bytes(40))["offsets"] == []
+    data = mpeg.store(bytes(192 * 5), 9)
+    assert mpeg.parse(data)["vbr_right"] is True and mpeg.parse(data[:-240])["vbr_right"] is False and mpeg.parse(b"")["vbr_right"] is None
+
+
 def test_header_fields():
     h = mpeg.header(b"\xff\xfb\x90\x00")
     assert (h["version"], h["layer"], h["kbits"], h["hertz"], h["length"], h["samples"], h["side"]) == (1, 3, 128, 44100, 417, 1152, 32)
