@@ -197,9 +197,9 @@ def decode(tokens: DataFrame, ids_col: str = "ids", tokenizer: str | None = None
     return tokens.withColumn("decoded", text(F.col(ids_col)))
 
 
-def digests(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Per document the number of ids and the SHA-256 of the ids, joined by a space, and of the decoded text; and, if
-    wanted, the ids.
+def digests(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document the number of ids and the SHA-256 of the ids, joined by a space, and of the decoded text; if wanted,
+    the ids; and the columns of longs in ``carry``.
 
     Encoding and decoding run in one pass over the texts, so that ids don't cross to the JVM and back, and an executor
     holds one tokenizer for each core. One row per input row; repeated rows give repeated results. A null or empty text
@@ -208,20 +208,21 @@ def digests(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = Fals
     and ``text`` are not looked at, whatever their names.
     """
     path = tokenizer or default_tokenizer()
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids + list(carry)
 
     def task(batches):
         c = codec(path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            for keys, texts in rows_of(batch, ["id", "text"]):
+            for keys, texts, *more in rows_of(batch, ["id", "text", *carry]):
                 rows = []
                 for t in texts:
                     got = c.encode(t or "")
                     rows.append((len(got), sha(" ".join(map(str, got))), sha(c.decode(got)), got if with_ids else None))
                 n, a, b, ids = zip(*rows)
                 cols = [pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(b)]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names)
+                cols += [pa.array(ids, pa.list_(pa.int32()))] * with_ids + [pa.array(x, pa.int64()) for x in more]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(task, schema)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + "".join(f", {c} long" for c in carry)
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text", *carry).mapInArrow(task, schema)

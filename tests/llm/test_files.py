@@ -247,8 +247,9 @@ def test_pipeline_against_brute_force(spark, sf, docs, library):
     assert [r.doc_id for r in mixed.collect()] == order and mixed.columns == docs.columns
     final = {r.doc_id: r.ids for r in stages["bpe_tokens"](spark, mixed, sf).collect()}
     assert final == {k: library.encode(lines[k], add_special_tokens=False).ids for k in set(comps.values())}
-    whole = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, sf).collect()}
-    assert whole == final and set(whole) <= set(rows)
+    whole = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id: r.ids for r in whole} == final and set(final) <= set(rows)
+    assert [r.doc_id for r in sorted(whole, key=lambda r: (r.mix_file, r.mix_row))] == order
 
 
 def test_stages_take_odd_rows(spark, odd, none, sf):
