@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Mapping
 from itertools import groupby
 from math import ceil
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +39,14 @@ TEMPLATES = {
     "CC0-1.0:notice": "Released into the public domain under CC0 1.0.",
 }
 
+
+
+def default_templates() -> dict[str, str]:
+    """``TEMPLATES`` and the full texts of the long licences, one file each."""
+    texts = sorted(Path(__file__).with_name("license_texts").glob("*.txt"))
+    return TEMPLATES | {p.stem: p.read_text(encoding="utf-8") for p in texts}
+
+
 _WORDS = bytes((b + 32 if chr(b) in UPPER else b) if chr(b).isalnum() and b < 128 else 32 for b in range(256))
 
 
@@ -57,30 +68,40 @@ class Matcher:
         self.most = {k: int(len(p) * r + 1e-9) for k, p in texts.items()}
         self.least = min(self.need.values(), default=1)
 
-    def windows(self, own: list[tuple[bytes, bytes]], k: str) -> list[tuple[int, float, int, int, str]]:
+    def windows(self, own: list[tuple[bytes, bytes]], before: np.ndarray, k: str) -> list[tuple[int, float, int, int, str]]:
         """(common bigrams, Dice, first, last, template) of the best windows that don't overlap. A window starts and ends
-        at a bigram of the template, as it's nearer to it without other ends."""
+        at a bigram of the template, as it's nearer to it without other ends.
+
+        ``before`` is where each bigram was last. Starts wait in a heap with a bound of their score, from the template's
+        bigrams within reach; a start is only scored when no other can be better, and not if it is in a chosen window.
+        """
         g, need, most = self.templates[k], self.need[k], self.most[k]
-        at = [i for i, p in enumerate(own) if p in g]
-        found = []
-        for first, later in zip(at, at[need - 1 :]):
-            if later - first >= most:
-                continue
-            seen, common, best = set(), 0, (0.0, 0, 0)
-            for last in range(first, min(first + most, len(own))):
-                p = own[last]
-                if p not in seen:
-                    seen.add(p)
-                    if p in g:
-                        common += 1
-                        best = max(best, (2 * common / (len(seen) + len(g)), common, last))
-            if best[0] >= self.threshold:
-                found.append((best[0], best[1], -first, best[2]))
+        inside = np.fromiter((p in g for p in own), bool, len(own))
+        at = np.flatnonzero(inside)
+        # an occurrence is new in the windows that start after the one before it and reach it
+        reach = np.zeros(len(own) + 1, np.int64)
+        np.add.at(reach, np.maximum(before[at] + 1, at - most + 1), 1)
+        np.add.at(reach, at + 1, -1)
+        near = np.cumsum(reach)[at]
+        heap = [(-2.0 * n / (n + len(g)), -len(own) - 1, i, 0) for i, n in zip(at.tolist(), near.tolist()) if n >= need]
+        heapq.heapify(heap)
         out, taken = [], bytearray(len(own))
-        for score, common, first, last in sorted(found, reverse=True):
-            if taken.find(1, -first, last + 1) < 0:
-                taken[-first : last + 1] = b"\1" * (last + 1 + first)
-                out.append((common, score, -first, last, k))
+        while heap:
+            score, common, first, last = heapq.heappop(heap)
+            if -score < self.threshold:
+                break
+            if taken[first]:
+                continue
+            if common < -len(own):
+                new = before[first : first + most] < first
+                seen, own_common = np.cumsum(new), np.cumsum(new & inside[first : first + most])
+                ends = np.flatnonzero(new & inside[first : first + most])
+                scores = 2 * own_common[ends] / (seen[ends] + len(g))
+                best = len(scores) - 1 - int(scores[::-1].argmax())
+                heapq.heappush(heap, (-float(scores[best]), -int(own_common[ends[best]]), first, -(first + int(ends[best]))))
+            elif taken.find(1, first, 1 - last) < 0:
+                taken[first : 1 - last] = b"\1" * (1 - last - first)
+                out.append((-common, -score, first, -last, k))
         return out
 
     def document(self, text: bytes) -> dict[str, float]:
@@ -90,7 +111,15 @@ class Matcher:
         common = self.known.intersection(own)
         if len(common) < self.least:
             return {}
-        found = [w for k, g in self.templates.items() if len(common & g) >= self.need[k] for w in self.windows(own, k)]
+        likely = [k for k, g in self.templates.items() if len(common & g) >= self.need[k]]
+        if not likely:
+            return {}
+        last: dict[tuple[bytes, bytes], int] = {}
+        before = np.empty(len(own), np.int64)
+        for i, p in enumerate(own):
+            before[i] = last.get(p, -1)
+            last[p] = i
+        found = [w for k in likely for w in self.windows(own, before, k)]
         best: dict[str, float] = {}
         taken = bytearray(len(own))
         for (_, score, first, last), equal in groupby(sorted(found, reverse=True), key=lambda w: w[:4]):
@@ -111,10 +140,11 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has the most in common, so a notice of one version isn't one of another, nor a part of a licence another licence. The
     score is the best over the windows. ``license`` is the template's name up to a colon.
 
-    Null and empty texts, and parts of one word, match nothing. Repeated rows give repeated results. No shuffle; other
-    columns are not looked at. Memory is bounded by the longest text.
+    Null and empty texts, and parts of one word, match nothing. Repeated rows give repeated results; an empty table gives
+    none. Very long texts are looked through whole. A null identifier stays null. No shuffle; other columns are not looked
+    at, whatever their names. Memory is bounded by the longest text.
     """
-    chosen = dict(TEMPLATES if templates is None else templates)
+    chosen = default_templates() if templates is None else dict(templates)
 
     def task(batches):
         m = Matcher(chosen, threshold)

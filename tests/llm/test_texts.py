@@ -1,5 +1,6 @@
 """Personal data, licences, language, encoding."""
 
+import functools
 import hashlib
 import itertools
 import os
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from daytrace.llm import bpe, langid, pii, token_shards
-from daytrace.llm.licenses import TEMPLATES, Matcher, license_matches
+from daytrace.llm.licenses import TEMPLATES, Matcher, default_templates, license_matches
 
 KEY = b"test"
 
@@ -161,18 +162,48 @@ def test_pii_of_odd_rows(odd, none, docs, texts):
             assert texts[r.doc_id][s.start : s.end] not in r.text or s.kind == "date"
 
 
+@functools.lru_cache(None)
+def slow_grams_of(text):
+    words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+    return {tuple(words[i : i + 2]) for i in range(len(words) - 1)}
+
+
 def slow_dice(a, b):
-    grams = lambda t: {tuple(w[i : i + 2]) for w in [re.sub("[^a-z0-9]+", " ", t.lower()).split()] for i in range(len(w) - 1)}
-    x, y = grams(a), grams(b)
+    x, y = slow_grams_of(a), slow_grams_of(b)
     return 2 * len(x & y) / (len(x) + len(y)) if x and y else 0.0
 
 
+def test_windows_against_all_windows():
+    """Every window of every text against small templates: the best one is found, and no other text matches."""
+    rng = random.Random(8)
+    words = list("abcdefgh")
+    for _ in range(150):
+        template = " ".join(rng.choices(words, k=rng.randint(2, 12)))
+        text = rng.choices([*words, "x", "y"], k=rng.randint(0, 40))
+        if rng.random() < 0.6:
+            at = rng.randint(0, len(text))
+            text[at:at] = [w for w in template.split() if rng.random() < 0.9]
+        best = max((slow_dice(" ".join(text[i:j]), template) for i in range(len(text)) for j in range(i + 2, len(text) + 1)), default=0)
+        got = Matcher({"t": template}, 0.8).document(" ".join(text).encode())
+        assert got == ({"t": pytest.approx(best)} if best >= 0.8 else {}), (template, text)
+
+
+def test_full_texts_of_long_licences():
+    m = Matcher(default_templates(), 0.8)
+    full = {k: v for k, v in default_templates().items() if k not in TEMPLATES}
+    assert len(full) >= 7
+    for name, text in full.items():
+        found = m.document(("Some words before.\n" + text.replace("\n", "\n * ") + "\nint main() { return 0; } " * 20).encode())
+        assert found == {name: 1.0}, (name, found)
+        assert m.document(" ".join(w for i, w in enumerate(text.split()) if i % 25).encode())[name] > 0.85
+
+
 def test_licenses_against_all_pairs(docs, texts):
     want = {}
     for k, t in texts.items():
         ascii_text = "".join(c if c.isascii() else " " for c in t)
         for unit in {ascii_text, *ascii_text.split("\n"), *re.split(r"\n[ \t\r]*\n", ascii_text)}:
-            scores = {name: score for name, template in TEMPLATES.items() if (score := slow_dice(unit, template)) >= 0.8}
+            scores = {name: score for name, template in default_templates().items() if (score := slow_dice(unit, template)) >= 0.8}
             for name, score in scores.items():
                 if score == max(scores.values()):
                     want[k, name] = max(score, want.get((k, name), 0))
