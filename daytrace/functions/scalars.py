@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dims import APP_CATEGORIES, CATEGORY_WEIGHTS, DOMAIN_CATEGORIES, contains_any, terms
+from .dims import APP_CATEGORIES, CATEGORY_WEIGHTS, DOMAIN_CATEGORIES, contains_any
 
 MAX_SECONDS = 7200
 
@@ -26,7 +26,7 @@ def categorize_app(name: Column) -> Column:
     """The first category with a term that the name contains, else "unknown"; a null name is "unknown"."""
     low, out = F.lower(F.trim(name)), None
     for category, words in APP_CATEGORIES.items():
-        hit = low.rlike(contains_any(terms(words)))
+        hit = low.rlike(contains_any(words))
         out = F.when(hit, category) if out is None else out.when(hit, category)
     return out.otherwise("unknown")
 
@@ -35,7 +35,7 @@ def categorize_domain(name: Column) -> Column:
     """D1 for web domains: productive, distractive or, by default, neutral."""
     low, out = F.lower(F.trim(name)), None
     for category, words in DOMAIN_CATEGORIES.items():
-        hit = low.rlike(contains_any(terms(words)))
+        hit = low.rlike(contains_any(words))
         out = F.when(hit, category) if out is None else out.when(hit, category)
     return out.otherwise("neutral")
 

@@ -15,8 +15,11 @@ PII_PATTERNS = {
     "email": [r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"],
     "phone": [r"\b(?:\+1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"],
 }
-STOPWORDS = """the a an and or but in on at to for of with by from is are was were been be have has had do does did will
-would could should may might this that it its they them their we our you your""".split()
+STOPWORDS = (
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are", "was", "were", "been", "be", "have",
+    "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "this", "that", "it", "its", "they", "them", "their", "we",
+    "our", "you", "your",
+)
 TOPICS = {
     "software engineering": ["function", "class", "variable", "algorithm", "api", "code", "programming", "software", "developer", "github", "debug", "refactor", "lint", "test", "deploy", "build"],
     "machine learning and AI": ["model", "training", "neural", "embedding", "inference", "llm", "gpt", "pytorch", "tensorflow", "dataset", "accuracy", "loss", "gradient", "fine-tune", "transformer"],

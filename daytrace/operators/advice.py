@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import capped
 from ..session import bounded, cut_lineage
 
-# Extensions of content that isn't ingested, corrections of names, relationship by entity type of an activity.
+# Extensions of content that isn't ingested, corrections of names.
 BINARY = ["png", "jpg", "jpeg", "gif", "webp", "svg", "ico", "mp4", "mp3", "wav", "avi", "mov", "zip", "tar", "gz", "rar", "exe", "dmg", "iso", "woff", "woff2", "ttf", "bin"]
 CORRECTIONS = {"pyhton": "Python", "javscript": "JavaScript", "githb": "GitHub", "kuberntes": "Kubernetes"}
 CASING = {"github": "GitHub", "javascript": "JavaScript", "postgresql": "PostgreSQL", "vscode": "VS Code", "youtube": "YouTube", "pycharm": "PyCharm"}
-LEARNING = {"page_view": ("LEARNED_FROM", 1, 0.6), "app_focus": ("CONTRIBUTED_TO", 2, 0.55), "meeting": ("WORKS_ON", 3, 0.5)}
 
 
 def ingestible(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
@@ -44,16 +43,6 @@ def role_readiness(skills: DataFrame, roles: DataFrame) -> DataFrame:
     return y.select("user_id", "role", "readiness", "missing", (rank == 1).alias("best_fit"))
 
 
-def wellness(acts: DataFrame) -> DataFrame:
-    """Session balance, variety, hours and breaks of 0 to 100 and their blend (.3, .2, .3, .2); burnout risk by the
-    number of activities of two hours."""
-    s = capped(F.col("duration_seconds"))
-    x = acts.groupBy("user_id").agg(F.avg(s).alias("mean"), F.count_distinct(F.coalesce("app", "domain")).alias("variety"), (F.sum(s) / 3600 / F.count_distinct(F.to_date("occurred_at"))).alias("hours"), F.count(F.when(F.col("type") == "break", 1)).alias("breaks"), F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("duration_seconds") >= 7200, 1)).alias("long"))
-    balance = F.greatest(F.lit(0.0), 100 - F.abs(F.col("mean") - 1500) / 30)
-    variety, hours, breaks = F.least(F.lit(100.0), F.col("variety") * 10.0), F.greatest(F.lit(0.0), 100 - F.abs(F.col("hours") - 6) * 12.5), F.least(F.lit(100.0), F.col("breaks") / F.col("n") * 400)
-    return x.select("user_id", F.round(0.3 * balance + 0.2 * variety + 0.3 * hours + 0.2 * breaks, 6).alias("wellness_score"), F.when(F.col("long") >= 5, "high").when(F.col("long") >= 2, "moderate").otherwise("low").alias("burnout_risk"))
-
-
 def recommend_tools(used: DataFrame, k: int = 3) -> DataFrame:
     """For each user, the ``k`` tools (``user_id, app``) that users with most tools in common have and the user hasn't."""
     u = used.select("user_id", "app").distinct()
@@ -80,18 +69,6 @@ def code_symbols(source: Column) -> dict[str, Column]:
     return {"imports": pick(r"(?m)^\s*(?:from|import)\s+([A-Za-z_][\w.]*)"), "functions": pick(r"(?m)^\s*def\s+([A-Za-z_]\w*)"), "classes": pick(r"(?m)^\s*class\s+([A-Za-z_]\w*)")}
 
 
-def learning_edges(acts: DataFrame) -> DataFrame:
-    """Relations of a user to what it works with, by type of activity, from a least number on, with a confidence
-    that rises by .05 for each."""
-    place = F.coalesce("app", "domain")
-    out = None
-    for kind, (rel, least, base) in LEARNING.items():
-        x = acts.filter(F.col("type") == kind).groupBy("user_id", place.alias("item")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-        x = x.select("user_id", "item", F.lit(rel).alias("rel_type"), "n", F.least(F.lit(0.95), base + 0.05 * F.col("n")).alias("confidence"))
-        out = x if out is None else out.unionByName(x)
-    return out
-
-
 def missing_props(edges: DataFrame, required: Mapping[str, list[str]]) -> DataFrame:
     """Required properties of its type that each edge (``rel_type, props`` map) doesn't have."""
     table = F.create_map(*[v for k, ps in required.items() for v in (F.lit(k), F.array(*[F.lit(p) for p in ps]))])

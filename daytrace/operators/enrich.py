@@ -7,14 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Title patterns and their tags, in this order; type names of older clients; file extensions; tools.
-TITLE_TAGS = [
-    (r"pull request|merge request|pr #\d+", "development"), (r"issue #?\d+|bug report|feature request", "project_management"), (r"standup|daily sync|sprint planning|retro", "meeting"), (r"1:1|one-on-one|1-on-1", "meeting"),
-    (r"interview|hiring|candidate", "meeting"), (r"deploy|release|rollback|hotfix", "development"), (r"debug|error|stack trace|exception", "development"), (r"test|testing|spec|coverage", "development"), (r"review|feedback|approval", "project_management"), (r"onboarding|training|workshop", "learning"),
-]
+# Type names of older clients; acronyms.
 OLD_TYPES = {"page_view": "web_visit", "tab_focus": "web_visit", "window_focus": "app_focus"}
-DOMAIN_TAGS = {"github.com": ("development", "version_control"), "stackoverflow.com": ("development", "q_and_a"), "docs.python.org": ("documentation", "reference"), "google.com": ("communication", "suite"), "youtube.com": ("entertainment", "video"), "reddit.com": ("social", "forum"), "twitter.com": ("social", "microblog")}
-APP_TAGS = {"vscode": "development", "pycharm": "development", "terminal": "development", "slack": "communication", "zoom": "meeting", "teams": "meeting", "notion": "documentation", "chrome": "browsing", "firefox": "browsing", "outlook": "communication", "spotify": "entertainment"}
 ACRONYMS = ["api", "sql", "aws", "gcp", "ml", "ai", "nlp", "ui", "ux"]
 
 
@@ -25,52 +19,6 @@ def normalise_ingest(events: DataFrame, ip: Column) -> DataFrame:
     return events.withColumn("type", kind).withColumn("ip_hash", F.substring(F.sha2(ip, 256), 1, 16))
 
 
-def parent_domains(domain: Column) -> Column:
-    """The domain and every parent of it with at least one dot, the longest first."""
-    parts = F.split(F.lower(domain), r"\.")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-
-
-def domain_tags(acts: DataFrame, dim: DataFrame) -> DataFrame:
-    """Tag and subtag of each activity's domain, or of the nearest parent that the dimension (``domain, tag,
-    subtag``) has."""
-    rows = acts.filter("domain is not null").select("id", F.posexplode(parent_domains(F.col("domain"))).alias("place", "key"))
-    hits = rows.join(dim.withColumnRenamed("domain", "key"), "key")
-    return hits.groupBy("id").agg(F.min(F.struct("place", "tag", "subtag")).alias("x")).select("id", "x.tag", "x.subtag")
-
-
-def auto_tag(acts: DataFrame, domains: DataFrame, apps: Mapping[str, str]) -> DataFrame:
-    """H5: tags with confidence from the domain (.95), the application (.90, by name or by one containing the other) and
-    the title (.80); the primary tag is the most confident, the first of equal ones."""
-    low = F.lower("app")
-    exact = F.element_at(F.create_map(*[F.lit(x) for kv in apps.items() for x in kv]), low)
-    inside = F.coalesce(*[F.when(F.contains(low, F.lit(a)) | F.contains(F.lit(a), low), t) for a, t in sorted(apps.items())])
-    title = F.lower("title")
-    by_title = F.array_distinct(F.array_compact(F.array(*[F.when(title.rlike(p), t) for p, t in TITLE_TAGS])))
-    x = acts.select("id", F.coalesce(exact, inside).alias("app_tag"), by_title.alias("title_tags")).join(domain_tags(acts, domains), "id", "left")
-    tags = F.array_distinct(F.array_compact(F.concat(F.array("tag", "app_tag"), F.coalesce("title_tags", F.array().cast("array<string>")))))
-    confidence = F.when(F.col("tag").isNotNull(), 0.95).when(F.col("app_tag").isNotNull(), 0.9).when(F.size("title_tags") > 0, 0.8).otherwise(0.0)
-    return x.select("id", F.get(tags, 0).alias("primary_tag"), confidence.alias("confidence"), F.size(tags).cast("long").alias("n_tags"))
-
-
-def mentions(acts: DataFrame) -> DataFrame:
-    """H6: entity mentions of each activity: its application, its domain's organisation, and Title-Case pairs of the
-    title (two at most); one row for each (activity, type, name)."""
-    org = F.initcap(F.regexp_extract("domain", r"([^.]+)\.[^.]+$", 1))
-    pairs = F.slice(F.regexp_extract_all("title", F.lit(r"\b([A-Z][a-z]+ [A-Z][a-z]+)\b"), 1), 1, 2)
-    found = F.concat(
-        F.when(F.col("app").isNotNull(), F.array(F.struct(F.lit("tool").alias("entity_type"), F.lower("app").alias("name")))).otherwise(F.array().cast("array<struct<entity_type:string,name:string>>")),
-        F.when(org != "", F.array(F.struct(F.lit("organization").alias("entity_type"), org.alias("name")))).otherwise(F.array().cast("array<struct<entity_type:string,name:string>>")),
-        F.coalesce(F.transform(pairs, lambda p: F.struct(F.lit("person").alias("entity_type"), p.alias("name"))), F.array().cast("array<struct<entity_type:string,name:string>>")),
-    )
-    return acts.select("id", "user_id", "occurred_at", F.explode(F.array_distinct(found)).alias("m")).select("id", "user_id", "occurred_at", "m.entity_type", "m.name")
-
-
-def upsert_entities(found: DataFrame) -> DataFrame:
-    """One entity for each (user, name, type), with count and first and last time seen."""
-    return found.groupBy("user_id", "entity_type", "name").agg(F.count(F.lit(1)).alias("occurrence_count"), F.min("occurred_at").alias("first_seen"), F.max("occurred_at").alias("last_seen"))
-
-
 def upsert_nodes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Nodes or edges (``name, seen, first_seen``) after a merge: the newest name that isn't null, and the
     earliest and latest times; of equal times the new row's."""

@@ -10,33 +10,6 @@ LEVELS = [(0, "beginner"), (20, "intermediate"), (50, "advanced"), (100, "expert
 MILESTONES = {"activities": [100, 500, 1000], "hours": [10, 50, 100], "apps": [5, 10, 15]}
 
 
-def work_life_balance(daily: DataFrame) -> DataFrame:
-    """Weekend share, long days (over 2 h here is a parameter of the caller's facts), mean hours and a score of 0 to 100."""
-    weekend = F.weekday("date") >= 5
-    x = daily.groupBy("user_id").agg(F.count(F.lit(1)).alias("days"), F.avg("total_hours").alias("mean_hours"), F.count(F.when(weekend, 1)).alias("weekend_days"), F.count(F.when(F.col("total_hours") > 8, 1)).alias("long_days"), F.stddev_pop("total_hours").alias("spread"))
-    share = F.col("weekend_days") / F.col("days")
-    score = F.greatest(F.lit(0.0), 100 - 40 * share - 40 * F.col("long_days") / F.col("days") - 5 * F.least(F.col("spread"), F.lit(4.0)))
-    return x.select("user_id", "days", F.round("mean_hours", 6).alias("mean_hours"), F.round(share, 6).alias("weekend_share"), "long_days", F.round(score, 6).alias("balance_score"))
-
-
-def stress_index(daily: DataFrame) -> DataFrame:
-    """0 to 100 from switches (40 a day is the most), meeting load, distraction and missing breaks; and its factor
-    with most weight, the first of equal ones."""
-    x = daily.groupBy("user_id").agg(F.avg("context_switches").alias("switches"), F.avg("meeting_load_pct").alias("meetings"), F.avg("distraction_index").alias("distraction"), F.avg("break_quality").alias("breaks"))
-    parts = {"switches": F.least(F.col("switches") / 40, F.lit(1.0)) * 30, "meetings": F.least(F.col("meetings") / 100, F.lit(1.0)) * 30, "distraction": F.least(F.col("distraction") / 100, F.lit(1.0)) * 20, "breaks": (1 - F.col("breaks") / 10) * 20}
-    total = sum(parts.values(), F.lit(0.0))
-    most = F.greatest(*[F.round(p, 9) for p in parts.values()])
-    factor = F.coalesce(*[F.when(F.round(p, 9) == most, n) for n, p in parts.items()])
-    return x.select("user_id", F.round(total, 6).alias("stress_index"), factor.alias("main_factor"), F.when(total >= 60, "high").when(total >= 35, "moderate").otherwise("low").alias("level"))
-
-
-def energy_levels(hourly: DataFrame) -> DataFrame:
-    """Each user's hours against the mean of the hours with activity: high, normal or low."""
-    mean = F.avg(F.when(F.col("seconds") > 0, F.col("seconds"))).over(Window.partitionBy("user_id"))
-    x = hourly.withColumn("mean", mean)
-    return x.select("user_id", "hour", "seconds", F.when(F.col("seconds") >= 1.2 * F.col("mean"), "high").when(F.col("seconds") >= 0.8 * F.col("mean"), "normal").otherwise("low").alias("energy"))
-
-
 def skill_hours(acts: DataFrame, skills: DataFrame) -> DataFrame:
     """D9, D30, C11g: hours of each skill by user, its share, mastery level and progress to the next level.
 

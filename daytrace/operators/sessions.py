@@ -112,44 +112,58 @@ def break_patterns(acts: DataFrame, least: int = 300, most: int = 7200) -> DataF
     return x.agg(F.count(F.lit(1)).alias("breaks"), F.round(F.avg("gap") / 60, 3).alias("avg_minutes"), F.round(F.max("gap") / 60, 3).alias("longest_minutes"))
 
 
-def break_classification(acts: DataFrame, least: int = 300) -> DataFrame:
-    """E5: pauses between starts of ``least`` seconds or more, by size and by kind: after work of an hour or more a
-    pause is "natural", around noon (11 to 14 h) "scheduled", else "forced"."""
+def _pauses(acts: DataFrame) -> DataFrame:
+    """Seconds from the start before to each start of a user, what was worked then (30 s if untold), and both applications."""
     w = Window.partitionBy("user_id").orderBy(*BY_TIME)
-    rows = acts.select("user_id", *BY_TIME, _seconds("occurred_at").alias("t"), F.coalesce("duration_seconds", F.lit(0)).alias("secs"))
-    rows = rows.withColumn("pause", F.col("t") - F.lag("t").over(w)).withColumn("worked", F.lag("secs").over(w)).filter(F.col("pause") >= least)
-    p, hour = F.col("pause"), F.hour("occurred_at")
-    size = F.when(p < 600, "micro").when(p < 1200, "short").when(p < 2700, "medium").when(p < 5400, "long").otherwise("extended")
-    kind = F.when(F.col("worked") >= 3600, "natural").when((hour >= 11) & (hour <= 14), "scheduled").otherwise("forced")
-    return rows.groupBy("user_id", size.alias("size"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("pause") / 60, 2).alias("minutes"))
+    rows = acts.select("user_id", *BY_TIME, _seconds("occurred_at").alias("t"), F.coalesce(F.nullif("duration_seconds", F.lit(0)), F.lit(30)).alias("secs"), F.coalesce("app", F.lit("")).alias("app"))
+    return rows.withColumns({"pause": F.col("t") - F.lag("t").over(w), "worked": F.lag("secs").over(w), "before": F.lag("app").over(w)}).filter("pause is not null")
+
+
+def break_classification(acts: DataFrame, least: int = 300) -> DataFrame:
+    """E5: pauses from start to start of ``least`` seconds or more, by day, size (15, 30 and 60 minutes) and kind: forced from
+    60 minutes, scheduled if the application is the same after it, else natural."""
+    rows, p = _pauses(acts).filter(F.col("pause") >= least), F.col("pause")
+    size = F.when(p < 300, "micro").when(p < 900, "short").when(p < 1800, "medium").when(p < 3600, "long").otherwise("extended")
+    kind = F.when(p >= 3600, "forced").when(F.col("before") == F.col("app"), "scheduled").otherwise("natural")
+    return rows.groupBy("user_id", F.to_date("occurred_at").alias("date"), size.alias("size"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("pause") / 60, 4).alias("minutes"))
+
+
+def break_balance(acts: DataFrame, least: int = 300, ideal: float = 0.33) -> DataFrame:
+    """E5: minutes of breaks against minutes of work of each user, and 10 less 20 for each unit away from the ideal ratio."""
+    x = _pauses(acts).groupBy("user_id").agg((F.coalesce(F.sum(F.when(F.col("pause") >= least, F.col("pause"))), F.lit(0.0)) / 60).alias("b"), (F.sum("worked") / 60).alias("w"))
+    ratio = F.when(F.col("w") > 0, F.col("b") / F.col("w")).otherwise(0.0)
+    return x.select("user_id", F.round("b", 4).alias("break_minutes"), F.round("w", 4).alias("work_minutes"), F.round(ratio, 4).alias("ratio"), F.round(F.greatest(F.lit(0.0), 10 - F.abs(ratio - ideal) * 20), 4).alias("optimal_break_score"))
 
 
 def focus_periods(acts: DataFrame, gap: int = 300, distractions: int = 3, least: int = 60) -> DataFrame:
-    """Periods by user and day that end at a gap of more than ``gap`` seconds or at the third change of application.
+    """Periods of each user that end at a gap between starts of more than ``gap`` seconds, or at the third row with
+    another application than the period's own; then that row's is the next period's.
 
-    Depth: flow from 45 minutes, deep from 25, focused from 15, moderate from 5, else shallow; quality is 100 at most,
-    two points a minute, less 5 for each change. The day's rows are folded in order, as a change that ends a period starts
-    the count anew.
+    A period lasts from its first to its last start, ``least`` seconds or more. Depth: flow_state from 45 minutes, deep_work
+    from 25, focused from 15, moderate from 5, else shallow; quality is 100, 85, 70, 50 or 25 by depth, less 5 for each other
+    row; a period that ended at the third counts three less, so none. The rows between two gaps are folded in order, so an
+    array is as long as work without a gap.
     """
-    rows = acts.select("user_id", F.to_date("occurred_at").alias("date"), F.struct(_seconds("occurred_at").alias("t"), "id", F.coalesce("app", "domain", "type").alias("app"), capped(F.col("duration_seconds")).cast("double").alias("s")).alias("r"))
-    days = rows.groupBy("user_id", "date").agg(F.sort_array(F.collect_list("r")).alias("rs"))
-    period = "struct<start:double,end:double,secs:double,changes:int,app:string>"
-    fresh = lambda r: F.struct(r["t"].alias("start"), (r["t"] + r["s"]).alias("end"), r["s"].alias("secs"), F.lit(0).alias("changes"), r["app"].alias("app"))
-    start = F.struct(F.lit(None).cast(f"array<{period}>").alias("done"), F.lit(None).cast(period).alias("now"))
+    w = Window.partitionBy("user_id").orderBy(*BY_TIME)
+    rows = acts.select("user_id", *BY_TIME, _seconds("occurred_at").alias("t"), F.coalesce(F.nullif("app", F.lit("")), F.lit("Unknown")).alias("app"))
+    cut = F.coalesce((F.col("t") - F.lag("t").over(w) > gap).cast("int"), F.lit(1))
+    rows = rows.withColumn("cut", cut).withColumn("segment", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy("user_id", "segment").agg(F.sort_array(F.collect_list(F.struct("t", "id", "app"))).alias("rs"))
+    period = "struct<start:double,end:double,app:string,other:int>"
+    start = F.struct(F.array().cast(f"array<{period}>").alias("done"), F.lit(None).cast(period).alias("now"))
+    made = lambda a, b, app, n: F.struct(a.alias("start"), b.alias("end"), app.alias("app"), n.cast("int").alias("other"))
 
     def step(s, r):
-        now = s["now"]
-        changes = now["changes"] + (r["app"] != now["app"]).cast("int")
-        ends = now.isNotNull() & ((r["t"] - now["end"] > gap) | (changes >= distractions))
-        grown = F.struct(now["start"].alias("start"), F.greatest(now["end"], r["t"] + r["s"]).alias("end"), (now["secs"] + r["s"]).alias("secs"), changes.alias("changes"), r["app"].alias("app"))
-        done = F.when(ends, F.concat(F.coalesce(s["done"], F.array().cast(f"array<{period}>")), F.array(now))).otherwise(s["done"])
-        return F.struct(done.alias("done"), F.when(now.isNull() | ends, fresh(r)).otherwise(grown).alias("now"))
-
-    folded = days.select("user_id", "date", F.explode(F.aggregate("rs", start, step, lambda s: F.concat(F.coalesce(s["done"], F.array().cast(f"array<{period}>")), F.array(s["now"])))).alias("p"))
-    minutes = F.col("p.secs") / 60
-    depth = F.when(minutes >= 45, "flow").when(minutes >= 25, "deep").when(minutes >= 15, "focused").when(minutes >= 5, "moderate").otherwise("shallow")
-    quality = F.greatest(F.lit(0.0), F.least(F.lit(100.0), minutes * 2) - 5 * F.col("p.changes"))
-    return folded.filter(F.col("p.secs") >= least).select("user_id", "date", F.floor("p.start").alias("started"), F.col("p.secs").cast("long").alias("seconds"), F.col("p.changes").cast("long").alias("changes"), depth.alias("depth"), F.round(quality, 4).alias("quality"))
+        now, other = s["now"], s["now"]["other"] + (r["app"] != s["now"]["app"]).cast("int")
+        ends = (r["app"] != now["app"]) & (other >= distractions)
+        done = F.when(now.isNotNull() & ends, F.array_append(s["done"], made(now["start"], now["end"], now["app"], other - distractions))).otherwise(s["done"])
+        return F.struct(done.alias("done"), F.when(now.isNull() | ends, made(r["t"], r["t"], r["app"], F.lit(0))).otherwise(made(now["start"], r["t"], now["app"], other)).alias("now"))
+
+    found = runs.select("user_id", F.explode(F.aggregate("rs", start, step, lambda s: F.array_append(s["done"], s["now"]))).alias("p"))
+    secs = F.col("p.end") - F.col("p.start")
+    depth = F.when(secs >= 2700, "flow_state").when(secs >= 1500, "deep_work").when(secs >= 900, "focused").when(secs >= 300, "moderate").otherwise("shallow")
+    base = F.when(secs >= 2700, 100).when(secs >= 1500, 85).when(secs >= 900, 70).when(secs >= 300, 50).otherwise(25)
+    return found.filter(secs >= least).select("user_id", F.floor("p.start").alias("started"), F.round(secs / 60, 4).alias("minutes"), F.col("p.app").alias("app"), F.col("p.other").cast("long").alias("distractions"), depth.alias("depth"), F.greatest(F.lit(0), base - 5 * F.col("p.other")).cast("long").alias("quality_score"))
 
 
 def longest_run(days: DataFrame, test: Column, name: str) -> DataFrame:

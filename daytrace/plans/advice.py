@@ -26,17 +26,6 @@ add("a12_export_analytics", lambda s, d: daily_metrics(activities(s, d)).withCol
     "SELECT * FROM (UNPIVOT (SELECT 'daily' AS section, user_id, date, total_hours, deep_work_hours, focus_score FROM metrics) ON total_hours, deep_work_hours, focus_score INTO NAME metric VALUE value)", *ALL)
 add("a16_gdpr_export", lambda s, d: activities(s, d).groupBy("user_id").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "type", "app"))), lambda r: F.to_json(r)), "\n"), 256).alias("bundle_sha256"), F.count(F.lit(1)).alias("n")),
     """SELECT user_id, sha256(string_agg('{"id":' || id || ',"type":"' || type || '"' || CASE WHEN app IS NULL THEN '' ELSE ',"app":"' || app || '"' END || '}', chr(10) ORDER BY id)) AS bundle_sha256, count(*) AS n FROM activities GROUP BY 1""", ACTIVITIES)
-add("c11d_lookup_domain_org", lambda s, d: activities(s, d).filter("domain is not null").select("id", F.when(F.col("domain").rlike(r"\.(edu|ac\.[a-z]+)$"), "education").when(F.col("domain").rlike(r"\.gov$"), "government").when(F.col("domain").rlike(r"\.org$"), "nonprofit").otherwise("company").alias("org_type")),
-    r"SELECT id, CASE WHEN regexp_matches(domain, '\.(edu|ac\.[a-z]+)$') THEN 'education' WHEN regexp_matches(domain, '\.gov$') THEN 'government' WHEN regexp_matches(domain, '\.org$') THEN 'nonprofit' ELSE 'company' END AS org_type FROM activities WHERE domain IS NOT NULL", ACTIVITIES)
-
-
-def _c11e(s, d):
-    dim = s.createDataFrame([("html", "page"), ("php", "script"), ("pdf", "document")], "extension string, kind string")
-    ext = F.lower(F.regexp_extract(F.regexp_replace("url", r"[?#].*$", ""), r"\.([A-Za-z0-9]+)$", 1))
-    return table(s, d, "pages").select("page_id", ext.alias("extension")).join(dim, "extension", "left").select("page_id", F.coalesce("kind", F.lit("other")).alias("kind"))
-
-
-add("c11e_lookup_file_type", _c11e, r"SELECT page_id, coalesce(kind, 'other') AS kind FROM (SELECT page_id, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '\.([A-Za-z0-9]+)$', 1)) AS e FROM pages) LEFT JOIN (VALUES ('html', 'page'), ('php', 'script'), ('pdf', 'document')) v(e, kind) USING (e)")
 
 
 def _d29(s, d):
@@ -52,10 +41,6 @@ ROLES = {"analyst": ["Data Analysis", "Writing", "Coding"], "engineer": ["Coding
 add("d31_role_readiness", lambda s, d: V.role_readiness(O.skill_hours(activities(s, d), skill_table(s)).filter("hours >= 2"), s.createDataFrame(list(ROLES.items()), "role string, required array<string>")).select("user_id", "role", F.round("readiness", 6).alias("readiness"), F.array_join("missing", ",").alias("missing"), "best_fit"),
     "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY readiness DESC, role) = 1 AS best_fit FROM (SELECT user_id, role, round(len(list_intersect(own, req)) / len(req), 6) AS readiness, array_to_string(list_sort(list_filter(req, lambda r: NOT list_contains(own, r))), ',') AS missing FROM (SELECT user_id, list(DISTINCT skill) AS own FROM hours WHERE round(hours, 6) >= 2 GROUP BY 1), (VALUES "
     + ", ".join(f"('{r}', [" + ", ".join(f"'{x}'" for x in xs) + "])" for r, xs in ROLES.items()) + ") v(role, req))", ACTIVITIES, SK, HOURS)
-add("d11_wellness_basic", lambda s, d: V.wellness(activities(s, d)),
-    """SELECT user_id, round(0.3 * greatest(0.0, 100 - abs(m - 1500) / 30) + 0.2 * least(100.0, v * 10.0) + 0.3 * greatest(0.0, 100 - abs(h - 6) * 12.5) + 0.2 * least(100.0, b / n * 400), 6)::DOUBLE AS wellness_score, CASE WHEN l >= 5 THEN 'high' WHEN l >= 2 THEN 'moderate' ELSE 'low' END AS burnout_risk
-       FROM (SELECT user_id, avg(s) AS m, count(DISTINCT coalesce(app, domain)) AS v, sum(s) / 3600 / count(DISTINCT occurred_at::DATE) AS h, count(*) FILTER (type = 'break') AS b, count(*) AS n, count(*) FILTER (duration_seconds >= 7200) AS l
-             FROM (SELECT *, least(coalesce(duration_seconds, 0), 7200) AS s FROM activities) GROUP BY 1)""", ACTIVITIES)
 add("d12_weekly_summary", lambda s, d: P.top_keys(activities(s, d).withColumn("week_start", F.date_trunc("week", "occurred_at").cast("date")), 3, ("user_id", "week_start")),
     f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, week_start ORDER BY seconds DESC, key) AS rank FROM (SELECT user_id, date_trunc('week', occurred_at)::DATE AS week_start, {KEY} AS key, sum(least(coalesce(duration_seconds, 0), 7200))::BIGINT AS seconds FROM activities GROUP BY 1, 2, 3)) WHERE rank <= 3", ACTIVITIES)
 add("d38_weekly_trends", lambda s, d: S.week_over_week(daily_metrics(activities(s, d)), "deep_work_hours").select("user_id", "week_start", "direction"),
@@ -72,8 +57,6 @@ add("d53_quota_usage", lambda s, d: S.sliding_quota(request_log(s, d), QUOTA).gr
 add("d54_duplicate_scan_stats", lambda s, d: R.entity_pairs(entities(s, d), 0.8).groupBy("entity_type").agg(F.count(F.lit(1)).alias("pairs"), F.count(F.when(F.col("score") >= 0.95, 1)).alias("auto_merged"), F.count(F.when(F.col("score") < 0.95, 1)).alias("suggested")))
 add("h9_spelling_correct", lambda s, d: activities(s, d).filter("app is not null").select("id", V.spelling(F.concat("app", F.lit(" pyhton"))).alias("name")), "SELECT id, " + "CASE lower(app) " + " ".join(f"WHEN '{a.lower()}' THEN '{V.CASING[a.lower()]}'" for a in APPS if a.lower() in V.CASING) + " ELSE app END || ' Python' AS name FROM activities WHERE app IS NOT NULL", ACTIVITIES)
 add("h16_graph_tags", lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(V.content_tags(F.col("source"), F.pmod("doc_id", F.lit(100))), ",").alias("tags")), "SELECT doc_id, CASE WHEN doc_id % 100 >= 70 THEN 'tier:core,' WHEN doc_id % 100 >= 50 THEN 'tier:important,' WHEN doc_id % 100 >= 35 THEN 'tier:useful,' ELSE '' END || 'type:' || source AS tags FROM documents")
-add("k26_infer_learning", lambda s, d: V.learning_edges(activities(s, d)).withColumn("confidence", F.round("confidence", 6)),
-    "SELECT user_id, item, rel_type, n, round(least(0.95, base + 0.05 * n)::DOUBLE, 6) AS confidence FROM (SELECT user_id, coalesce(app, domain) AS item, type, count(*) AS n FROM activities GROUP BY 1, 2, 3) JOIN (VALUES ('page_view', 'LEARNED_FROM', 1, 0.6), ('app_focus', 'CONTRIBUTED_TO', 2, 0.55), ('meeting', 'WORKS_ON', 3, 0.5)) v(type, rel_type, least_n, base) USING (type) WHERE n >= least_n", ACTIVITIES)
 add("k27_infer_relation_type", lambda s, d: G.cross_type(links(s, d), entities(s, d), 3, 50).select("a", "b", F.when(F.col("weight") >= 5, "STRONGLY_RELATED").otherwise("RELATED_TO").alias("rel_type")),
     """SELECT a, b, CASE WHEN weight >= 5 THEN 'STRONGLY_RELATED' ELSE 'RELATED_TO' END AS rel_type FROM (SELECT *, row_number() OVER (PARTITION BY ta, tb ORDER BY weight DESC, a, b) AS r FROM (
          SELECT least(x.entity_type, y.entity_type) AS ta, greatest(x.entity_type, y.entity_type) AS tb, CASE WHEN x.entity_type < y.entity_type THEN src ELSE dst END AS a, CASE WHEN x.entity_type < y.entity_type THEN dst ELSE src END AS b, weight

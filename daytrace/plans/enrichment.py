@@ -18,30 +18,8 @@ from .productivity import ALL, KEY, TYPES, daily_metrics
 from .registry import add, dates_as_text
 
 PROFILES = {"de": ["der", "die", "und", "das", "ist", "den", "von", "mit", "ein"], "en": ["the", "of", "and", "to", "in", "is", "that", "for", "it"], "es": ["de", "la", "que", "el", "los", "las", "una", "por", "su"], "fr": ["le", "les", "des", "et", "est", "un", "pour", "dans", "du"]}
-DOMAINS_SQL = "dim AS (SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{t}', '{u}')" for d, (t, u) in N.DOMAIN_TAGS.items()) + ") v(domain, tag, subtag))"
-
-
-def domain_dim(s):
-    return s.createDataFrame([(d, *t) for d, t in N.DOMAIN_TAGS.items()], "domain string, tag string, subtag string")
-
-
 add("a1_ingest_normalise", lambda s, d: N.normalise_ingest(activities(s, d).select("id", "type", "user_id"), F.concat(F.lit("10.0.0."), F.col("user_id").cast("string"))).select("id", "type", "ip_hash"),
     "SELECT id, CASE WHEN type IN ('page_view', 'tab_focus') THEN 'web_visit' WHEN type = 'window_focus' THEN 'app_focus' ELSE type END AS type, substr(sha256('10.0.0.' || user_id::VARCHAR), 1, 16) AS ip_hash FROM activities", ACTIVITIES)
-add("c11b_lookup_domain_tag", lambda s, d: N.domain_tags(activities(s, d), domain_dim(s)),
-    "SELECT id, tag, subtag FROM (SELECT a.id, d.tag, d.subtag, row_number() OVER (PARTITION BY a.id ORDER BY length(d.domain) DESC) AS r FROM activities a JOIN dim d ON a.domain = d.domain OR ends_with(a.domain, '.' || d.domain)) WHERE r = 1", ACTIVITIES, DOMAINS_SQL)
-APP_CASE = "coalesce(CASE lower(app) " + " ".join(f"WHEN '{a}' THEN '{t}'" for a, t in N.APP_TAGS.items()) + " END, " + ", ".join(f"CASE WHEN contains(lower(app), '{a}') OR contains('{a}', lower(app)) THEN '{t}' END" for a, t in sorted(N.APP_TAGS.items())) + ")"
-TITLE_LIST = "list_distinct(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(title), '{p}') THEN '{t}' END" for p, t in N.TITLE_TAGS) + "], lambda x: x IS NOT NULL))"
-TITLE_FIRST = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(lower(title), '{p}') THEN '{t}' END" for p, t in N.TITLE_TAGS) + ")"
-add("h5_auto_tag", lambda s, d: N.auto_tag(activities(s, d), domain_dim(s), N.APP_TAGS),
-    f"""SELECT id, coalesce(tag, app_tag, first) AS primary_tag, CASE WHEN tag IS NOT NULL THEN 0.95 WHEN app_tag IS NOT NULL THEN 0.9 WHEN len(tt) > 0 THEN 0.8 ELSE 0 END::DOUBLE AS confidence,
-               len(list_distinct(list_filter(list_concat([tag, app_tag], coalesce(tt, [])), lambda x: x IS NOT NULL))) AS n_tags
-        FROM (SELECT a.id, {APP_CASE} AS app_tag, {TITLE_LIST} AS tt, {TITLE_FIRST} AS first, (SELECT arg_max(d.tag, length(d.domain)) FROM dim d WHERE a.domain = d.domain OR ends_with(a.domain, '.' || d.domain)) AS tag FROM activities a)""", ACTIVITIES, DOMAINS_SQL)
-MENTIONS = """
-mentions AS (SELECT id, user_id, occurred_at, 'tool' AS entity_type, lower(app) AS name FROM activities WHERE app IS NOT NULL UNION ALL
-             SELECT id, user_id, occurred_at, 'organization', upper(o[1:1]) || o[2:] FROM (SELECT *, regexp_extract(domain, '([^.]+)\\.[^.]+$', 1) AS o FROM activities WHERE domain IS NOT NULL) WHERE o <> '')"""
-add("h6_lightweight_ner", lambda s, d: N.mentions(activities(s, d)).select("id", "entity_type", "name"), "SELECT id, entity_type, name FROM mentions", ACTIVITIES, MENTIONS)
-add("a9_upsert_entities", lambda s, d: N.upsert_entities(N.mentions(activities(s, d))).select("user_id", "entity_type", "name", "occurrence_count", F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen"), F.date_format("last_seen", "yyyy-MM-dd").alias("last_seen")),
-    "SELECT user_id, entity_type, name, count(*) AS occurrence_count, strftime(min(occurred_at), '%Y-%m-%d') AS first_seen, strftime(max(occurred_at), '%Y-%m-%d') AS last_seen FROM mentions GROUP BY 1, 2, 3", ACTIVITIES, MENTIONS)
 
 
 def _a7(s, d):
@@ -92,14 +70,6 @@ add("c13_tool_mention_join", lambda s, d: table(s, d, "documents").select("doc_i
     "SELECT doc_id, tool, CASE WHEN regexp_matches(lower(text), '(primarily|mainly|using|under the) ' || tool) THEN 2.0 ELSE 1.0 END::DOUBLE AS weight FROM documents, (VALUES ('mit'), ('apache'), ('license')) v(tool) WHERE contains(lower(text), tool)")
 
 
-def _d10(s, d):
-    w = P.weekly_productivity(activities(s, d)).withColumn("before", F.lag("total_deep_work_hours").over(Window.partitionBy("user_id").orderBy("week_start")))
-    pct = F.when(F.col("before") > 0, (F.col("total_deep_work_hours") - F.col("before")) / F.col("before") * 100)
-    return w.select("user_id", "week_start", F.when(pct > 15, "accelerating").when(pct > 5, "growing").when(pct < -15, "declining").when(pct < -5, "slowing").otherwise("steady").alias("trajectory"))
-
-
-DEEP_WEEK = f"dw AS (SELECT user_id, date_trunc('week', day)::DATE AS week_start, round(sum(round(h / 3600, 9)), 4) AS v FROM (SELECT user_id, day, coalesce(sum(s) FILTER (s >= 300), 0) AS h FROM (SELECT user_id, occurred_at::DATE AS day, least(coalesce(duration_seconds, 0), 7200) AS s FROM activities WHERE type IN {TYPES} AND type <> 'web_visit' UNION ALL SELECT user_id, occurred_at::DATE, sum(least(coalesce(duration_seconds, 0), 7200)) FROM activities WHERE type = 'web_visit' GROUP BY user_id, occurred_at::DATE, domain UNION ALL SELECT user_id, occurred_at::DATE, 0 FROM activities) GROUP BY 1, 2) GROUP BY 1, 2)"
-add("d10_career_trajectory", _d10, "SELECT user_id, week_start, CASE WHEN p > 15 THEN 'accelerating' WHEN p > 5 THEN 'growing' WHEN p < -15 THEN 'declining' WHEN p < -5 THEN 'slowing' ELSE 'steady' END AS trajectory FROM (SELECT user_id, week_start, CASE WHEN b > 0 THEN (v - b) / b * 100 END AS p FROM (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY week_start) AS b FROM dw))", ACTIVITIES, DEEP_WEEK)
 add("d14_peak_hour", lambda s, d: P.hourly_histogram(activities(s, d)).groupBy("user_id").agg(F.max_by("hour", F.struct("seconds", -F.col("hour"))).alias("peak_hour")),
     "SELECT user_id, arg_min(h, (-s, h)) AS peak_hour FROM (SELECT user_id, hour(occurred_at)::BIGINT AS h, sum(least(duration_seconds, 7200)) AS s FROM activities GROUP BY 1, 2) GROUP BY 1", ACTIVITIES)
 add("d13_period_report", lambda s, d: activities(s, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("activities"), F.round(F.sum("duration_seconds") / 3600, 6).alias("hours"), F.count_distinct(F.to_date("occurred_at")).alias("active_days")).join(S.context_switches(activities(s, d)).groupBy("user_id").agg(F.count(F.lit(1)).alias("switches")), "user_id"),
@@ -185,5 +155,4 @@ add("l11_build_context", lambda s, d: table(s, d, "documents").select("doc_id",
 
 dates_as_text("first_seen last_seen", "a7_upsert_nodes")
 dates_as_text("monday", "b14_snap_to_monday")
-dates_as_text("week_start", "d10_career_trajectory")
 dates_as_text("date", "d37_daily_insights", "d37_insight_dedup", "h26_text_summary")

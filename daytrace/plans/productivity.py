@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dims import APP_CATEGORIES, COMM_APPS, COMM_DOMAINS, COMM_WORDS, DOMAIN_CATEGORIES, MEETING_DOMAINS, PRODUCTIVE_TYPES, contains_any, terms
+from ..functions.dims import APP_CATEGORIES, COMM_APPS, COMM_DOMAINS, COMM_WORDS, DOMAIN_CATEGORIES, MEETING_DOMAINS, PRODUCTIVE_TYPES, contains_any
 from ..functions.scalars import categorize_app, categorize_domain, category_weight, matches_filters
 from ..operators import productivity as P
 from ..operators import sessions as S
@@ -25,7 +25,7 @@ def sql_in(values: list[str]) -> str:
 
 
 def sql_category(name: str, categories: dict[str, str], default: str) -> str:
-    cases = " ".join(f"WHEN regexp_matches(lower(trim({name})), '{contains_any(terms(w))}') THEN '{c}'" for c, w in categories.items())
+    cases = " ".join(f"WHEN regexp_matches(lower(trim({name})), '{contains_any(w)}') THEN '{c}'" for c, w in categories.items())
     return f"CASE {cases} ELSE '{default}' END"
 
 

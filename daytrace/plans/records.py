@@ -24,17 +24,6 @@ def metrics(s, d):
     return daily_metrics(activities(s, d))
 
 
-add("d28_work_life_balance", lambda s, d: O.work_life_balance(metrics(s, d)),
-    """SELECT user_id, n AS days, round(m, 6) AS mean_hours, round(w / n, 6) AS weekend_share, l AS long_days, round(greatest(0.0, 100 - 40 * w / n - 40 * l / n - 5 * least(sd, 4.0)), 6) AS balance_score FROM (
-         SELECT user_id, count(*) AS n, avg(total_hours) AS m, count(*) FILTER (isodow(date) >= 6) AS w, count(*) FILTER (total_hours > 8) AS l, stddev_pop(total_hours) AS sd FROM metrics GROUP BY 1)""", *ALL)
-add("d28_stress_index", lambda s, d: O.stress_index(metrics(s, d)),
-    """SELECT user_id, round(a + b + c + d, 6) AS stress_index, CASE greatest(round(a, 9), round(b, 9), round(c, 9), round(d, 9)) WHEN round(a, 9) THEN 'switches' WHEN round(b, 9) THEN 'meetings' WHEN round(c, 9) THEN 'distraction' ELSE 'breaks' END AS main_factor,
-              CASE WHEN a + b + c + d >= 60 THEN 'high' WHEN a + b + c + d >= 35 THEN 'moderate' ELSE 'low' END AS level FROM (
-         SELECT user_id, least(avg(context_switches) / 40, 1.0) * 30 AS a, least(avg(meeting_load_pct) / 100, 1.0) * 30 AS b, least(avg(distraction_index) / 100, 1.0) * 20 AS c, (1 - avg(break_quality) / 10) * 20 AS d FROM metrics GROUP BY 1)""", *ALL)
-add("d28_energy_levels", lambda s, d: O.energy_levels(P.hourly_histogram(activities(s, d))),
-    """SELECT user_id, hour, seconds, CASE WHEN seconds >= 1.2::DOUBLE * m THEN 'high' WHEN seconds >= 0.8::DOUBLE * m THEN 'normal' ELSE 'low' END AS energy FROM (SELECT *, avg(nullif(seconds, 0)) OVER (PARTITION BY user_id) AS m FROM (
-         SELECT u.user_id, h::BIGINT AS hour, coalesce(x.s, 0)::BIGINT AS seconds FROM (SELECT DISTINCT user_id FROM activities) u CROSS JOIN range(24) r(h)
-         LEFT JOIN (SELECT user_id, hour(occurred_at) AS h, sum(least(duration_seconds, 7200)) AS s FROM activities GROUP BY 1, 2) x USING (user_id, h)))""", ACTIVITIES)
 SK = "sk AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{v[0]}', '{v[1]}')" for a, v in SKILLS.items()) + ") v(app, skill, skill_category))"
 HOURS = "hours AS (SELECT user_id, coalesce(skill, a.app) AS skill, coalesce(skill_category, 'Other') AS category, sum(coalesce(duration_seconds, 0)) / 3600 AS hours FROM activities a LEFT JOIN sk ON a.app = sk.app WHERE a.app IS NOT NULL GROUP BY 1, 2, 3)"
 add("d9_skill_metrics", lambda s, d: O.skill_hours(activities(s, d), skill_table(s)),

@@ -45,15 +45,6 @@ GAPS = """
 gaps AS (SELECT *, lead(t) OVER (PARTITION BY user_id, date ORDER BY occurred_at, id) - t - secs AS gap
          FROM (SELECT user_id, occurred_at::DATE AS date, occurred_at, id, epoch_us(occurred_at) / 1e6 AS t, coalesce(duration_seconds, 0) AS secs FROM activities))"""
 add("e4_break_gaps", lambda s, d: S.break_patterns(activities(s, d)), "SELECT user_id, date, count(*) AS breaks, round(avg(gap) / 60, 3) AS avg_minutes, round(max(gap) / 60, 3) AS longest_minutes FROM gaps WHERE gap BETWEEN 300 AND 7200 GROUP BY 1, 2", ACTIVITIES, GAPS)
-add(
-    "e5_break_classification", lambda s, d: S.break_classification(activities(s, d)),
-    """SELECT user_id, CASE WHEN p < 600 THEN 'micro' WHEN p < 1200 THEN 'short' WHEN p < 2700 THEN 'medium' WHEN p < 5400 THEN 'long' ELSE 'extended' END AS size,
-              CASE WHEN worked >= 3600 THEN 'natural' WHEN hour(occurred_at) BETWEEN 11 AND 14 THEN 'scheduled' ELSE 'forced' END AS kind, count(*) AS n, round(sum(p) / 60, 2) AS minutes
-       FROM (SELECT user_id, occurred_at, (epoch_us(occurred_at) - lag(epoch_us(occurred_at)) OVER w) / 1e6 AS p, lag(coalesce(duration_seconds, 0)) OVER w AS worked
-             FROM activities WINDOW w AS (PARTITION BY user_id ORDER BY occurred_at, id)) WHERE p >= 300 GROUP BY 1, 2, 3""", ACTIVITIES,
-)
-add("e6_focus_periods", lambda s, d: S.focus_periods(activities(s, d)))
-
 
 def islands_sql(test: str, name: str) -> str:
     return f"""SELECT u.user_id, coalesce(max(n), 0)::BIGINT AS {name} FROM (SELECT DISTINCT user_id FROM daily) u LEFT JOIN (
@@ -159,5 +150,5 @@ add(
 add("g3_distinct_first", lambda s, d: S.latest_per_group(activities(s, d).withColumn("back", -F.col("id")), ["user_id", "title"], ["back"]).select("user_id", "title", "id"), "SELECT user_id, title, min(id) AS id FROM activities GROUP BY 1, 2", ACTIVITIES)
 add("d52_wearable_series", lambda s, d: wearable_data(s, d).filter("provider = 'fitbit' and metric_type = 'steps'").orderBy(F.desc("recorded_at"), F.desc("id")).limit(1000).select("id", "user_id", "metric_value"), "SELECT id, user_id, metric_value FROM wearable_data WHERE provider = 'fitbit' AND metric_type = 'steps' ORDER BY recorded_at DESC, id DESC LIMIT 1000", WEARABLE)
 
-dates_as_text("date", "e4_break_gaps", "e15_history_baseline", "e12_meeting_free_blocks", "e6_focus_periods")
+dates_as_text("date", "e4_break_gaps", "e15_history_baseline", "e12_meeting_free_blocks")
 dates_as_text("week_start", "e9_period_rank", "e14_week_over_week")
