@@ -43,15 +43,6 @@ def role_readiness(skills: DataFrame, roles: DataFrame) -> DataFrame:
     return y.select("user_id", "role", "readiness", "missing", (rank == 1).alias("best_fit"))
 
 
-def recommend_tools(used: DataFrame, k: int = 3) -> DataFrame:
-    """For each user, the ``k`` tools (``user_id, app``) that users with most tools in common have and the user hasn't."""
-    u = used.select("user_id", "app").distinct()
-    n = u.groupBy("app").agg(F.count(F.lit(1)).alias("users"))
-    missing = u.select("user_id").distinct().crossJoin(bounded(n)).join(u, ["user_id", "app"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("users"), "app"))
-    return missing.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
-
-
 def spelling(name: Column) -> Column:
     """H9: known misspellings and casings of names, word by word."""
     table = F.create_map(*[F.lit(x) for kv in (CASING | CORRECTIONS).items() for x in kv])

@@ -127,19 +127,6 @@ def expertise(entities: DataFrame) -> DataFrame:
     return x.select("id", "user_id", F.round("score", 6).alias("score"), F.when(F.col("score") >= 80, "expert").when(F.col("score") >= 50, "advanced").when(F.col("score") >= 25, "intermediate").otherwise("beginner").alias("level"))
 
 
-def insights(daily: DataFrame) -> DataFrame:
-    """What stands out in each day against the user's days before: focus above 1.3 times the mean, deep work above
-    1.5 times, switches more than 1.5 deviations above; one row for each, by priority."""
-    w = Window.partitionBy("user_id").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    x = daily.withColumns({"mf": F.avg("focus_score").over(w), "md": F.avg("deep_work_hours").over(w), "ms": F.avg("context_switches").over(w), "ds": F.stddev_pop("context_switches").over(w)})
-    rules = F.array_compact(F.array(
-        F.when((F.col("focus_score") > 1.3 * F.col("mf")) & (F.col("focus_score") >= 7), F.struct(F.lit(1).alias("priority"), F.lit("focus above usual").alias("title"))),
-        F.when((F.col("deep_work_hours") > 1.5 * F.col("md")) & (F.col("md") > 0), F.struct(F.lit(2).alias("priority"), F.lit("deep work above usual").alias("title"))),
-        F.when((F.col("ds") > 0) & (F.col("context_switches") > F.col("ms") + 1.5 * F.col("ds")), F.struct(F.lit(3).alias("priority"), F.lit("switches above usual").alias("title"))),
-    ))
-    return x.select("user_id", "date", F.explode(rules).alias("r")).select("user_id", "date", F.col("r.priority").cast("long").alias("priority"), "r.title")
-
-
 def without_recent(found: DataFrame, hours: int = 48) -> DataFrame:
     """Insights whose title the user didn't get in the ``hours`` before."""
     before = F.lag("date").over(Window.partitionBy("user_id", "title").orderBy("date"))

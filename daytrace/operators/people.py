@@ -97,12 +97,6 @@ def usage_quota(acts: DataFrame, as_of: Column, limit: int) -> DataFrame:
     return n.select("user_id", "used", F.round(pct, 4).alias("percent"), F.when(pct >= 100, "exceeded").when(pct > 70, "warning").otherwise("ok").alias("state"))
 
 
-def productivity_by_score(daily: DataFrame) -> DataFrame:
-    """Each user's days by focus: productive above 60, neutral from 30, distracted below."""
-    s = F.col("focus_score")
-    return daily.groupBy("user_id").agg(F.count(F.when(s > 60, 1)).alias("productive_days"), F.count(F.when((s >= 30) & (s <= 60), 1)).alias("neutral_days"), F.count(F.when(s < 30, 1)).alias("distracted_days"))
-
-
 def conversation_stats(messages: DataFrame) -> DataFrame:
     """Messages, turns by role and characters of each conversation."""
     n = lambda r: F.count(F.when(F.col("role") == r, 1))

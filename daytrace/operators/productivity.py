@@ -214,9 +214,10 @@ def forecast(daily: DataFrame, horizon: int = 14, least_days: int = 7) -> DataFr
 
 
 def knowledge_decay(facts: DataFrame, as_of: Column) -> DataFrame:
-    """Memory strength exp(-rate * days since last seen); each repetition lowers the rate, to 0.005 at least."""
+    """Freshness exp(-rate * days since last seen); each repetition lowers the rate, to 0.005 at least. Status: fresh
+    from .7, fading from .4, stale from .15, else forgotten."""
     n, days = F.greatest(F.col("occurrence_count"), F.lit(1)), F.greatest(F.datediff(F.to_date(as_of), F.col("last_seen")), F.lit(0))
     raw = 0.015 / (1 + 0.1 * (n - 1))
     strength = F.exp(-F.greatest(F.lit(0.005), raw) * days)
-    status = F.when(F.col("strength") >= 0.7, "strong").when(F.col("strength") >= 0.4, "fading").when(F.col("strength") >= 0.15, "at_risk").otherwise("forgotten")
-    return facts.select("id", "user_id", "entity_type", strength.alias("strength"), F.round(raw, 6).alias("decay_rate"), days.cast("long").alias("days_since")).withColumn("status", status).withColumn("strength", F.round("strength", 6))
+    status = F.when(F.col("freshness") >= 0.7, "fresh").when(F.col("freshness") >= 0.4, "fading").when(F.col("freshness") >= 0.15, "stale").otherwise("forgotten")
+    return facts.select("id", "user_id", "entity_type", strength.alias("freshness"), F.round(raw, 6).alias("decay_rate"), days.cast("long").alias("days_since")).withColumn("status", status).withColumn("freshness", F.round("freshness", 6))

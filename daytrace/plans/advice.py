@@ -41,15 +41,8 @@ ROLES = {"analyst": ["Data Analysis", "Writing", "Coding"], "engineer": ["Coding
 add("d31_role_readiness", lambda s, d: V.role_readiness(O.skill_hours(activities(s, d), skill_table(s)).filter("hours >= 2"), s.createDataFrame(list(ROLES.items()), "role string, required array<string>")).select("user_id", "role", F.round("readiness", 6).alias("readiness"), F.array_join("missing", ",").alias("missing"), "best_fit"),
     "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY readiness DESC, role) = 1 AS best_fit FROM (SELECT user_id, role, round(len(list_intersect(own, req)) / len(req), 6) AS readiness, array_to_string(list_sort(list_filter(req, lambda r: NOT list_contains(own, r))), ',') AS missing FROM (SELECT user_id, list(DISTINCT skill) AS own FROM hours WHERE round(hours, 6) >= 2 GROUP BY 1), (VALUES "
     + ", ".join(f"('{r}', [" + ", ".join(f"'{x}'" for x in xs) + "])" for r, xs in ROLES.items()) + ") v(role, req))", ACTIVITIES, SK, HOURS)
-add("d12_weekly_summary", lambda s, d: P.top_keys(activities(s, d).withColumn("week_start", F.date_trunc("week", "occurred_at").cast("date")), 3, ("user_id", "week_start")),
-    f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, week_start ORDER BY seconds DESC, key) AS rank FROM (SELECT user_id, date_trunc('week', occurred_at)::DATE AS week_start, {KEY} AS key, sum(least(coalesce(duration_seconds, 0), 7200))::BIGINT AS seconds FROM activities GROUP BY 1, 2, 3)) WHERE rank <= 3", ACTIVITIES)
 add("d38_weekly_trends", lambda s, d: S.week_over_week(daily_metrics(activities(s, d)), "deep_work_hours").select("user_id", "week_start", "direction"),
     "SELECT user_id, week_start, CASE WHEN b <> 0 AND (v - b) / b * 100 > 5 THEN 'up' WHEN b <> 0 AND (v - b) / b * 100 < -5 THEN 'down' ELSE 'flat' END AS direction FROM (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY week_start) AS b FROM (SELECT user_id, date_trunc('week', date)::DATE AS week_start, avg(deep_work_hours) AS v FROM metrics GROUP BY 1, 2))", *ALL)
-add("d39_dashboard_kpis", lambda s, d: daily_metrics(activities(s, d)).groupBy("user_id").agg(F.round(F.avg(0.5 * F.least(F.col("deep_work_hours") / 4, F.lit(1.0)) + 0.25 * (1 - F.col("distraction_index") / 100) + 0.25 * F.col("break_quality") / 10) * 100, 6).alias("focus_blend"), F.round(F.sum("total_hours"), 6).alias("hours")),
-    "SELECT user_id, round(avg(0.5 * least(deep_work_hours / 4, 1.0) + 0.25 * (1 - distraction_index / 100) + 0.25 * break_quality / 10) * 100, 6) AS focus_blend, round(sum(total_hours), 6) AS hours FROM metrics GROUP BY 1", *ALL)
-add("d40_recommend_tools", lambda s, d: V.recommend_tools(activities(s, d).filter("app is not null and duration_seconds > 5000").select("user_id", "app")),
-    "SELECT user_id, app, users, rank FROM (SELECT user_id, app, users, row_number() OVER (PARTITION BY user_id ORDER BY users DESC, app) AS rank FROM (SELECT DISTINCT user_id FROM u), (SELECT app, count(*) AS users FROM u GROUP BY 1) n WHERE NOT EXISTS (SELECT 1 FROM u x WHERE x.user_id = u.user_id AND x.app = n.app)) WHERE rank <= 3".replace("(SELECT DISTINCT user_id FROM u),", "(SELECT DISTINCT user_id FROM u) u,"),
-    ACTIVITIES, "u AS (SELECT DISTINCT user_id, app FROM activities WHERE app IS NOT NULL AND duration_seconds > 5000)")
 add("d53_quota_usage", lambda s, d: S.sliding_quota(request_log(s, d), QUOTA).groupBy("endpoint").agg(F.count(F.lit(1)).alias("requests"), F.count("violated").alias("blocked"), F.round(F.count("violated") / F.count(F.lit(1)) * 100, 4).alias("blocked_pct"), F.count_distinct("user_id").alias("users")),
     """SELECT endpoint, count(*) AS requests, count(*) FILTER (b) AS blocked, round(count(*) FILTER (b) / count(*) * 100, 4) AS blocked_pct, count(DISTINCT user_id) AS users FROM (
          SELECT event_type AS endpoint, user_id, count(*) OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) > 2 OR count(*) OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) RANGE BETWEEN 14399999999 PRECEDING AND CURRENT ROW) > 3
@@ -76,4 +69,4 @@ add("m3_candidates_for_entity", lambda s, d: R.entity_pairs(entities(s, d), 0.75
 add("m5_should_merge", lambda s, d: (lambda e: e.select(F.col("id").alias("a"), "user_id", "entity_type", F.lower("name").alias("n")).join(e.select(F.col("id").alias("b"), "user_id", "entity_type", F.lower("name").alias("n")), ["user_id", "entity_type", "n"]).filter("a < b").select("a", "b"))(entities(s, d)),
     "SELECT x.id AS a, y.id AS b FROM entities x JOIN entities y ON x.user_id = y.user_id AND x.entity_type = y.entity_type AND lower(x.name) = lower(y.name) AND x.id < y.id", ENTITIES)
 dates_as_text("date", "a12_export_analytics")
-dates_as_text("week_start", "d12_weekly_summary", "d38_weekly_trends")
+dates_as_text("week_start", "d38_weekly_trends")

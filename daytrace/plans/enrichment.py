@@ -72,18 +72,10 @@ add("c13_tool_mention_join", lambda s, d: table(s, d, "documents").select("doc_i
 
 add("d14_peak_hour", lambda s, d: P.hourly_histogram(activities(s, d)).groupBy("user_id").agg(F.max_by("hour", F.struct("seconds", -F.col("hour"))).alias("peak_hour")),
     "SELECT user_id, arg_min(h, (-s, h)) AS peak_hour FROM (SELECT user_id, hour(occurred_at)::BIGINT AS h, sum(least(duration_seconds, 7200)) AS s FROM activities GROUP BY 1, 2) GROUP BY 1", ACTIVITIES)
-add("d13_period_report", lambda s, d: activities(s, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("activities"), F.round(F.sum("duration_seconds") / 3600, 6).alias("hours"), F.count_distinct(F.to_date("occurred_at")).alias("active_days")).join(S.context_switches(activities(s, d)).groupBy("user_id").agg(F.count(F.lit(1)).alias("switches")), "user_id"),
-    f"SELECT user_id, count(*) AS activities, round(sum(duration_seconds) / 3600, 6) AS hours, count(DISTINCT occurred_at::DATE) AS active_days, count(*) FILTER (key <> b) AS switches FROM (SELECT *, {KEY} AS key, lag({KEY}) OVER (PARTITION BY user_id ORDER BY occurred_at, id) AS b FROM activities) GROUP BY 1", ACTIVITIES)
 add("d32_skill_profile", lambda s, d: N.expertise(entities(s, d)),
     "SELECT id, user_id, round(s, 6) AS score, CASE WHEN s >= 80 THEN 'expert' WHEN s >= 50 THEN 'advanced' WHEN s >= 25 THEN 'intermediate' ELSE 'beginner' END AS level FROM (SELECT *, ln(1 + occurrence_count) / max(ln(1 + occurrence_count)) OVER (PARTITION BY user_id) * 100 AS s FROM entities)", ENTITIES)
 add("e10_cumulative_skills", lambda s, d: N.cumulative_new(entities(s, d).select("user_id", "first_seen")),
     "SELECT user_id, bucket, n AS new, sum(n) OVER (PARTITION BY user_id ORDER BY bucket)::BIGINT AS total FROM (SELECT user_id, date_diff('day', m, first_seen) // 30 AS bucket, count(*) AS n FROM (SELECT user_id, first_seen, min(first_seen) OVER (PARTITION BY user_id) AS m FROM entities) GROUP BY 1, 2)", ENTITIES)
-INSIGHTS = """
-found AS (SELECT user_id, date, unnest(list_filter([CASE WHEN focus_score > 1.3::DOUBLE * mf AND focus_score >= 7 THEN {'p': 1, 't': 'focus above usual'} END, CASE WHEN deep_work_hours > 1.5 * md AND md > 0 THEN {'p': 2, 't': 'deep work above usual'} END,
-            CASE WHEN ds > 0 AND context_switches > ms + 1.5 * ds THEN {'p': 3, 't': 'switches above usual'} END], lambda x: x IS NOT NULL)) AS r
-          FROM (SELECT *, avg(focus_score) OVER w AS mf, avg(deep_work_hours) OVER w AS md, avg(context_switches) OVER w AS ms, stddev_pop(context_switches) OVER w AS ds FROM metrics WINDOW w AS (PARTITION BY user_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))"""
-add("d37_daily_insights", lambda s, d: N.insights(daily_metrics(activities(s, d))), "SELECT user_id, date, r.p::BIGINT AS priority, r.t AS title FROM found", *ALL, INSIGHTS)
-add("d37_insight_dedup", lambda s, d: N.without_recent(N.insights(daily_metrics(activities(s, d)))), "SELECT user_id, date, p AS priority, t AS title FROM (SELECT user_id, date, r.p::BIGINT AS p, r.t AS t, lag(date) OVER (PARTITION BY user_id, r.t ORDER BY date) AS b FROM found) WHERE b IS NULL OR date_diff('day', b, date) * 24 > 48", *ALL, INSIGHTS)
 add("d46_notification_digest", lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("event_type") == k, 1)).alias(k) for k in ("view", "click", "error")]), "SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error FROM events GROUP BY 1")
 
 
@@ -155,4 +147,4 @@ add("l11_build_context", lambda s, d: table(s, d, "documents").select("doc_id",
 
 dates_as_text("first_seen last_seen", "a7_upsert_nodes")
 dates_as_text("monday", "b14_snap_to_monday")
-dates_as_text("date", "d37_daily_insights", "d37_insight_dedup", "h26_text_summary")
+dates_as_text("date", "h26_text_summary")

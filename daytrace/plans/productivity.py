@@ -257,17 +257,6 @@ add(
 )
 
 
-def _d36(s, d):
-    e = entities(s, d)
-    return P.knowledge_decay(e, as_of(e, "last_seen"))
-
-
-add(
-    "d36_knowledge_decay", _d36,
-    """SELECT id, user_id, entity_type, round(s, 6) AS strength, round(raw, 6) AS decay_rate, days AS days_since, CASE WHEN s >= 0.7 THEN 'strong' WHEN s >= 0.4 THEN 'fading' WHEN s >= 0.15 THEN 'at_risk' ELSE 'forgotten' END AS status
-       FROM (SELECT *, exp(-greatest(0.005, raw) * days) AS s FROM (
-         SELECT *, 0.015 / (1 + 0.1 * (occurrence_count - 1)) AS raw, greatest(date_diff('day', last_seen, (SELECT max(last_seen) FROM entities)), 0)::BIGINT AS days FROM entities))""", ENTITIES,
-)
 add("b4_payload_filter", lambda s, d: activities(s, d).filter(matches_filters({"type": ["meeting", "app_focus"], "source": "browser", "duration_seconds": {"gte": 600, "lt": 3600}})).select("id", "user_id", "type", "duration_seconds"),
     "SELECT id, user_id, type, duration_seconds FROM activities WHERE type IN ('meeting', 'app_focus') AND source = 'browser' AND duration_seconds >= 600 AND duration_seconds < 3600", ACTIVITIES)
 

@@ -26,7 +26,7 @@ def metrics(s, d):
 
 SK = "sk AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{v[0]}', '{v[1]}')" for a, v in SKILLS.items()) + ") v(app, skill, skill_category))"
 HOURS = "hours AS (SELECT user_id, coalesce(skill, a.app) AS skill, coalesce(skill_category, 'Other') AS category, sum(coalesce(duration_seconds, 0)) / 3600 AS hours FROM activities a LEFT JOIN sk ON a.app = sk.app WHERE a.app IS NOT NULL GROUP BY 1, 2, 3)"
-add("d9_skill_metrics", lambda s, d: O.skill_hours(activities(s, d), skill_table(s)),
+add("d30_skill_levels", lambda s, d: O.skill_hours(activities(s, d), skill_table(s)),
     """SELECT user_id, skill, category, round(hours, 6) AS hours, round(hours / nullif(sum(hours) OVER (PARTITION BY user_id), 0), 6) AS share,
               CASE WHEN hours >= 200 THEN 'master' WHEN hours >= 100 THEN 'expert' WHEN hours >= 50 THEN 'advanced' WHEN hours >= 20 THEN 'intermediate' ELSE 'beginner' END AS level,
               round(CASE WHEN hours >= 200 THEN 100 WHEN hours >= 100 THEN (hours - 100) / 100 * 100 WHEN hours >= 50 THEN (hours - 50) / 50 * 100 WHEN hours >= 20 THEN (hours - 20) / 30 * 100 ELSE hours / 20 * 100 END, 4) AS progress FROM hours""", ACTIVITIES, SK, HOURS)
@@ -84,7 +84,6 @@ def _d43(s, d):
 
 add("d43_usage_quota", _d43, """SELECT user_id, n AS used, round(n / 80 * 100, 4) AS percent, CASE WHEN n >= 80 THEN 'exceeded' WHEN n / 80 * 100 > 70 THEN 'warning' ELSE 'ok' END AS state
     FROM (SELECT user_id, count(*) AS n FROM activities WHERE date_trunc('month', occurred_at) = date_trunc('month', (SELECT max(occurred_at) FROM activities)) GROUP BY 1)""", ACTIVITIES)
-add("d51_productivity_by_score", lambda s, d: O.productivity_by_score(P.daily_productivity(activities(s, d))), "SELECT user_id, count(*) FILTER (focus_score > 60) AS productive_days, count(*) FILTER (focus_score BETWEEN 30 AND 60) AS neutral_days, count(*) FILTER (focus_score < 30) AS distracted_days FROM daily GROUP BY 1", *V)
 add("d44_ingest_stats", lambda s, d: activities(s, d).groupBy("source", "type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users")), "SELECT source, type, count(*) AS n, count(DISTINCT user_id) AS users FROM activities GROUP BY 1, 2", ACTIVITIES)
 add("d44_entity_stats", lambda s, d: entities(s, d).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.sum("occurrence_count").alias("mentions"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")), "SELECT entity_type, count(*) AS n, sum(occurrence_count)::BIGINT AS mentions, min(first_seen) AS first_seen, max(last_seen) AS last_seen FROM entities GROUP BY 1", ENTITIES)
 add("d45_conversation_stats", lambda s, d: O.conversation_stats(table(s, d, "conversations")), "SELECT conv_id, count(*) AS messages, count(*) FILTER (role = 'user') AS from_user, count(*) FILTER (role = 'assistant') AS from_assistant, sum(length(text))::BIGINT AS characters FROM conversations GROUP BY 1")
@@ -151,8 +150,6 @@ add("b9_dynamic_listing", lambda s, d: table(s, d, "customer").filter(F.col("c_n
     "SELECT c_custkey, c_acctbal FROM customer WHERE c_name ILIKE '%99%' AND c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC, c_custkey LIMIT 50")
 add("b1_user_time_range", lambda s, d: activities(s, d).filter((F.col("user_id") < 20) & (F.col("occurred_at") >= "2024-01-05") & (F.col("occurred_at") < "2024-01-12")).select("id", "user_id"), "SELECT id, user_id FROM activities WHERE user_id < 20 AND occurred_at >= '2024-01-05' AND occurred_at < '2024-01-12'", ACTIVITIES)
 add("b8_json_path_predicate", lambda s, d: activities(s, d).filter(F.get_json_object("data", "$.platform") == "zoom").select("id", F.get_json_object("data", "$.organizer").alias("organizer")), "SELECT id, json_extract_string(data, '$.organizer') AS organizer FROM activities WHERE json_extract_string(data, '$.platform') = 'zoom'", ACTIVITIES)
-add("d7_overview", lambda s, d: P.top_keys(activities(s, d), 5).groupBy("user_id").agg(F.sum("seconds").alias("top_seconds"), F.max("seconds").alias("most"), F.count(F.lit(1)).alias("keys")),
-    f"SELECT user_id, sum(s)::BIGINT AS top_seconds, max(s) AS most, count(*) AS keys FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, key) AS r FROM (SELECT user_id, {KEY} AS key, sum(least(coalesce(duration_seconds, 0), 7200))::BIGINT AS s FROM activities GROUP BY 1, 2)) WHERE r <= 5 GROUP BY 1", ACTIVITIES)
 dates_as_text("first_seen last_seen", "d44_entity_stats", "m2_merge_entities")
 dates_as_text("date", "a4_wearable_wide")
 assert set(SKILLS) <= set(APPS)
