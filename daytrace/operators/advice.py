@@ -64,55 +64,3 @@ def missing_props(edges: DataFrame, required: Mapping[str, list[str]]) -> DataFr
     """Required properties of its type that each edge (``rel_type, props`` map) doesn't have."""
     table = F.create_map(*[v for k, ps in required.items() for v in (F.lit(k), F.array(*[F.lit(p) for p in ps]))])
     return edges.withColumn("missing", F.coalesce(F.array_except(F.element_at(table, F.col("rel_type")), F.map_keys("props")), F.array().cast("array<string>")))
-
-
-def random_walks(edges: DataFrame, starts: DataFrame, steps: int = 10, per_vertex: int = 3, seed: int = 7) -> DataFrame:
-    """Seeded walks over an undirected graph, one join for each step; the next vertex is the neighbour with the
-    smallest hash of (walk, step, neighbour), by weight through an exponential rule."""
-    e = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
-    walks = starts.select("id", F.explode(F.sequence(F.lit(1), F.lit(per_vertex))).alias("walk")).withColumn("path", F.array("id"))
-    for step in range(1, steps):
-        uniform = (F.pmod(F.xxhash64(F.lit(seed), "id", "walk", F.lit(step), "dst"), F.lit(1_000_003)) + 1) / 1_000_004
-        choice = F.struct((-F.log(uniform) / F.col("weight")).alias("draw"), F.col("dst").alias("to"))
-        nxt = walks.withColumn("here", F.element_at("path", -1)).join(e, F.col("here") == F.col("src")).groupBy("id", "walk", "path").agg(F.min(choice)["to"].alias("to"))
-        walks = nxt.select("id", "walk", F.concat("path", F.array("to")).alias("path"))
-        if step % 3 == 0:
-            walks = cut_lineage(walks)
-    return walks
-
-
-def walk_vectors(walks: DataFrame, size: int = 16, seed: int = 7) -> DataFrame:
-    """Skip-gram vectors of the vertices of walks."""
-    from pyspark.ml.feature import Word2Vec
-
-    words = walks.select(F.transform("path", lambda v: v.cast("string")).alias("path"))
-    model = Word2Vec(vectorSize=size, windowSize=5, minCount=1, seed=seed, inputCol="path", outputCol="v").fit(words)
-    return model.getVectors().select(F.col("word").cast("long").alias("id"), "vector")
-
-
-def louvain_pass(edges: DataFrame, rounds: int = 6) -> DataFrame:
-    """Communities by local moves that raise modularity, from single vertices on.
-
-    In each round a vertex looks at its neighbours' communities and moves to the one with the largest gain; half of the
-    vertices, by a hash with the round, may move at once, so that two don't swap. Stops when none moves.
-    """
-    e = cut_lineage(edges.select("src", "dst", "weight"))
-    total = e.agg(F.sum("weight")).first()[0] or 1.0
-    deg = cut_lineage(e.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")))
-    labels = cut_lineage(deg.select("id", F.col("id").alias("label"), "k"))
-    idle = 0
-    for n in range(rounds):
-        sums = labels.groupBy("label").agg(F.sum("k").alias("tot"))
-        near = e.filter("src <> dst").join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("weight").alias("inside"))
-        own = labels.select("id", F.col("label").alias("own"), "k")
-        cand = near.union(labels.select("id", "label", F.lit(0.0))).groupBy("id", "label").agg(F.sum("inside").alias("inside")).join(own, "id").join(sums, "label")
-        tot = F.col("tot") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0)
-        gain = F.round(F.col("inside") - tot * F.col("k") / total, 9)
-        best = cand.groupBy("id").agg(F.min(F.struct((-gain).alias("g"), (F.col("label") != F.col("own")).alias("leaves"), "label"))["label"].alias("new"))
-        may = F.pmod(F.xxhash64("id", F.lit(n)), F.lit(2)) == 0
-        moved = cut_lineage(labels.join(best, "id").select("id", F.when(may, F.col("new")).otherwise(F.col("label")).alias("label"), "k", (may & (F.col("new") != F.col("label"))).alias("moved")))
-        idle = idle + 1 if moved.filter("moved").isEmpty() else 0
-        labels = moved.select("id", "label", "k")
-        if idle == 2:
-            break
-    return labels.select("id", "label")

@@ -11,17 +11,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import bounded, cut_lineage
 
 
-def co_occurrence(links: DataFrame, unit: str = "activity_id", item: str = "entity_id") -> DataFrame:
-    """Pairs of items in the same unit, ``a < b``, with the number of units and the strength against the largest.
+def pairs_within(rows: DataFrame, block: int = 1024) -> DataFrame:
+    """``u, src, dst`` with ``src < dst``: the pairs of items ``i`` of each unit ``u``; the rows are distinct.
 
-    One equi join on the unit; adaptive execution splits a unit with very many items.
+    The items of a unit with more than ``block`` are dealt into blocks by a hash, and each pair of blocks is a group of its
+    own, so that one unit with very many items is spread over many tasks.
     """
-    x = links.select(F.col(unit).alias("u"), F.col(item).alias("i")).distinct()
-    pairs = x.select("u", F.col("i").alias("src")).join(x.select("u", F.col("i").alias("dst")), "u").filter("src < dst")
-    counts = pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+    large = rows.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+    x = rows.join(bounded(large), "u", "left").withColumn("k", F.ceil(F.coalesce("n", F.lit(1)) / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("i"), F.col("k")).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("u", "i", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    a, b = x.select("u", "lo", "hi", F.col("i").alias("src"), F.col("own").alias("oa")), x.select("u", "lo", "hi", F.col("i").alias("dst"), F.col("own").alias("ob"))
+    met = a.join(b, ["u", "lo", "hi"]).filter((F.col("src") < F.col("dst")) & ((F.col("lo") == F.col("hi")) | (F.col("oa") != F.col("ob"))))
+    return met.select("u", "src", "dst")
+
+
+def co_occurrence(links: DataFrame, unit: str = "activity_id", item: str = "entity_id", block: int = 1024) -> DataFrame:
+    """Pairs of items in the same unit, ``a < b``, with the number of units and the strength against the largest."""
+    counts = pairs_within(links.select(F.col(unit).alias("u"), F.col(item).alias("i")).distinct(), block).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
     most = counts.agg(F.max("weight").alias("most"))
     return counts.crossJoin(F.broadcast(most)).select("src", "dst", "weight", (F.col("weight") / F.col("most")).alias("strength"))  # one row
 
@@ -56,35 +65,40 @@ def degree(edges: DataFrame) -> DataFrame:
     return reached.join(out, "id", "full_outer").fillna(0, ["degree", "weight"])
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
-    """K7: weighted PageRank in a fixed number of rounds; mass of vertices without an edge is lost and the scores are
-    divided by their sum in the end. Edges are laid out by source once; each round is a join and an aggregation."""
-    shares = edges.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).select("src", "dst", "share")
-    shares = cut_lineage(shares)
-    ids = shares.select(F.col("src").alias("id")).union(shares.select("dst")).distinct()
-    ids = cut_lineage(ids)
-    n = ids.count()
-    rank = ids.withColumn("score", F.lit(1.0 / max(n, 1)))
+def _laid_out(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by a key once and kept so in memory or on disk; what is lost is dealt out again from its checkpoint."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df).repartition(n, key).persist()
+
+
+def _power_rounds(edges: DataFrame, rounds: int, damping: float, start, base, cut_every: int) -> DataFrame:
+    """Rounds of base + damping * what the neighbours send. Shares and vertices are dealt out once by the vertex, as the sums
+    of a round are, so that a round shuffles only those sums."""
+    shares = _laid_out(edges.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).select(F.col("src").alias("id"), "dst", "share"), "id")
+    ids = _laid_out(shares.select("id").union(shares.select("dst")).distinct(), "id")
+    n = max(ids.count(), 1)
+    rank = ids.withColumn("score", F.lit(float(start(n))))
     for k in range(rounds):
-        sums = shares.join(rank, shares.src == rank.id).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        rank = ids.join(sums, ids.id == sums.dst, "left").select("id", ((1 - damping) / max(n, 1) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
-        if (k + 1) % cut_every == 0:
+        sums = shares.join(rank, "id").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+        rank = ids.join(sums, "id", "left").select("id", (F.lit(float(base(n))) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
+        if (k + 1) % cut_every == 0 or k + 1 == rounds:
             rank = cut_lineage(rank)
+    shares.unpersist()
+    ids.unpersist()
+    return rank
+
+
+def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
+    """K7: weighted PageRank in a fixed number of rounds; mass of vertices without an edge is lost and the scores are
+    divided by their sum in the end."""
+    rank = _power_rounds(edges, rounds, damping, lambda n: 1.0 / n, lambda n: (1 - damping) / n, cut_every)
     total = rank.agg(F.sum("score").alias("total"))
     return rank.crossJoin(F.broadcast(total)).select("id", (F.col("score") / F.col("total")).alias("score"))  # one row
 
 
 def pagerank_engine(edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
     """K6: PageRank as graph engines give it: directed, weighted, from 1 - damping on, not divided by a sum."""
-    shares = cut_lineage(edges.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).select("src", "dst", "share"))
-    ids = cut_lineage(shares.select(F.col("src").alias("id")).union(shares.select("dst")).distinct())
-    rank = ids.withColumn("score", F.lit(1 - damping))
-    for k in range(rounds):
-        sums = shares.join(rank, shares.src == rank.id).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        rank = ids.join(sums, ids.id == sums.dst, "left").select("id", (1 - damping + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
-        if (k + 1) % cut_every == 0:
-            rank = cut_lineage(rank)
-    return rank
+    return _power_rounds(edges, rounds, damping, lambda n: 1 - damping, lambda n: 1 - damping, cut_every)
 
 
 def eigenvector(edges: DataFrame, rounds: int = 20, cut_every: int = 5) -> DataFrame:
@@ -119,16 +133,20 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
-def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Modularity of a partition of an undirected graph (each edge once): one row."""
-    e = both_ways(edges)
-    total = edges.agg(F.sum("weight").alias("m"))
+def modularity_both(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Modularity of a partition of a graph whose edges go both ways: one row."""
+    total = edges.agg(F.sum("weight").alias("m2"))
     a, b = labels.select(F.col("id").alias("src"), F.col("label").alias("ca")), labels.select(F.col("id").alias("dst"), F.col("label").alias("cb"))
-    sums = e.join(a, "src").join(b, "dst").groupBy("ca").agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0)).alias("inside"), F.sum("weight").alias("degree"))
-    part = sums.crossJoin(F.broadcast(total)).select((F.col("inside") / (2 * F.col("m")) - F.pow(F.col("degree") / (2 * F.col("m")), F.lit(2))).alias("q"))  # one row
+    sums = edges.join(a, "src").join(b, "dst").groupBy("ca").agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0)).alias("inside"), F.sum("weight").alias("degree"))
+    part = sums.crossJoin(F.broadcast(total)).select((F.col("inside") / F.col("m2") - F.pow(F.col("degree") / F.col("m2"), F.lit(2))).alias("q"))  # one row
     return part.agg(F.sum("q").alias("modularity"))
 
 
+def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Modularity of a partition of an undirected graph (each edge once): one row."""
+    return modularity_both(both_ways(edges), labels)
+
+
 def community_stats(labels: DataFrame) -> DataFrame:
     """Number of communities and their sizes: one row."""
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -142,18 +160,24 @@ def bridges(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return out.groupBy(F.col("src").alias("id")).agg(F.count_distinct("cb").alias("communities"), F.count(F.lit(1)).alias("edges"))
 
 
-def bfs(edges: DataFrame, sources: DataFrame, depth: int, cap: int | None = None) -> DataFrame:
-    """``source, id, depth``: vertices within ``depth`` hops of each source (column ``id``).
+def bfs(edges: DataFrame, sources: DataFrame, depth: int | None = None, cap: int | None = None) -> DataFrame:
+    """``source, id, depth, parent``: vertices within ``depth`` hops of each source (column ``id``), or all that it
+    reaches; the parent is the smallest vertex one hop nearer, null for the source itself.
 
     One join in each round; visited pairs are anti-joined. ``cap`` keeps the first vertices of each source by (depth, id).
     """
-    e = edges.select("src", "dst").distinct()
-    seen = cut_lineage(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("depth")))
-    front = seen
-    for k in range(1, depth + 1):
-        step = front.join(e, front.id == e.src).select("source", F.col("dst").alias("id")).distinct()
-        front = cut_lineage(step.join(seen, ["source", "id"], "left_anti").withColumn("depth", F.lit(k)))
+    e = cut_lineage(edges.select("src", "dst").distinct())
+    seen = front = cut_lineage(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")))
+    k = 0
+    while depth is None or k < depth:
+        k += 1
+        step = front.join(e, front.id == e.src).groupBy("source", F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        front = cut_lineage(step.join(seen, ["source", "id"], "left_anti").select("source", "id", F.lit(k).alias("depth"), F.col("parent").cast("long").alias("parent")))
+        if front.isEmpty():
+            break
         seen = seen.union(front)
+        if k % 8 == 0:
+            seen = cut_lineage(seen)
     if cap:
         rank = F.row_number().over(Window.partitionBy("source").orderBy("depth", "id"))
         seen = seen.withColumn("rank", rank).filter(F.col("rank") <= cap).drop("rank")
@@ -166,17 +190,15 @@ def ego_edges(edges: DataFrame, ego: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, ["source", "dst"])
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 10) -> DataFrame:
-    """Least total weight from each source to the vertices it reaches, by rounds of relaxation until none changes."""
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """Least total weight from each source to all vertices it reaches, by rounds of relaxation until none changes; only
+    the vertices that came nearer in a round send on. Weights must not be negative."""
     e = cut_lineage(edges.select("src", "dst", "weight"))
-    dist = cut_lineage(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance")))
-    for _ in range(rounds):
-        step = dist.join(e, dist.id == e.src).select("source", F.col("dst").alias("id"), (F.col("distance") + F.col("weight")).alias("distance"))
-        new = cut_lineage(dist.union(step).groupBy("source", "id").agg(F.min("distance").alias("distance")))
-        same = new.join(dist.withColumnRenamed("distance", "old"), ["source", "id"], "left").filter("old is null or distance < old").isEmpty()
-        dist = new
-        if same:
-            break
+    dist = front = cut_lineage(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance")))
+    while not front.isEmpty():
+        step = front.join(e, front.id == e.src).groupBy("source", F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("weight")).alias("new"))
+        x = cut_lineage(dist.join(step, ["source", "id"], "full_outer").select("source", "id", F.least("distance", "new").alias("distance"), (F.col("distance").isNull() | (F.col("new") < F.col("distance"))).alias("nearer")))
+        dist, front = x.select("source", "id", "distance"), x.filter("nearer").select("source", "id", "distance")
     return dist
 
 
@@ -192,8 +214,8 @@ def simple_paths(edges: DataFrame, start: int, goal: int, depth: int = 4, most:
     return found.select("path", (F.size("path") - 1).cast("long").alias("hops"), "cost").orderBy("hops", "cost", "path").limit(most)
 
 
-def closeness(edges: DataFrame, sources: DataFrame, depth: int = 10) -> DataFrame:
-    """K4: reachable vertices over the sum of their distances, for the given sources."""
+def closeness(edges: DataFrame, sources: DataFrame, depth: int | None = None) -> DataFrame:
+    """K4: reachable vertices over the sum of their distances, for the given sources, within ``depth`` hops or at any."""
     d = bfs(edges, sources, depth).filter("depth > 0")
     return d.groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("reached"), (F.count(F.lit(1)) / F.sum("depth")).alias("closeness"))
 
@@ -234,7 +256,7 @@ def _dependencies(e: DataFrame, pivots: DataFrame, depth: int | None) -> DataFra
 
 
 def link_prediction(edges: DataFrame, least: float = 0.0, k: int = 5) -> DataFrame:
-    """Scores of pairs that share a neighbour and have no edge, from one join on the shared neighbour.
+    """Scores of pairs that share a neighbour and have no edge; a hub's neighbours are paired block by block.
 
     Common neighbours (against the largest degree), Jaccard, Adamic-Adar (against its bound) and preferential attachment,
     with weights .25, .25, .20, .15 brought to a sum of 1; the ``k`` best of each vertex with at least ``least``.
@@ -242,8 +264,7 @@ def link_prediction(edges: DataFrame, least: float = 0.0, k: int = 5) -> DataFra
     e = both_ways(edges).select("src", "dst").distinct()
     deg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     top = deg.agg(F.max("deg").alias("top"))
-    arms = e.join(deg.select(F.col("src").alias("dst"), F.col("deg").alias("dz")), "dst").select(F.col("dst").alias("z"), F.col("src").alias("v"), "dz")
-    wedges = arms.select("z", F.col("v").alias("a"), "dz").join(arms.select("z", F.col("v").alias("b")), "z").filter("a < b")
+    wedges = pairs_within(e.select(F.col("dst").alias("u"), F.col("src").alias("i"))).join(deg.select(F.col("src").alias("u"), F.col("deg").alias("dz")), "u").select(F.col("src").alias("a"), F.col("dst").alias("b"), "dz")
     pairs = wedges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.sum(F.when(F.col("dz") > 1, 1 / F.log("dz")).otherwise(0.0)).alias("aa"))
     pairs = pairs.join(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
     pairs = pairs.join(deg.select(F.col("src").alias("a"), F.col("deg").alias("da")), "a").join(deg.select(F.col("src").alias("b"), F.col("deg").alias("db")), "b").crossJoin(F.broadcast(top))  # one row
@@ -255,18 +276,39 @@ def link_prediction(edges: DataFrame, least: float = 0.0, k: int = 5) -> DataFra
     return scored.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
 
+def triangles(edges: DataFrame) -> DataFrame:
+    """``a, b, c``: each triangle of an undirected graph once. Edges go from the vertex with the smaller degree, so that no
+    vertex has more than about the square root of twice the edges to pair."""
+    e = both_ways(edges).select("src", "dst").filter("src <> dst").distinct()
+    deg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
+    x = e.filter("src < dst").join(deg.withColumnRenamed("deg", "da"), "src").join(deg.select(F.col("src").alias("dst"), F.col("deg").alias("db")), "dst")
+    first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("src") < F.col("dst")))
+    up = x.select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("i"))
+    wedges = pairs_within(up)
+    return wedges.join(e, (wedges.src == e.src) & (wedges.dst == e.dst), "left_semi").select(F.col("u").alias("a"), F.col("src").alias("b"), F.col("dst").alias("c"))
+
+
 def clustering(edges: DataFrame) -> DataFrame:
     """Degree, triangles and clustering coefficient of each vertex of an undirected graph."""
     e = both_ways(edges).select("src", "dst").filter("src <> dst").distinct()
     deg = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
-    up = e.filter("src < dst")
-    tri = up.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(up.select(F.col("src").alias("b"), F.col("dst").alias("c")), "b").join(up.select(F.col("src").alias("a"), F.col("dst").alias("c")), ["a", "c"])
-    per = tri.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
+    per = triangles(edges).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
     x = deg.join(per, "id", "left").fillna(0, ["triangles"])
     d = F.col("degree")
     return x.withColumn("coefficient", F.when(d > 1, 2 * F.col("triangles") / (d * (d - 1))).otherwise(0.0))
 
 
+def subgraph_stats(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Of the subgraph of each set of vertices (``source, id``): vertices, edges, density, mean degree, and eccentricity
+    of the source (the farthest depth, where ``vertices`` has ``depth``): one row for each source."""
+    inner = ego_edges(both_ways(edges), vertices).filter("src < dst").select("source", "src", "dst").distinct()
+    n = vertices.groupBy("source").agg(F.count_distinct("id").alias("vertices"), F.max("depth").cast("long").alias("eccentricity"))
+    m = inner.groupBy("source").agg(F.count(F.lit(1)).alias("edges"))
+    x = n.join(m, "source", "left").fillna(0, ["edges"])
+    v, k = F.col("vertices"), F.col("edges")
+    return x.select("source", "vertices", "edges", F.when(v > 1, 2 * k / (v * (v - 1))).otherwise(0.0).alias("density"), (2 * k / v).alias("mean_degree"), "eccentricity")
+
+
 # Strength of an edge's source, and least confidence by relationship type.
 SOURCE_STRENGTH = {"activity": 1.0, "api": 0.95, "user_input": 0.85, "inference": 0.7, "embedding": 0.6}
 DEFAULT_STRENGTH = 0.5
@@ -295,3 +337,93 @@ def edge_confidence(sources: Column, confirmed: Column, inferred: Column, valida
 def inferred_weight(count: Column, age_days: Column, strength: Column) -> Column:
     """(1 + log10 n) halved for each year of age, times the strength of the context, in 0.1 to 5."""
     return F.least(F.lit(5.0), F.greatest(F.lit(0.1), (1 + F.log10(count)) * F.pow(F.lit(2.0), -age_days / 365) * strength))
+
+
+def louvain_moves(edges: DataFrame, rounds: int = 6) -> DataFrame:
+    """``id, label`` after local moves that raise modularity, from single vertices on. ``edges`` go both ways.
+
+    In each round a vertex looks at its neighbours' communities and moves to the one with the largest gain; half of the
+    vertices, by a hash with the round, may move at once, so that two don't swap. Stops when none moves twice in a row or
+    after ``rounds``; what is left to gain is gained on the contracted graph.
+    """
+    e = cut_lineage(edges.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight")))
+    total = e.agg(F.sum("weight")).first()[0] or 1.0
+    deg = e.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
+    labels, idle = cut_lineage(deg.select("id", F.col("id").alias("label"), "k")), 0
+    for n in range(rounds):
+        sums = labels.groupBy("label").agg(F.sum("k").alias("tot"))
+        near = e.filter("src <> dst").join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("weight").alias("inside"))
+        own = labels.select("id", F.col("label").alias("own"), "k")
+        cand = near.union(labels.select("id", "label", F.lit(0.0))).groupBy("id", "label").agg(F.sum("inside").alias("inside")).join(own, "id").join(sums, "label")
+        tot = F.col("tot") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0)
+        gain = F.round(F.col("inside") - tot * F.col("k") / total, 9)
+        best = cand.groupBy("id").agg(F.min(F.struct((-gain).alias("g"), (F.col("label") != F.col("own")).alias("leaves"), "label"))["label"].alias("new"))
+        may = F.pmod(F.xxhash64("id", F.lit(n)), F.lit(2)) == 0
+        moved = cut_lineage(labels.join(best, "id").select("id", F.when(may, F.col("new")).otherwise(F.col("label")).alias("label"), "k", (may & (F.col("new") != F.col("label"))).alias("moved")))
+        idle = idle + 1 if moved.filter("moved").isEmpty() else 0
+        labels = moved.select("id", "label", "k")
+        if idle == 2:
+            break
+    return labels.select("id", "label")
+
+
+def louvain(edges: DataFrame, least_gain: float = 1e-7) -> DataFrame:
+    """``id, label``: communities by local moves and contraction. ``edges`` go both ways.
+
+    After the moves the communities become the vertices of a smaller graph, whose edges carry the sums, loops included;
+    that repeats until modularity rises no more. A community is named by its smallest vertex.
+    """
+    e = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
+    graph, labels, best = e, cut_lineage(e.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))), None
+    while True:
+        step = louvain_moves(graph).select(F.col("id").alias("label"), F.col("label").alias("next"))
+        new = cut_lineage(labels.join(step, "label").select("id", F.col("next").alias("label")))
+        q = modularity_both(e, new).first()[0] or 0.0
+        if best is not None and q <= best + least_gain:
+            break
+        labels, best = new, q
+        a, b = step.select(F.col("label").alias("src"), F.col("next").alias("a")), step.select(F.col("label").alias("dst"), F.col("next").alias("b"))
+        graph = cut_lineage(graph.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")))
+    names = labels.groupBy("label").agg(F.min("id").alias("name"))
+    return labels.join(names, "label").select("id", F.col("name").alias("label"))
+
+
+def node2vec_walks(edges: DataFrame, starts: DataFrame, p: float = 1.0, q: float = 1.0, length: int = 10, per_vertex: int = 30, seed: int = 7) -> DataFrame:
+    """``id, walk, path``: seeded second-order walks of ``length`` vertices over a graph whose ``edges`` go both ways.
+
+    From the vertex before and the present one, a neighbour's weight is divided by ``p`` if it is the one before, kept if it
+    is a neighbour of the one before, and divided by ``q`` else; the draw is the smallest of exponentials by hash. One join
+    for the neighbours and one for the edges from the vertex before in each step; walks at a vertex without edges end.
+    """
+    e = cut_lineage(edges.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight")))
+    back = e.select(F.col("src").alias("prev"), "dst", F.lit(True).alias("known"))
+    walks = starts.select("id", F.explode(F.sequence(F.lit(1), F.lit(per_vertex))).alias("walk")).withColumn("path", F.array("id"))
+    for step in range(1, length):
+        x = walks.withColumn("here", F.element_at("path", -1)).withColumn("prev", F.try_element_at("path", F.lit(-2)))
+        x = x.join(e, x.here == e.src, "left").join(back, ["prev", "dst"], "left")
+        bias = F.when(F.col("prev").isNull(), 1.0).when(F.col("dst") == F.col("prev"), 1.0 / p).when(F.col("known"), 1.0).otherwise(1.0 / q)
+        uniform = (F.pmod(F.xxhash64(F.lit(seed), "id", "walk", F.lit(step), "dst"), F.lit(1_000_003)) + 1) / 1_000_004
+        choice = F.min(F.when(F.col("dst").isNotNull(), F.struct((-F.log(uniform) / (F.col("weight") * bias)).alias("draw"), F.col("dst").alias("to"))))["to"]
+        nxt = x.groupBy("id", "walk", "path").agg(choice.alias("to"))
+        walks = nxt.select("id", "walk", F.when(F.col("to").isNotNull(), F.array_append("path", F.col("to"))).otherwise(F.col("path")).alias("path"))
+        if step % 3 == 0:
+            walks = cut_lineage(walks)
+    return walks
+
+
+def walk_vectors(walks: DataFrame, size: int = 128, window: int = 5, spread: int = 4) -> DataFrame:
+    """``id, vector`` of unit length from walks: how often vertices are within ``window`` steps of each other, as positive
+    pointwise mutual information, projected to ``size`` dimensions by hashing each context vertex to ``spread`` of them with
+    a sign. All of it are sums by key: no vocabulary goes to the driver."""
+    at = walks.select(F.posexplode("path").alias("i", "v"), "path")
+    pairs = at.select("v", F.explode(F.concat(F.slice("path", F.greatest(F.col("i") - window + 1, F.lit(1)), F.least(F.col("i"), F.lit(window))), F.slice("path", F.col("i") + 2, window))).alias("c"))
+    counts = cut_lineage(pairs.groupBy("v", "c").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n").alias("total"))
+    side = lambda k: counts.groupBy(k).agg(F.sum("n").alias("n" + k))
+    x = counts.join(side("v"), "v").join(side("c"), "c").crossJoin(F.broadcast(total))  # one row
+    x = x.select("v", "c", F.greatest(F.lit(0.0), F.log(F.col("n") * F.col("total") / (F.col("nv") * F.col("nc")))).alias("pmi"))
+    places = F.explode(F.sequence(F.lit(1), F.lit(spread)))
+    x = x.withColumn("k", places).withColumn("h", F.xxhash64("c", "k"))
+    sums = x.groupBy("v", F.pmod("h", F.lit(size)).cast("int").alias("place")).agg(F.sum(F.when(F.pmod(F.shiftright("h", 20), F.lit(2)) == 0, F.col("pmi")).otherwise(-F.col("pmi"))).alias("s"))
+    rows = sums.groupBy("v").agg(F.map_from_entries(F.collect_list(F.struct("place", "s"))).alias("m"), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
+    return rows.select(F.col("v").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(F.col("norm") > 0, F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.col("norm")).otherwise(0.0)).alias("vector"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine
-from ..session import bounded
+from ..session import bounded, cut_lineage
 from .components import connected_components
 
 
@@ -39,14 +40,55 @@ def top_k(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
 
-def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.0) -> DataFrame:
-    """L1: the ``k`` vectors (``id, vector``) nearest to each query (``query_id, query_vector``) by cosine.
+def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.0, block: int = 4096) -> DataFrame:
+    """L1: the ``k`` vectors (``id, vector``) nearest to each query (``query_id, query_vector``) by cosine, itself excluded.
 
-    A stated query set against all vectors: up to 10,000 queries are broadcast and the vectors are read once; more are paired
-    with them partition by partition.
+    A stated query set against all vectors, in blocks: up to ``block`` queries at a time are a matrix that is broadcast. Tasks
+    multiply it with batches of vectors and keep each query's ``k`` best, so what is shuffled is ``k`` rows for each query and
+    task. Scores equal to nine digits are in order of the identifier; a zero vector has a score of 0.
     """
-    pairs = vectors.select("id", "vector").crossJoin(bounded(queries)).withColumn("score", cosine(F.col("vector"), F.col("query_vector")))
-    return top_k(pairs.filter((F.col("score") >= threshold) & (F.col("id") != F.col("query_id"))).select("query_id", "id", "score"), k)
+    spark = queries.sparkSession
+    n = queries.count()
+    blocks = max(1, -(-n // block))
+    dealt = queries.select("query_id", "query_vector").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    out = None
+    for part in range(blocks):
+        rows = dealt.filter(F.col("part") == part).select("query_id", "query_vector").collect()
+        ids = np.array([r.query_id for r in rows], np.int64)
+        shared = spark.sparkContext.broadcast((ids, _unit(np.array([r.query_vector for r in rows], np.float64).reshape(len(rows), -1))))
+        hits = vectors.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(_best(shared, k, threshold), "query_id long, id long, score double")
+        out = hits if out is None else out.unionByName(hits)
+    return top_k(out, k)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of a column of lists of equal length."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _best(shared, k: int, threshold: float):
+    def task(batches):
+        ids, q = shared.value
+        # scores to nine digits, then identifiers, of each query's best so far
+        best_s, best_i, best_x = np.full((len(ids), 0), -np.inf), np.full((len(ids), 0), 0), np.full((len(ids), 0), -np.inf)
+        for batch in batches:
+            for start in range(0, batch.num_rows if len(ids) else 0, 1024):
+                part = batch.slice(start, 1024)
+                own = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                x = q @ _unit(_matrix(part.column(1))).T
+                x[(x < threshold) | (ids[:, None] == own[None, :])] = -np.inf
+                s, i, x = np.hstack([best_s, np.round(x, 9)]), np.hstack([best_i, np.broadcast_to(own, x.shape)]), np.hstack([best_x, x])
+                order = np.lexsort((i, -s), axis=1)[:, :k]
+                best_s, best_i, best_x = (np.take_along_axis(v, order, 1) for v in (s, i, x))
+        hit = np.isfinite(best_s)
+        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], hit.shape)[hit]), pa.array(best_i[hit].astype(np.int64)), pa.array(best_x[hit])], ["query_id", "id", "score"])
+
+    return task
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int = 10, alpha: float = 0.7, constant: int = 60) -> DataFrame:
@@ -96,14 +138,20 @@ def diversify(hits: DataFrame, field: str, k: int = 10) -> DataFrame:
     return out.select("query_id", F.posexplode("out").alias("place", "x")).select("query_id", (F.col("place") + 1).cast("long").alias("rank"), F.col("x.id").alias("id"), F.col("x.f").alias(field))
 
 
-def term_overlap(docs: DataFrame, query: str, least: float = 0.1, k: int = 10) -> DataFrame:
-    """0.6 of the query's terms in the title, 0.4 in the text, and a bonus of 0.3 or 0.1 for the whole phrase; 1 at most."""
+def overlap_scores(docs: DataFrame, query: str, least: float = 0.1) -> DataFrame:
+    """``query_id, id, score``: 0.6 of the query's terms in the title, 0.4 in the text, and a bonus of 0.3 or 0.1 for the
+    whole phrase; 1 at most. Row by row, without a shuffle."""
     low = query.lower()
     terms = F.lit(sorted(set(low.split()))) if low.split() else F.array().cast("array<string>")
     share = lambda c: F.size(F.array_intersect(terms, tokens(F.coalesce(c, F.lit(""))))) / max(1, len(set(low.split())))
     bonus = F.when(F.contains(F.lower("title"), F.lit(low)), 0.3).otherwise(0.0) + F.when(F.contains(F.lower("text"), F.lit(low)), 0.1).otherwise(0.0)
     scored = docs.select(F.lit(0).alias("query_id"), F.col("doc_id").alias("id"), F.least(F.lit(1.0), 0.6 * share(F.col("title")) + 0.4 * share(F.col("text")) + F.coalesce(bonus, F.lit(0.0))).alias("score"))
-    return top_k(scored.filter(F.col("score") >= least), k)
+    return scored.filter(F.col("score") >= least)
+
+
+def term_overlap(docs: DataFrame, query: str, least: float = 0.1, k: int = 10) -> DataFrame:
+    """The ``k`` best of ``overlap_scores``; partitions keep their own best before they meet."""
+    return top_k(overlap_scores(docs, query, least), k)
 
 
 def dbscan(points: DataFrame, pairs: DataFrame, least: int = 2) -> DataFrame:
@@ -120,7 +168,86 @@ def dbscan(points: DataFrame, pairs: DataFrame, least: int = 2) -> DataFrame:
     return points.select("id").join(roots.union(border), "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
-def eps_pairs(vectors: DataFrame, eps: float = 0.35, planes: int = 0) -> DataFrame:
-    """Pairs of vectors (``id, vector, block``) of the same block with a cosine distance of at most ``eps``."""
-    a, b = vectors.select("block", F.col("id").alias("a"), F.col("vector").alias("va")), vectors.select("block", F.col("id").alias("b"), F.col("vector").alias("vb"))
-    return a.join(b, "block").filter("a < b").filter(1 - cosine(F.col("va"), F.col("vb")) <= eps).select("a", "b")
+def eps_pairs(vectors: DataFrame, eps: float = 0.35, pivots: int = 64, block: int = 1024) -> DataFrame:
+    """``a, b``: the pairs of vectors (``id, vector``) with a cosine distance of at most ``eps``; exact.
+
+    Each vector is at home in the cell of the nearest of ``pivots`` vectors, chosen by hash. By the triangle inequality of
+    angles, a vector within ``eps`` of one at home in a cell is no farther from its pivot than the cell's radius and the angle
+    of ``eps``; it visits the cells where that holds. Cells are dealt into blocks and each pair of blocks is compared by a task
+    as a product of matrices. Vectors that lie all apart from one another visit all cells, and then it's all pairs, in blocks.
+    """
+    spark = vectors.sparkSession
+    rows = cut_lineage(vectors.select(F.col("id").cast("long").alias("id"), "vector"))
+    centres = np.array([r.vector for r in rows.orderBy(F.xxhash64("id")).limit(pivots).collect()], np.float64)
+    if not len(centres):
+        return rows.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    shared, reach = spark.sparkContext.broadcast(_unit(centres)), float(np.arccos(1 - eps))
+
+    def angles(batch):
+        return np.arccos(np.clip(_unit(_matrix(batch.column(1))) @ shared.value.T, -1, 1))
+
+    def radii(batches):
+        most = np.zeros(len(shared.value))
+        for batch in batches:
+            if batch.num_rows:
+                x = angles(batch)
+                home = x.argmin(axis=1)
+                np.maximum.at(most, home, x[np.arange(len(x)), home])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(most))), pa.array(most)], ["cell", "radius"])
+
+    radius = np.zeros(len(centres))
+    for r in rows.mapInArrow(radii, "cell long, radius double").groupBy("cell").agg(F.max("radius").alias("radius")).collect():
+        radius[r.cell] = r.radius
+    # a cell with much more than its share is dealt into blocks, the visitors of each too
+    share = max(1, min(4096, rows.count() // (len(centres) * block)))
+
+    def visits(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = angles(batch)
+            home = x.argmin(axis=1)
+            row, cell = np.nonzero((x <= radius + reach + 1e-9) | (np.arange(x.shape[1]) == home[:, None]))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            own = home[row] == cell
+            part = (ids[row] * 2654435761 % 2**32 % share).astype(np.int64)
+            for k in range(share):
+                # at home in one block of rows, met by the visitors of every block
+                at = np.flatnonzero(own if share == 1 else (own & (part == k)) | ~own)
+                both = np.flatnonzero(own & (part != k)) if share > 1 else at[:0]
+                for rows_at, is_home in ((at, own[at]), (both, np.zeros(len(both), bool))):
+                    if len(rows_at):
+                        yield pa.RecordBatch.from_arrays([pa.array(cell[rows_at] * share + k), pa.array(ids[row[rows_at]]), pa.array(is_home), batch.column(1).take(pa.array(row[rows_at]))], ["cell", "id", "home", "vector"])
+
+    def compare(batches):
+        held, cell = [], None
+
+        def pairs():
+            table = pa.Table.from_batches(held)
+            ids, home = table.column(1).to_numpy(), table.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            x = _unit(_matrix(table.column(3).combine_chunks()))
+            order = np.flatnonzero(home)
+            for start in range(0, len(order), block):
+                mine = order[start : start + block]
+                for other in range(0, len(ids), block):
+                    i, j = np.nonzero(1 - x[mine] @ x[other : other + block].T <= eps)
+                    a, b = ids[mine[i]], ids[other + j]
+                    keep = a != b
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
+
+        for batch in batches:
+            cells = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
+            for s, e in zip(cuts, cuts[1:]):
+                if e > s:
+                    if cell is not None and cells[s] != cell:
+                        yield from pairs()
+                        held.clear()
+                    cell = cells[s]
+                    held.append(batch.slice(s, e - s))
+        if held:
+            yield from pairs()
+
+    kind = dict(rows.dtypes)["vector"]
+    dealt = rows.mapInArrow(visits, f"cell long, id long, home boolean, vector {kind}")
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long").distinct()

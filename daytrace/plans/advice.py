@@ -62,8 +62,6 @@ def _k23(s, d):
 
 
 add("k23_required_props", _k23, "SELECT CASE WHEN l_linenumber = 1 THEN 'AUTHORED' ELSE 'CITES' END AS rel_type, CASE WHEN l_linenumber = 1 THEN CASE WHEN l_partkey % 2 = 0 THEN '' ELSE 'position' END ELSE CASE WHEN l_partkey % 2 = 0 THEN 'context,year' ELSE 'year' END END AS missing, count(*) AS n FROM lineitem GROUP BY 1, 2")
-add("k28_node2vec", lambda s, d: V.walk_vectors(V.random_walks(strong(s, d), strong(s, d).select(F.col("src").alias("id")).distinct(), 6, 2)).select("id"), "SELECT DISTINCT src AS id FROM strong", LINKS, PAIRS, BOTH, STRONG)
-add("k10_louvain", lambda s, d: V.louvain_pass(strong(s, d)))
 add("k32_neighbors", lambda s, d: strong(s, d).withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst")).cast("long")).filter("rank <= 100"), "SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM strong QUALIFY rank <= 100", LINKS, PAIRS, BOTH, STRONG)
 add("m3_candidates_for_entity", lambda s, d: R.entity_pairs(entities(s, d), 0.75).withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).filter("rank <= 20").select("a", "b", "score"))
 add("m5_should_merge", lambda s, d: (lambda e: e.select(F.col("id").alias("a"), "user_id", "entity_type", F.lower("name").alias("n")).join(e.select(F.col("id").alias("b"), "user_id", "entity_type", F.lower("name").alias("n")), ["user_id", "entity_type", "n"]).filter("a < b").select("a", "b"))(entities(s, d)),

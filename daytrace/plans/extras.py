@@ -13,6 +13,7 @@ from .graphs import PAIRS, REC, RV, STRONG, edges, every, strong
 from .productivity import DAILY, KEY, PREPARED
 from .records import HOURS, SK, skill_table
 from .registry import add
+from .texts import OVERLAP, TITLED, titled
 
 add("a11_export_csv", lambda s, d: P.daily_productivity(activities(s, d)).select("user_id", F.to_csv(F.struct(F.col("date").cast("string").alias("date"), "activity_count", "total_seconds", "context_switches")).alias("line")),
     "SELECT user_id, date::VARCHAR || ',' || activity_count || ',' || total_seconds || ',' || context_switches AS line FROM daily", ACTIVITIES, PREPARED, DAILY)
@@ -27,9 +28,9 @@ add("k6_pagerank_gds", lambda s, d: G.pagerank_engine(edges(s, d), 10).select("i
     """, ids AS (SELECT src AS id FROM pairs UNION SELECT dst FROM pairs), shares AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM pairs UNION ALL SELECT id, id, 0.0 FROM ids),
        r AS (SELECT id, 0 AS k, 0.15::DOUBLE AS score FROM ids UNION ALL SELECT dst, k + 1, 0.15 + 0.85 * sum(score * share) FROM r JOIN shares ON r.id = src WHERE k < 10 GROUP BY dst, k)
        SELECT id, round(score, 10) AS score FROM r WHERE k = 10""", REC, PAIRS)
-add("k15_recommend_paths", lambda s, d: X.recommend_paths(strong(s, d), every(s, d, 500), every(s, d, 3), 2, 5),
+add("k15_recommend_paths", lambda s, d: X.recommend_paths(strong(s, d), every(s, d, 50), every(s, d, 3), 2, 5),
     """, known AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 3 = 0),
-       w AS (SELECT p_partkey AS source, [p_partkey] AS path, 0 AS d FROM part WHERE p_partkey % 500 = 0 UNION ALL SELECT source, list_append(path, dst), d + 1 FROM w JOIN strong ON path[len(path)] = src WHERE d < 2 AND NOT list_contains(path, dst)),
+       w AS (SELECT p_partkey AS source, [p_partkey] AS path, 0 AS d FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT source, list_append(path, dst), d + 1 FROM w JOIN strong ON path[len(path)] = src WHERE d < 2 AND NOT list_contains(path, dst)),
        b AS (SELECT source, path[len(path)] AS target, min((d, path)) AS m FROM w WHERE d > 0 GROUP BY 1, 2),
        p AS (SELECT source, target, m[2] AS path FROM b WHERE target <> source AND target NOT IN (SELECT id FROM known)),
        q AS (SELECT source, target, len(path) AS steps, len(list_filter(path, lambda v: v % 3 = 0)) AS known FROM p)
@@ -41,14 +42,13 @@ add("k31_learning_recommendations", lambda s, d: X.learning_gaps(activities(s, d
 
 
 def _l10(s, d):
-    docs = table(s, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), "text")
-    hits = S.term_overlap(docs, "the general license", 0.1, 10**9).drop("rank")
-    return X.smart_rank(hits.join(docs.select(F.col("doc_id").alias("id"), "title"), "id").withColumn("days_old", F.pmod("id", F.lit(400))), "general").select("id", F.round("score", 6).alias("score"), "rank")
+    docs = titled(s, d)
+    hits = S.overlap_scores(docs, "for the main", 0.1)
+    return X.smart_rank(hits.join(docs.select(F.col("doc_id").alias("id"), "title"), "id").withColumn("days_old", F.pmod("id", F.lit(400))), "the").select("id", F.round("score", 6).alias("score"), "rank")
 
 
-add("l10_smart_search", _l10, """SELECT id, round(s2, 6) AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY round(s2, 9) DESC, id) AS rank FROM (SELECT id, least(1.0, s + greatest(0, 0.1 * (1 - id % 400 / 365)) + CASE WHEN contains(lower(t), 'general') THEN 0.15 ELSE 0 END) AS s2 FROM (
-    SELECT doc_id AS id, text[1:60] AS t, least(1.0, 0.6 * len(list_intersect(['the', 'general', 'license'], regexp_extract_all(lower(text[1:60]), '[a-z0-9_]+'))) / 3 + 0.4 * len(list_intersect(['the', 'general', 'license'], regexp_extract_all(lower(text), '[a-z0-9_]+'))) / 3
-           + CASE WHEN contains(lower(text[1:60]), 'the general license') THEN 0.3 ELSE 0 END + CASE WHEN contains(lower(text), 'the general license') THEN 0.1 ELSE 0 END) AS s FROM documents) WHERE s >= 0.1)) WHERE rank <= 10""")
+add("l10_smart_search", _l10, """SELECT id, round(s2, 6) AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY round(s2, 9) DESC, id) AS rank FROM (
+    SELECT id, least(1.0, s + greatest(0, 0.1 * (1 - id % 400 / 365)) + CASE WHEN contains(lower(title), 'the') THEN 0.15 ELSE 0 END) AS s2 FROM overlap)) WHERE rank <= 10""", TITLED, OVERLAP)
 add("m4_cross_activity_resolve", lambda s, d: X.resolve_by_alias(entities(s, d)),
     """, a AS (SELECT id, user_id, entity_type, lower(name) AS n, unnest(list_distinct([lower(name), array_to_string(list_reverse(string_split(lower(name), ' ')), ' ')])) AS alias FROM entities)
        SELECT x.id AS a, y.id AS b, max(CASE WHEN x.n = y.n THEN 1.0 ELSE 0.9 END)::DOUBLE AS score FROM a x JOIN a y ON x.user_id = y.user_id AND x.entity_type = y.entity_type AND x.alias = y.alias AND x.id < y.id GROUP BY 1, 2""", ENTITIES)

@@ -10,7 +10,6 @@ from .registry import add
 
 PAIRS = "pairs AS (SELECT a.entity_id AS src, b.entity_id AS dst, count(*) AS weight FROM links a JOIN links b ON a.activity_id = b.activity_id AND a.entity_id < b.entity_id GROUP BY 1, 2)"
 BOTH = "both_ways AS (SELECT src, dst, weight FROM pairs UNION ALL SELECT dst, src, weight FROM pairs)"
-LABELS = "labels AS (SELECT DISTINCT src AS id, src % 7 AS label FROM both_ways)"
 REC = "RECURSIVE " + LINKS
 V = (LINKS, PAIRS, BOTH)
 RV = (REC, PAIRS, BOTH)
@@ -20,10 +19,6 @@ def edges(s, d):
     return G.co_occurrence(links(s, d)).select("src", "dst", "weight")
 
 
-def labels(s, d):
-    return G.both_ways(edges(s, d)).select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id") % 7)
-
-
 def every(s, d, n):
     return table(s, d, "part").filter(F.col("p_partkey") % n == 0).select(F.col("p_partkey").alias("id"))
 
@@ -34,8 +29,6 @@ add("c2_cross_type_co_occurrence", lambda s, d: G.cross_type(links(s, d), entiti
          SELECT least(x.entity_type, y.entity_type) AS type_a, greatest(x.entity_type, y.entity_type) AS type_b, CASE WHEN x.entity_type < y.entity_type THEN src ELSE dst END AS a,
                 CASE WHEN x.entity_type < y.entity_type THEN dst ELSE src END AS b, weight FROM pairs JOIN entities x ON src = x.id JOIN entities y ON dst = y.id WHERE weight >= 2 AND x.entity_type <> y.entity_type)) WHERE rank <= 10""", LINKS, ENTITIES, PAIRS)
 add("c3_entity_neighbors", lambda s, d: G.entity_neighbors(links(s, d)), "SELECT src AS entity_id, dst AS neighbor_id, weight AS n, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM both_ways QUALIFY rank <= 20", *V)
-add("c15_community_bridges", lambda s, d: G.bridges(edges(s, d), labels(s, d)),
-    "SELECT src AS id, count(DISTINCT b.label) AS communities, count(*) AS edges FROM both_ways JOIN labels a ON src = a.id JOIN labels b ON dst = b.id WHERE a.label <> b.label GROUP BY 1", *V, LABELS)
 add("k2_degree", lambda s, d: G.degree(G.both_ways(edges(s, d))), "SELECT src AS id, count(*) AS degree, sum(weight)::BIGINT AS weight FROM both_ways GROUP BY 1", *V)
 add("k7_pagerank_cooccurrence", lambda s, d: G.pagerank(G.both_ways(edges(s, d))).select("id", F.round("score", 9).alias("score")),
     """, shares AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM both_ways), n AS (SELECT count(DISTINCT src) AS n FROM both_ways),
@@ -47,11 +40,6 @@ add("k5_eigenvector", lambda s, d: G.eigenvector(G.both_ways(edges(s, d)), 10).s
              SELECT id, k, s / sqrt(sum(s * s) OVER ()) FROM (SELECT dst AS id, k + 1 AS k, sum(score * weight) AS s FROM r JOIN both_ways ON r.id = src WHERE k < 10 GROUP BY dst, k))
        SELECT id, round(score, 8) AS score FROM r WHERE k = 10""", *RV)
 add("k9_label_propagation", lambda s, d: G.label_propagation(edges(s, d).filter("weight >= 2")))
-add("k10_modularity", lambda s, d: G.modularity(edges(s, d), labels(s, d)).select(F.round("modularity", 9).alias("modularity")),
-    """SELECT round(sum(inside / (2 * m) - power(degree / (2 * m), 2)), 9) AS modularity FROM (
-         SELECT a.label, sum(weight) FILTER (a.label = b.label) AS inside, sum(weight) AS degree, any_value(m) AS m FROM both_ways JOIN labels a ON src = a.id JOIN labels b ON dst = b.id, (SELECT sum(weight) AS m FROM pairs) GROUP BY 1)""", *V, LABELS)
-add("k10_community_stats", lambda s, d: G.community_stats(labels(s, d)).select("communities", "smallest", "largest", F.round("mean_size", 6).alias("mean_size"), F.round("deviation", 6).alias("deviation")),
-    "SELECT count(*) AS communities, min(n) AS smallest, max(n) AS largest, round(avg(n), 6) AS mean_size, round(stddev_pop(n), 6) AS deviation FROM (SELECT label, count(*) AS n FROM labels GROUP BY 1)", *V, LABELS)
 STRONG = "strong AS (SELECT src, dst, weight FROM both_ways WHERE weight >= 2)"
 
 
@@ -59,19 +47,33 @@ def strong(s, d):
     return G.both_ways(edges(s, d)).filter("weight >= 2")
 
 
-add("k16_ego_network", lambda s, d: G.bfs(strong(s, d), every(s, d, 200), 2, 200).withColumn("depth", F.col("depth").cast("long")),
-    """, b AS (SELECT p_partkey AS source, p_partkey AS id, 0 AS depth FROM part WHERE p_partkey % 200 = 0 UNION SELECT source, dst, depth + 1 FROM b JOIN strong ON b.id = src WHERE depth < 2)
-       SELECT * FROM (SELECT source, id, min(depth)::BIGINT AS depth FROM b GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY source ORDER BY depth, id) <= 200""", *RV, STRONG)
-add("k13_unweighted_path", lambda s, d: G.bfs(strong(s, d), every(s, d, 500), 4).groupBy("source", F.col("depth").cast("long").alias("depth")).agg(F.count(F.lit(1)).alias("n")),
-    """, b AS (SELECT p_partkey AS source, p_partkey AS id, 0 AS depth FROM part WHERE p_partkey % 500 = 0 UNION SELECT source, dst, depth + 1 FROM b JOIN strong ON b.id = src WHERE depth < 4)
-       SELECT source, depth, count(*) AS n FROM (SELECT source, id, min(depth)::BIGINT AS depth FROM b GROUP BY 1, 2) GROUP BY 1, 2""", *RV, STRONG)
-add("k12_shortest_path_weighted", lambda s, d: G.shortest_paths(strong(s, d).withColumn("weight", F.round(1 / F.col("weight"), 6)), every(s, d, 500), 3).withColumn("distance", F.round("distance", 6)),
-    """, r AS (SELECT p_partkey AS source, p_partkey AS id, 0 AS k, 0.0::DOUBLE AS d FROM part WHERE p_partkey % 500 = 0 UNION ALL
-             SELECT source, dst, k + 1, min(d + round(1 / weight, 6)) FROM r JOIN strong ON r.id = src WHERE k < 3 GROUP BY 1, 2, k)
-       SELECT source, id, round(min(d), 6) AS distance FROM r GROUP BY 1, 2""", *RV, STRONG)
-add("k4_closeness", lambda s, d: G.closeness(strong(s, d), every(s, d, 500), 4).select("id", "reached", F.round("closeness", 6).alias("closeness")),
-    """, b AS (SELECT p_partkey AS source, p_partkey AS id, 0 AS depth FROM part WHERE p_partkey % 500 = 0 UNION SELECT source, dst, depth + 1 FROM b JOIN strong ON b.id = src WHERE depth < 4)
-       SELECT source AS id, count(*) AS reached, round(count(*) / sum(depth), 6) AS closeness FROM (SELECT source, id, min(depth) AS depth FROM b GROUP BY 1, 2) WHERE depth > 0 GROUP BY 1""", *RV, STRONG)
+add("k10_louvain", lambda s, d: G.louvain(strong(s, d)))
+
+
+def _k10(s, d):
+    e = strong(s, d)
+    found = G.louvain(e)
+    return G.community_stats(found).crossJoin(F.broadcast(G.modularity_both(e, found))).select("communities", "smallest", "largest", *[F.round(c, 6).alias(c) for c in ("mean_size", "deviation", "modularity")])  # one row each
+
+
+add("k10_community_stats", _k10)
+add("c15_community_bridges", lambda s, d: G.bridges(edges(s, d).filter("weight >= 2"), G.louvain(strong(s, d))))
+add("k28_node2vec", lambda s, d: (lambda e: G.walk_vectors(G.node2vec_walks(e, e.select(F.col("src").alias("id")).distinct(), p=1.0, q=0.5)))(strong(s, d)))
+REACH = ", seeds AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 50 = 0), hop AS (SELECT DISTINCT src, dst FROM strong), b(source, id, depth) USING KEY (source, id) AS (SELECT id, id, 0::BIGINT FROM seeds UNION SELECT f.source, f.id, f.depth FROM (SELECT source, dst AS id, min(depth) + 1 AS depth FROM b JOIN hop ON b.id = src GROUP BY ALL) f LEFT JOIN recurring.b AS o ON o.source = f.source AND o.id = f.id WHERE o.id IS NULL)"
+add("k16_ego_network", lambda s, d: G.bfs(strong(s, d), every(s, d, 50), 2, 200).select("source", "id", F.col("depth").cast("long").alias("depth")),
+    REACH + " SELECT source, id, depth FROM b WHERE depth <= 2 QUALIFY row_number() OVER (PARTITION BY source ORDER BY depth, id) <= 200", *RV, STRONG)
+add("k13_unweighted_path", lambda s, d: G.bfs(strong(s, d), every(s, d, 50)).select("source", "id", F.col("depth").cast("long").alias("depth"), F.coalesce("parent", F.lit(-1)).cast("long").alias("parent")),
+    REACH + " SELECT b.source, b.id, b.depth, coalesce((SELECT min(o.id) FROM b o JOIN hop ON o.id = hop.src WHERE o.source = b.source AND hop.dst = b.id AND o.depth = b.depth - 1), -1) AS parent FROM b", *RV, STRONG)
+add("k12_shortest_path_weighted", lambda s, d: G.shortest_paths(strong(s, d).withColumn("weight", F.round(1 / F.col("weight"), 6)), every(s, d, 50)).withColumn("distance", F.round("distance", 6)),
+    """, r(source, id, d) USING KEY (source, id) AS (SELECT p_partkey, p_partkey, 0.0::DOUBLE FROM part WHERE p_partkey % 50 = 0
+         UNION SELECT f.source, f.id, f.d FROM (SELECT source, dst AS id, min(d + round(1 / weight, 6)) AS d FROM r JOIN strong ON r.id = src GROUP BY 1, 2) f LEFT JOIN recurring.r AS o ON o.source = f.source AND o.id = f.id WHERE o.d IS NULL OR f.d < o.d)
+       SELECT source, id, round(d, 6) AS distance FROM r""", *RV, STRONG)
+add("k4_closeness", lambda s, d: G.closeness(strong(s, d), every(s, d, 50)).select("id", "reached", F.round("closeness", 6).alias("closeness")),
+    REACH + " SELECT source AS id, count(*) AS reached, round(count(*) / sum(depth), 6) AS closeness FROM b WHERE depth > 0 GROUP BY 1", *RV, STRONG)
+add("k18_ego_stats", lambda s, d: G.subgraph_stats(edges(s, d).filter("weight >= 2"), G.bfs(strong(s, d), every(s, d, 50), 2)).withColumns({"density": F.round("density", 6), "mean_degree": F.round("mean_degree", 6)}),
+    REACH + """, near AS (SELECT * FROM b WHERE depth <= 2), m AS (SELECT x.source, count(*) AS edges FROM near x JOIN near y ON x.source = y.source JOIN hop ON hop.src = x.id AND hop.dst = y.id WHERE x.id < y.id GROUP BY 1)
+       SELECT source, vertices, coalesce(edges, 0) AS edges, round(CASE WHEN vertices > 1 THEN 2 * coalesce(edges, 0) / (vertices * (vertices - 1)) ELSE 0 END, 6) AS density, round(2 * coalesce(edges, 0) / vertices, 6) AS mean_degree, eccentricity
+       FROM (SELECT source, count(*) AS vertices, max(depth) AS eccentricity FROM near GROUP BY 1) LEFT JOIN m USING (source)""", *RV, STRONG)
 add("k3_betweenness", lambda s, d: G.betweenness(strong(s, d), strong(s, d).select(F.col("src").alias("id"))).withColumn("betweenness", F.round("betweenness", 6)))
 add("k18_subgraph_stats", lambda s, d: G.clustering(edges(s, d)).withColumn("coefficient", F.round("coefficient", 9)),
     """, t AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM pairs x JOIN pairs y ON x.dst = y.src JOIN pairs z ON z.src = x.src AND z.dst = y.dst),

@@ -107,13 +107,13 @@ add("l1_semantic_search", lambda s, d: S.cosine_search(vectors(s, d), vector_que
 
 
 def _l3(s, d):
-    v = S.cosine_search(vectors(s, d), vector_queries(s, d).filter("query_id < 200"), 30).withColumn("query_id", (F.col("query_id") / 50 + 1).cast("int"))
+    v = S.cosine_search(vectors(s, d), vector_queries(s, d), 30).withColumn("query_id", (F.col("query_id") / 50 + 1).cast("int"))
     return S.fuse(v, bm25_hits(s, d, 30)).withColumn("score", F.round("score", 8))
 
 
 add("l3_hybrid_search", _l3, """SELECT query_id, id, round(score, 8) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM (
     SELECT coalesce(a.query_id, b.query_id)::INTEGER AS query_id, coalesce(a.id, b.id) AS id, coalesce(0.7 / (60 + a.rank), 0) + coalesce(0.3 / (60 + b.rank), 0) AS score
-    FROM (SELECT query_id // 50 + 1 AS query_id, id, rank FROM cosine WHERE rank <= 30 AND query_id < 200) a FULL JOIN (SELECT * FROM bm25 WHERE rank <= 30) b ON a.query_id = b.query_id AND a.id = b.id) QUALIFY rank <= 10""", *SV)
+    FROM (SELECT query_id // 50 + 1 AS query_id, id, rank FROM cosine WHERE rank <= 30) a FULL JOIN (SELECT * FROM bm25 WHERE rank <= 30) b ON a.query_id = b.query_id AND a.id = b.id) QUALIFY rank <= 10""", *SV)
 
 
 def _labelled(s, d, k):
@@ -136,18 +136,25 @@ def _l8(s, d):
 
 
 add("l8_multi_collection", _l8, "SELECT query_id, id, round(score, 6) AS score, rank FROM cosine WHERE rank <= 10", *SV)
-add("l9_term_overlap_retrieve", lambda s, d: S.term_overlap(docs(s, d).select("doc_id", F.substring("text", 1, 60).alias("title"), "text"), "the general license", 0.1, 20).select("id", F.round("score", 6).alias("score"), "rank"),
-    """SELECT id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY round(s, 9) DESC, id) AS rank FROM (
-         SELECT doc_id AS id, least(1.0, 0.6 * len(list_intersect(['the', 'general', 'license'], regexp_extract_all(lower(text[1:60]), '[a-z0-9_]+'))) / 3 + 0.4 * len(list_intersect(['the', 'general', 'license'], regexp_extract_all(lower(text), '[a-z0-9_]+'))) / 3
-                + CASE WHEN contains(lower(text[1:60]), 'the general license') THEN 0.3 ELSE 0 END + CASE WHEN contains(lower(text), 'the general license') THEN 0.1 ELSE 0 END) AS s FROM documents) WHERE s >= 0.1) WHERE rank <= 20""")
+
+def titled(s, d):
+    """Pages with their titles."""
+    return table(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.col("html").alias("text"))
+
+
+TITLED = "titled AS (SELECT page_id AS id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, html AS text FROM pages)"
+OVERLAP = """overlap AS (SELECT * FROM (SELECT id, title, least(1.0, 0.6 * len(list_intersect(['the', 'for', 'main'], regexp_extract_all(lower(title), '[a-z0-9_]+'))) / 3 + 0.4 * len(list_intersect(['the', 'for', 'main'], regexp_extract_all(lower(text), '[a-z0-9_]+'))) / 3
+    + CASE WHEN contains(lower(title), 'for the main') THEN 0.3 ELSE 0 END + CASE WHEN contains(lower(text), 'for the main') THEN 0.1 ELSE 0 END) AS s FROM titled) WHERE s >= 0.1)"""
+add("l9_term_overlap_retrieve", lambda s, d: S.term_overlap(titled(s, d), "for the main", 0.1, 20).select("id", F.round("score", 6).alias("score"), "rank"),
+    "SELECT id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY round(s, 9) DESC, id) AS rank FROM overlap) WHERE rank <= 20", TITLED, OVERLAP)
 
 
 def _l14(s, d):
-    v = vectors(s, d).withColumn("block", F.col("label"))
+    v = vectors(s, d)
     return S.dbscan(v, S.eps_pairs(v))
 
 
 add("l14_semantic_clusters", _l14, """, v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings),
-     p AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.label = y.label AND x.id <> y.id WHERE 1 - list_cosine_similarity(x.e, y.e) <= 0.35),
+     p AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.id <> y.id WHERE 1 - list_cosine_similarity(x.e, y.e) <= 0.35),
      c AS (SELECT DISTINCT a AS id FROM p), r AS (SELECT id, id AS root FROM c UNION SELECT p.b, r.root FROM r JOIN p ON r.id = p.a)
      SELECT v.id, coalesce(min(root), -1) AS cluster FROM v LEFT JOIN r ON v.id = r.id GROUP BY 1""", "RECURSIVE one AS (SELECT 1)")
