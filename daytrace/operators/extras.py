@@ -12,9 +12,9 @@ from ..session import bounded
 from .search import top_k
 
 
-def bundle(tables: Mapping[str, DataFrame], users: list[int]) -> DataFrame:
-    """Rows of the given users from each table as JSON, with the table's name; one scan of each table."""
-    parts = [t.filter(F.col("user_id").isin(users)).select(F.lit(name).alias("table"), "user_id", F.to_json(F.struct(*t.columns)).alias("row")) for name, t in tables.items()]
+def bundle(tables: Mapping[str, DataFrame], users: list[int] | None = None) -> DataFrame:
+    """Rows of the given users, or of all, from each table as JSON, with the table's name; one scan of each table."""
+    parts = [(t if users is None else t.filter(F.col("user_id").isin(users))).select(F.lit(name).alias("table"), "user_id", F.to_json(F.struct(*t.columns)).alias("row")) for name, t in tables.items()]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -24,8 +24,6 @@ add("a6_ingest_content", lambda s, d: V.ingestible(table(s, d, "pages")).select(
         WHERE NOT regexp_matches(lower(regexp_replace(url, '[?#].*$', '')), '^[a-z]+://(localhost|127\\.0\\.0\\.1)([:/]|$)') AND NOT regexp_matches(lower(regexp_replace(url, '[?#].*$', '')), '\\.({EXT})$')""")
 add("a12_export_analytics", lambda s, d: daily_metrics(activities(s, d)).withColumn("section", F.lit("daily")).unpivot(["section", "user_id", "date"], ["total_hours", "deep_work_hours", "focus_score"], "metric", "value"),
     "SELECT * FROM (UNPIVOT (SELECT 'daily' AS section, user_id, date, total_hours, deep_work_hours, focus_score FROM metrics) ON total_hours, deep_work_hours, focus_score INTO NAME metric VALUE value)", *ALL)
-add("a16_gdpr_export", lambda s, d: activities(s, d).groupBy("user_id").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "type", "app"))), lambda r: F.to_json(r)), "\n"), 256).alias("bundle_sha256"), F.count(F.lit(1)).alias("n")),
-    """SELECT user_id, sha256(string_agg('{"id":' || id || ',"type":"' || type || '"' || CASE WHEN app IS NULL THEN '' ELSE ',"app":"' || app || '"' END || '}', chr(10) ORDER BY id)) AS bundle_sha256, count(*) AS n FROM activities GROUP BY 1""", ACTIVITIES)
 
 
 def _d29(s, d):

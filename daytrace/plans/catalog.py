@@ -1,6 +1,6 @@
 """All registered queries: importing a module of queries registers them."""
 
-from . import advice, enrichment, extras, graphs, names, productivity, records, reports, sequences, streams, texts, wellbeing  # noqa: F401
+from . import advice, enrichment, extras, graphs, intake, names, productivity, records, reports, sequences, streams, texts, wellbeing  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

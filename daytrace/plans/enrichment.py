@@ -47,7 +47,6 @@ def _b15(s, d):
 
 
 add("b15_confidence_threshold", _b15, "SELECT rel, count(*) AS n FROM (SELECT ['AUTHORED', 'CITES', 'RELATED_TO', 'OTHER'][l_partkey % 4 + 1] AS rel, round(0.5 + 2 * l_discount, 6) AS c FROM lineitem) WHERE c >= CASE rel WHEN 'AUTHORED' THEN 0.7 WHEN 'CITES' THEN 0.6 WHEN 'RELATED_TO' THEN 0.5 ELSE 0.6 END::DOUBLE GROUP BY 1")
-add("b17_filtered_listing", lambda s, d: table(s, d, "orders").filter("o_orderstatus = 'O' and o_orderkey < 9000").orderBy("o_orderpriority", F.desc("o_orderdate"), "o_orderkey").limit(50).select("o_orderkey", "o_orderpriority"), "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O' AND o_orderkey < 9000 ORDER BY o_orderpriority, o_orderdate DESC, o_orderkey LIMIT 50")
 add("b18_pending_work", lambda s, d: activities(s, d).groupBy("user_id").agg(F.max(F.to_date("occurred_at")).alias("last")).withColumn("due", F.datediff(F.lit("2024-01-31").cast("date"), "last") >= F.element_at(F.array(F.lit(1), F.lit(7), F.lit(30)), (F.col("user_id") % 3 + 1).cast("int"))).filter("due").select("user_id"),
     "SELECT user_id FROM (SELECT user_id, max(occurred_at)::DATE AS l FROM activities GROUP BY 1) WHERE date_diff('day', l, DATE '2024-01-31') >= [1, 7, 30][user_id % 3 + 1]", ACTIVITIES)
 add("c4_top_users", lambda s, d: table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).groupBy("c_custkey", "c_name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c_custkey").limit(20), "SELECT c_custkey, c_name, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2 ORDER BY n DESC, c_custkey LIMIT 20")
@@ -139,8 +138,6 @@ add("k33_delete_node", lambda s, d: strong(s, d).join(table(s, d, "part").filter
 add("k11_all_paths", lambda s, d: G.simple_paths(strong(s, d), 1, 2, 3, 10).select(F.array_join("path", ">").alias("path"), "hops", "cost"),
     """, r AS (SELECT [src, dst] AS path, dst AS here, weight::DOUBLE AS cost FROM strong WHERE src = 1 UNION ALL SELECT list_append(path, dst), dst, cost + weight FROM r JOIN strong ON here = src WHERE here <> 2 AND NOT list_contains(path, dst) AND len(path) < 4)
        SELECT array_to_string(path, '>') AS path, len(path) - 1 AS hops, cost FROM r WHERE here = 2 ORDER BY hops, cost, r.path LIMIT 10""", *RV, STRONG)
-add("l12_keyword_fallback", lambda s, d: table(s, d, "documents").select("doc_id", (0.6 * F.contains(F.lower(F.substring("text", 1, 40)), F.lit("the")).cast("int") + 0.2 * F.contains(F.lower(F.substring("text", 1, 500)), F.lit("the")).cast("int")).alias("score")).filter("score > 0").withColumn("score", F.round("score", 4)),
-    "SELECT doc_id, round(0.6 * contains(lower(text[1:40]), 'the')::INT + 0.2 * contains(lower(text[1:500]), 'the')::INT, 4)::DOUBLE AS score FROM documents WHERE contains(lower(text[1:500]), 'the')")
 add("l13_type_search", lambda s, d: activities(s, d).filter(F.contains(F.lower("title"), F.lit("zoom"))).select(F.lit("activity").alias("kind"), "id", F.col("title").alias("name")).unionByName(entities(s, d).filter(F.contains(F.lower("name"), F.lit("red"))).select(F.lit("entity").alias("kind"), "id", "name")),
     "SELECT 'activity' AS kind, id, title AS name FROM activities WHERE contains(lower(title), 'zoom') UNION ALL SELECT 'entity', id, name FROM entities WHERE contains(lower(name), 'red')", ACTIVITIES, ENTITIES)
 add("l11_build_context", lambda s, d: table(s, d, "documents").select("doc_id", "source", F.least(F.length("text"), F.lit(500)).alias("n")).withColumn("used", F.sum("n").over(Window.partitionBy("source").orderBy("doc_id"))).filter("used <= 4000").select("source", "doc_id", "used"), "SELECT source, doc_id, used FROM (SELECT source, doc_id, sum(least(length(text), 500)) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS used FROM documents) WHERE used <= 4000")

@@ -17,10 +17,6 @@ from .texts import OVERLAP, TITLED, titled
 
 add("a11_export_csv", lambda s, d: P.daily_productivity(activities(s, d)).select("user_id", F.to_csv(F.struct(F.col("date").cast("string").alias("date"), "activity_count", "total_seconds", "context_switches")).alias("line")),
     "SELECT user_id, date::VARCHAR || ',' || activity_count || ',' || total_seconds || ',' || context_switches AS line FROM daily", ACTIVITIES, PREPARED, DAILY)
-add("a13_export_content", lambda s, d: table(s, d, "documents").select("doc_id", "lang", "source", "n_chars", F.sha2(F.substring("text", 1, 500), 256).alias("snippet_sha256")), "SELECT doc_id, lang, source, n_chars, sha256(text[1:500]) AS snippet_sha256 FROM documents")
-add("a14_export_user_bundle", lambda s, d: X.bundle({"activities": activities(s, d).select("user_id", "id", "type"), "entities": entities(s, d).select("user_id", "id", "entity_type")}, [1, 2, 3]),
-    """SELECT 'activities' AS "table", user_id, '{"user_id":' || user_id || ',"id":' || id || ',"type":"' || type || '"}' AS "row" FROM activities WHERE user_id IN (1, 2, 3) UNION ALL
-       SELECT 'entities', user_id, '{"user_id":' || user_id || ',"id":' || id || ',"entity_type":"' || entity_type || '"}' FROM entities WHERE user_id IN (1, 2, 3)""", ACTIVITIES, ENTITIES)
 TOOLS = ["vscode", "pycharm", "jupyter", "terminal", "notion", "zoom", "slack"]
 add("h7_tool_regex", lambda s, d: activities(s, d).select("id", F.explode(F.array_intersect(F.split(F.lower("title"), "[^a-z0-9]+"), F.array(*[F.lit(t) for t in TOOLS]))).alias("tool")),
     "SELECT id, unnest(list_filter([" + ", ".join(f"'{t}'" for t in TOOLS) + "], lambda t: list_contains(regexp_split_to_array(lower(title), '[^a-z0-9]+'), t))) AS tool FROM activities", ACTIVITIES)

@@ -8,7 +8,7 @@ from ..operators import people as O
 from ..operators import productivity as P
 from ..operators import resolve as R
 from ..sources import sync as Y
-from ..sources.tables import ACTIVITIES, APPS, ENTITIES, GOALS, WEARABLE, activities, entities, goals, links, table, wearable_data
+from ..sources.tables import ACTIVITIES, APPS, ENTITIES, GOALS, METRICS, WEARABLE, activities, entities, goals, links, table, wearable_data
 from .productivity import ALL, DAILY, KEY, PREPARED, as_of, daily_metrics
 from .registry import add, dates_as_text
 
@@ -144,8 +144,8 @@ add("b12_retention_purge", _b12, "SELECT id, coalesce(occurred_at < (SELECT max(
 add("a2_validate_activities", lambda s, d: Y.validate(activities(s, d), ["web_visit", "app_focus", "meeting"], ["browser", "desktop"], 7200).select("id", F.array_join("reject_reasons", ",").alias("reasons")),
     """SELECT id, array_to_string(list_filter([CASE WHEN type NOT IN ('web_visit', 'app_focus', 'meeting') THEN 'type' END, CASE WHEN source NOT IN ('browser', 'desktop') THEN 'source' END,
               CASE WHEN duration_seconds NOT BETWEEN 0 AND 7200 THEN 'duration' END, CASE WHEN length(data) > 10240 THEN 'context' END], lambda x: x IS NOT NULL), ',') AS reasons FROM activities""", ACTIVITIES)
-add("a4_wearable_wide", lambda s, d: wearable_data(s, d).groupBy("user_id", F.to_date("recorded_at").alias("date")).pivot("metric_type", ["steps", "hrv", "sleep_hours"]).agg(F.round(F.sum("metric_value"), 4)),
-    "SELECT user_id, recorded_at::DATE AS date, " + ", ".join(f"round(sum(metric_value) FILTER (metric_type = '{m}'), 4) AS {m}" for m in ("steps", "hrv", "sleep_hours")) + " FROM wearable_data GROUP BY 1, 2", WEARABLE)
+add("a4_wearable_wide", lambda s, d: wearable_data(s, d).groupBy("user_id", F.to_date("recorded_at").alias("date")).pivot("metric_type", METRICS).agg(F.round(F.sum("metric_value"), 4)),
+    "SELECT user_id, recorded_at::DATE AS date, " + ", ".join(f"round(sum(metric_value) FILTER (metric_type = '{m}'), 4) AS {m}" for m in METRICS) + " FROM wearable_data GROUP BY 1, 2", WEARABLE)
 add("b9_dynamic_listing", lambda s, d: table(s, d, "customer").filter(F.col("c_name").ilike("%99%") & (F.col("c_mktsegment") == "BUILDING")).orderBy(F.desc("c_acctbal"), "c_custkey").limit(50).select("c_custkey", "c_acctbal"),
     "SELECT c_custkey, c_acctbal FROM customer WHERE c_name ILIKE '%99%' AND c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC, c_custkey LIMIT 50")
 add("b1_user_time_range", lambda s, d: activities(s, d).filter((F.col("user_id") < 20) & (F.col("occurred_at") >= "2024-01-05") & (F.col("occurred_at") < "2024-01-12")).select("id", "user_id"), "SELECT id, user_id FROM activities WHERE user_id < 20 AND occurred_at >= '2024-01-05' AND occurred_at < '2024-01-12'", ACTIVITIES)

@@ -149,6 +149,10 @@ add("l9_term_overlap_retrieve", lambda s, d: S.term_overlap(titled(s, d), "for t
     "SELECT id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY round(s, 9) DESC, id) AS rank FROM overlap) WHERE rank <= 20", TITLED, OVERLAP)
 
 
+add("l12_keyword_fallback", lambda s, d: titled(s, d).select("doc_id", F.round(0.6 * F.contains(F.lower("title"), F.lit("the")).cast("int") + 0.2 * F.contains(F.lower("text"), F.lit("the")).cast("int"), 4).alias("score")).filter("score > 0"),
+    "SELECT id AS doc_id, round(0.6 * contains(lower(title), 'the')::INT + 0.2 * contains(lower(text), 'the')::INT, 4)::DOUBLE AS score FROM titled WHERE contains(lower(title), 'the') OR contains(lower(text), 'the')", TITLED)
+
+
 def _l14(s, d):
     v = vectors(s, d)
     return S.dbscan(v, S.eps_pairs(v))
