@@ -210,11 +210,11 @@ def eps_pairs(vectors: DataFrame, eps: float = 0.35, pivots: int = 64, block: in
             row, cell = np.nonzero((x <= radius + reach + 1e-9) | (np.arange(x.shape[1]) == home[:, None]))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             own = home[row] == cell
-            part = (ids[row] * 2654435761 % 2**32 % share).astype(np.int64)
+            part = ids[row] % share
             for k in range(share):
                 # at home in one block of rows, met by the visitors of every block
-                at = np.flatnonzero(own if share == 1 else (own & (part == k)) | ~own)
-                both = np.flatnonzero(own & (part != k)) if share > 1 else at[:0]
+                at = np.flatnonzero(~own | (part == k))
+                both = np.flatnonzero(own & (part != k))
                 for rows_at, is_home in ((at, own[at]), (both, np.zeros(len(both), bool))):
                     if len(rows_at):
                         yield pa.RecordBatch.from_arrays([pa.array(cell[rows_at] * share + k), pa.array(ids[row[rows_at]]), pa.array(is_home), batch.column(1).take(pa.array(row[rows_at]))], ["cell", "id", "home", "vector"])

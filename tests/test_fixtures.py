@@ -75,12 +75,6 @@ def test_focus_score(spark, args, score):
     assert spark.range(1).select(P.focus_score_10(*map(F.lit, args))).first()[0] == pytest.approx(score)
 
 
-def test_focus_periods_end_at_third_change(spark):
-    rows = [(a, m, 60) for m, a in enumerate(["vscode", "chrome", "vscode", "chrome", "vscode"])]
-    got = E.focus_periods(acts(spark, rows)).orderBy("started").collect()
-    assert [(r.seconds, r.changes) for r in got] == [(180, 2), (120, 1)]
-
-
 def edges(spark, pairs):
     return spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src long, dst long, weight double")
 
