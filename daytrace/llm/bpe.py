@@ -71,6 +71,7 @@ class Codec:
         self.normalise, self.split = self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str
         self.code = "H" if max(vocab.values()) < 1 << 16 else "I"
         self.merges = self.merge_table(model) if merges else {}
+        self.shown = dict(enumerate(alphabet))
         self.inner = {c: vocab[c] for c in alphabet}
         self.final = {c: vocab[c + end] for c in alphabet}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -124,12 +125,16 @@ class Codec:
     def chunk(self, piece: str) -> bytes:
         """Ids of a piece of text without white space, as little-endian bytes.
 
-        ASCII letters with marks after them, as most pieces are, are a word and a run of marks; other pieces are normalised
-        and split as the file asks, between its special tokens.
+        Latin letters below U+0250 with ASCII marks after them, as most pieces are, are a word and a run of marks: these
+        letters are in normal form by themselves and have been letters, with these small forms, in every version of Unicode.
+        Other pieces are normalised and split as the file asks, between its special tokens.
         """
         core, word = piece.rstrip(MARKS), self.words.get
-        if core.isascii() and core.isalpha():
-            return word(core.lower()) + word(piece[len(core) :]) if len(core) < len(piece) else word(core.lower())
+        if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
+            low = core.lower()
+            if low.isalpha():
+                low = low if low.isascii() else low.encode().decode("latin-1").translate(self.shown)
+                return word(low) + word(piece[len(core) :]) if len(core) < len(piece) else word(low)
         out: list[bytes] = []
         for part in self.mark.split(piece) if "<|" in piece else [piece]:
             if part in self.special:
