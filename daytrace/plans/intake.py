@@ -130,8 +130,16 @@ def _i2(s, d):
 add("i2_activity_fanout", _i2, "SELECT event_type AS sink, user_id, count(*) AS n FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1, 2")
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def _i3(s, d):
-    rows = A.drain(A.user_state(stream(s, d)), "update", "i3")
+    before = s.conf.get(PROVIDER)
+    s.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # this state needs it
+    try:
+        rows = A.drain(A.user_state(stream(s, d)), "update", "i3")
+    finally:
+        s.conf.set(PROVIDER, before)
     return rows.groupBy("user_id").agg(F.max(F.struct("version", "total_seconds", "active")).alias("x")).select("user_id", "x.*")
 
 
