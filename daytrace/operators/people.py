@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import bounded
+
 # Mastery levels by hours, milestones by metric, and roles with their skills.
 LEVELS = [(0, "beginner"), (20, "intermediate"), (50, "advanced"), (100, "expert"), (200, "master")]
 MILESTONES = {"activities": [100, 500, 1000], "hours": [10, 50, 100], "apps": [5, 10, 15]}
@@ -73,14 +75,26 @@ def goal_milestones(goals: DataFrame) -> DataFrame:
     return goals.select("id", F.explode(F.array(*[F.lit(t) for t in (25, 50, 75, 100)])).alias("threshold"), pct.alias("pct")).filter("pct >= threshold").select("id", F.col("threshold").cast("long").alias("threshold"))
 
 
-def latency_histogram(samples: DataFrame, value: str, keys: list[str], bounds: list[float]) -> DataFrame:
-    """Cumulative counts by upper bound, sum, mean and exact percentiles (the value at int(n * q)) of each group."""
+def latency_histogram(samples: DataFrame, value: str, keys: list[str], bounds: list[float], cells: int = 4096) -> DataFrame:
+    """Cumulative counts by upper bound, sum, mean and exact percentiles (the value at int(n * q)) of each group.
+
+    Values are first counted in ``cells`` of equal width between a group's least and largest; only the cells that hold a
+    percentile are looked into, by counts of their different values, so no task sorts a whole group.
+    """
     buckets = [F.count(F.when(F.col(value) <= b, 1)).alias(f"le_{b:g}".replace(".", "_")) for b in bounds]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    x = samples.withColumn("r", rank).withColumn("n", n)
-    at = lambda q: F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * q), F.col("n") - 1), F.col(value))).alias(f"p{int(q * 100)}")
-    return x.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.round(F.sum(value), 4).alias("sum"), F.round(F.avg(value), 6).alias("mean"), *buckets, at(0.5), at(0.95), at(0.99))
+    n, low, high = F.count(F.lit(1)), F.min(value), F.max(value)
+    stats = samples.groupBy(*keys).agg(n.alias("count"), F.round(F.sum(value), 4).alias("sum"), F.round(F.avg(value), 6).alias("mean"), *buckets, low.alias("low"), high.alias("high"))
+    x = samples.select(*keys, F.col(value).alias("v")).join(bounded(stats.select(*keys, "low", "high")), keys)
+    cell = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * cells), F.lit(cells - 1))).otherwise(F.lit(0)).cast("int")
+    x = x.withColumn("cell", cell)
+    up_to = lambda by, order: F.sum("n").over(Window.partitionBy(*by).orderBy(order))
+    counts = x.groupBy(*keys, "cell").agg(n.alias("n")).withColumn("upto", up_to(keys, "cell"))
+    wanted = stats.select(*keys, F.explode(F.array(*[F.struct(F.lit(int(q * 100)).alias("q"), F.least(F.floor(F.col("count") * q), F.col("count") - 1).alias("r")) for q in (0.5, 0.95, 0.99)])).alias("w")).select(*keys, "w.*")
+    at = wanted.join(counts, keys).filter((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("n"))).select(*keys, "cell", "q", (F.col("r") - F.col("upto") + F.col("n")).alias("r"))
+    inner = x.join(bounded(at.select(*keys, "cell").distinct()), [*keys, "cell"], "left_semi").groupBy(*keys, "cell", "v").agg(n.alias("n")).withColumn("upto", up_to([*keys, "cell"], "v"))
+    hit = at.join(inner, [*keys, "cell"]).filter((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("n")))
+    found = hit.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == q, F.col("v"))).alias(f"p{q}") for q in (50, 95, 99)])
+    return stats.drop("low", "high").join(found, keys)
 
 
 def platform_overview(acts: DataFrame, as_of: Column) -> DataFrame:
