@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from ..operators import advice as V
 from ..operators import graph as G
 from ..operators import people as O
-from ..operators import productivity as P
 from ..operators import resolve as R
 from ..operators import sessions as S
 from ..sources.tables import ACTIVITIES, APPS, ENTITIES, LINKS, activities, entities, links, request_log, table
 from .graphs import BOTH, PAIRS, STRONG, strong
-from .productivity import ALL, KEY, daily_metrics
+from .productivity import ALL, daily_metrics
 from .records import HOURS, SK, skill_table
 from .registry import add, dates_as_text
 from .sequences import QUOTA

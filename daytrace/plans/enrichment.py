@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine
 from ..operators import enrich as N
 from ..operators import graph as G
-
 from ..operators import productivity as P
-from ..operators import sessions as S
-from ..session import bounded
+from ..operators import search as Q
 from ..sources.tables import ACTIVITIES, ENTITIES, LINKS, activities, entities, links, table
 from .graphs import BOTH, PAIRS, REC, RV, STRONG, strong
-from .productivity import ALL, KEY, TYPES, daily_metrics
+from .productivity import ALL, daily_metrics
 from .registry import add, dates_as_text
 
 PROFILES = {"de": ["der", "die", "und", "das", "ist", "den", "von", "mit", "ein"], "en": ["the", "of", "and", "to", "in", "is", "that", "for", "it"], "es": ["de", "la", "que", "el", "los", "las", "una", "por", "su"], "fr": ["le", "les", "des", "et", "est", "un", "pour", "dans", "du"]}
@@ -129,9 +126,7 @@ add("k29_similar_nodes", lambda s, d: _similar(s, d), "SELECT query_id, id, roun
 def _similar(s, d):
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     q = v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
-    hits = v.crossJoin(bounded(q)).filter("id <> query_id").withColumn("c", cosine(F.col("vector"), F.col("query_vector"))).filter("c >= 0.2")  # a stated query set against all vectors
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("c", 9)), "id"))
-    return hits.withColumn("r", rank).filter("r <= 5").select("query_id", "id", F.round("c", 6).alias("score"))
+    return Q.cosine_search(v, q, 5, 0.2).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 add("k33_delete_node", lambda s, d: strong(s, d).join(table(s, d, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("src")), "src", "left_anti").join(table(s, d, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("dst")), "dst", "left_anti").select("src", "dst", "weight"), "SELECT src, dst, weight FROM strong WHERE src % 10 <> 0 AND dst % 10 <> 0", LINKS, PAIRS, BOTH, STRONG)

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import people as O
-from ..operators import productivity as P
 from ..operators import resolve as R
 from ..sources import sync as Y
 from ..sources.tables import ACTIVITIES, APPS, ENTITIES, GOALS, METRICS, WEARABLE, activities, entities, goals, links, table, wearable_data
-from .productivity import ALL, DAILY, KEY, PREPARED, as_of, daily_metrics
+from .productivity import DAILY, PREPARED, as_of, daily_metrics
 from .registry import add, dates_as_text
 
 V = (ACTIVITIES, PREPARED, DAILY)

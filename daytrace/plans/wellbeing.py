@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.dims import COMM_APPS
 from ..operators import sessions as S
 from ..operators import wellbeing as W
