@@ -9,7 +9,7 @@ from ..session import bounded
 
 # Mastery levels by hours, milestones by metric, and roles with their skills.
 LEVELS = [(0, "beginner"), (20, "intermediate"), (50, "advanced"), (100, "expert"), (200, "master")]
-MILESTONES = {"activities": [100, 500, 1000], "hours": [10, 50, 100], "apps": [5, 10, 15]}
+MILESTONES = {"activity_count": [100, 500, 1000], "entity_count": [10, 25, 50, 100], "hours_tracked": [100, 500, 1000], "focus_streak": [3, 7, 14], "unique_apps": [5, 10]}
 
 
 def skill_hours(acts: DataFrame, skills: DataFrame) -> DataFrame:
@@ -46,10 +46,12 @@ def category_entropy(skills: DataFrame) -> DataFrame:
     return x.select("user_id", "categories", F.round("entropy", 6).alias("entropy"), F.round(F.when(F.col("categories") > 1, F.col("entropy") / F.log2("categories")).otherwise(0.0), 6).alias("evenness"))
 
 
-def milestones(acts: DataFrame) -> DataFrame:
-    """Each user's totals against the thresholds: reached or not, and progress in percent."""
-    x = acts.groupBy("user_id").agg(F.count(F.lit(1)).cast("double").alias("activities"), (F.sum(F.coalesce("duration_seconds", F.lit(0))) / 3600).alias("hours"), F.count_distinct("app").cast("double").alias("apps"))
-    long = x.unpivot("user_id", ["activities", "hours", "apps"], "metric", "value")
+def milestones(acts: DataFrame, entities: DataFrame, streaks: DataFrame) -> DataFrame:
+    """Each user's rows, entities, hours, run of days of focus (``user_id, streak``) and applications against the
+    thresholds: reached or not, and progress in percent."""
+    x = acts.groupBy("user_id").agg(F.count(F.lit(1)).cast("double").alias("activity_count"), (F.sum(F.coalesce("duration_seconds", F.lit(0))) / 3600).alias("hours_tracked"), F.count_distinct("app").cast("double").alias("unique_apps"))
+    x = x.join(entities.groupBy("user_id").agg(F.count(F.lit(1)).cast("double").alias("entity_count")), "user_id", "left").join(streaks.select("user_id", F.col("streak").cast("double").alias("focus_streak")), "user_id", "left").fillna(0.0)
+    long = x.unpivot("user_id", list(MILESTONES), "metric", "value")
     steps = F.create_map(*[v for k, ts in MILESTONES.items() for v in (F.lit(k), F.array(*[F.lit(t) for t in ts]))])
     y = long.withColumn("threshold", F.explode(F.element_at(steps, F.col("metric"))))
     return y.select("user_id", "metric", F.col("threshold").cast("long").alias("threshold"), (F.col("value") >= F.col("threshold")).alias("reached"), F.round(F.least(F.lit(100.0), F.col("value") / F.col("threshold") * 100), 4).alias("progress"))

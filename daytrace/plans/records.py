@@ -43,10 +43,6 @@ add("d30_skill_growth", _d30,
     """SELECT user_id, app, round(n, 6) AS hours_now, round(b, 6) AS hours_before, round(p, 4) AS growth_pct, CASE WHEN p > 10 THEN 'increasing' WHEN p < -10 THEN 'decreasing' ELSE 'stable' END AS trend FROM (
          SELECT *, CASE WHEN b > 0 THEN (n - b) / b * 100 WHEN n > 0 THEN 100 ELSE 0 END AS p FROM (SELECT user_id, app, coalesce(sum(h) FILTER (back < 7), 0) AS n, coalesce(sum(h) FILTER (back >= 7), 0) / 4 AS b FROM (
            SELECT user_id, app, coalesce(duration_seconds, 0) / 3600 AS h, date_diff('day', occurred_at::DATE, (SELECT max(occurred_at)::DATE FROM activities)) AS back FROM activities WHERE app IS NOT NULL) WHERE back < 35 GROUP BY 1, 2))""", ACTIVITIES)
-add("d34_milestones", lambda s, d: O.milestones(activities(s, d)),
-    """SELECT user_id, metric, threshold::BIGINT AS threshold, value >= threshold AS reached, round(least(100.0, value / threshold * 100), 4) AS progress FROM (
-         UNPIVOT (SELECT user_id, count(*)::DOUBLE AS activities, sum(coalesce(duration_seconds, 0)) / 3600 AS hours, count(DISTINCT app)::DOUBLE AS apps FROM activities GROUP BY 1) ON activities, hours, apps INTO NAME metric VALUE value)
-       JOIN (VALUES ('activities', 100), ('activities', 500), ('activities', 1000), ('hours', 10), ('hours', 50), ('hours', 100), ('apps', 5), ('apps', 10), ('apps', 15)) t(metric, threshold) USING (metric)""", ACTIVITIES)
 add("d33_goal_stats", lambda s, d: O.goal_stats(goals(s, d)),
     """SELECT user_id, count(*) AS goals, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'paused') AS paused,
               round(count(*) FILTER (status = 'completed') / count(*) * 100, 4) AS completion_rate, round(avg(least(100.0, current_value / nullif(target_value, 0) * 100)), 4) AS mean_progress FROM goals GROUP BY 1""", GOALS)
