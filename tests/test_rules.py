@@ -215,3 +215,33 @@ def test_all_centralities_go_on_after_a_failure(spark):
     e = ring_pair(spark)
     got, failed = I.all_centralities(e, {"degree": lambda x: G.degree(x).withColumn("score", F.col("degree")), "bad": lambda x: x.select("nothing"), "pagerank": lambda x: G.pagerank(x, 3)})
     assert failed == ["bad"] and {r.metric for r in got.collect()} == {"degree", "pagerank"} and got.count() == 20
+
+
+def test_diversity_against_a_loop(spark):
+    import random
+
+    rng = random.Random(2)
+    hits = [(q, r, 100 * q + r, rng.choice("aab")) for q in range(6) for r in range(1, rng.randint(2, 14))]
+    want = {}
+    for q in range(6):
+        rest, last, place = sorted((r, i, f) for k, r, i, f in hits if k == q), None, 0
+        while rest and place < 5:
+            pick = next((x for x in rest if place == 0 or x[2] != last), rest[0])
+            rest.remove(pick)
+            last, place = pick[2], place + 1
+            want[q, place] = pick[1]
+    table = spark.createDataFrame(hits, "query_id long, rank long, id long, f string")
+    assert {(r.query_id, r["rank"]): r.id for r in S.diversify(table, "f", 5).collect()} == want
+
+
+def test_percentiles_against_a_sort(spark):
+    import random
+
+    from daytrace.operators import people as O
+
+    rng = random.Random(3)
+    rows = [(k, float(rng.choice([1, 1, 1, rng.random() * 100]))) for k in ("a", "b") for _ in range(700)] + [("c", 5.0)] * 3
+    got = {r.k: r for r in O.latency_histogram(spark.createDataFrame(rows, "k string, v double"), "v", ["k"], [10], cells=16).collect()}
+    for k in "abc":
+        v = sorted(x for g, x in rows if g == k)
+        assert [got[k].p50, got[k].p95, got[k].p99] == [v[min(int(len(v) * q), len(v) - 1)] for q in (0.5, 0.95, 0.99)] and got[k].le_10 == sum(x <= 10 for x in v)
