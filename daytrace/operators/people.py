@@ -54,7 +54,7 @@ def milestones(acts: DataFrame, entities: DataFrame, streaks: DataFrame) -> Data
     long = x.unpivot("user_id", list(MILESTONES), "metric", "value")
     steps = F.create_map(*[v for k, ts in MILESTONES.items() for v in (F.lit(k), F.array(*[F.lit(t) for t in ts]))])
     y = long.withColumn("threshold", F.explode(F.element_at(steps, F.col("metric"))))
-    return y.select("user_id", "metric", F.col("threshold").cast("long").alias("threshold"), (F.col("value") >= F.col("threshold")).alias("reached"), F.round(F.least(F.lit(100.0), F.col("value") / F.col("threshold") * 100), 4).alias("progress"))
+    return y.select("user_id", "metric", F.col("threshold").cast("long").alias("threshold"), (F.col("value") >= F.col("threshold")).alias("reached"), F.round(F.least(F.lit(100.0), F.col("value") / F.col("threshold") * 100), 6).alias("progress"))
 
 
 def goal_stats(goals: DataFrame) -> DataFrame:

@@ -197,7 +197,7 @@ add("d51_productivity_by_score", lambda s, d: R.productivity_by_score(activities
 
 STEPS = [(k, t) for k, ts in O.MILESTONES.items() for t in ts]
 add("d34_milestones", lambda s, d: O.milestones(activities(s, d), entities(s, d), QUERIES["e7c_focus_streak"](s, d)),
-    f"""SELECT user_id, metric, threshold::BIGINT AS threshold, value >= threshold AS reached, round(least(100.0, value / threshold * 100), 4)::DOUBLE AS progress FROM (
+    f"""SELECT user_id, metric, threshold::BIGINT AS threshold, value >= threshold AS reached, round(least(100.0, value / threshold * 100), 6)::DOUBLE AS progress FROM (
           UNPIVOT (SELECT user_id, n::DOUBLE AS activity_count, coalesce(e, 0)::DOUBLE AS entity_count, h::DOUBLE AS hours_tracked, coalesce(streak, 0)::DOUBLE AS focus_streak, k::DOUBLE AS unique_apps FROM (SELECT user_id, count(*) AS n, sum({S}) / 3600 AS h, count(DISTINCT app) AS k FROM activities GROUP BY 1)
                    LEFT JOIN (SELECT user_id, count(*) AS e FROM entities GROUP BY 1) USING (user_id) LEFT JOIN streaks USING (user_id)) ON activity_count, entity_count, hours_tracked, focus_streak, unique_apps INTO NAME metric VALUE value)
         JOIN steps USING (metric)""", f"streaks AS ({SQL['e7c_focus_streak']})", ACTIVITIES, ENTITIES, values("steps", "metric, threshold", STEPS))
