@@ -1,12 +1,14 @@
 import decimal
 
+import pandas as pd
+
 
 def plain(v):
     """A value as text that both engines' results share; floats to nine digits."""
-    if v is None or v != v:
-        return None
     if hasattr(v, "tolist"):
         v = v.tolist()
+    if v is None or (not isinstance(v, list) and pd.isna(v)):
+        return None
     if isinstance(v, (list, tuple)):
         return str([plain(x) for x in v])
     if isinstance(v, bool):
