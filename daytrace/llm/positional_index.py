@@ -83,7 +83,7 @@ def ranked_windows(items: DataFrame, index: DataFrame, window: int, depth: int)
 
 def alignments(index: DataFrame, windows: DataFrame, depth: int) -> DataFrame:
     """``(doc, item, delta)``: where a word ``delta`` places further in the document matches the item at the ``depth`` rarest
-    places of some window.
+    places of some window; negative where a document starts within an item.
 
     The list of the rarest term of each window is read first, each posting less the term's place in the item; then the
     lists of the next terms are intersected with what is left, one after the other. Windows that share their rarest places
@@ -92,7 +92,6 @@ def alignments(index: DataFrame, windows: DataFrame, depth: int) -> DataFrame:
     chains = windows.select("item", F.transform("rare", lambda r: F.struct(r["at"].alias("at"), r["term"].alias("term"))).alias("chain")).distinct()
     first = chains.groupBy("item", F.col("chain")[0]["at"].alias("at"), F.col("chain")[0]["term"].alias("term")).agg(F.collect_set("chain").alias("chains"))
     rows = index.join(bounded(first, 20_000), "term").select("doc", "item", (F.col("pos") - F.col("at")).alias("delta"), F.explode("chains").alias("chain"))
-    rows = rows.filter("delta > -1")
     for k in range(1, depth):
         terms = chains.select(F.get("chain", F.lit(k))["term"].alias("term")).dropna().distinct()
         listed = index.join(bounded(terms, 1_000_000), "term", "left_semi")
@@ -136,7 +135,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     # An empty string before the first word shifts all places by one.
     shift = (F.element_at("words", 1) == "").cast("int")
     size = lambda a: F.least(F.size(a["words"]), F.lit(window))
-    runs = lambda a: F.filter(F.sequence(F.lit(0), F.size(a["words"]) - size(a)), lambda s: F.slice(F.col("words"), a["delta"] + s + 1, size(a)) == F.slice(a["words"], s + 1, size(a)))
+    runs = lambda a: F.filter(F.sequence(F.lit(0), F.size(a["words"]) - size(a)), lambda s: F.when(a["delta"] + s >= 0, F.slice(F.col("words"), a["delta"] + s + 1, size(a)) == F.slice(a["words"], s + 1, size(a))).otherwise(False))
     matches = F.flatten(F.transform("aligned", lambda a: F.transform(runs(a), lambda s: F.struct(a["item_id"].alias("item_id"), (a["delta"] + s - shift).alias("start"), size(a).alias("n")))))
     return met.select("doc_id", "n_words", F.coalesce(matches, F.array().cast("array<struct<item_id:string,start:int,n:int>>")).alias("matches"))
 
