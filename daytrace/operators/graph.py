@@ -8,10 +8,10 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded, cut_lineage
+from ..session import bounded, cut_lineage, written
 
 
 def pairs_within(rows: DataFrame, block: int = 1024) -> DataFrame:
@@ -334,55 +334,81 @@ def inferred_weight(count: Column, age_days: Column, strength: Column) -> Column
     return F.least(F.lit(5.0), F.greatest(F.lit(0.1), (1 + F.log10(count)) * F.pow(F.lit(2.0), -age_days / 365) * strength))
 
 
-def louvain_moves(edges: DataFrame, rounds: int = 6) -> DataFrame:
-    """``id, label`` after local moves that raise modularity, from single vertices on. ``edges`` go both ways.
+def louvain_moves(edges: DataFrame, start: DataFrame, rounds: int = 16, least_moved: float = 0.02) -> DataFrame:
+    """``id, label`` after local moves that raise modularity, from the labels of ``start`` (``id, label``) on. ``edges`` go
+    both ways, each pair once.
 
     In each round a vertex looks at its neighbours' communities and moves to the one with the largest gain; half of the
-    vertices, by a hash with the round, may move at once, so that two don't swap. Stops when none moves twice in a row or
-    after ``rounds``; what is left to gain is gained on the contracted graph.
+    vertices, by a hash with the round, may move at once, so that two don't swap. A round is one written table: degrees and
+    weights to the own vertex are found once, the communities' totals are summed from the last table, and the number of
+    moved vertices is observed while the next one is written. Stops when two rounds in a row moved less than
+    ``least_moved`` of the vertices, or after ``rounds``.
     """
-    e = cut_lineage(edges.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight")))
-    total = e.agg(F.sum("weight")).first()[0] or 1.0
-    deg = e.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
-    labels, idle = cut_lineage(deg.select("id", F.col("id").alias("label"), "k")), 0
-    for n in range(rounds):
+    e = edges.filter("src <> dst")
+    deg = edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
+    labels = written(start.join(deg, "id"), "louvain")
+    total, n = edges.agg(F.sum("weight")).first()[0] or 1.0, labels.count()
+    idle = 0
+    for k in range(rounds):
+        held = bounded(labels, 100_000) if k == 0 or not small else F.broadcast(labels)
+        small = held is not labels
         sums = labels.groupBy("label").agg(F.sum("k").alias("tot"))
-        near = e.filter("src <> dst").join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("weight").alias("inside"))
-        own = labels.select("id", F.col("label").alias("own"), "k")
-        cand = near.union(labels.select("id", "label", F.lit(0.0))).groupBy("id", "label").agg(F.sum("inside").alias("inside")).join(own, "id").join(sums, "label")
-        tot = F.col("tot") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0)
-        gain = F.round(F.col("inside") - tot * F.col("k") / total, 9)
-        best = cand.groupBy("id").agg(F.min(F.struct((-gain).alias("g"), (F.col("label") != F.col("own")).alias("leaves"), "label"))["label"].alias("new"))
-        may = F.pmod(F.xxhash64("id", F.lit(n)), F.lit(2)) == 0
-        moved = cut_lineage(labels.join(best, "id").select("id", F.when(may, F.col("new")).otherwise(F.col("label")).alias("label"), "k", (may & (F.col("new") != F.col("label"))).alias("moved")))
-        idle = idle + 1 if moved.filter("moved").isEmpty() else 0
-        labels = moved.select("id", "label", "k")
+        near = e.join(held.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("weight").alias("inside"))
+        cand = near.join(held.select("id", F.col("label").alias("own"), "k"), "id").join(F.broadcast(sums) if small else sums, "label")
+        gain = lambda tot: F.round(F.col("inside") - tot * F.col("k") / total, 9)
+        stays = F.col("label") == F.col("own")
+        best = cand.groupBy("id").agg(
+            F.min(F.when(~stays, F.struct((-gain(F.col("tot"))).alias("loss"), "label"))).alias("best"),
+            F.max(F.when(stays, F.col("inside"))).alias("inside"),
+        )
+        joined = labels.join(sums.withColumnRenamed("label", "own"), F.col("label") == F.col("own")).join(best, "id", "left")
+        here = F.round(F.coalesce("inside", F.lit(0.0)) - (F.col("tot") - F.col("k")) * F.col("k") / total, 9)
+        may = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2)) == 0
+        moves = may & F.coalesce(-F.col("best.loss") > here, F.lit(False))
+        seen = Observation()
+        new = joined.select("id", F.when(moves, F.col("best.label")).otherwise(F.col("label")).alias("label"), "k", moves.alias("moved")).observe(seen, F.count(F.when(F.col("moved"), 1)).alias("moved"))
+        labels = written(new, "louvain").drop("moved")
+        idle = idle + 1 if seen.get["moved"] <= least_moved * n else 0
         if idle == 2:
             break
     return labels.select("id", "label")
 
 
-def louvain(edges: DataFrame, least_gain: float = 1e-7) -> DataFrame:
+def louvain(edges: DataFrame, least_gain: float = 1e-6) -> DataFrame:
     """``id, label``: communities by local moves and contraction. ``edges`` go both ways.
 
     After the moves the communities become the vertices of a smaller graph, whose edges carry the sums, loops included;
-    that repeats until modularity rises no more. A community is named by its smallest vertex.
+    that repeats until modularity rises no more. Then single vertices move once more between the communities found, and
+    what that gains is contracted again. A community is named by its smallest vertex.
     """
-    e = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
-    graph, labels, best = e, cut_lineage(e.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))), None
-    while True:
-        step = louvain_moves(graph).select(F.col("id").alias("label"), F.col("label").alias("next"))
-        new = cut_lineage(labels.join(step, "label").select("id", F.col("next").alias("label")))
-        q = modularity_both(e, new).first()[0] or 0.0
-        if best is not None and q <= best + least_gain:
-            break
-        labels, best = new, q
-        a, b = step.select(F.col("label").alias("src"), F.col("next").alias("a")), step.select(F.col("label").alias("dst"), F.col("next").alias("b"))
-        graph = cut_lineage(graph.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")))
+    e = written(edges.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight")), "louvain")
+    labels = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().withColumn("label", F.col("id"))
+    best = -1.0
+    for _ in ("single vertices", "single vertices between the communities found"):
+        new = louvain_moves(e, labels)
+        graph = contracted(e, new)
+        while (q := _modularity_of_contracted(graph)) > best + least_gain:
+            labels, best = new, q
+            step = louvain_moves(graph, graph.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
+            graph = contracted(graph, step)
+            new = written(labels.join(step.select(F.col("id").alias("label"), F.col("label").alias("next")), "label").select("id", F.col("next").alias("label")), "louvain")
     names = labels.groupBy("label").agg(F.min("id").alias("name"))
     return labels.join(names, "label").select("id", F.col("name").alias("label"))
 
 
+def contracted(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The graph whose vertices are the labels and whose edges, loops included, carry the sums of ``edges``."""
+    a, b = labels.select(F.col("id").alias("src"), F.col("label").alias("a")), labels.select(F.col("id").alias("dst"), F.col("label").alias("b"))
+    return written(edges.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")), "louvain")
+
+
+def _modularity_of_contracted(graph: DataFrame) -> float:
+    """Modularity of the communities that are the vertices of ``graph``, whose edges go both ways and carry sums."""
+    per = graph.groupBy("src").agg(F.sum("weight").alias("degree"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("weight")).otherwise(0.0)).alias("inside"))
+    row = per.agg(F.sum("degree").alias("m"), F.sum("inside").alias("i"), F.sum(F.col("degree") * F.col("degree")).alias("d")).first()
+    return row.i / row.m - row.d / row.m**2 if row.m else 0.0
+
+
 def node2vec_walks(edges: DataFrame, starts: DataFrame, p: float = 1.0, q: float = 1.0, length: int = 10, per_vertex: int = 30, seed: int = 7) -> DataFrame:
     """``id, walk, path``: seeded second-order walks of ``length`` vertices over a graph whose ``edges`` go both ways.
 

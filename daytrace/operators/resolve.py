@@ -1,4 +1,4 @@
-"""Entity resolution and activity deduplication."""
+"""Activity deduplication, and the similarity of two strings."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.scalars import duration_bucket
-from .components import connected_components
 
 
 def client_id_duplicates(acts: DataFrame) -> DataFrame:
@@ -38,44 +37,3 @@ def heuristic_duplicates(acts: DataFrame, window: int = 30) -> DataFrame:
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two strings; 0 with a null."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else 0.0 for x, y in zip(a, b)], dtype="float64")
-
-
-def entity_pairs(entities: DataFrame, least: float = 0.75) -> DataFrame:
-    """M1: pairs of entities of the same user and type that look alike, with their score and what to do with them.
-
-    Candidates share a token of the name or its first four letters (blocking); the score is the larger of the best and the
-    weighted mean of the sequence ratio (weight 2, from 0.6) and the token overlap (weight 1.5, from 0.6; 0.9 at least if
-    one name's tokens hold the other's), plus 0.05, 1 at most.
-    """
-    e = entities.select("id", "user_id", "entity_type", F.lower(F.trim("name")).alias("name")).withColumn("tokens", F.array_distinct(F.split("name", r"\s+")))
-    keyed = e.withColumn("key", F.explode(F.array_distinct(F.concat("tokens", F.array(F.substring("name", 1, 4))))))
-    a = keyed.select("user_id", "entity_type", "key", F.col("id").alias("a"), F.col("name").alias("na"), F.col("tokens").alias("ta"))
-    b = keyed.select("user_id", "entity_type", "key", F.col("id").alias("b"), F.col("name").alias("nb"), F.col("tokens").alias("tb"))
-    pairs = a.join(b, ["user_id", "entity_type", "key"]).filter("a < b").dropDuplicates(["a", "b"]).drop("key")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    jaccard = shared / F.size(F.array_union("ta", "tb"))
-    overlap = F.when(shared == F.least(F.size("ta"), F.size("tb")), F.greatest(jaccard, F.lit(0.9))).otherwise(jaccard)
-    x = pairs.withColumn("ratio", sequence_ratio("na", "nb")).withColumn("overlap", overlap)
-    r, o = F.when(F.col("ratio") >= 0.6, F.col("ratio")), F.when(F.col("overlap") >= 0.6, F.col("overlap"))
-    weight = F.when(r.isNotNull(), 2.0).otherwise(0.0) + F.when(o.isNotNull(), 1.5).otherwise(0.0)
-    mean = (F.coalesce(r * 2.0, F.lit(0.0)) + F.coalesce(o * 1.5, F.lit(0.0))) / F.nullif(weight, F.lit(0.0))
-    score = F.least(F.lit(1.0), F.greatest(F.coalesce(r, F.lit(0.0)), F.coalesce(o, F.lit(0.0)), F.coalesce(mean, F.lit(0.0))) + 0.05)
-    x = x.withColumn("score", F.when(weight > 0, score).otherwise(0.0)).filter(F.col("score") >= least)
-    return x.select("user_id", "entity_type", "a", "b", F.round("ratio", 6).alias("ratio"), F.round("overlap", 6).alias("overlap"), F.round("score", 6).alias("score"), F.when(F.col("score") >= 0.97, "auto_merge").when(F.col("score") >= 0.80, "suggest").otherwise("review").alias("recommendation"))
-
-
-def entity_clusters(entities: DataFrame, pairs: DataFrame) -> DataFrame:
-    """M1: clusters of chained pairs, each named by its most frequent entity (the smallest identifier of equal ones)."""
-    roots = connected_components(pairs.select("a", "b"))
-    x = roots.join(entities.select(F.col("id").alias("v"), "occurrence_count"), "v")
-    top = x.groupBy("root").agg(F.min(F.struct((-F.col("occurrence_count")).alias("n"), "v"))["v"].alias("canonical_id"), F.count(F.lit(1)).alias("size"))
-    return x.join(top, "root").select(F.col("v").alias("id"), "canonical_id", "size")
-
-
-def merge_entities(entities: DataFrame, links: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """M2: entities and links after each cluster's members are merged into its canonical one."""
-    to = clusters.select("id", "canonical_id")
-    moved = entities.join(to, "id", "left").withColumn("new_id", F.coalesce("canonical_id", "id"))
-    merged = moved.groupBy("new_id").agg(F.sum("occurrence_count").alias("occurrence_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.array_sort(F.collect_set(F.when(F.col("id") != F.col("new_id"), F.col("name")))).alias("aliases"), F.max(F.when(F.col("id") == F.col("new_id"), F.col("name"))).alias("name"))
-    out = links.join(to, links.entity_id == to.id, "left").select("activity_id", F.coalesce("canonical_id", "entity_id").alias("entity_id"), "relevance_score")
-    return merged.withColumnRenamed("new_id", "id"), out.groupBy("activity_id", "entity_id").agg(F.max("relevance_score").alias("relevance_score"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..operators import advice as V
 from ..operators import graph as G
 from ..operators import people as O
-from ..operators import resolve as R
 from ..operators import sessions as S
 from ..sources.tables import ACTIVITIES, APPS, ENTITIES, LINKS, activities, entities, links, request_log, table
 from .graphs import BOTH, PAIRS, STRONG, strong
@@ -44,7 +43,6 @@ add("d53_quota_usage", lambda s, d: S.sliding_quota(request_log(s, d), QUOTA).gr
     """SELECT endpoint, count(*) AS requests, count(*) FILTER (b) AS blocked, round(count(*) FILTER (b) / count(*) * 100, 4) AS blocked_pct, count(DISTINCT user_id) AS users FROM (
          SELECT event_type AS endpoint, user_id, count(*) OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) > 2 OR count(*) OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) RANGE BETWEEN 14399999999 PRECEDING AND CURRENT ROW) > 3
                 OR count(*) OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) > 5 AS b FROM events) GROUP BY 1""")
-add("d54_duplicate_scan_stats", lambda s, d: R.entity_pairs(entities(s, d), 0.8).groupBy("entity_type").agg(F.count(F.lit(1)).alias("pairs"), F.count(F.when(F.col("score") >= 0.95, 1)).alias("auto_merged"), F.count(F.when(F.col("score") < 0.95, 1)).alias("suggested")))
 add("h9_spelling_correct", lambda s, d: activities(s, d).filter("app is not null").select("id", V.spelling(F.concat("app", F.lit(" pyhton"))).alias("name")), "SELECT id, " + "CASE lower(app) " + " ".join(f"WHEN '{a.lower()}' THEN '{V.CASING[a.lower()]}'" for a in APPS if a.lower() in V.CASING) + " ELSE app END || ' Python' AS name FROM activities WHERE app IS NOT NULL", ACTIVITIES)
 add("h16_graph_tags", lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(V.content_tags(F.col("source"), F.pmod("doc_id", F.lit(100))), ",").alias("tags")), "SELECT doc_id, CASE WHEN doc_id % 100 >= 70 THEN 'tier:core,' WHEN doc_id % 100 >= 50 THEN 'tier:important,' WHEN doc_id % 100 >= 35 THEN 'tier:useful,' ELSE '' END || 'type:' || source AS tags FROM documents")
 add("k27_infer_relation_type", lambda s, d: G.cross_type(links(s, d), entities(s, d), 3, 50).select("a", "b", F.when(F.col("weight") >= 5, "STRONGLY_RELATED").otherwise("RELATED_TO").alias("rel_type")),
@@ -60,8 +58,5 @@ def _k23(s, d):
 
 add("k23_required_props", _k23, "SELECT CASE WHEN l_linenumber = 1 THEN 'AUTHORED' ELSE 'CITES' END AS rel_type, CASE WHEN l_linenumber = 1 THEN CASE WHEN l_partkey % 2 = 0 THEN '' ELSE 'position' END ELSE CASE WHEN l_partkey % 2 = 0 THEN 'context,year' ELSE 'year' END END AS missing, count(*) AS n FROM lineitem GROUP BY 1, 2")
 add("k32_neighbors", lambda s, d: strong(s, d).withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst")).cast("long")).filter("rank <= 100"), "SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM strong QUALIFY rank <= 100", LINKS, PAIRS, BOTH, STRONG)
-add("m3_candidates_for_entity", lambda s, d: R.entity_pairs(entities(s, d), 0.75).withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).filter("rank <= 20").select("a", "b", "score"))
-add("m5_should_merge", lambda s, d: (lambda e: e.select(F.col("id").alias("a"), "user_id", "entity_type", F.lower("name").alias("n")).join(e.select(F.col("id").alias("b"), "user_id", "entity_type", F.lower("name").alias("n")), ["user_id", "entity_type", "n"]).filter("a < b").select("a", "b"))(entities(s, d)),
-    "SELECT x.id AS a, y.id AS b FROM entities x JOIN entities y ON x.user_id = y.user_id AND x.entity_type = y.entity_type AND lower(x.name) = lower(y.name) AND x.id < y.id", ENTITIES)
 dates_as_text("date", "a12_export_analytics")
 dates_as_text("week_start", "d38_weekly_trends")

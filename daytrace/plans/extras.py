@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import extras as X
 from ..operators import graph as G
+from ..operators import mentions as M
 from ..operators import productivity as P
 from ..operators import search as S
-from ..sources.tables import ACTIVITIES, ENTITIES, activities, entities
+from ..sources.tables import ACTIVITIES, ENTITIES, MENTIONS, activities, entities, mentions
 from .graphs import PAIRS, REC, RV, STRONG, edges, every, strong
 from .productivity import DAILY, KEY, PREPARED
 from .records import HOURS, SK, skill_table
@@ -45,6 +46,25 @@ def _l10(s, d):
 
 add("l10_smart_search", _l10, """SELECT id, round(s2, 6) AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY round(s2, 9) DESC, id) AS rank FROM (
     SELECT id, least(1.0, s + greatest(0, 0.1 * (1 - id % 400 / 365)) + CASE WHEN contains(lower(title), 'the') THEN 0.15 ELSE 0 END) AS s2 FROM overlap)) WHERE rank <= 10""", TITLED, OVERLAP)
+add("m4_resolve_mentions", lambda s, d: M.resolve_mentions(mentions(s, d)),
+    """, w AS (SELECT *, trim(text) AS t, lower(trim(text)) AS l, string_split(trim(text), ' ') AS ws, list_distinct(string_split(lower(trim(text)), '')) AS ch FROM mentions),
+       c AS (SELECT *, list_distinct([l] || CASE label
+               WHEN 'PERSON' THEN CASE WHEN len(ws) >= 2 THEN [lower(ws[1][1] || '. ' || ws[-1]), lower(ws[1] || ' ' || ws[-1][1] || '.'), lower(ws[1]), lower(ws[-1]), lower(ws[-1] || ', ' || ws[1])] ELSE [] END
+               WHEN 'ORG' THEN list_transform(list_filter([' inc.', ' inc', ' corp.', ' corp', ' ltd.', ' ltd', ' llc', ' llp', ' co.', ' co'], lambda x: suffix(l, x)), lambda x: trim(replace(l, x, '')))
+                    || CASE WHEN len(ws) >= 2 AND len(list_filter(ws, lambda x: regexp_matches(x, '^[A-Z]'))) >= 2 THEN [lower(array_to_string(list_transform(list_filter(ws, lambda x: regexp_matches(x, '^[A-Z]')), lambda x: x[1]), ''))] ELSE [] END
+               ELSE [replace(l, '.', ''), replace(l, '-', ''), replace(l, ' ', '')] END) AS al FROM w),
+       p AS (SELECT x.id, y.id AS other, x.label, x.platform <> y.platform AS across, x.l = y.l AS same, len(list_intersect(x.al, y.al)) AS k, abs(epoch_us(x.ts) - epoch_us(y.ts)) <= 3600000000 AS near,
+               least(1.0, 0.5::DOUBLE * len(list_intersect(x.ch, y.ch)) / len(list_distinct(x.ch || y.ch)) + 0.5::DOUBLE * least(length(x.l), length(y.l)) / greatest(length(x.l), length(y.l))
+                     + CASE WHEN starts_with(x.l, y.l) OR starts_with(y.l, x.l) THEN 0.15 ELSE 0 END)::DOUBLE AS f
+             FROM c x JOIN c y ON x.user_id = y.user_id AND x.label = y.label AND x.id <> y.id),
+       m AS (SELECT id, other, across, CASE WHEN same THEN 'exact' ELSE 'alias' END AS method, CASE WHEN same THEN 1.0 WHEN k > 1 THEN 0.9 ELSE 0.85 END::DOUBLE AS score FROM p WHERE same OR k > 0
+             UNION ALL SELECT id, other, across, 'time_window', 0.75 FROM p WHERE NOT same AND k = 0 AND near AND f > 0.7
+             UNION ALL SELECT id, other, across, 'fuzzy', round(f, 3) FROM p WHERE NOT same AND k = 0 AND label IN ('PERSON', 'ORG') AND f >= 0.85),
+       r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other, method DESC) AS rank FROM m QUALIFY rank <= 5),
+       g AS (SELECT id, arg_min(other, rank) AS other, arg_min(method, rank) AS method, arg_min(across, rank) AS across, count(*) AS n, string_agg(other || ' ' || method || ' ' || printf('%.3f', score), '; ' ORDER BY rank) AS says FROM r GROUP BY 1)
+       SELECT mentions.id, other IS NOT NULL AS resolved, coalesce(other, mentions.id) AS canonical_id, coalesce(method, 'none') AS method, coalesce(across, false) AS cross_platform, coalesce(n, 0) AS n_matches, coalesce(says, '') AS matches
+       FROM mentions LEFT JOIN g USING (id)""", ACTIVITIES, MENTIONS)
+add("m4_mention_clusters", lambda s, d: M.cluster_mentions(mentions(s, d)))
 add("m4_cross_activity_resolve", lambda s, d: X.resolve_by_alias(entities(s, d)),
     """, a AS (SELECT id, user_id, entity_type, lower(name) AS n, unnest(list_distinct([lower(name), array_to_string(list_reverse(string_split(lower(name), ' ')), ' ')])) AS alias FROM entities)
        SELECT x.id AS a, y.id AS b, max(CASE WHEN x.n = y.n THEN 1.0 ELSE 0.9 END)::DOUBLE AS score FROM a x JOIN a y ON x.user_id = y.user_id AND x.entity_type = y.entity_type AND x.alias = y.alias AND x.id < y.id GROUP BY 1, 2""", ENTITIES)

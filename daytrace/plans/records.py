@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import duplicates as D
 from ..operators import people as O
 from ..operators import resolve as R
 from ..sources import sync as Y
-from ..sources.tables import ACTIVITIES, APPS, ENTITIES, GOALS, METRICS, WEARABLE, activities, entities, goals, links, table, wearable_data
+from ..sources.tables import ACTIVITIES, APPS, ENTITIES, GOALS, KNOWN, LINKS, METRICS, WEARABLE, activities, entities, goals, known_entities, links, table, wearable_data
 from .productivity import DAILY, PREPARED, as_of, daily_metrics
 from .registry import add, dates_as_text
 
@@ -94,18 +95,54 @@ add("c7_heuristic_dedup", lambda s, d: R.heuristic_duplicates(activities(s, d),
     f"""SELECT a.id, arg_min(b.id, (a.b <> b.b, b.id)) AS original_id, bool_or(a.b = b.b) AS same_bucket FROM (SELECT *, {HB} AS b, coalesce(nullif(lower(domain), ''), nullif(lower(app), ''), '') AS place FROM activities) a
         JOIN (SELECT *, {HB} AS b, coalesce(nullif(lower(domain), ''), nullif(lower(app), ''), '') AS place FROM activities) b
         ON a.user_id = b.user_id AND a.type = b.type AND a.place = b.place AND b.id < a.id AND abs(epoch_us(a.occurred_at) - epoch_us(b.occurred_at)) / 1e6 <= 3600 GROUP BY 1""", ACTIVITIES)
-add("m1_entity_dedup_scan", lambda s, d: R.entity_pairs(entities(s, d), 0.9))
-add("m1_entity_clusters", lambda s, d: R.entity_clusters(entities(s, d), R.entity_pairs(entities(s, d), 0.95)))
+def _as_text(x):
+    return x.withColumn("reasons", F.array_join("reasons", ","))
+
+
+add("m1_entity_dedup_scan", lambda s, d: _as_text(D.entity_pairs(known_entities(s, d))))
+add("m1_entity_clusters", lambda s, d: (lambda e: D.entity_clusters(e, D.entity_pairs(e)).withColumn("match_reasons", F.array_join("match_reasons", ",")))(known_entities(s, d)))
+NORM = r"trim(regexp_replace(regexp_replace(lower({}), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+CLASSES = f"""
+classes AS (
+  SELECT min(id) AS rep, count(*) AS n, user_id, entity_type, norm, list_distinct(string_split(norm, ' ')) AS tokens, al, sku
+  FROM (SELECT *, {NORM.format("name")} AS norm, list_sort(list_distinct(list_transform(aliases, lambda a: {NORM.format("a")}))) AS al FROM known) GROUP BY user_id, entity_type, norm, al, sku
+)"""
+add("c14_entity_pair_join", lambda s, d: _as_text(D.entity_pairs(known_entities(s, d), ratio=False)).drop("ratio", "n_pairs"),
+    f""", p AS (SELECT x.user_id, x.entity_type, x.rep AS a, y.rep AS b, coalesce(x.sku = y.sku, false) AS external,
+              CASE WHEN len(x.al) > 0 AND len(y.al) > 0 THEN len(list_intersect(x.al, y.al)) / greatest(len(x.al), len(y.al)) ELSE 0 END AS alias,
+              len(list_intersect(x.tokens, y.tokens)) AS k, k / greatest(len(x.tokens), len(y.tokens)) AS o, CASE WHEN k = least(len(x.tokens), len(y.tokens)) THEN greatest(o, 0.9) ELSE o END AS overlap
+              FROM classes x JOIN classes y ON x.user_id = y.user_id AND x.entity_type = y.entity_type AND x.rep < y.rep),
+       z AS (SELECT user_id, entity_type, a, b, overlap, alias, external, least(1.0, greatest(CASE WHEN external THEN 0.99 ELSE 0 END, CASE WHEN overlap >= 0.6 THEN overlap ELSE 0 END, alias) + 0.05) AS score,
+              CASE WHEN alias > 0 THEN ['alias_match'] ELSE [] END || CASE WHEN external THEN ['external_id'] ELSE [] END || CASE WHEN overlap >= 0.6 THEN ['token_set'] ELSE [] END AS reasons FROM p
+              UNION ALL SELECT c.user_id, c.entity_type, rep, id, 1.0, (len(al) > 0)::INT, c.sku IS NOT NULL, 1.0,
+              CASE WHEN len(al) > 0 THEN ['alias_match'] ELSE [] END || CASE WHEN c.sku IS NOT NULL THEN ['external_id'] ELSE [] END || ['fuzzy_name', 'token_set']
+              FROM classes c JOIN known k ON k.user_id = c.user_id AND k.entity_type = c.entity_type AND {NORM.format("k.name")} = c.norm AND k.sku IS NOT DISTINCT FROM c.sku AND (len(k.aliases) > 0) = (len(al) > 0) WHERE id <> rep)
+       SELECT user_id, entity_type, a, b, round(overlap::DOUBLE, 6) AS overlap, round(alias::DOUBLE, 6) AS alias, external, round(score::DOUBLE, 6) AS score, array_to_string(reasons, ',') AS reasons,
+              CASE WHEN score >= 0.97 THEN 'auto_merge' WHEN score >= 0.8 THEN 'suggest' ELSE 'review' END AS recommendation FROM z WHERE score >= 0.75""", ENTITIES, KNOWN, CLASSES)
+add("m3_candidates_for_entity", lambda s, d: D.candidates(known_entities(s, d)))
+add("d54_duplicate_scan_stats", lambda s, d: D.scan_stats(known_entities(s, d)))
+add("m5_should_merge", lambda s, d: D.should_merge(known_entities(s, d)),
+    """, c AS (SELECT min(id) AS rep, user_id, entity_type, lower(name) AS n, list_sort(list_transform(aliases, lambda a: lower(a))) AS al, sku FROM known GROUP BY ALL)
+       SELECT x.rep AS a, y.rep AS b FROM c x JOIN c y ON x.user_id = y.user_id AND x.entity_type = y.entity_type AND x.rep < y.rep WHERE x.n = y.n OR list_contains(y.al, x.n) OR list_contains(x.al, y.n) OR x.sku = y.sku
+       UNION SELECT rep, id FROM c JOIN known k ON k.user_id = c.user_id AND k.entity_type = c.entity_type AND lower(k.name) = n AND k.sku IS NOT DISTINCT FROM c.sku AND (len(k.aliases) > 0) = (len(al) > 0) WHERE id <> rep""", ENTITIES, KNOWN)
 
 
 def _m2(s, d):
-    e = entities(s, d)
-    same = e.groupBy("user_id", "entity_type", "name").agg(F.min("id").alias("canonical_id"))
-    clusters = e.join(same, ["user_id", "entity_type", "name"]).select("id", "canonical_id", F.lit(1).alias("size"))
-    return R.merge_entities(e, links(s, d), clusters)[0].select("id", "occurrence_count", "first_seen", "last_seen", "name")
-
-
-add("m2_merge_entities", _m2, "SELECT min(id) AS id, sum(occurrence_count)::BIGINT AS occurrence_count, min(first_seen) AS first_seen, max(last_seen) AS last_seen, name FROM entities GROUP BY user_id, entity_type, name", ENTITIES)
+    e = known_entities(s, d)
+    same = e.groupBy("user_id", "entity_type", "name").agg(F.min("id").alias("canonical_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    clusters = e.join(same, ["user_id", "entity_type", "name"]).select("id", "canonical_id")
+    merged, moved = D.merge_entities(e, links(s, d), clusters)
+    sums = moved.groupBy(F.col("entity_id").alias("id")).agg(F.count(F.lit(1)).alias("activities"))
+    x = merged.join(sums, "id", "left").fillna(0, ["activities"])
+    return x.select("id", "occurrence_count", "first_seen", "last_seen", "name", F.array_join("aliases", "|").alias("aliases"), F.element_at("external_ids", "sku").alias("sku"), "activities")
+
+
+add("m2_merge_entities", _m2,
+    """, g AS (SELECT *, min(id) OVER w AS new_id, count(*) OVER w AS m FROM known WINDOW w AS (PARTITION BY user_id, entity_type, name))
+       SELECT new_id AS id, sum(CASE WHEN m > 1 THEN greatest(occurrence_count, 1) ELSE occurrence_count END)::BIGINT AS occurrence_count, min(first_seen) AS first_seen, max(last_seen) AS last_seen, any_value(name) AS name,
+              array_to_string(list_sort(list_distinct(flatten(list(aliases || CASE WHEN id <> new_id THEN [name] ELSE [] END)))), '|') AS aliases, arg_max(sku, (id <> new_id, id)) FILTER (sku IS NOT NULL) AS sku,
+              any_value(activities) AS activities
+       FROM g JOIN (SELECT new_id, count(DISTINCT activity_id) AS activities FROM g JOIN links ON entity_id = id GROUP BY 1) USING (new_id) GROUP BY 1""", ENTITIES, KNOWN, LINKS)
 
 
 def snapshots(s, d):

@@ -37,7 +37,7 @@ add("h11_text_stats", lambda s, d: docs(s, d).select("doc_id", *[(F.round(c, 6)
 
 
 def _h12(s, d):
-    w = docs(s, d).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z]+)"), 1)).alias("term")).filter((F.length("term") >= 3) & ~F.col("term").isin(T.STOPWORDS))
+    w = docs(s, d).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z]+)"), 1)).alias("term")).filter((F.length("term") >= 3) & ~F.col("term").isin(*T.STOPWORDS))
     n = w.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "term")).cast("long")).filter("rank <= 12")
 

@@ -40,6 +40,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str = "rows") -> DataFrame:
+    """``df`` written to a new folder in the shared one and read from there: one job, where a checkpoint takes two."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def bounded(df: DataFrame, most: int = 10_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows, else as it is, so that the join deals out both sides.
 

@@ -83,6 +83,50 @@ entities AS (
 )"""
 
 
+def known_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities with ``aliases`` for every second part and ``external_ids`` for every third."""
+    more = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"),
+        F.when(F.col("p_partkey") % 2 == 0, F.array("p_name", F.concat_ws(" ", "p_brand", "p_name"))).otherwise(F.array().cast("array<string>")).alias("aliases"),
+        F.when(F.col("p_partkey") % 3 == 0, F.create_map(F.lit("sku"), F.concat_ws("/", "p_brand", "p_size"))).otherwise(F.create_map().cast("map<string,string>")).alias("external_ids"),
+    )
+    return entities(spark, sf_dir).join(more, "id")
+
+
+KNOWN = """
+known AS (
+  SELECT e.*, CASE WHEN id % 2 = 0 THEN [p_name, p_brand || ' ' || p_name] ELSE []::VARCHAR[] END AS aliases,
+         CASE WHEN id % 3 = 0 THEN p_brand || '/' || p_size END AS sku
+  FROM entities e JOIN part ON id = p_partkey
+)"""
+
+
+PEOPLE = ["Ann Lee", "A. Lee", "Bob Stone", "Stone, Bob", "Anne Lee", "Bobby Stone", "ann lee "]
+
+
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activities as mentions: tools by application, organisations by host and persons by meeting, written in several ways:
+    ``id, user_id, label, text, platform, ts``."""
+    a, way = activities(spark, sf_dir), F.pmod("id", F.lit(3))
+    host = F.substring_index("domain", ".", 1)
+    tool = F.when(way == 0, F.col("app")).when(way == 1, F.upper("app")).otherwise(F.concat_ws(" ", "app", F.lit("app")))
+    org = F.when(way == 0, F.col("domain")).when(way == 1, F.concat(F.initcap(host), F.lit(" Inc"))).otherwise(host)
+    text = F.when(F.col("type") == "meeting", _pick(PEOPLE, F.col("id"))).when(F.col("app").isNotNull(), tool).otherwise(org)
+    label = F.when(F.col("type") == "meeting", "PERSON").when(F.col("app").isNotNull(), "TOOL").otherwise("ORG")
+    return a.select("id", "user_id", label.alias("label"), text.alias("text"), F.col("source").alias("platform"), F.col("occurred_at").alias("ts"))
+
+
+MENTIONS = f"""
+mentions AS (
+  SELECT id, user_id, CASE WHEN type = 'meeting' THEN 'PERSON' WHEN app IS NOT NULL THEN 'TOOL' ELSE 'ORG' END AS label,
+         CASE WHEN type = 'meeting' THEN {_sql_list(PEOPLE)}[id % 7 + 1]
+              WHEN app IS NOT NULL THEN CASE id % 3 WHEN 0 THEN app WHEN 1 THEN upper(app) ELSE app || ' app' END
+              ELSE CASE id % 3 WHEN 0 THEN domain WHEN 1 THEN upper(domain[1]) || lower(split_part(domain, '.', 1)[2:]) || ' Inc' ELSE split_part(domain, '.', 1) END END AS text,
+         source AS platform, occurred_at AS ts
+  FROM activities
+)"""
+
+
 def wearable_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as wearable samples: ``user_id, metric_type, metric_value, recorded_at, provider, id``."""
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
