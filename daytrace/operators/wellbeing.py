@@ -188,3 +188,38 @@ def career_insights(acts: DataFrame, as_of: Column) -> DataFrame:
     y = y.withColumn("steps", add(F.col("steps"), lambda a: F.col("trajectory").isin("plateau", "declining") & (F.size(a) < 4), TIME_STEP))
     y = y.withColumn("steps", add(F.col("steps"), lambda a: F.size(a) < 2, TRACK_STEP))
     return y.select("user_id", F.col("trajectory").alias("growth_trajectory"), F.col("phase").alias("career_phase"), F.array_join("gaps", ", ").alias("skill_gaps"), F.array_join(F.slice("steps", 1, 4), "; ").alias("next_steps"))
+
+
+# Priority by kind of notification; every other kind is medium.
+PRIORITY = {
+    "daily_summary": "low", "weekly_digest": "low", "deadline_reminder": "high", "focus_reminder": "medium", "break_suggestion": "medium", "wellness_alert": "high",
+    "ai_insight": "low", "sync_error": "high", "goal_progress": "medium", "achievement": "medium", "system": "critical",
+}
+
+
+def send_decisions(notices: DataFrame, preferences: DataFrame) -> DataFrame:
+    """``id, send, reason`` for each notice (``id, user_id, kind, channel, priority, at``), in order of time, by its user's
+    preferences: ``user_id, channels_off, kinds_off`` (arrays)``, dnd, start_hour, end_hour, override_critical, max_per_hour,
+    max_per_day, digest``.
+
+    Checks go in the order channel, kind, quiet hours (which may wrap midnight; critical notices pass if allowed to), digest
+    (low and medium wait for it), hourly and daily cap. Only what is sent counts. Of the notices that reach the caps the
+    first of each hour up to its cap come to the daily one, and the first of these in a day up to its cap are sent. Windows
+    are by user and day, so a user with very many notices is spread over days.
+    """
+    table = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
+    x = notices.join(preferences, "user_id").withColumn("rank", F.coalesce("priority", table[F.col("kind")], F.lit("medium")))
+    h, s, e = F.hour("at"), F.col("start_hour"), F.col("end_hour")
+    quiet = F.col("dnd") & F.when(s > e, (h >= s) | (h < e)).otherwise((h >= s) & (h < e))
+    x = x.withColumn("reason", F.when(F.array_contains("channels_off", F.col("channel")), F.concat(F.lit("channel_"), "channel", F.lit("_disabled"))).when(F.array_contains("kinds_off", F.col("kind")), F.concat(F.lit("type_"), "kind", F.lit("_disabled")))
+                     .when(quiet & ~((F.col("rank") == "critical") & F.col("override_critical")), "dnd_active").when(F.col("digest") & F.col("rank").isin("low", "medium"), "digest_mode_active"))
+    open_ = F.col("reason").isNull()
+    day = ["user_id", F.to_date("at")]
+    by_hour, by_day = Window.partitionBy(*day, F.hour("at")).orderBy("at", "id"), Window.partitionBy(*day).orderBy("at", "id")
+    up_to_now = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("nth", F.sum(open_.cast("int")).over(up_to_now(by_hour)))
+    x = x.withColumn("in_hour", open_ & (F.col("nth") <= F.col("max_per_hour")))
+    x = x.withColumn("sent", F.col("in_hour") & (F.sum(F.col("in_hour").cast("int")).over(up_to_now(by_day)) <= F.col("max_per_day")))
+    x = x.withColumn("sent_in_hour", F.coalesce(F.sum(F.col("sent").cast("int")).over(by_hour.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    why = F.coalesce("reason", F.when(F.col("sent"), "approved").when(F.col("sent_in_hour") >= F.col("max_per_hour"), "hourly_cap_reached").otherwise("daily_cap_reached"))
+    return x.select("id", F.col("sent").alias("send"), why.alias("reason"))
