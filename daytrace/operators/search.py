@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded, cut_lineage
+from ..session import bounded, cut_lineage, join_groups
 from .components import connected_components
 
 
@@ -173,8 +173,8 @@ def eps_pairs(vectors: DataFrame, eps: float = 0.35, pivots: int = 64, block: in
 
     Each vector is at home in the cell of the nearest of ``pivots`` vectors, chosen by hash. By the triangle inequality of
     angles, a vector within ``eps`` of one at home in a cell is no farther from its pivot than the cell's radius and the angle
-    of ``eps``; it visits the cells where that holds. Cells are dealt into blocks and each pair of blocks is compared by a task
-    as a product of matrices. Vectors that lie all apart from one another visit all cells, and then it's all pairs, in blocks.
+    of ``eps``; it visits the cells where that holds. What is at home in a cell and what visits it are dealt into blocks alike,
+    and each pair of blocks is compared by a task, which holds no more, as a product of matrices. Vectors that lie all apart from one another visit all cells, and then it's all pairs, in blocks.
     """
     spark = vectors.sparkSession
     rows = cut_lineage(vectors.select(F.col("id").cast("long").alias("id"), "vector"))
@@ -198,56 +198,112 @@ def eps_pairs(vectors: DataFrame, eps: float = 0.35, pivots: int = 64, block: in
     radius = np.zeros(len(centres))
     for r in rows.mapInArrow(radii, "cell long, radius double").groupBy("cell").agg(F.max("radius").alias("radius")).collect():
         radius[r.cell] = r.radius
-    # a cell with much more than its share is dealt into blocks, the visitors of each too
-    share = max(1, min(4096, rows.count() // (len(centres) * block)))
+
+    def visited(batch):
+        x = angles(batch)
+        home = x.argmin(axis=1)
+        row, cell = np.nonzero((x <= radius + reach + 1e-9) | (np.arange(x.shape[1]) == home[:, None]))
+        return row, cell, home[row] == cell
+
+    def volumes(batches):
+        n = np.zeros(len(shared.value), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                n += np.bincount(visited(batch)[1], minlength=len(n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["cell", "n"])
+
+    blocks = np.ones(len(centres), np.int64)
+    for r in rows.mapInArrow(volumes, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        blocks[r.cell] = max(1, -(-r.n // block))
 
     def visits(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = angles(batch)
-            home = x.argmin(axis=1)
-            row, cell = np.nonzero((x <= radius + reach + 1e-9) | (np.arange(x.shape[1]) == home[:, None]))
+            row, cell, at_home = visited(batch)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            own = home[row] == cell
-            part = ids[row] % share
-            for k in range(share):
-                # at home in one block of rows, met by the visitors of every block
-                at = np.flatnonzero(~own | (part == k))
-                both = np.flatnonzero(own & (part != k))
-                for rows_at, is_home in ((at, own[at]), (both, np.zeros(len(both), bool))):
-                    if len(rows_at):
-                        yield pa.RecordBatch.from_arrays([pa.array(cell[rows_at] * share + k), pa.array(ids[row[rows_at]]), pa.array(is_home), batch.column(1).take(pa.array(row[rows_at]))], ["cell", "id", "home", "vector"])
+            mixed = ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            own = (mixed % blocks[cell].astype(np.uint64)).astype(np.int64)
+            for other in range(int(blocks[cell].max(initial=1))):
+                at = np.flatnonzero(other < blocks[cell])
+                lo, hi = np.minimum(own[at], other), np.maximum(own[at], other)
+                arrays = [pa.array(x) for x in (cell[at], lo, hi, own[at], ids[row[at]], at_home[at])]
+                yield pa.RecordBatch.from_arrays([*arrays, batch.column(1).take(pa.array(row[at]))], ["cell", "lo", "hi", "own", "id", "home", "vector"])
 
     def compare(batches):
-        held, cell = [], None
+        held, key = [], None
 
         def pairs():
             table = pa.Table.from_batches(held)
-            ids, home = table.column(1).to_numpy(), table.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            x = _unit(_matrix(table.column(3).combine_chunks()))
-            order = np.flatnonzero(home)
-            for start in range(0, len(order), block):
-                mine = order[start : start + block]
-                for other in range(0, len(ids), block):
-                    i, j = np.nonzero(1 - x[mine] @ x[other : other + block].T <= eps)
-                    a, b = ids[mine[i]], ids[other + j]
-                    keep = a != b
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
+            own, ids, home = table.column("own").to_numpy(), table.column("id").to_numpy(), table.column("home").to_numpy(zero_copy_only=False).astype(bool)
+            x = _unit(_matrix(table.column("vector").combine_chunks()))
+            left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
+            for start in range(0, len(left), block):
+                mine = left[start : start + block]
+                for k in range(0, len(right), block):
+                    theirs = right[k : k + block]
+                    i, j = np.nonzero(1 - x[mine] @ x[theirs].T <= eps)
+                    i, j = mine[i], theirs[j]
+                    keep = (ids[i] != ids[j]) & (home[i] | home[j])
+                    a, b = ids[i[keep]], ids[j[keep]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for batch in batches:
-            cells = batch.column(0).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for s, e in zip(cuts, cuts[1:]):
                 if e > s:
-                    if cell is not None and cells[s] != cell:
+                    if held and tuple(keys[s]) != key:
                         yield from pairs()
                         held.clear()
-                    cell = cells[s]
+                    key = tuple(keys[s])
                     held.append(batch.slice(s, e - s))
         if held:
             yield from pairs()
 
     kind = dict(rows.dtypes)["vector"]
-    dealt = rows.mapInArrow(visits, f"cell long, id long, home boolean, vector {kind}")
-    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long").distinct()
+    dealt = rows.mapInArrow(visits, f"cell long, lo long, hi long, own long, id long, home boolean, vector {kind}")
+    return dealt.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi").mapInArrow(compare, "a long, b long").distinct()
+
+
+def cluster_members(points: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``id, cluster, label, similarity`` of each point in a cluster to its cluster's centroid, the mean of its vectors.
+
+    Centroids are sums by cluster and dimension; a vector without length is at a similarity of 0.
+    """
+    x = cut_lineage(points.select("id", "label", "vector").join(clusters.filter("cluster <> -1"), "id"))
+    sums = x.select("cluster", F.posexplode("vector").alias("k", "v")).groupBy("cluster", "k").agg(F.sum(F.col("v").cast("double")).alias("v"))
+    centre = sums.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda e: e["v"]).alias("centre"))
+    sizes = x.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    met = join_groups(x, cut_lineage(centre.join(sizes, "cluster")), ["cluster"], "n", x.count())
+    return met.select("id", "cluster", "label", _cosine("vector", "centre").alias("similarity"))
+
+
+def _cosine(a: str, b: str):
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double") * v))
+    return F.when((norm(a) > 0) & (norm(b) > 0), dot / (norm(a) * norm(b))).otherwise(0.0)
+
+
+def cluster_report(points: DataFrame, clusters: DataFrame) -> DataFrame:
+    """One row per cluster, and one for the noise (-1): ``cluster, size, coherence, dominant_type, title, types``.
+
+    Coherence is the mean similarity of all pairs: the squared length of the sum of unit vectors less their own squares, over
+    the number of pairs, so no pair is made; 1 for a single point. The dominant type is the most frequent label, of equal
+    ones that of the smallest identifier; the title names the point nearest to the centroid.
+    """
+    near = cluster_members(points, clusters)
+    best = near.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct((-F.round("similarity", 3)).alias("s"), "id"))["id"].alias("nearest"))
+    kinds = near.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    kinds = kinds.groupBy("cluster").agg(F.min(F.struct((-F.col("n")).alias("n"), "first", "label"))["label"].alias("dominant_type"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col("label").cast("string"), "n"))), ",").alias("types"))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v.cast("double") * v))
+    unit = points.select("id", "vector").join(clusters.filter("cluster <> -1"), "id").withColumn("norm", norm).filter("norm > 0")
+    dims = unit.select("cluster", F.posexplode("vector").alias("k", "v"), "norm").groupBy("cluster", "k").agg(F.sum(F.col("v").cast("double") / F.col("norm")).alias("s"))
+    sums = dims.groupBy("cluster").agg(F.sum(F.col("s") * F.col("s")).alias("length")).join(unit.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")), "cluster")
+    x = best.join(kinds, "cluster").join(sums, "cluster", "left")
+    pairs = F.col("size") * (F.col("size") - 1)
+    coherence = F.when(F.col("size") > 1, (F.coalesce("length", F.lit(0.0)) - F.coalesce("m", F.lit(0))) / pairs).otherwise(1.0)
+    title = F.concat(F.initcap(F.col("dominant_type").cast("string")), F.lit(" cluster: "), F.col("nearest").cast("string"))
+    out = x.select("cluster", "size", F.round(coherence, 3).alias("coherence"), F.col("dominant_type").cast("string").alias("dominant_type"), title.alias("title"), "types")
+    noise = clusters.filter("cluster = -1").groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    return out.unionByName(noise, allowMissingColumns=True)

@@ -162,3 +162,22 @@ add("l14_semantic_clusters", _l14, """, v AS (SELECT vec_id AS id, label, embedd
      p AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.id <> y.id WHERE 1 - list_cosine_similarity(x.e, y.e) <= 0.35),
      c AS (SELECT DISTINCT a AS id FROM p), r AS (SELECT id, id AS root FROM c UNION SELECT p.b, r.root FROM r JOIN p ON r.id = p.a)
      SELECT v.id, coalesce(min(root), -1) AS cluster FROM v LEFT JOIN r ON v.id = r.id GROUP BY 1""", "RECURSIVE one AS (SELECT 1)")
+CLUSTERED = """
+c AS (SELECT DISTINCT a AS id FROM p),
+k AS (SELECT v.id, v.label, v.e, coalesce(min(root), -1) AS cluster FROM v LEFT JOIN r ON v.id = r.id GROUP BY ALL),
+u AS (SELECT k.*, e[i] AS x, i, sqrt(list_sum(list_transform(e, lambda y: y * y))) AS norm FROM k, range(1, 65) t(i)),
+s AS (SELECT cluster, i, sum(x) AS s, sum(x / norm) AS su FROM u GROUP BY 1, 2),
+m AS (SELECT id, cluster, label, sum(x * s) / any_value(norm) / sqrt(sum(s * s)) AS similarity FROM u JOIN s USING (cluster, i) WHERE cluster <> -1 GROUP BY 1, 2, 3)"""
+NEAR = """
+v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.id <> y.id WHERE 1 - list_cosine_similarity(x.e, y.e) <= 0.35),
+r AS (SELECT id, id AS root FROM (SELECT DISTINCT a AS id FROM p) UNION SELECT p.b, r.root FROM r JOIN p ON r.id = p.a)"""
+add("l14_cluster_members", lambda s, d: S.cluster_members(vectors(s, d), _l14(s, d)).withColumn("similarity", F.round("similarity", 6)),
+    "SELECT id, cluster, label, round(similarity, 6) AS similarity FROM m", "RECURSIVE one AS (SELECT 1)", NEAR, CLUSTERED)
+add("l14_cluster_report", lambda s, d: S.cluster_report(vectors(s, d), _l14(s, d)),
+    """, b AS (SELECT cluster, count(*) AS size, arg_min(id, (-round(similarity, 3), id)) AS nearest FROM m GROUP BY 1),
+       t AS (SELECT cluster, label, count(*) AS n, min(id) AS first FROM m GROUP BY 1, 2),
+       d AS (SELECT cluster, arg_min(label, (-n, first))::VARCHAR AS dominant_type, string_agg(label || ':' || n, ',' ORDER BY label || ':' || n) AS types FROM t GROUP BY 1),
+       h AS (SELECT cluster, sum(su * su) AS length FROM s GROUP BY 1)
+       SELECT cluster, size, round(CASE WHEN size > 1 THEN (length - size) / (size * (size - 1)) ELSE 1.0 END, 3) AS coherence, dominant_type, dominant_type || ' cluster: ' || nearest AS title, types FROM b JOIN d USING (cluster) JOIN h USING (cluster)
+       UNION ALL SELECT cluster, count(*), NULL, NULL, NULL, NULL FROM k WHERE cluster = -1 GROUP BY 1""", "RECURSIVE one AS (SELECT 1)", NEAR, CLUSTERED)
