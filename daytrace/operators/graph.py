@@ -17,14 +17,22 @@ from ..session import bounded, cut_lineage, written
 def pairs_within(rows: DataFrame, block: int = 1024) -> DataFrame:
     """``u, src, dst`` with ``src < dst``: the pairs of items ``i`` of each unit ``u``; the rows are distinct.
 
-    The items of a unit with more than ``block`` are dealt into blocks by a hash, and each pair of blocks is a group of its
-    own, so that one unit with very many items is spread over many tasks.
+    The rows are written once. The items of a unit with more than ``block`` are dealt into blocks by a hash, and each pair of
+    blocks is a group of its own, so that one unit with very many items is spread over many tasks; other units are joined
+    as they are.
     """
-    large = rows.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
-    x = rows.join(bounded(large), "u", "left").withColumn("k", F.ceil(F.coalesce("n", F.lit(1)) / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("i"), F.col("k")).cast("int"))
+    rows = written(rows.select("u", "i"), "units")
+    large = written(rows.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block), "hot-units")
+    none = large.isEmpty()
+    usual = rows if none else rows.join(bounded(large), "u", "left_anti")
+    met = usual.select("u", F.col("i").alias("src")).join(usual.select("u", F.col("i").alias("dst")), "u").filter("src < dst")
+    if none:
+        return met.select("u", "src", "dst")
+    x = rows.join(bounded(large), "u").withColumn("k", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("i"), F.col("k")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("u", "i", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     a, b = x.select("u", "lo", "hi", F.col("i").alias("src"), F.col("own").alias("oa")), x.select("u", "lo", "hi", F.col("i").alias("dst"), F.col("own").alias("ob"))
-    met = a.join(b, ["u", "lo", "hi"]).filter((F.col("src") < F.col("dst")) & ((F.col("lo") == F.col("hi")) | (F.col("oa") != F.col("ob"))))
+    hot = a.join(b, ["u", "lo", "hi"]).filter((F.col("src") < F.col("dst")) & ((F.col("lo") == F.col("hi")) | (F.col("oa") != F.col("ob"))))
+    met = met.select("u", "src", "dst").union(hot.select("u", "src", "dst"))
     return met.select("u", "src", "dst")
 
 
@@ -67,7 +75,7 @@ def degree(edges: DataFrame) -> DataFrame:
 
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
     """K7: weighted PageRank in a fixed number of rounds; mass of vertices without an edge is lost and the scores are
-    divided by their sum in the end. Edges are laid out by source once; each round is a join and an aggregation."""
+    divided by their sum in the end. Each round is a join and an aggregation."""
     shares = edges.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).select("src", "dst", "share")
     shares = cut_lineage(shares)
     ids = shares.select(F.col("src").alias("id")).union(shares.select("dst")).distinct()

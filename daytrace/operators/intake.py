@@ -147,16 +147,18 @@ def validate_nodes(nodes: DataFrame, schema: Mapping[str, Mapping[str, list[str]
     return nodes.select("id", (errors == "").alias("valid"), errors.alias("errors"), F.coalesce(F.array_join(F.array_sort(unknown), ","), F.lit("")).alias("warnings"))
 
 
-def all_centralities(edges: DataFrame, metrics: Mapping[str, Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, list[str]]:
-    """K8: ``metric, id, score`` of each metric over the same edges, and the metrics that failed; each is written before the
-    next one, so that one that fails takes no other with it."""
-    shared, out, failed = cut_lineage(edges), None, []
+def all_centralities(edges: DataFrame, metrics: Mapping[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """K8: ``metric, id, score, error`` of each metric over the same edges; each is written before the next one, so that one
+    that fails takes no other with it. A metric that failed is one row with its error and neither vertex nor score."""
+    shared, spark = cut_lineage(edges), edges.sparkSession
+    out, failed = None, []
     for name, run in metrics.items():
         try:
-            rows = cut_lineage(run(shared).select(F.lit(name).alias("metric"), "id", F.col("score").cast("double").alias("score")))
-        except PySparkException:
-            failed.append(name)
+            rows = cut_lineage(run(shared).select(F.lit(name).alias("metric"), F.col("id").cast("long").alias("id"), F.col("score").cast("double").alias("score"), F.lit(None).cast("string").alias("error")))
+        except PySparkException as problem:
+            failed.append((name, None, None, problem.getCondition() or str(problem)))
             continue
         out = rows if out is None else out.unionByName(rows)
-    return out, failed
+    report = spark.createDataFrame(failed, "metric string, id long, score double, error string")
+    return report if out is None else out.unionByName(report)
 

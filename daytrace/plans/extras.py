@@ -21,10 +21,10 @@ add("a11_export_csv", lambda s, d: P.daily_productivity(activities(s, d)).select
 TOOLS = ["vscode", "pycharm", "jupyter", "terminal", "notion", "zoom", "slack"]
 add("h7_tool_regex", lambda s, d: activities(s, d).select("id", F.explode(F.array_intersect(F.split(F.lower("title"), "[^a-z0-9]+"), F.array(*[F.lit(t) for t in TOOLS]))).alias("tool")),
     "SELECT id, unnest(list_filter([" + ", ".join(f"'{t}'" for t in TOOLS) + "], lambda t: list_contains(regexp_split_to_array(lower(title), '[^a-z0-9]+'), t))) AS tool FROM activities", ACTIVITIES)
-add("k6_pagerank_gds", lambda s, d: G.pagerank_engine(edges(s, d), 10).select("id", F.round("score", 10).alias("score")),
+add("k6_pagerank_gds", lambda s, d: G.pagerank_engine(edges(s, d), 20).select("id", F.round("score", 10).alias("score")),
     """, ids AS (SELECT src AS id FROM pairs UNION SELECT dst FROM pairs), shares AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM pairs UNION ALL SELECT id, id, 0.0 FROM ids),
-       r AS (SELECT id, 0 AS k, 0.15::DOUBLE AS score FROM ids UNION ALL SELECT dst, k + 1, 0.15 + 0.85 * sum(score * share) FROM r JOIN shares ON r.id = src WHERE k < 10 GROUP BY dst, k)
-       SELECT id, round(score, 10) AS score FROM r WHERE k = 10""", REC, PAIRS)
+       r AS (SELECT id, 0 AS k, 0.15::DOUBLE AS score FROM ids UNION ALL SELECT dst, k + 1, 0.15 + 0.85 * sum(score * share) FROM r JOIN shares ON r.id = src WHERE k < 20 GROUP BY dst, k)
+       SELECT id, round(score, 10) AS score FROM r WHERE k = 20""", REC, PAIRS)
 add("k15_recommend_paths", lambda s, d: X.recommend_paths(strong(s, d), every(s, d, 50), every(s, d, 3), 2, 5),
     """, known AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 3 = 0),
        w AS (SELECT p_partkey AS source, [p_partkey] AS path, 0 AS d FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT source, list_append(path, dst), d + 1 FROM w JOIN strong ON path[len(path)] = src WHERE d < 2 AND NOT list_contains(path, dst)),

@@ -37,10 +37,10 @@ add("k7_pagerank_cooccurrence", lambda s, d: G.pagerank(G.both_ways(edges(s, d))
        r AS (SELECT DISTINCT src AS id, 0 AS k, 1.0::DOUBLE / n AS score FROM both_ways, n UNION ALL
              SELECT dst, k + 1, 0.15 / any_value(n) + 0.85 * sum(score * share) FROM r JOIN shares ON r.id = src, n WHERE k < 20 GROUP BY dst, k)
        SELECT id, round(score / sum(score) OVER (), 9) AS score FROM r WHERE k = 20""", *RV)
-add("k5_eigenvector", lambda s, d: G.eigenvector(G.both_ways(edges(s, d)), 10).select("id", F.round("score", 8).alias("score")),
+add("k5_eigenvector", lambda s, d: G.eigenvector(G.both_ways(edges(s, d)), 20).select("id", F.round("score", 8).alias("score")),
     """, r AS (SELECT DISTINCT src AS id, 0 AS k, 1.0::DOUBLE AS score FROM both_ways UNION ALL
-             SELECT id, k, s / sqrt(sum(s * s) OVER ()) FROM (SELECT dst AS id, k + 1 AS k, sum(score * weight) AS s FROM r JOIN both_ways ON r.id = src WHERE k < 10 GROUP BY dst, k))
-       SELECT id, round(score, 8) AS score FROM r WHERE k = 10""", *RV)
+             SELECT id, k, s / sqrt(sum(s * s) OVER ()) FROM (SELECT dst AS id, k + 1 AS k, sum(score * weight) AS s FROM r JOIN both_ways ON r.id = src WHERE k < 20 GROUP BY dst, k))
+       SELECT id, round(score, 8) AS score FROM r WHERE k = 20""", *RV)
 add("k9_label_propagation", lambda s, d: G.label_propagation(edges(s, d).filter("weight >= 2")))
 STRONG = "strong AS (SELECT src, dst, weight FROM both_ways WHERE weight >= 2)"
 

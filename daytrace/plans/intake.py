@@ -102,9 +102,9 @@ add("k24_schema_validate", _nodes,
 def _k8(s, d):
     some = every(s, d, 50)
     return I.all_centralities(strong(s, d), {
-        "degree": lambda e: G.degree(e).withColumn("score", F.col("degree")), "pagerank": lambda e: G.pagerank(e, 10), "eigenvector": lambda e: G.eigenvector(e, 10),
+        "degree": lambda e: G.degree(e).withColumn("score", F.col("degree")), "pagerank": lambda e: G.pagerank(e, 20), "eigenvector": lambda e: G.eigenvector(e, 20),
         "closeness": lambda e: G.closeness(e, some).withColumn("score", F.col("closeness")), "betweenness": lambda e: G.betweenness(e, some).withColumn("score", F.col("betweenness")),
-    })[0].withColumn("score", F.round("score", 6))
+    }).withColumn("score", F.round("score", 6))
 
 
 add("k8_all_centralities", _k8)
