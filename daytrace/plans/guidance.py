@@ -9,18 +9,18 @@ from ..sources.tables import ACTIVITIES, activities, table
 from .registry import add
 from .texts import SV, bm25_hits, docs
 
-#: Which skill an application or host stands for; the hours of these small tables are taken many times over, in binary
-#: fractions, whose sums are exact.
+#: Which skill an application or host stands for; the hours of these small tables are taken many times over, in
+#: parts of 37, so that no rounding ends in a tie.
 USES = {"vscode": "Python", "pycharm": "python", "jupyter": "pandas", "terminal": "bash", "Zoom": "mentoring", "Slack": "communication", "Notion": "documentation", "github.com": "git", "stackoverflow.com": "sql", "docs.python.org": "Python", "arxiv.org": "machine_learning"}
 
 
 def used(s, d):
     uses = s.createDataFrame(list(USES.items()), "place string, skill string")
     a = activities(s, d).select("user_id", F.coalesce("app", "domain").alias("place"), "duration_seconds", "occurred_at")
-    return a.join(F.broadcast(uses), "place").select("user_id", F.lower("skill").alias("skill"), (F.col("duration_seconds") / 32).alias("hours"), F.to_date(F.date_trunc("week", "occurred_at")).alias("week"))  # a dimension of eleven rows
+    return a.join(F.broadcast(uses), "place").select("user_id", F.lower("skill").alias("skill"), (F.col("duration_seconds") / 37).alias("hours"), F.to_date(F.date_trunc("week", "occurred_at")).alias("week"))  # a dimension of eleven rows
 
 
-USED = "used AS (SELECT user_id, lower(skill) AS skill, duration_seconds / 32 AS hours, date_trunc('week', occurred_at)::DATE AS week FROM activities JOIN (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in USES.items()) + ") v(place, skill) ON coalesce(app, domain) = place)"
+USED = "used AS (SELECT user_id, lower(skill) AS skill, duration_seconds / 37 AS hours, date_trunc('week', occurred_at)::DATE AS week FROM activities JOIN (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in USES.items()) + ") v(place, skill) ON coalesce(app, domain) = place)"
 ROLE = "roles AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{r.title}', {list(r.required)}, {list(r.helpful)}, {r.hours})" for k, r in U.ROLES.items()) + ") v(role, title, req, help, target))"
 OWN = "own AS (SELECT user_id, list(DISTINCT skill) AS own, sum(hours) AS h FROM used GROUP BY 1)"
 add("d31_career_readiness", lambda s, d: U.role_readiness(used(s, d), U.roles(s)),
