@@ -237,7 +237,12 @@ def betweenness(edges: DataFrame, pivots: DataFrame, depth: int | None = None, b
 
 
 def _dependencies(e: DataFrame, pivots: DataFrame, depth: int | None) -> DataFrame:
-    """``id, dep``: the part of the pivots' shortest paths that runs through each vertex."""
+    """``id, dep``: the part of all pivots' shortest paths that runs through each vertex."""
+    return dependencies(e, pivots, depth).groupBy("id").agg(F.sum("dep").alias("dep"))
+
+
+def dependencies(e: DataFrame, pivots: DataFrame, depth: int | None) -> DataFrame:
+    """``s, id, dep``: the part of each pivot's shortest paths that runs through each other vertex."""
     level = cut_lineage(pivots.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths"), F.lit(0).alias("d")))
     levels = [level]
     while depth is None or len(levels) <= depth:
@@ -255,7 +260,7 @@ def _dependencies(e: DataFrame, pivots: DataFrame, depth: int | None) -> DataFra
         dep = part.groupBy("s", "v").agg(F.sum(F.col("paths") / F.col("p2") * (1 + F.col("dep"))).alias("dep"))
         below = cut_lineage(level.join(dep, ["s", "v"], "left").fillna(0.0, ["dep"]))
         out = out.union(below.select(out.columns))
-    return out.filter("s <> v").groupBy(F.col("v").alias("id")).agg(F.sum("dep").alias("dep"))
+    return out.filter("s <> v").select("s", F.col("v").alias("id"), "dep")
 
 
 def link_prediction(edges: DataFrame, least: float = 0.0, k: int = 5) -> DataFrame:
