@@ -296,16 +296,25 @@ def recommend_collaborators(skills: DataFrame, met: DataFrame, most: int = 10) -
     without those met (``user_id, other``): the ``most`` best, by identifier among equals.
 
     Users that share no skill score by the sizes alone, so users with equal sets of skills are one profile: profiles meet,
-    not users. Their number is checked for the broadcast.
+    not users. Their number is checked for the broadcast. Of each profile in order of relevance a user meets only as many
+    members as it may need, so no user meets all others.
     """
     own = skills.select("user_id", "skill").distinct().groupBy("user_id").agg(F.array_sort(F.collect_list("skill")).alias("skills"))
     profiles = own.select("skills").distinct()
     a, b = profiles.withColumnRenamed("skills", "mine"), profiles.withColumnRenamed("skills", "theirs")
     score = F.size(F.array_except("theirs", "mine")) / F.size("theirs") * 0.7 + F.size(F.array_intersect("theirs", "mine")) / F.size("mine") * 0.3
-    pairs = a.crossJoin(bounded(b)).withColumn("relevance", F.least(F.lit(1.0), score))
+    met = met.select("user_id", "other").distinct()
+    sizes = own.groupBy("skills").agg(F.count(F.lit(1)).alias("n"))
+    pairs = a.crossJoin(bounded(b)).withColumn("relevance", F.least(F.lit(1.0), score)).join(sizes.withColumnRenamed("skills", "theirs"), "theirs")
+    # a user needs as many members of better profiles as it has places, people met, and itself
+    up_to = Window.partitionBy("mine").orderBy(F.desc("relevance")).rangeBetween(Window.unboundedPreceding, 0)
+    better = F.sum("n").over(up_to) - F.sum("n").over(Window.partitionBy("mine", "relevance"))
+    pairs = pairs.withColumn("better", better)
+    needs = own.join(met.groupBy("user_id").agg(F.count(F.lit(1)).alias("known")), "user_id", "left").select("user_id", F.col("skills").alias("mine"), (F.coalesce("known", F.lit(0)) + most + 1).alias("needs"))
     members = own.withColumn("r", F.row_number().over(Window.partitionBy("skills").orderBy("user_id")))
-    x = own.withColumnRenamed("skills", "mine").join(pairs, "mine").join(members.select(F.col("user_id").alias("other"), F.col("skills").alias("theirs")), "theirs").filter("user_id <> other")
-    x = x.join(met.select("user_id", "other").distinct(), ["user_id", "other"], "left_anti")
+    x = needs.join(pairs, "mine").filter(F.col("better") < F.col("needs"))
+    x = x.join(members.select(F.col("user_id").alias("other"), F.col("skills").alias("theirs"), "r"), "theirs").filter((F.col("r") <= F.col("needs")) & (F.col("user_id") != F.col("other")))
+    x = x.join(met, ["user_id", "other"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("relevance"), "other"))
     return x.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= most).select("user_id", "other", F.round("relevance", 4).alias("relevance"), "rank")
 

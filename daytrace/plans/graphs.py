@@ -41,7 +41,7 @@ add("k5_eigenvector", lambda s, d: G.eigenvector(G.both_ways(edges(s, d)), 20).s
     """, r AS (SELECT DISTINCT src AS id, 0 AS k, 1.0::DOUBLE AS score FROM both_ways UNION ALL
              SELECT id, k, s / sqrt(sum(s * s) OVER ()) FROM (SELECT dst AS id, k + 1 AS k, sum(score * weight) AS s FROM r JOIN both_ways ON r.id = src WHERE k < 20 GROUP BY dst, k))
        SELECT id, round(score, 8) AS score FROM r WHERE k = 20""", *RV)
-add("k9_label_propagation", lambda s, d: G.label_propagation(edges(s, d).filter("weight >= 2")))
+add("k9_label_propagation", lambda s, d: G.label_propagation(edges(s, d).filter("weight >= 2"), 50))
 STRONG = "strong AS (SELECT src, dst, weight FROM both_ways WHERE weight >= 2)"
 
 
