@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import expertise as X
 from ..operators import graph as G
 from ..operators import language as L
-from ..operators.people import skill_hours
+from ..operators.people import hours_of_skills
 from ..sources import wearables as W
 from ..sources.tables import ACTIVITIES, ENTITIES, LINKS, activities, entities, links, table
 from .graphs import BOTH, PAIRS, edges, strong
@@ -73,7 +73,7 @@ TARGET = [("Coding", 4.0), ("Data Analysis", 50.0), ("Writing", 1.0), ("Statisti
 
 
 def _gaps(s, d):
-    own = skill_hours(activities(s, d), skill_table(s)).select("user_id", "skill", F.col("hours").alias("score"))
+    own = hours_of_skills(activities(s, d), skill_table(s)).select("user_id", "skill", F.col("hours").alias("score"))
     return X.profile_gaps(own, s.createDataFrame(TARGET, "skill string, required double"))
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from daytrace.operators import expertise as X
 from daytrace.operators import graph as G
 from daytrace.operators import language as L
-from daytrace.plans import graphs
+from daytrace.plans import catalog, graphs
 from daytrace.sources import wearables as W
+from helpers import same
 
 ANSWERS = [
     (1, "fitbit", "activities", {"summary": {"steps": 9, "fairlyActiveMinutes": 2, "veryActiveMinutes": 3}}),
@@ -87,3 +88,21 @@ def test_expertise_by_hand(spark):
     target = spark.createDataFrame([("sql", 80.0), ("git", 50.0), ("rust", 90.0), ("go", 5.0), ("c", 70.0)], "skill string, required double")
     got = {r.user_id: tuple(r)[1:] for r in X.profile_gaps(skills, target).collect()}
     assert got == {1: ("c,go", "git", "sql", "rust", 40.0), 2: ("rust,sql,c,git,go", "", "", "", 0.0)}
+
+
+def _events(tmp_path, rows):
+    """Tables with the events ``user, k, seconds`` as uses of applications."""
+    import duckdb
+
+    values = ", ".join(f"({i}, TIMESTAMP '2024-01-01 08:00:00', {u}, 'click', {(n + 0.5) / 60}, '{{\"k\": {k}}}')" for i, (u, k, n) in enumerate(rows))
+    duckdb.connect().execute(f"COPY (SELECT event_id::BIGINT AS event_id, ts, user_id::BIGINT AS user_id, event_type, value::DOUBLE AS value, props FROM (VALUES {values}) v(event_id, ts, user_id, event_type, value, props)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    return c
+
+
+def test_gaps_are_ordered_by_hours_that_are_not_rounded(spark, tmp_path):
+    c = _events(tmp_path, [(1, 0, 3606), (1, 6, 6), (2, 0, 3607), (2, 6, 7)])
+    got = catalog.QUERIES["d32_skill_gaps"](spark, str(tmp_path)).toPandas()
+    assert set(got["matched"]) == {"messaging,coding"}
+    same(got, c.execute(catalog.SQL["d32_skill_gaps"]).df())
