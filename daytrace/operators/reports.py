@@ -321,7 +321,8 @@ def recommend_collaborators(skills: DataFrame, met: DataFrame, most: int = 10) -
 
 def recommend_learning(skills: DataFrame, goals: list[str], trending: list[str], most: int = 10) -> DataFrame:
     """From ``user_id, skill, score`` (0 to 100): goals that a user lacks (.95) or has below 50 (.85), trends that it lacks
-    (.7), and skills below 30 (.4 and more the lower); each skill once, the ``most`` best."""
+    (.7), and skills below 30 (.4 and more the lower); each skill once, the ``most`` best. Two digits are rounded as the binary
+    number has them: 57.499... hundredths are .57, though it is written .575."""
     u = skills.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct(F.lower("skill").alias("k"), F.col("score").alias("v")))).alias("own"))
     pick = lambda names, rule: F.filter(F.transform(F.lit(names) if names else F.array().cast("array<string>"), rule), lambda r: r["relevance"].isNotNull())
     row = lambda skill, relevance, order: F.struct(F.lower(skill).alias("skill"), relevance.alias("relevance"), F.lit(order).alias("source"))
@@ -329,7 +330,7 @@ def recommend_learning(skills: DataFrame, goals: list[str], trending: list[str],
     found = F.concat(
         pick(goals, lambda s: row(s, F.when(~has(s), 0.95).when(F.element_at("own", F.lower(s)) < 50, 0.85), "goal")),
         pick(trending, lambda s: row(s, F.when(~has(s), 0.7), "trend")),
-        F.filter(F.transform(F.map_entries("own"), lambda e: row(e["key"], F.when(e["value"] < 30, F.round(0.4 + (30 - e["value"]) / 100, 2)), "weak")), lambda r: r["relevance"].isNotNull()),
+        F.filter(F.transform(F.map_entries("own"), lambda e: row(e["key"], F.when(e["value"] < 30, F.round((0.4 + (30 - e["value"]) / 100) * 100) / 100), "weak")), lambda r: r["relevance"].isNotNull()),
     )
     x = u.select("user_id", F.posexplode(found).alias("pos", "x")).select("user_id", "pos", "x.*")
     first = F.row_number().over(Window.partitionBy("user_id", "skill").orderBy("pos"))

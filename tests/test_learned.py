@@ -106,3 +106,10 @@ def test_gaps_are_ordered_by_hours_that_are_not_rounded(spark, tmp_path):
     got = catalog.QUERIES["d32_skill_gaps"](spark, str(tmp_path)).toPandas()
     assert set(got["matched"]) == {"messaging,coding"}
     same(got, c.execute(catalog.SQL["d32_skill_gaps"]).df())
+
+
+def test_weak_skill_between_two_hundredths(spark, tmp_path):
+    c = _events(tmp_path, [(1, 3, 2250), (2, 3, 2249), (3, 3, 1000)])
+    got = catalog.QUERIES["d40_recommend_learning"](spark, str(tmp_path)).toPandas()
+    assert got[(got["user_id"] == 1) & (got["source"] == "weak")]["relevance"].tolist() == [0.57]
+    same(got, c.execute(catalog.SQL["d40_recommend_learning"]).df())
