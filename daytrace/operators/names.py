@@ -25,10 +25,19 @@ NO_PERSON = ["document viewer", "text editor", "image viewer", "file manager", "
 ENTITY = "array<struct<name:string,entity_type:string,confidence:double,source:string,org_type:string,industry:string>>"
 
 
+# every way a skill may be written as one word: its name, and its name without dots
+SPELLINGS = list(dict.fromkeys(w for s in TECH_SKILLS for w in (s, s.replace(".", ""))))
+
+
 def _map(pairs) -> Column:
     return F.create_map(*[F.lit(v) for kv in pairs for v in kv])
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row, however often ``body`` mentions it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def parents(domain: Column) -> Column:
     """The domain and every parent of it with at least one dot, the longest first."""
     parts = F.split(domain, r"\.")
@@ -95,12 +104,17 @@ def file_kind(name: Column) -> Column:
 
 def classify_domain(domain: Column) -> Column:
     """C11d: ``struct<name, org_type, industry, confidence>`` of a domain that the dictionary doesn't have, by patterns."""
-    d = F.lower(F.trim(domain))
-    parts = F.split(d, r"\.")
-    n, tld = F.size(parts), F.element_at(parts, -1)
+    label = lambda sld: F.initcap(F.replace(sld, F.lit("-"), F.lit(" ")))
+    of = lambda d, parts: _let(_second_level(parts), lambda sld: _let(label(sld), lambda name: _kind(d, F.size(parts), F.element_at(parts, -1), sld, name)))
+    return _let(F.lower(F.trim(domain)), lambda d: _let(F.split(d, r"\."), lambda parts: of(d, parts)))
+
+
+def _second_level(parts: Column) -> Column:
     second = F.try_element_at(parts, F.lit(-2))
-    sld = F.when(second.isin(COMPOUND) & (n >= 3), F.try_element_at(parts, F.lit(-3))).otherwise(second)
-    name = F.initcap(F.replace(sld, F.lit("-"), F.lit(" ")))
+    return F.when(second.isin(COMPOUND) & (F.size(parts) >= 3), F.try_element_at(parts, F.lit(-3))).otherwise(second)
+
+
+def _kind(d: Column, n: Column, tld: Column, sld: Column, name: Column) -> Column:
     kind = lambda label, org, industry, conf: F.struct(label.alias("name"), F.lit(org).alias("org_type"), F.lit(industry).alias("industry"), F.lit(conf).alias("confidence"))
     school = F.when(F.contains(F.lower(name), F.lit("university")), name).otherwise(F.concat(name, F.lit(" University")))
     return (
@@ -117,17 +131,23 @@ def classify_domain(domain: Column) -> Column:
 
 def domain_entity(domain: Column) -> Column:
     """C11d: the entity of a domain: of the dictionary, else by its pattern; null for local names and bare country domains."""
-    low = F.lower(domain)
-    known = F.get(
+    return _let(F.lower(domain), lambda low: F.coalesce(_known_domain(low), _let(classify_domain(low), lambda c: _guessed(low, c))))
+
+
+def _known_domain(low: Column) -> Column:
+    return F.get(
         F.array(*[F.struct(F.lit(n).alias("name"), F.lit(e).alias("entity_type"), F.lit(c).alias("confidence"), F.lit("domain").alias("source"), F.lit(o if e == "organization" else None).cast("string").alias("org_type"), F.lit(i if e == "organization" else None).cast("string").alias("industry")) for _, n, e, o, i, c in DOMAIN_ORGS]),
         F.element_at(_map([(d, k) for k, (d, *_) in enumerate(DOMAIN_ORGS)]), low),
     )
-    c, parts = classify_domain(low), F.split(low, r"\.")
+
+
+def _guessed(low: Column, c: Column) -> Column:
+    parts = F.split(low, r"\.")
     tail = F.array_join(F.slice(parts, -2, 2), ".")
     fits = ~low.isin("localhost", "127.0.0.1", "", "unknown") & (F.size(parts) >= 2)
     named = ~tail.isin(COUNTRY) & ~F.lower(c["name"]).isin("www", "com", "org", "net", "io", "")
     guessed = F.struct(c["name"].alias("name"), F.lit("organization").alias("entity_type"), c["confidence"].alias("confidence"), F.lit("domain").alias("source"), c["org_type"].alias("org_type"), c["industry"].alias("industry"))
-    return F.coalesce(known, F.when(fits & F.when(fits, named).otherwise(False), guessed))
+    return F.when(fits & F.when(fits, named).otherwise(False), guessed)
 
 
 def entities_of(acts: DataFrame) -> DataFrame:
@@ -144,19 +164,21 @@ def entities_of(acts: DataFrame) -> DataFrame:
     item = lambda name, kind, conf, source: F.struct(F.trim(name).alias("name"), F.lit(kind).alias("entity_type"), F.lit(conf).alias("confidence"), F.lit(source).alias("source"), F.lit(None).cast("string").alias("org_type"), F.lit(None).cast("string").alias("industry"))
     none = F.array().cast(ENTITY)
     when = lambda test, one: F.when(test, F.array(one)).otherwise(none)
-    usual = usual_name(app)
     at_end = F.trim(F.regexp_extract(title, r"[—–-]\s*(.+?\.\w{2,5})\s*$", 1))
-    file_name = F.coalesce(F.nullif(col("file_name"), F.lit("")), at_end)
-    suffix = F.lower(F.regexp_extract(file_name, r"\.([^.]*)$", 1))
-    language = F.element_at(_map(LANGUAGES.items()), suffix)
-    folder = F.split(F.regexp_replace(col("working_directory"), "/+$", ""), "/")
-    last = F.element_at(folder, -1)
+    language_of = F.element_at(_map(LANGUAGES.items()), F.lower(F.regexp_extract("file", r"\.([^.]*)$", 1)))
     words = F.regexp_extract_all(F.lower(F.concat_ws(" ", title, url, app)), F.lit(r"([a-z0-9#+.]+)"), 1)
-    skills = F.filter(F.lit(TECH_SKILLS), lambda s: F.array_contains(words, s) | F.array_contains(words, F.replace(s, F.lit("."), F.lit(""))))
+    hits = F.col("hits")
+    skills = F.when(F.size(hits) > 0, F.filter(F.lit(TECH_SKILLS), lambda s: F.array_contains(hits, s) | F.array_contains(hits, F.replace(s, F.lit("."), F.lit(""))))).otherwise(F.array().cast("array<string>"))
     shown = F.transform(skills, lambda s: item(F.when(F.length(s) > 3, F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 100))).otherwise(F.upper(s)), "skill", 0.6, "pattern"))
-    repo = F.regexp_extract(url, r"^[a-z]+://[^/]*github\.com[^/]*/([^/?#]+/[^/?#]+)", 1)
-    author = F.regexp_extract(title, r"(?i)(?:by|author[:\s]+)([A-Z][a-z]+ [A-Z][a-z]+)", 1)
+    repo_of = F.regexp_extract(url, r"^[a-z]+://[^/]*github\.com[^/]*/([^/?#]+/[^/?#]+)", 1)
+    author_of = F.regexp_extract(title, r"(?i)(?:by|author[:\s]+)([A-Z][a-z]+ [A-Z][a-z]+)", 1)
     pairs = F.filter(F.slice(F.regexp_extract_all(title, F.lit(r"\b([A-Z][a-z]{2,15}\s+[A-Z][a-z]{2,15})\b"), 1), 1, 2), lambda p: ~F.lower(p).isin(NO_PERSON))
+    parts = {
+        "usual": usual_name(app), "file": F.coalesce(F.nullif(col("file_name"), F.lit("")), at_end), "folder": F.split(F.regexp_replace(col("working_directory"), "/+$", ""), "/"),
+        "hits": F.array_intersect(F.lit(SPELLINGS), words), "repo": repo_of, "author": author_of, "pairs": pairs, "org": domain_entity(F.col("domain")) if "domain" in acts.columns else F.lit(None),
+    }
+    usual, file_name, folder, repo, author = (F.col(c) for c in ("usual", "file", "folder", "repo", "author"))
+    language, last = F.col("language"), F.element_at(folder, -1)
     found = F.concat(
         when((usual != "") & ~F.lower(usual).isin("unknown", "untitled"), item(usual, "artifact", 0.95, "app")),
         F.when(F.col("org").isNotNull(), F.array(F.col("org"))).otherwise(none) if "domain" in acts.columns else none,
@@ -166,9 +188,9 @@ def entities_of(acts: DataFrame) -> DataFrame:
         shown,
         when(repo != "", item(repo, "project", 0.8, "url")),
         when(author != "", item(author, "person", 0.6, "title")),
-        F.transform(pairs, lambda p: item(p, "person", 0.5, "title_name")),
+        F.transform("pairs", lambda p: item(p, "person", 0.5, "title_name")),
     )
-    rows = acts.withColumn("org", domain_entity(F.col("domain"))) if "domain" in acts.columns else acts
+    rows = acts.select("id", "user_id", "occurred_at", "type", *[c.alias(k) for k, c in parts.items()]).withColumn("language", language_of)
     rows = rows.select("id", "user_id", "occurred_at", "type", F.filter(found, lambda e: F.length(e["name"]) > 1).alias("found"))
     keys = F.transform("found", lambda e: F.concat_ws("\x00", F.lower(e["name"]), e["entity_type"]))
     firsts = F.filter("found", lambda e, i: F.array_position(F.col("keys"), F.concat_ws("\x00", F.lower(e["name"]), e["entity_type"])) == i + 1)

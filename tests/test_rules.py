@@ -107,6 +107,14 @@ def test_tags_and_names(spark):
     assert got[("project", "thing")] == (0.65, "working_dir") and got[("project", "team/repo")] == (0.8, "url") and got[("person", "Ada Lovelace")] == (0.5, "title_name")
 
 
+def test_entities_are_found_in_one_pass_over_each_column(spark):
+    x = spark.createDataFrame([(1, 1, "chrome", "a.b-c.org", "next.js and nextjs in go")], "id long, user_id long, app string, domain string, title string").withColumns({"occurred_at": F.current_timestamp(), "type": F.lit("web_visit")})
+    found = N.entities_of(x)
+    assert sorted(r.name for r in found.filter("entity_type = 'skill'").collect()) == ["GO", "Next.js", "Nextjs"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("initcap(") == 1 and plan.count("[a-z0-9#+.]+") == 1
+
+
 def test_learning_by_hand(spark):
     at = dt.datetime(2024, 1, 1)
     rows = [(i, 1, at, "web_visit", "arXiv", "organization", 0.9, "domain", "educational", "research") for i in range(2)] + [(i, 1, at, "app_focus", "t/r", "project", 0.8, "url", None, None) for i in range(3)] + [(9, 1, at, "web_visit", "Acme", "organization", 0.5, "domain", "company", "tech")]
