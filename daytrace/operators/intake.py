@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from . import names as N
 
 
@@ -48,11 +48,11 @@ def time_proximity(found: DataFrame, minutes: int = 60) -> DataFrame:
     """Pairs of different names that a user's activities mention within ``minutes`` of each other, with how often.
 
     Mentions are dealt into buckets of that length; one side visits its own and the two next to it, so the join is one on
-    equal keys.
+    equal keys. The mentions are written once, so that both sides don't find them anew.
     """
     t = F.unix_micros("occurred_at")
     width = minutes * 60_000_000
-    x = found.select("user_id", "name", t.alias("t"), F.floor(t / width).alias("bucket")).distinct()
+    x = written(found.select("user_id", "name", t.alias("t"), F.floor(t / width).alias("bucket")).distinct(), "named")
     a = x.select("user_id", F.col("name").alias("a"), F.col("t").alias("ta"), "bucket")
     b = x.select("user_id", F.col("name").alias("b"), F.col("t").alias("tb"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
     near = a.join(b, ["user_id", "bucket"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("ta") - F.col("tb")) <= width))
