@@ -53,12 +53,15 @@ def failure_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(doc_id, part, bits, n)``: each document's set of failed filters, and how many rows are alike in all of these.
 
     The identifiers that fail E, with the bit 16, are united with the bits of the others; rows meet on identifier, part and a
-    hash of the text, so repeated identifiers with different texts stay apart. A null part is the empty string.
+    hash of the text, so repeated identifiers with different texts stay apart. A null part is the empty string. Into the self-join
+    goes, for each text, its SHA-256 with byte length and a second 64-bit hash, so texts are not shuffled.
     """
     key = [F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("part"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("tx"), F.col(f"`{text_col}`").alias("text")]
     narrow = docs.select(*key)
     each = narrow.select("doc_id", "part", "tx", failures(F.col("text")).alias("bits"), F.lit(1).alias("n"))
-    copies = earlier_copies(narrow).select("doc_id", "part", "tx", F.lit(16).alias("bits"), F.lit(0).alias("n"))
+    whole = F.coalesce("text", F.lit(""))
+    digest = F.concat_ws(":", F.sha2(whole, 256), F.octet_length(whole), F.xxhash64(whole))
+    copies = earlier_copies(narrow.withColumn("text", digest)).select("doc_id", "part", "tx", F.lit(16).alias("bits"), F.lit(0).alias("n"))
     return each.unionByName(copies).groupBy("doc_id", "part", "tx").agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("n")).drop("tx")
 
 

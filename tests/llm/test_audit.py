@@ -151,6 +151,15 @@ def test_earlier_copies_in_blocks(spark, block):
     assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, want))
 
 
+def test_copies_are_told_apart_without_their_texts(spark, monkeypatch):
+    given, find = [], filter_audit.earlier_copies
+    monkeypatch.setattr(filter_audit, "earlier_copies", lambda rows, *a, **k: given.append(rows) or find(rows, *a, **k))
+    rows = [(1, "word " * 5_000, "en"), (2, "word " * 5_000, "en"), (3, "word " * 4_999 + "words", "en"), (4, None, "en"), (5, "", "en")]
+    got = {r.doc_id: r.bits & 16 for r in filter_audit.failure_sets(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {1: 0, 2: 16, 3: 0, 4: 0, 5: 16}
+    assert max(len(r.text) for r in given[0].collect()) < 120
+
+
 def slow_resample(docs, target, percent=10, min_words=20):
     buckets = lambda t: [zlib.crc32(w.encode()) % 10_000 for w in words_of(t)]
     s, t = {}, {}
