@@ -256,3 +256,17 @@ def test_percentiles_against_a_sort(spark):
     for k in "abc":
         v = sorted(x for g, x in rows if g == k)
         assert [got[k].p50, got[k].p95, got[k].p99] == [v[min(int(len(v) * q), len(v) - 1)] for q in (0.5, 0.95, 0.99)] and got[k].le_10 == sum(x <= 10 for x in v)
+
+
+def test_rounds_of_scores_leave_the_edges_where_they_are(spark, monkeypatch):
+    edges = G.both_ways(spark.createDataFrame([(k % 17, (k * k + 1) % 17 + 17, 1 + k % 3) for k in range(40)], "src long, dst long, weight long")).cache()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert G.pagerank_engine(edges, 1)._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 1
+        scores = lambda: [{r.id: round(r.score, 9) for r in f(edges, 7).collect()} for f in (G.pagerank, G.pagerank_engine, G.eigenvector)]
+        sent = scores()
+        monkeypatch.setattr(G, "SENT", 0)
+        assert scores() == sent
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
