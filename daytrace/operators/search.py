@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded, cut_lineage, join_groups
+from ..session import bounded, cut_lineage, join_groups, written
 from .components import connected_components
 
 
@@ -160,7 +161,8 @@ def dbscan(points: DataFrame, pairs: DataFrame, least: int = 2) -> DataFrame:
     A core has ``least`` points within reach, itself included. Cores in reach of each other are one cluster, named by its
     smallest core; a border point joins the smallest cluster that it reaches.
     """
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).filter("a <> b").distinct()
+    pairs = written(pairs.select("a", "b"), "near")
+    both = pairs.union(pairs.select("b", "a")).filter("a <> b").distinct()
     cores = points.select("id").join(both.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n")), "id", "left").filter(F.coalesce("n", F.lit(0)) + 1 >= least).select("id")
     inner = both.join(cores.withColumnRenamed("id", "a"), "a", "left_semi").join(cores.withColumnRenamed("id", "b"), "b", "left_semi")
     roots = cores.join(connected_components(inner).withColumnRenamed("v", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("cluster"))
@@ -168,102 +170,112 @@ def dbscan(points: DataFrame, pairs: DataFrame, least: int = 2) -> DataFrame:
     return points.select("id").join(roots.union(border), "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
-def eps_pairs(vectors: DataFrame, eps: float = 0.35, pivots: int = 64, block: int = 1024) -> DataFrame:
-    """``a, b``: the pairs of vectors (``id, vector``) with a cosine distance of at most ``eps``; exact.
+def eps_pairs(vectors: DataFrame, eps: float = 0.35, pivots: int = 64, block: int = 4096, chained: bool = False) -> DataFrame:
+    """``a, b``: the pairs of vectors (``id, vector``) with a cosine distance of at most ``eps``; exact. If ``chained``, pairs that
+    chain the same vectors together, at most one for each vector of a pair of blocks, however many are alike.
 
-    Each vector is at home in the cell of the nearest of ``pivots`` vectors, chosen by hash. By the triangle inequality of
-    angles, a vector within ``eps`` of one at home in a cell is no farther from its pivot than the cell's radius and the angle
-    of ``eps``; it visits the cells where that holds. What is at home in a cell and what visits it are dealt into blocks alike,
-    and each pair of blocks is compared by a task, which holds no more, as a product of matrices. Vectors that lie all apart from one another visit all cells, and then it's all pairs, in blocks.
+    Each vector is at home in the cell of the nearest of ``pivots`` vectors, chosen by hash; vectors are packed by cell and
+    angle into blocks, written once. By the triangle inequality of angles, a vector within ``eps`` of one of a block is no
+    farther from the block's pivot than the block's farthest and the angle of ``eps``. Pairs of blocks where that holds for
+    some are compared as a product of matrices of what does; a cross join reads the two blocks, and nothing is shuffled for
+    it. Vectors that lie all apart from one another are compared in all pairs of blocks.
     """
     spark = vectors.sparkSession
     rows = cut_lineage(vectors.select(F.col("id").cast("long").alias("id"), "vector"))
     centres = np.array([r.vector for r in rows.orderBy(F.xxhash64("id")).limit(pivots).collect()], np.float64)
     if not len(centres):
         return rows.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    shared, reach = spark.sparkContext.broadcast(_unit(centres)), float(np.arccos(1 - eps))
+    shared, reach = spark.sparkContext.broadcast(_unit(centres)), float(np.arccos(np.clip(1 - eps, -1, 1))) + 1e-7
 
-    def angles(batch):
-        return np.arccos(np.clip(_unit(_matrix(batch.column(1))) @ shared.value.T, -1, 1))
+    def angles(x):
+        return np.arccos(np.clip(x @ shared.value.T, -1, 1))
 
-    def radii(batches):
-        most = np.zeros(len(shared.value))
+    def at_home(batches):
         for batch in batches:
             if batch.num_rows:
-                x = angles(batch)
+                x = angles(_unit(_matrix(batch.column(1))))
                 home = x.argmin(axis=1)
-                np.maximum.at(most, home, x[np.arange(len(x)), home])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(most))), pa.array(most)], ["cell", "radius"])
+                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(x[np.arange(len(x)), home]), *batch.columns], ["cell", "angle", "id", "vector"])
 
-    radius = np.zeros(len(centres))
-    for r in rows.mapInArrow(radii, "cell long, radius double").groupBy("cell").agg(F.max("radius").alias("radius")).collect():
-        radius[r.cell] = r.radius
+    def packed(batches):
+        held, n = [], 0
+        place = TaskContext.get().partitionId() << 32
 
-    def visited(batch):
-        x = angles(batch)
-        home = x.argmin(axis=1)
-        row, cell = np.nonzero((x <= radius + reach + 1e-9) | (np.arange(x.shape[1]) == home[:, None]))
-        return row, cell, home[row] == cell
-
-    def volumes(batches):
-        n = np.zeros(len(shared.value), np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                n += np.bincount(visited(batch)[1], minlength=len(n))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["cell", "n"])
-
-    blocks = np.ones(len(centres), np.int64)
-    for r in rows.mapInArrow(volumes, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        blocks[r.cell] = max(1, -(-r.n // block))
-
-    def visits(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            row, cell, at_home = visited(batch)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            mixed = ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-            own = (mixed % blocks[cell].astype(np.uint64)).astype(np.int64)
-            for other in range(int(blocks[cell].max(initial=1))):
-                at = np.flatnonzero(other < blocks[cell])
-                lo, hi = np.minimum(own[at], other), np.maximum(own[at], other)
-                arrays = [pa.array(x) for x in (cell[at], lo, hi, own[at], ids[row[at]], at_home[at])]
-                yield pa.RecordBatch.from_arrays([*arrays, batch.column(1).take(pa.array(row[at]))], ["cell", "lo", "hi", "own", "id", "home", "vector"])
-
-    def compare(batches):
-        held, key = [], None
-
-        def pairs():
-            table = pa.Table.from_batches(held)
-            own, ids, home = table.column("own").to_numpy(), table.column("id").to_numpy(), table.column("home").to_numpy(zero_copy_only=False).astype(bool)
+        def one():
+            table = pa.Table.from_batches(held).combine_chunks()
             x = _unit(_matrix(table.column("vector").combine_chunks()))
-            left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
-            for start in range(0, len(left), block):
-                mine = left[start : start + block]
-                for k in range(0, len(right), block):
-                    theirs = right[k : k + block]
-                    i, j = np.nonzero(1 - x[mine] @ x[theirs].T <= eps)
-                    i, j = mine[i], theirs[j]
-                    keep = (ids[i] != ids[j]) & (home[i] | home[j])
-                    a, b = ids[i[keep]], ids[j[keep]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            near = angles(x).min(axis=0)
+            ids = table.column("id").to_numpy().astype("<i8")
+            row = [[place], [int(table.column("cell")[0].as_py())], [float(table.column("angle").to_numpy().max())], [near.tolist()], [ids.tobytes()], [x.astype("<f8").tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, [pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.binary(), pa.binary()])], ["place", "cell", "far", "near", "ids", "x"])
 
         for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            cells = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
             for s, e in zip(cuts, cuts[1:]):
-                if e > s:
-                    if held and tuple(keys[s]) != key:
-                        yield from pairs()
-                        held.clear()
-                    key = tuple(keys[s])
-                    held.append(batch.slice(s, e - s))
+                while s < e:
+                    if held and (n == block or held[0].column(0)[0].as_py() != cells[s]):
+                        yield one()
+                        place, held, n = place + 1, [], 0
+                    stop = min(e, s + block - n)
+                    held.append(batch.slice(s, stop - s))
+                    n, s = n + stop - s, stop
         if held:
-            yield from pairs()
+            yield one()
 
     kind = dict(rows.dtypes)["vector"]
-    dealt = rows.mapInArrow(visits, f"cell long, lo long, hi long, own long, id long, home boolean, vector {kind}")
-    return dealt.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi").mapInArrow(compare, "a long, b long").distinct()
+    homes = rows.mapInArrow(at_home, f"cell int, angle double, id long, vector {kind}")
+    parts = max(1, -(-rows.count() // block))
+    packs = homes.repartitionByRange(parts, "cell", "angle").sortWithinPartitions("cell", "angle").mapInArrow(packed, "place long, cell int, far double, near array<double>, ids binary, x binary")
+    packs = written(packs, "blocks")
+
+    def compare(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids = [np.frombuffer(r[k], "<i8") for k in ("ids", "ids2")]
+                x = [np.frombuffer(r[k], "<f8").reshape(len(i), -1) for k, i in zip(("x", "x2"), ids)]
+                same = r["place"] == r["place2"]
+                pivot = shared.value[[r["cell"], r["cell2"]]]
+                left = np.flatnonzero(np.arccos(np.clip(x[0] @ pivot[1], -1, 1)) <= r["far2"] + reach)
+                right = np.flatnonzero(np.arccos(np.clip(x[1] @ pivot[0], -1, 1)) <= r["far"] + reach)
+                mine, rough = x[0][left], x[1][right].astype(np.float32)
+                label = np.arange(len(ids[0]) + len(ids[1]))
+                for start in range(0, len(left), 512):
+                    # single precision leaves out most; what is near the bound is computed again
+                    i, j = np.nonzero(mine[start : start + 512].astype(np.float32) @ rough.T >= 1 - eps - 1e-4)
+                    i, j = left[start + i], right[j]
+                    for k in range(0, len(i), 1 << 17):
+                        u, v = i[k : k + (1 << 17)], j[k : k + (1 << 17)]
+                        keep = (ids[0][u] != ids[1][v]) & ((u < v) | (not same)) & (1 - np.einsum("ij,ij->i", x[0][u], x[1][v]) <= eps)
+                        u, v = u[keep], v[keep]
+                        if chained:
+                            label = _chained(label, u, v if same else v + len(ids[0]))
+                        else:
+                            a, b = ids[0][u], ids[1][v]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                if chained:
+                    both = np.concatenate(ids)
+                    moved = np.flatnonzero(label != np.arange(len(label)))
+                    a, b = both[label[moved]], both[moved]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    other = packs.withColumnsRenamed({c: c + "2" for c in packs.columns})
+    near = (F.get("near2", F.col("cell")) <= F.col("far") + reach) & (F.get("near", F.col("cell2")) <= F.col("far2") + reach)
+    met = packs.crossJoin(other).filter((F.col("place") <= F.col("place2")) & near)
+    return met.select("place", "place2", "cell", "cell2", "far", "far2", "ids", "ids2", "x", "x2").mapInArrow(compare, "a long, b long").filter("a <> b").distinct()
+
+
+def _chained(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest place that each place is chained to, after the pairs ``a, b`` were added to ``label``."""
+    while len(a):
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        apart = low != high
+        if not apart.any():
+            break
+        np.minimum.at(label, high[apart], low[apart])
+        while (label[label] != label).any():
+            label = label[label]
+    return label
 
 
 def cluster_members(points: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -155,7 +155,7 @@ add("l12_keyword_fallback", lambda s, d: titled(s, d).select("doc_id", F.round(0
 
 def _l14(s, d):
     v = vectors(s, d)
-    return S.dbscan(v, S.eps_pairs(v))
+    return S.dbscan(v, S.eps_pairs(v, chained=True))  # two points make a core, so chains give the same clusters
 
 
 add("l14_semantic_clusters", _l14, """, v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings),

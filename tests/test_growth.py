@@ -3,7 +3,10 @@
 import itertools
 import random
 
+import numpy as np
+
 from daytrace.operators import graph as G
+from daytrace.operators import search as S
 
 
 def shuffled(spark, run):
@@ -41,3 +44,18 @@ def test_triangles_shuffle_no_path_of_two_edges(spark):
     paths = n * (n - 1) * (n - 2) // 6
     assert shuffled(spark, lambda: rows.extend(G.clustering(frame).collect())) < paths / 3
     assert {(r.degree, r.triangles, r.coefficient) for r in rows} == {(n - 1, (n - 1) * (n - 2) // 2, 1.0)}
+
+
+def test_near_vectors_are_not_dealt_to_pairs_of_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 64))
+    x[500:] = x[0] * rng.uniform(0.5, 2, size=(100, 1))
+    rows = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, vector array<double>")
+    found = []
+    # each vector is dealt once; each pair of alike ones, from all pairs, is found once
+    assert shuffled(spark, lambda: found.extend(S.eps_pairs(rows, block=50).collect())) < 600 + 2 * 5050 + 600
+    alike = [0, *range(500, 600)]
+    assert sorted((r.a, r.b) for r in found) == list(itertools.combinations(alike, 2))
+    chain = S.eps_pairs(rows, block=50, chained=True)
+    assert chain.count() < 1500
+    assert {r.id: r.cluster for r in S.dbscan(rows, chain).collect()} == {i: 0 if i in alike else -1 for i in range(600)}
