@@ -1,10 +1,13 @@
 """Work and shuffles that must not grow faster than the input."""
 
+import difflib
 import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 
+from daytrace.operators import duplicates as D
 from daytrace.operators import graph as G
 from daytrace.operators import search as S
 
@@ -59,3 +62,36 @@ def test_near_vectors_are_not_dealt_to_pairs_of_blocks(spark):
     chain = S.eps_pairs(rows, block=50, chained=True)
     assert chain.count() < 1500
     assert {r.id: r.cluster for r in S.dbscan(rows, chain).collect()} == {i: 0 if i in alike else -1 for i in range(600)}
+
+
+def test_longest_common_subsequences():
+    draw = random.Random(8)
+    names = ["".join(draw.choice("abcde ") for _ in range(draw.choice([0, 1, 5, 40, 63, 64, 65, 128, 150]))) for _ in range(60)]
+    codes = D.coded(names)
+    for i in range(0, 60, 3):
+        got = D.common_subsequences(codes[i, : len(names[i])], codes)
+        for name, n in zip(names, got):
+            row = [0] * (len(name) + 1)
+            for c in names[i]:
+                row = [0, *itertools.accumulate(zip(name, row, row[1:]), lambda left, x: max(left, x[2], x[1] + 1 if x[0] == c else 0), initial=0)][1:]
+            assert n == row[-1]
+
+
+def test_few_names_are_compared_by_themselves(spark, monkeypatch):
+    draw = random.Random(9)
+    words = ["almond", "antique", "azure", "beige", "bisque", "blanched", "burlywood", "chartreuse", "chiffon", "cornflower"]
+    names = sorted({" ".join(draw.sample(words, 5)) for _ in range(150)})
+    rows = pa.record_batch([pa.array([0] * len(names)), pa.array([0] * len(names)), pa.array([0] * len(names)), pa.array([0] * len(names)), pa.array(range(len(names))), pa.array(names)], ["grp", "lo", "hi", "own", "rep", "norm"])
+    compared = []
+
+    class Counted(difflib.SequenceMatcher):
+        def ratio(self):
+            compared.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(D, "SequenceMatcher", Counted)
+    (found,) = D.compare_names(0.7)([rows])
+    want = {(a, b) for a, b in itertools.combinations(range(len(names)), 2) if difflib.SequenceMatcher(None, names[a], names[b]).ratio() >= 0.7}
+    once = len(compared)
+    assert len(found) == len(next(D.compare_names(0.7)([rows]))) and len(compared) == once
+    assert set(zip(*list(found.to_pydict().values())[:2])) == want and len(compared) < len(names) * (len(names) - 1) / 2 / 3
