@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,21 +72,33 @@ def text_stats(text: Column, per_minute: int = 200) -> dict[str, Column]:
     }
 
 
+def once(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is found once for each row; inside a lambda it would be found again for each element."""
+    return F.get(F.transform(F.array(value), make), 0)
+
+
 def topic_scores(text: Column) -> dict[str, Column]:
-    """How many hints of each topic a text contains."""
-    low = F.lower(text)
-    return {t: F.size(F.filter(F.array(*[F.lit(h) for h in hints]), lambda h: F.contains(low, h))) for t, hints in TOPICS.items()}
+    """How many hints of each topic a lower-case text contains."""
+    return {t: F.size(F.filter(F.array(*[F.lit(h) for h in hints]), lambda h: F.contains(text, h))) for t, hints in TOPICS.items()}
 
 
 def topic(text: Column) -> Column:
     """Struct of the topic with most hints (the first of equal ones), its confidence, and up to three others with
     two hints or more; "general" at 0.5 without any."""
-    scores = topic_scores(text)
-    listed = F.array(*[F.struct((-n).alias("n"), F.lit(i).alias("i"), F.lit(t).alias("t")) for i, (t, n) in enumerate(scores.items())])
-    ranked = F.array_sort(F.filter(listed, lambda x: x["n"] < 0))
-    first = F.get(ranked, 0)
-    others = F.transform(F.filter(F.slice(ranked, 2, 3), lambda x: x["n"] <= -2), lambda x: x["t"])
-    return F.struct(F.coalesce(first["t"], F.lit("general")).alias("topic"), F.when(first.isNull(), 0.5).otherwise(F.least(F.lit(0.95), -first["n"] / 10)).alias("confidence"), others.alias("secondary"))
+    ranked = once(F.lower(text), _ranked)
+
+    def named(ranked: Column) -> Column:
+        first = F.get(ranked, 0)
+        others = F.transform(F.filter(F.slice(ranked, 2, 3), lambda x: x["n"] <= -2), lambda x: x["t"])
+        return F.struct(F.coalesce(first["t"], F.lit("general")).alias("topic"), F.when(first.isNull(), 0.5).otherwise(F.least(F.lit(0.95), -first["n"] / 10)).alias("confidence"), others.alias("secondary"))
+
+    return once(ranked, named)
+
+
+def _ranked(low: Column) -> Column:
+    """Topics with hints in a lower-case text, most hints first."""
+    listed = F.array(*[F.struct((-n).alias("n"), F.lit(i).alias("i"), F.lit(t).alias("t")) for i, (t, n) in enumerate(topic_scores(low).items())])
+    return F.array_sort(F.filter(listed, lambda x: x["n"] < 0))
 
 
 def chunks(text: Column, size: int = 1000, overlap: int = 100) -> Column:

@@ -6,7 +6,9 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from daytrace.functions import text as T
 from daytrace.operators import duplicates as D
 from daytrace.operators import graph as G
 from daytrace.operators import search as S
@@ -95,3 +97,11 @@ def test_few_names_are_compared_by_themselves(spark, monkeypatch):
     once = len(compared)
     assert len(found) == len(next(D.compare_names(0.7)([rows]))) and len(compared) == once
     assert set(zip(*list(found.to_pydict().values())[:2])) == want and len(compared) < len(names) * (len(names) - 1) / 2 / 3
+
+
+def test_texts_are_put_in_lower_case_once(spark):
+    frame = spark.createDataFrame([(None,), ("Docker and Kubernetes",), ("",)], "text string")
+    out = frame.select(T.topic(F.col("text")).alias("t"))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("lower(text") == 1
+    assert [r.t.topic for r in out.collect()] == ["general", "DevOps and infrastructure", "general"]
