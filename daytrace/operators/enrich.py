@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 # Type names of older clients; acronyms.
 OLD_TYPES = {"page_view": "web_visit", "tab_focus": "web_visit", "window_focus": "app_focus"}
 ACRONYMS = ["api", "sql", "aws", "gcp", "ml", "ai", "nlp", "ui", "ux"]
@@ -61,11 +63,15 @@ def snippet(text: Column, term: str, width: int = 80) -> Column:
 def detect_language(text: Column, profiles: Mapping[str, list[str]], default: str = "en") -> Column:
     """The language with most of its common words in the text; the first in order of name of equal ones, the
     default without any or for a text under 10 characters."""
-    words = F.split(F.lower(text), r"[^a-zà-ÿß]+")
-    votes_for = lambda common: F.size(F.filter(words, lambda w: w.isin(common)))
-    votes = F.array(*[F.struct((-votes_for(common)).alias("n"), F.lit(name).alias("name")) for name, common in sorted(profiles.items())])
-    best = F.array_min(votes)
-    return F.when((F.length(text) < 10) | (best["n"] == 0) | text.isNull(), default).otherwise(best["name"])
+    every = sorted({w for common in profiles.values() for w in common})
+    known = F.filter(F.split(F.lower(text), r"[^a-zà-ÿß]+"), lambda w: w.isin(every))
+
+    def named(words: Column) -> Column:
+        votes_for = lambda common: F.size(F.filter(words, lambda w: w.isin(common)))
+        votes = F.array(*[F.struct((-votes_for(common)).alias("n"), F.lit(name).alias("name")) for name, common in sorted(profiles.items())])
+        return once(F.array_min(votes), lambda best: F.when(best["n"] == 0, default).otherwise(best["name"]))
+
+    return F.when((F.length(text) < 10) | text.isNull(), default).otherwise(once(known, named))
 
 
 def session_pairs(links: DataFrame, minutes: int = 30, least: int = 2) -> DataFrame:

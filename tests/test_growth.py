@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from daytrace.functions import text as T
 from daytrace.operators import duplicates as D
+from daytrace.operators import enrich as E
 from daytrace.operators import graph as G
 from daytrace.operators import search as S
 
@@ -105,3 +106,10 @@ def test_texts_are_put_in_lower_case_once(spark):
     plan = out._jdf.queryExecution().analyzed().toString()
     assert plan.count("lower(text") == 1
     assert [r.t.topic for r in out.collect()] == ["general", "DevOps and infrastructure", "general"]
+
+
+def test_texts_are_split_once_for_all_languages(spark):
+    frame = spark.createDataFrame([(None,), ("the cat and the dog",), ("der Hund und die Katze",), ("zzzz zzzz zzzz",), ("und",)], "text string")
+    out = frame.select(E.detect_language(F.col("text"), {"de": ["der", "und"], "en": ["the", "and"]}).alias("l"))
+    assert out._jdf.queryExecution().analyzed().toString().count("split(lower(text") == 1
+    assert [r.l for r in out.collect()] == ["en", "en", "de", "en", "en"]
