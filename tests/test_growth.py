@@ -113,3 +113,18 @@ def test_texts_are_split_once_for_all_languages(spark):
     out = frame.select(E.detect_language(F.col("text"), {"de": ["der", "und"], "en": ["the", "and"]}).alias("l"))
     assert out._jdf.queryExecution().analyzed().toString().count("split(lower(text") == 1
     assert [r.l for r in out.collect()] == ["en", "en", "de", "en", "en"]
+
+
+def test_sets_that_share_too_little_are_no_pairs(spark):
+    draw = random.Random(4)
+    sets = [(draw.randrange(2), k, draw.sample("abcdefgh", draw.randint(1, 4))) for k in range(90)] + [(0, 90, [])]
+    rows = spark.createDataFrame(sets, "grp long, rep long, s array<string>")
+    for share, subset in ((0.7, True), (0.4, True), (0.7, False)):
+        want = set()
+        for (g, a, x), (h, b, y) in itertools.combinations(sets, 2):
+            k = len(set(x) & set(y))
+            if g == h and x and y and (k >= share * max(len(x), len(y)) or subset and k == min(len(x), len(y))):
+                want.add((a, b))
+        for block in (3, 1024):
+            got = [(r.a, r.b) for r in D.set_pairs(rows, share, subset, block).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
