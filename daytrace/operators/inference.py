@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import bounded, cut_lineage, join_groups
-from .graph import both_ways, pairs_within
+from .graph import both_ways, by_pair, sized_pairs
 
 # Which relationships a pair of kinds can have, from the first to the second, and how each is inferred.
 PAIRS = [
@@ -60,7 +60,8 @@ def inferred_relations(links: DataFrame, activities: DataFrame, entities: DataFr
     recent = activities.filter(F.col("at") > as_of - F.make_dt_interval(F.lit(lookback_days)))
     strength = _mapped(STRENGTH, F.coalesce("type", F.lit("app_focus")), 1.0) * F.coalesce("importance", F.lit(1.0))
     used = links.select("activity_id", "entity_id").distinct().join(recent.select("activity_id"), "activity_id", "left_semi")
-    met = pairs_within(used.select(F.col("activity_id").alias("u"), F.col("entity_id").alias("i"))).join(recent.select(F.col("activity_id").alias("u"), "at", strength.alias("s")), "u")
+    met, parts = sized_pairs(used.select(F.col("activity_id").alias("u"), F.col("entity_id").alias("i")))
+    met = by_pair(met.join(recent.select(F.col("activity_id").alias("u"), "at", strength.alias("s")), "u").select("src", "dst", "at", "s"), parts, "src", "dst")
     pairs = met.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last"), F.avg("s").alias("s")).filter(F.col("n") >= least_count)
     age = F.floor((F.unix_micros(as_of) - F.unix_micros("last")) / 86_400_000_000)
     weight = F.least(F.lit(MOST_WEIGHT), F.greatest(F.lit(LEAST_WEIGHT), (1 + F.log10("n")) * F.exp(-DECAY * age / half_life) * F.col("s")))

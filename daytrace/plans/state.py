@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import event_store as E
 from ..operators import wellbeing as W
-from ..session import cut_lineage, new_folder
+from ..session import cut_lineage, new_folder, written
 from ..sources.tables import LINKS, links, table
 from ..streaming import activities as A
 from ..streaming import limits as L
@@ -107,14 +107,14 @@ add("i4_floored_counts", lambda s, d: E.activity_counts(_store(s, d), 16),
 
 
 def _i8(s, d):
-    """The links in files by ranges of activities, which come one a batch."""
-    rows = links(s, d).select(F.col("activity_id").cast("long"), F.col("entity_id").cast("long"), F.col("relevance_score").cast("double"))
-    source, store = new_folder(s, "links"), new_folder(s, "edges")
+    """The links by ranges of activities, of which each comes in one batch of many files."""
+    rows = written(links(s, d).select(F.col("activity_id").cast("long"), F.col("entity_id").cast("long"), F.col("relevance_score").cast("double")), "all-links")
+    source, store, progress = new_folder(s, "links"), new_folder(s, "edges"), new_folder(s, "edges-progress")
     last = rows.agg(F.max("activity_id")).first()[0] or 0
     for k in range(3):
-        rows.filter(F.floor(F.col("activity_id") * 3 / (last + 1)) == k).coalesce(1).write.mode("append").parquet(source)
-    files = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    return M.streamed_edges(files, store, new_folder(s, "edges-progress")).withColumn("strength", F.round("strength", 9))
+        rows.filter(F.floor(F.col("activity_id") * 3 / (last + 1)) == k).write.mode("append").parquet(source)
+        found = M.streamed_edges(s.readStream.schema(rows.schema).parquet(source), store, progress)
+    return found.withColumn("strength", F.round("strength", 9))
 
 
 add("i8_merged_edges", _i8,

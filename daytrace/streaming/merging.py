@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import pairs_within
+from ..operators.graph import by_pair, sized_pairs
 
 EDGE = "a long, b long, strength double, n long, first_seen long, last_seen long"
 
@@ -25,9 +25,9 @@ def batch_edges(links: DataFrame) -> DataFrame:
     was before 2^-n: a sum, with no list of activities in one row. ``fresh`` is that sum, ``first_s`` the first level.
     """
     one = links.groupBy("activity_id", "entity_id").agg(F.max(F.coalesce("relevance_score", F.lit(1.0))).alias("r"))
-    met = pairs_within(one.select(F.col("activity_id").alias("u"), F.col("entity_id").alias("i"))).withColumnsRenamed({"u": "activity_id", "src": "a", "dst": "b"})
-    side = lambda k: one.select("activity_id", F.col("entity_id").alias(k), F.col("r").alias("r" + k))
-    rows = met.join(side("a"), ["activity_id", "a"]).join(side("b"), ["activity_id", "b"]).select("a", "b", "activity_id", level((F.col("ra") + F.col("rb")) / 2).alias("s"))
+    met, parts = sized_pairs(one.select(F.col("activity_id").alias("u"), F.col("entity_id").alias("i"), "r"), carried=("r",))
+    rows = met.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("u").alias("activity_id"), level((F.col("r_src") + F.col("r_dst")) / 2).alias("s"))
+    rows = by_pair(rows, parts, "a", "b")
     back = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("activity_id")))
     return rows.withColumn("k", back).groupBy("a", "b").agg(
         F.sum(F.col("s") * F.pow(F.lit(0.5), F.col("k"))).alias("fresh"), F.count(F.lit(1)).alias("n"), F.min_by("s", "activity_id").alias("first_s"),

@@ -128,3 +128,18 @@ def test_sets_that_share_too_little_are_no_pairs(spark):
         for block in (3, 1024):
             got = [(r.a, r.b) for r in D.set_pairs(rows, share, subset, block).collect()]
             assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pairs_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr(G, "HELD", 20)
+    draw = random.Random(6)
+    rows = sorted({(draw.randrange(12), draw.randrange(30)) for _ in range(150)})
+    frame = spark.createDataFrame(rows, "activity_id long, entity_id long")
+    met, parts = G.sized_pairs(frame.selectExpr("activity_id as u", "entity_id as i", "activity_id * entity_id as x"), 15, ("x",))
+    want = {(u, a, b, u * a, u * b) for (u, a), (v, b) in itertools.combinations(rows, 2) if u == v}
+    assert {(r.u, r.src, r.dst, r.x_src, r.x_dst) for r in met.collect()} == want and parts == len(want) // 20 + 1
+    assert G.by_pair(met, parts, "src", "dst").rdd.getNumPartitions() == parts > 4
+    counts = {}
+    for _, a, b, *_ in want:
+        counts[a, b] = counts.get((a, b), 0) + 1
+    assert {(r.src, r.dst): r.weight for r in G.co_occurrence(frame).collect()} == counts
