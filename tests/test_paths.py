@@ -114,3 +114,14 @@ def test_clusters_and_their_report(spark, block, pivots):
         assert (r.size, r.dominant_type, r.title) == (len(ids), str(dominant), f"{dominant} cluster: {best}") and abs(r.coherence - coherence) < 6e-4
         assert r.types == ",".join(sorted(f"{k}:{labels.count(k)}" for k in set(labels)))
     clusters.unpersist()
+
+
+def test_pairs_without_a_way_are_not_made(spark):
+    edges, graph = made_up(3, 30, 24)
+    frame = G.both_ways(spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src long, dst long, weight double"))
+    sources = spark.createDataFrame([(v, v % 2) for v in range(0, 32)], "source long, k long")
+    goals = spark.createDataFrame([(v, v % 2) for v in range(1, 30, 2)] + [(v, 1) for v in range(0, 30, 2)], "goal long, k long")
+    want = {(a, b) for a in graph for b in slow_distance(graph, a) if a % 2 == 1}
+    for block in (2, 1024):
+        got = [(r.source, r.goal) for r in R.pairs_with_a_way(frame, sources, goals, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
