@@ -312,8 +312,9 @@ def recommend_collaborators(skills: DataFrame, met: DataFrame, most: int = 10) -
     pairs = pairs.withColumn("better", better)
     needs = own.join(met.groupBy("user_id").agg(F.count(F.lit(1)).alias("known")), "user_id", "left").select("user_id", F.col("skills").alias("mine"), (F.coalesce("known", F.lit(0)) + most + 1).alias("needs"))
     members = own.withColumn("r", F.row_number().over(Window.partitionBy("skills").orderBy("user_id")))
-    x = needs.join(pairs, "mine").filter(F.col("better") < F.col("needs"))
-    x = x.join(members.select(F.col("user_id").alias("other"), F.col("skills").alias("theirs"), "r"), "theirs").filter((F.col("r") <= F.col("needs")) & (F.col("user_id") != F.col("other")))
+    # each place is looked up, so that a user meets no member beyond those it needs
+    x = needs.join(pairs, "mine").filter(F.col("better") < F.col("needs")).withColumn("r", F.explode(F.sequence(F.lit(1).cast("long"), F.least("needs", "n"))))
+    x = x.join(members.select(F.col("user_id").alias("other"), F.col("skills").alias("theirs"), F.col("r").cast("long").alias("r")), ["theirs", "r"]).filter(F.col("user_id") != F.col("other"))
     x = x.join(met, ["user_id", "other"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("relevance"), "other"))
     return x.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= most).select("user_id", "other", F.round("relevance", 4).alias("relevance"), "rank")

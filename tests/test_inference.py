@@ -63,3 +63,10 @@ def test_state_in_blocks(spark, block):
         want[u] = (v + 1, t + int(value * 60), max(0, a - 1) if kind == "error" else a + 1)
     got = A.replay_state(spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double"), block)
     assert {r.user_id: (r.version, r.total_seconds, r.active) for r in got.collect()} == want
+
+
+def test_collaborators_are_looked_up_by_place(spark):
+    skills = spark.createDataFrame([(u, k) for u in range(200) for k in ("a", "b")[: 1 + u % 2]], "user_id long, skill string")
+    found = P.recommend_collaborators(skills, spark.createDataFrame([(0, 1), (0, 3)], "user_id long, other long"), 3)
+    assert "<= needs" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.other, r.relevance) for r in found.filter("user_id = 0").orderBy("rank").collect()] == [(5, 0.65), (7, 0.65), (9, 0.65)]
