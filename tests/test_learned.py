@@ -113,3 +113,19 @@ def test_weak_skill_between_two_hundredths(spark, tmp_path):
     got = catalog.QUERIES["d40_recommend_learning"](spark, str(tmp_path)).toPandas()
     assert got[(got["user_id"] == 1) & (got["source"] == "weak")]["relevance"].tolist() == [0.57]
     same(got, c.execute(catalog.SQL["d40_recommend_learning"]).df())
+
+
+def test_languages_without_a_shuffle_of_grams(spark, monkeypatch):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der Hund und die Katze", "de"), ("ein Hund", "de"), ("el perro y el gato", "es"), ("猫と犬と猫と犬", "ja"), ("Straße ǅ İx " * 3, "de")] * 2)]
+    docs = spark.createDataFrame([*rows, (None, "der und der", None), (3, "the the and", "en"), (3, "the the and", "en"), (9, None, "de")], "doc_id long, text string, lang string").repartition(3)
+    assert dict(zip(map(L._text, (found := L.grams(["aab", "a"]))[0].tolist()), found[1].tolist())) == {" a": 2, " a ": 1, " aa": 1, "a": 3, "a ": 1, "aa": 1, "aab": 1, "ab": 1, "ab ": 1, "b": 1, "b ": 1}
+    profiles = L.language_profiles(docs, most=40)
+    out = L.detect_language(docs, profiles, most=30)
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    sent = sorted(map(repr, out.collect()))
+    monkeypatch.setattr(L, "PROFILED", 10)
+    assert sorted(map(repr, L.detect_language(docs, profiles, most=30).collect())) == sent and len(sent) == len(rows) + 4
+    for words, step in ((2, 1 << 18), (100_000, 3)):
+        monkeypatch.setattr(L, "WORDS", words)
+        monkeypatch.setattr(L, "_STEP", step)
+        assert sorted(map(repr, L.language_profiles(docs, most=40).collect())) == sorted(map(repr, profiles.collect()))
