@@ -72,22 +72,28 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _best(shared, k: int, threshold: float):
+def _best(shared, k: int, threshold: float, tile: int = 256):
+    """Each query's ``k`` best among a task's vectors; ``tile`` queries meet 1,024 vectors at a time, so a task's memory follows from
+    these and from the ``k`` best, whatever the number of queries."""
+
     def task(batches):
         ids, q = shared.value
         # scores to nine digits, then identifiers, of each query's best so far
-        best_s, best_i, best_x = np.full((len(ids), 0), -np.inf), np.full((len(ids), 0), 0), np.full((len(ids), 0), -np.inf)
+        best_s, best_i, best_x = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64), np.full((len(ids), k), -np.inf)
         for batch in batches:
             for start in range(0, batch.num_rows if len(ids) else 0, 1024):
                 part = batch.slice(start, 1024)
                 own = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                x = q @ _unit(_matrix(part.column(1))).T
-                x[(x < threshold) | (ids[:, None] == own[None, :])] = -np.inf
-                s, i, x = np.hstack([best_s, np.round(x, 9)]), np.hstack([best_i, np.broadcast_to(own, x.shape)]), np.hstack([best_x, x])
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i, best_x = (np.take_along_axis(v, order, 1) for v in (s, i, x))
+                v = _unit(_matrix(part.column(1))).T
+                for low in range(0, len(ids), tile):
+                    at = slice(low, low + tile)
+                    x = q[at] @ v
+                    x[(x < threshold) | (ids[at, None] == own[None, :])] = -np.inf
+                    s, i, x = np.hstack([best_s[at], np.round(x, 9)]), np.hstack([best_i[at], np.broadcast_to(own, x.shape)]), np.hstack([best_x[at], x])
+                    order = np.lexsort((i, -s), axis=1)[:, :k]
+                    best_s[at], best_i[at], best_x[at] = (np.take_along_axis(y, order, 1) for y in (s, i, x))
         hit = np.isfinite(best_s)
-        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], hit.shape)[hit]), pa.array(best_i[hit].astype(np.int64)), pa.array(best_x[hit])], ["query_id", "id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], hit.shape)[hit]), pa.array(best_i[hit]), pa.array(best_x[hit])], ["query_id", "id", "score"])
 
     return task
 

@@ -143,3 +143,24 @@ def test_pairs_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
     for _, a, b, *_ in want:
         counts[a, b] = counts.get((a, b), 0) + 1
     assert {(r.src, r.dst): r.weight for r in G.co_occurrence(frame).collect()} == counts
+
+
+def test_memory_of_a_vector_search_does_not_follow_from_the_queries():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(3)
+    rows, n, k = rng.normal(size=(1100, 4)).round(1), 3000, 5
+    shared = SimpleNamespace(value=(np.arange(n), S._unit(np.resize(rows, (n, 4)))))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1100)), pa.array(rows.tolist())], ["id", "vector"])
+    tracemalloc.start()
+    (out,) = S._best(shared, k, 0.0)([batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+    unit, got = S._unit(rows), {}
+    for q, i, x in zip(*(c.to_pylist() for c in out.columns)):
+        got.setdefault(q, []).append((-round(x, 9), i))
+    for q in range(0, n, 97):
+        scores = np.round(unit @ shared.value[1][q], 9)
+        assert sorted(got.get(q, [])) == sorted((-s, i) for i, s in enumerate(scores.tolist()) if s >= 0 and i != q)[:k]
