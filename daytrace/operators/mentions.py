@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, join_groups, written
+from ..session import join_groups, written
 from .duplicates import set_pairs
 
 # What is cut from the end of an organisation's name, and the scores of each way to match.
@@ -37,21 +37,25 @@ def aliases(text: Column, label: Column) -> Column:
 def fuzzy(a: Column, b: Column, chars_a: Column, chars_b: Column) -> Column:
     """Half the share of common characters and half the ratio of lengths, plus .15 if one begins with the other; 1 at most."""
     long, short = F.when(F.length(a) <= F.length(b), b).otherwise(a), F.when(F.length(a) <= F.length(b), a).otherwise(b)
-    common = F.size(F.array_intersect(chars_a, chars_b)) / F.size(F.array_union(chars_a, chars_b))
+    met = F.size(F.array_intersect(chars_a, chars_b))
+    common = met / (F.size(chars_a) + F.size(chars_b) - met)
     lengths = F.length(short) / F.length(long)
     value = F.least(F.lit(1.0), common * 0.5 + lengths * 0.5 + F.when(F.startswith(long, short), 0.15).otherwise(0.0))
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(value)
 
 
 def mention_classes(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The mentions with their class, and the classes: ``class, label, rep`` (smallest identifier), ``n, low, chars, aliases``."""
+    """The mentions with their class, and the classes: ``class, label, rep`` (smallest identifier), ``n, low, chars, aliases``.
+
+    What follows from the name alone is worked out once for all users that have it; ``chars`` are code points."""
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")
     rows = mentions.select("id", "user_id", F.coalesce("label", F.lit("")).alias("label"), text.alias("name"), F.coalesce("platform", F.lit("unknown")).alias("platform"), "ts")
-    rows = cut_lineage(rows.withColumn("class", F.xxhash64("user_id", "label", "name")))
-    classes = rows.groupBy("class", "user_id", "label", "name").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    rows = written(rows.withColumn("class", F.xxhash64("user_id", "label", "name")), "mentions")
+    classes = written(rows.groupBy("class", "user_id", "label", "name").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     low = F.lower("name")
-    chars = F.filter(F.array_distinct(F.split(low, "")), lambda c: c != "")
-    return rows.drop("name"), cut_lineage(classes.withColumns({"low": low, "chars": chars, "aliases": aliases(F.col("name"), F.col("label")), "grp": F.xxhash64("user_id", "label")}))
+    chars = F.transform(F.filter(F.array_distinct(F.split(low, "")), lambda c: c != ""), F.ascii)
+    names = written(classes.groupBy("label", "name").agg(F.count(F.lit(1)).alias("users")).withColumns({"low": low, "chars": chars, "aliases": aliases(F.col("name"), F.col("label"))}), "names")
+    return rows.drop("name"), written(join_groups(classes, names, ["label", "name"], "users", classes.count()).drop("users").withColumn("grp", F.xxhash64("user_id", "label")), "classes")
 
 
 def class_matches(classes: DataFrame) -> DataFrame:
@@ -71,7 +75,7 @@ def class_matches(classes: DataFrame) -> DataFrame:
     same = F.col("lowa") == F.col("lowb")
     method = F.when(same, "exact").when(F.col("shared") > 0, "alias").when(near, "fuzzy")
     score = F.when(same, EXACT).when(F.col("shared") > 1, ALIASES).when(F.col("shared") > 0, ALIAS).when(near, F.round("fuzzy", 3))
-    return cut_lineage(x.select("a", "b", method.alias("method"), score.alias("score"), "fuzzy").filter(F.col("method").isNotNull() | (F.col("fuzzy") > FUZZY_IN_WINDOW)))
+    return written(x.select("a", "b", method.alias("method"), score.alias("score"), "fuzzy").filter(F.col("method").isNotNull() | (F.col("fuzzy") > FUZZY_IN_WINDOW)), "matches")
 
 
 def resolve_mentions(mentions: DataFrame, window_seconds: int = 3600, k: int = 5) -> DataFrame:
@@ -93,8 +97,8 @@ def resolve_mentions(mentions: DataFrame, window_seconds: int = 3600, k: int = 5
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "other"))
     lists = named.union(own).join(first, "b").withColumn("rank", rank).filter(F.col("rank") <= k + 1)
     lists = lists.groupBy("a").agg(F.collect_list(F.struct("other", "there", "method", "score")).alias("list"))
-    keyed = cut_lineage(classes.select("class", "n", F.col("rep").alias("a")).join(lists, "a", "left"))
-    each = cut_lineage(join_groups(rows, keyed, ["class"], "n", rows.count()))
+    keyed = written(classes.select("class", "n", F.col("rep").alias("a")).join(lists, "a", "left"), "lists")
+    each = written(join_groups(rows, keyed, ["class"], "n", rows.count()), "mentions")
     by_name = each.select("id", "platform", F.explode("list").alias("e")).filter("e.other <> id").select("id", "platform", "e.*")
 
     t = F.unix_micros("ts")
@@ -141,7 +145,8 @@ def cluster_mentions(mentions: DataFrame) -> DataFrame:
     rows, classes = mention_classes(mentions)
     links = class_matches(classes).filter(F.col("score") >= CLUSTER).select("a", "b")
     leaders = greedy_leaders(classes.select(F.col("rep").alias("id")), links)
-    keyed = cut_lineage(classes.select("class", "n", F.col("rep").alias("id")).join(leaders, "id").select("class", "n", F.col("leader").alias("cluster_id")))
-    x = cut_lineage(join_groups(rows.select("id", "class", "platform"), keyed, ["class"], "n", rows.count()).select("id", "cluster_id", "platform"))
-    per = cut_lineage(x.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.array_join(F.array_sort(F.collect_set("platform")), ",").alias("platforms"), (F.count_distinct("platform") > 1).alias("cross_platform")))
+    keyed = written(classes.select("class", "n", F.col("rep").alias("id")).join(leaders, "id").select("class", "n", F.col("leader").alias("cluster_id")), "clusters")
+    x = written(join_groups(rows.select("id", "class", "platform"), keyed, ["class"], "n", rows.count()).select("id", "cluster_id", "platform"), "mentions")
+    platforms = F.array_sort(F.collect_set("platform"))
+    per = written(x.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.array_join(platforms, ",").alias("platforms"), (F.size(platforms) > 1).alias("cross_platform")), "clusters")
     return join_groups(x.select("id", "cluster_id"), per, ["cluster_id"], "size", x.count())

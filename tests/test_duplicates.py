@@ -1,5 +1,6 @@
 """Duplicate entities against all pairs, communities against a sequential loop."""
 
+import itertools
 import random
 import re
 from collections import defaultdict
@@ -188,3 +189,14 @@ def test_louvain_against_a_sequential_loop(spark, sf):
     assert set(found) == set(graph) and all(found[label] == label <= v for v, label in found.items())
     assert slow_modularity(graph, found) >= slow_modularity(graph, slow_louvain(graph)) - 0.01
     edges.unpersist()
+
+
+@pytest.mark.parametrize("subset", [False, True])
+def test_set_pairs_of_small_and_large_groups(spark, subset):
+    draw = random.Random(9)
+    rows = [(g, 100 * g + i, draw.sample(range(9), draw.randrange(7))) for g, n in ((1, 3), (2, 40), (3, 12)) for i in range(n)]
+    near = lambda x, y: bool(x and y) and (len(x & y) >= 0.4 * max(len(x), len(y)) or (subset and (x <= y or y <= x)))
+    want = [(a, b) for (g, a, x), (h, b, y) in itertools.combinations(rows, 2) if g == h and near({*x}, {*y})]
+    frame = spark.createDataFrame(rows, "grp long, rep long, s array<int>")
+    for small in (0, 10, 64):
+        assert sorted((r.a, r.b) for r in D.set_pairs(frame, 0.4, subset, 4, small).collect()) == want

@@ -5,6 +5,7 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from daytrace.operators import mentions as M
 from daytrace.sources.tables import mentions
@@ -130,3 +131,18 @@ def test_leaders_of_a_long_chain(spark):
 def test_no_mentions(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert M.resolve_mentions(none).count() == 0 and M.cluster_mentions(none).count() == 0
+
+
+def test_names_are_taken_apart_once_for_all_users(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def counted(text):
+        seen.add(1)
+        return [text.lower()]
+
+    monkeypatch.setattr(M, "aliases", lambda text, label: counted(text))
+    frame = spark.createDataFrame([(3 * u + k, u, "TOOL", name, "web", T0) for u in range(40) for k, name in enumerate(("Zoom", "zoom app", "Zoé"))], SCHEMA)
+    rows, classes = M.mention_classes(frame)
+    assert rows.count() == classes.count() == 120 and seen.value == 3
+    assert {(r.low, tuple(sorted(r.chars))) for r in classes.collect()} == {(x, tuple(sorted(map(ord, {*x})))) for x in ("zoom", "zoom app", "zoé")}
