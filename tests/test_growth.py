@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from daytrace.functions import text as T
@@ -13,6 +14,7 @@ from daytrace.operators import duplicates as D
 from daytrace.operators import enrich as E
 from daytrace.operators import graph as G
 from daytrace.operators import search as S
+from daytrace.plans import catalog
 
 
 def shuffled(spark, run):
@@ -164,3 +166,16 @@ def test_memory_of_a_vector_search_does_not_follow_from_the_queries():
     for q in range(0, n, 97):
         scores = np.round(unit @ shared.value[1][q], 9)
         assert sorted(got.get(q, [])) == sorted((-s, i) for i, s in enumerate(scores.tolist()) if s >= 0 and i != q)[:k]
+
+
+@pytest.mark.parametrize("query", ["k18_ego_stats"])
+def test_co_occurrences_are_counted_once(spark, sf, monkeypatch, query):
+    count, calls = G.co_occurrence, []
+    monkeypatch.setattr(G, "co_occurrence", lambda links: calls.append(1) or count(links))
+    assert catalog.QUERIES[query](spark, sf) is not None and len(calls) == 1
+
+
+def test_inner_edges_of_sets_of_vertices(spark):
+    edges = spark.createDataFrame([(1, 2, 1), (2, 1, 1), (3, 2, 1), (3, 3, 1), (3, 4, 1), (4, 5, 1)], "src long, dst long, weight long")
+    sets = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (1, 3, 2), (5, 5, 0), (4, 3, 1), (4, 4, 0)], "source long, id long, depth int")
+    assert {(r.source, r.vertices, r.edges, r.eccentricity) for r in G.subgraph_stats(edges, sets).collect()} == {(1, 3, 2, 2), (5, 1, 0, 0), (4, 2, 1, 1)}
