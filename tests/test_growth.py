@@ -168,7 +168,7 @@ def test_memory_of_a_vector_search_does_not_follow_from_the_queries():
         assert sorted(got.get(q, [])) == sorted((-s, i) for i, s in enumerate(scores.tolist()) if s >= 0 and i != q)[:k]
 
 
-@pytest.mark.parametrize("query", ["k18_ego_stats"])
+@pytest.mark.parametrize("query", ["c15_community_bridges", "k18_ego_stats"])
 def test_co_occurrences_are_counted_once(spark, sf, monkeypatch, query):
     count, calls = G.co_occurrence, []
     monkeypatch.setattr(G, "co_occurrence", lambda links: calls.append(1) or count(links))
