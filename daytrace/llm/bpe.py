@@ -129,13 +129,20 @@ class Codec:
         letters are in normal form by themselves and have been letters, with these small forms, in every version of Unicode.
         Other pieces are normalised and split as the file asks, between its special tokens.
         """
-        core, word = piece.rstrip(MARKS), self.words.get
+        word = self.words.get
+        if piece.isascii() and piece.isalpha():
+            return word(piece.lower())
+        core = piece.rstrip(MARKS)
         if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
             low = core.lower()
             if low.isalpha():
                 low = low if low.isascii() else low.encode().decode("latin-1").translate(self.shown)
                 return word(low) + word(piece[len(core) :]) if len(core) < len(piece) else word(low)
-        out: list[bytes] = []
+        return self.apart(piece)
+
+    def apart(self, piece: str) -> bytes:
+        """Ids of a piece that has to be normalised and split as the file asks, between its special tokens."""
+        word, out = self.words.get, []
         for part in self.mark.split(piece) if "<|" in piece else [piece]:
             if part in self.special:
                 out.append(array(self.code, [self.special[part]]).tobytes())
@@ -146,10 +153,9 @@ class Codec:
     def encode_bytes(self, text: str) -> bytes:
         pieces = self.pieces(text)
         found = list(map(self.chunks.young.get, pieces))
-        at = -1
-        for _ in range(found.count(None)):
-            at = found.index(None, at + 1)
-            found[at] = self.chunks.get(pieces[at])
+        if None in found:
+            get = self.chunks.get
+            found = [get(piece) if ids is None else ids for piece, ids in zip(pieces, found)]
         return b"".join(found)
 
     def encode(self, text: str) -> list[int]:

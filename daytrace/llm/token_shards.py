@@ -31,10 +31,10 @@ class LibraryEncoder(Codec):
     def merge(self, word: str) -> list[int]:
         return [t.id for t in self.model.tokenize(word)]
 
-    def chunk(self, piece: str) -> bytes:
+    def apart(self, piece: str) -> bytes:
         if "<|" in piece:
             return array(self.code, self.library.encode(piece, add_special_tokens=False).ids).tobytes()
-        return super().chunk(piece)
+        return super().apart(piece)
 
 
 def encoder(path: str) -> LibraryEncoder:

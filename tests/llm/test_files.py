@@ -258,3 +258,17 @@ def test_stages_take_odd_rows(spark, odd, none, sf):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, sf).count() == left.get(name, 10), name
         assert stage(spark, plain.filter(F.lit(False)), sf).count() == 0 and stage(spark, none, sf).count() == 0
+
+
+def test_plain_words_are_not_taken_apart(monkeypatch):
+    from daytrace.llm import bpe, token_shards
+
+    path = bpe.default_tokenizer()
+    text = "Word word, (x) a|b <|endoftext|> x<|y Straße ﬁne 12 a1 ... |word| été; 漢字\x1cz"
+    want = bpe.Codec(path).library.encode(text, add_special_tokens=False).ids
+    for kind in (bpe.Codec, token_shards.LibraryEncoder):
+        made, apart = kind(path), []
+        odd = made.apart
+        monkeypatch.setattr(made, "apart", lambda piece: apart.append(piece) or odd(piece))
+        assert made.encode(text) == want == made.encode(text)
+        assert not {"Word", "word,", "Straße", "été;"} & {*apart} and {"(x)", "a|b", "12"} <= {*apart}
