@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from daytrace.operators import duplicates as D
 from daytrace.operators import graph as G
+from daytrace.operators.components import spanning
 from daytrace.plans import graphs
 from daytrace.sources.tables import known_entities
 
@@ -200,3 +201,67 @@ def test_set_pairs_of_small_and_large_groups(spark, subset):
     frame = spark.createDataFrame(rows, "grp long, rep long, s array<int>")
     for small in (0, 10, 64):
         assert sorted((r.a, r.b) for r in D.set_pairs(frame, 0.4, subset, 4, small).collect()) == want
+
+
+def in_common(n, seed):
+    """Entities of several users and types whose names, aliases and identifiers are in common, some wholly alike."""
+    draw = random.Random(seed)
+    words = ["red gear", "blue gear", "red ring", "old plate", "cold rod", ""]
+    names = [f"{w} brand {k}".strip() for w in words for k in (1, 2, 12)]
+    return [(k, draw.randrange(4), draw.choice(["tool", "org"]), draw.choice(names), draw.randrange(5), draw.choice([None, [draw.choice(names)]]), draw.choice([None, {"sku": str(draw.randrange(6))}])) for k in range(n)]
+
+
+@pytest.mark.parametrize("rows", [in_common(160, 1), made_up(140, 2), [(k, 1, "org", "", 1, None, {"x": "1"}) for k in range(3)]])
+def test_sums_of_pairs_are_the_pairs(spark, rows):
+    frame = spark.createDataFrame(rows, SCHEMA)
+    pairs, sums = D.entity_pairs(frame), D.pair_sums(frame)
+    total = lambda x: x.agg(F.sum("n_pairs"), F.sum(F.col("n_pairs") * F.col("score"))).first()
+    assert total(sums) == pytest.approx(total(pairs), abs=1e-4)
+    assert sorted(map(str, D.entity_clusters(frame, sums).collect())) == sorted(map(str, D.entity_clusters(frame, pairs).collect()))
+
+
+@pytest.mark.parametrize("rows,k", [(in_common(160, 3), 3), (in_common(160, 4), 20), (made_up(140, 5), 4)])
+def test_candidates_are_the_best_of_all_classes(spark, rows, k):
+    frame = spark.createDataFrame(rows, SCHEMA)
+    members, classes = D.entity_classes(frame)
+    rep = {r.id: r.rep for r in members.join(classes.select("class", "rep"), "class").select("id", "rep").collect()}
+    by_id = {r["id"]: r for r in (r.asDict() for r in frame.collect())}
+    want = {}
+    for a, b in itertools.permutations(by_id, 2):
+        if by_id[a]["user_id"] == by_id[b]["user_id"]:
+            first, second = sorted((rep[a], rep[b]))
+            score = slow_score(by_id[first], by_id[second])
+            if score >= 0.75:
+                want.setdefault(a, []).append((-round(score, 4), b))
+    found = defaultdict(list)
+    for r in D.candidates(frame, k=k).orderBy("a", "rank").collect():
+        found[r.a].append((-r.confidence, r.b))
+    assert found == {a: sorted(x)[:k] for a, x in want.items()}
+
+
+def test_names_in_common_of_groups_are_compared_once(spark, monkeypatch):
+    rows = [(100 * u + k, u, "tool", f"name{chr(97 + k)} of brand {k}", 1, None, None) for u in range(20) for k in range(12)]
+    frame, seen, ratio_pairs = spark.createDataFrame(rows, SCHEMA), [], D.ratio_pairs
+    monkeypatch.setattr(D, "ratio_pairs", lambda names, *more: seen.append(names.count()) or ratio_pairs(names, *more))
+    assert D.entity_pairs(frame).count() == 20 * 12 * 11 / 2 and seen == [12]
+    assert D.pair_sums(frame).filter("n_pairs > 0").count() == 20 * 12 * 11 / 2
+
+
+def test_fewer_edges_connect_the_same(spark):
+    draw = random.Random(7)
+    edges = [(draw.randrange(200) * 10**12, draw.randrange(200) * 10**12) for _ in range(150)] + [(5, 5)] + [(a, b) for a in range(30) for b in range(a)]
+    frame = spark.createDataFrame(edges, "a long, b long").coalesce(2)
+
+    def sets(found):
+        root = {v: v for e in edges for v in e}
+        for a, b in found:
+            old, new = root[a], root[b]
+            root = {v: new if r == old else r for v, r in root.items()}
+        groups = defaultdict(set)
+        for v, r in root.items():
+            groups[r].add(v)
+        return sorted(map(sorted, groups.values()))
+
+    for held in (4, 1_000_000):
+        fewer = [tuple(r) for r in spanning(frame, held).collect()]
+        assert sets(fewer) == sets(edges) and len(fewer) < 2 * 200
