@@ -179,3 +179,16 @@ def test_inner_edges_of_sets_of_vertices(spark):
     edges = spark.createDataFrame([(1, 2, 1), (2, 1, 1), (3, 2, 1), (3, 3, 1), (3, 4, 1), (4, 5, 1)], "src long, dst long, weight long")
     sets = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (1, 3, 2), (5, 5, 0), (4, 3, 1), (4, 4, 0)], "source long, id long, depth int")
     assert {(r.source, r.vertices, r.edges, r.eccentricity) for r in G.subgraph_stats(edges, sets).collect()} == {(1, 3, 2, 2), (5, 1, 0, 0), (4, 2, 1, 1)}
+
+
+@pytest.mark.parametrize("run", [lambda e: G.eigenvector(e, 3), lambda e: G.pagerank(e, 3)])
+def test_scores_are_sent_in_parts(spark, monkeypatch, run):
+    draw = random.Random(2)
+    edges = [(a, b, draw.randint(1, 3)) for a, b in itertools.combinations(range(60), 2) if draw.random() < 0.8]
+    frame = G.both_ways(spark.createDataFrame(edges, "src long, dst long, weight long"))
+    want = {r.id: r.score for r in run(frame).collect()}
+    monkeypatch.setattr(G, "SENT", 16)
+    found = {}
+    # the edges are dealt out by their ends once, and by no round again
+    assert shuffled(spark, lambda: found.update({r.id: r.score for r in run(frame).collect()})) < 4 * 2 * len(edges)
+    assert found == pytest.approx(want, abs=1e-12)
